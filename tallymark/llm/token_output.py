@@ -11,6 +11,7 @@ second attempt of a task never leaves half a file behind, on any store that Spar
 
 from __future__ import annotations
 
+import contextlib
 import os
 import struct
 import zlib
@@ -24,13 +25,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bare, map_batches, materialize, partitions
-from .token_counts import MEMO, MEMO_CHARS, chunks_of
+from .token_counts import MEMO_CHARS, chunks_of, groups
 
 HEAD = struct.Struct("<4sHHIQII")  # magic, version, bits, documents, ids, ids a block, blocks
 MAGIC, VERSION = b"TMTK", 1
 BLOCK = 4096
 #: ids after which a shard is closed
 SHARD = 2_000_000
+#: chunks whose ids a Python worker remembers, and marks that are parted from the letters before them
+REMEMBERED, MARKS = 700_000, ".,;:!?|)"
 
 
 def bits_for(vocabulary: int) -> int:
@@ -115,47 +118,70 @@ class Encoder:
         pre = self.tokenizer.to_str()
         self.by_chunk = '"behavior":"Removed","invert":true' in pre.replace(": ", ":").replace(", ", ",")
         self.memo: dict[str, bytes] = {}
-
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
-        #: cuts a text for the library before anything else, so many chunks go through one call
-        self.mark = next((s for s in special if s.startswith("<|")), None)
-        self.mark_id = self.mark and self.tokenizer.token_to_id(self.mark)
+        self.folds = "Lowercase" in pre
+        if self.by_chunk:
+            ends = [t.endswith("</w>") for t in (self.tokenizer.id_to_token(i) or "" for i in range(self.vocabulary))]
+            self.by_chunk, self.ends_word = any(ends), np.array(ends)
+            self.marks = dict(zip(MARKS, self.raw(list(MARKS)), strict=True))
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def raw_chunks(self, chunks: list[str]) -> list[bytes]:
-        """As ``raw``; chunks without special strings are put through together, parted by a special token."""
-        if not self.mark or len(chunks) < 3:
-            return self.raw(chunks)
-        plain = [c for c in chunks if "<" not in c]
-        got: dict[str, bytes] = {}
-        for i in range(0, len(plain), 2000):
-            part = plain[i : i + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            cuts = [-1, *np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
-            got.update(zip(part, (ids[a + 1 : b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
-        rest = [c for c in chunks if c not in got]
-        got.update(zip(rest, self.raw(rest), strict=True))
-        return [got[c] for c in chunks]
+    def raw_letters(self, words: list[str]) -> list[bytes]:
+        """As ``raw`` for words of letters only: each is one pre-token, whose last id, and no other, ends a word. So they go through as one text."""
+        out: list[bytes] = []
+        for i in range(0, len(words), 4000):
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words[i : i + 4000])], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = np.flatnonzero(self.ends_word[ids]) + 1
+            raw, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
+            out += [raw[x:y] for x, y in zip(at, at[1:], strict=False)]
+        return out
+
+    def ids_of(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of different chunks. One mark behind letters is a pre-token of its own, so the letters are looked up without it."""
+        memo, got, fresh, marked = self.memo, {}, [], []
+        for w in chunks:
+            ids = memo.get(w)
+            if ids is not None:
+                got[w] = ids
+            elif w[-1] in self.marks and w[:-1].isalpha() and max(w) < "\u0100":
+                marked.append(w)
+            else:
+                fresh.append(w)
+        fresh += {w[:-1] for w in marked}.difference(got, fresh)
+        known = {w: memo[w] for w in fresh if w in memo}
+        plain = [w for w in fresh if w not in known and w.isalpha() and max(w) < "\u0100"]
+        learned = dict(zip(plain, self.raw_letters(plain), strict=True))
+        rest = [w for w in fresh if w not in known and w not in learned]
+        learned.update(zip(rest, self.raw(rest), strict=True))
+        if len(memo) + len(learned) > REMEMBERED:
+            memo.clear()
+        memo.update(learned if max(map(len, rest), default=0) <= MEMO_CHARS else {k: v for k, v in learned.items() if len(k) <= MEMO_CHARS})
+        got |= known | learned
+        for w in marked:
+            got[w] = got[w[:-1]] + self.marks[w[-1]]
+        return got
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        if not self.by_chunk:
+            return self.raw(texts)
+        split = [chunks_of(self.folded(t)) for t in texts]
+        chunks: set[str] = set()
+        chunks.update(*split)
+        got = self.ids_of(chunks)
+        return [b"".join(map(got.__getitem__, words)) for words in split]
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if not self.by_chunk:
-            return self.raw([text])[0]
-        words, memo = chunks_of(text), self.memo
-        fresh = list(set(words).difference(memo))
-        if fresh:
-            if len(memo) > MEMO:
-                memo.clear()
-                fresh = list(set(words))
-            long = [w for w in fresh if len(w) > MEMO_CHARS]
-            short = [w for w in fresh if len(w) <= MEMO_CHARS]
-            memo.update(zip(short, self.raw_chunks(short), strict=True))
-            if long:
-                extra = dict(zip(long, self.raw(long), strict=True))
-                return b"".join([extra[w] if w in extra else memo[w] for w in words])
-        return b"".join(map(memo.__getitem__, words))
+        return self.encode_many([text])[0]
+
+    def folded(self, text: str) -> str:
+        """The text in lower case, if the tokenizer folds it anyway and that is one code point at a time: Latin-1 without a special string. It makes chunks meet."""
+        if self.folds and "<|" not in text:
+            with contextlib.suppress(UnicodeEncodeError):
+                text.encode("latin-1")
+                return text.lower()
+        return text
 
 
 @lru_cache(maxsize=2)
@@ -184,8 +210,9 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int | None = 1, shard_
             )
 
         for batch in batches:
-            for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = enc.encode(text or "") + tail
+            encoded = (raw for texts in groups([t or "" for t in batch.column(1).to_pylist()]) for raw in enc.encode_many(texts))
+            for d, raw in zip(batch.column(0).to_pylist(), encoded, strict=True):
+                raw += tail
                 doc_ids.append(d)
                 lengths.append(len(raw) // 4)
                 held.append(raw)
