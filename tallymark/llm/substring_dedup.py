@@ -178,8 +178,9 @@ def repeated_runs(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, s
     often = runs.groupBy("m").agg(F.count("*").alias("n")).where("n > 1").select("m")
     shared = materialize(runs.join(often, "m", "left_semi"), "shared")
     kinds = shared.groupBy("m", "g").agg(F.count("*").alias("c"), F.min(F.struct("key", "at")).alias("one"))
-    wide_m = kinds.groupBy("m").agg(F.count("*").alias("kinds"))
-    wanted = kinds.join(wide_m, "m").select("m", "g", "c", "kinds", "one.key", "one.at")
+    # only the few wide minimizers come back, so this join mostly needs no exchange of the runs
+    wide_m = kinds.groupBy("m").agg(F.count("*").alias("kinds")).where(F.col("kinds") > wide)
+    wanted = kinds.join(wide_m, "m", "left").select("m", "g", "c", F.coalesce("kinds", F.lit(0)).alias("kinds"), "one.key", "one.at")
     found = materialize(reference_rows(rows, wanted, window, wide), "reference")
     dealt = found.where("words is not null").select("m", "g", "c", "words").repartition(partitions(spark), "m").sortWithinPartitions("m", "g")
     judged = dealt.mapInArrow(lambda b: judge_shards(b, window, shard_words), "m long, g long, mask long")
