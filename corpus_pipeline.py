@@ -10,18 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.llm import decontamination, language_id, mixing, simhash, token_output
-from tallymark.llm.common import materialize, read_table, with_key
-from tallymark.llm.queries import tokenizer
+from tallymark.llm.common import lean, materialize, with_key
+from tallymark.llm.queries import read_table, tokenizer
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; learned from their own labels."""
-    found = language_id.identify(docs.withColumn("_lang", F.col("lang")), language_id.train(docs))
+    lean(spark)
+    found = language_id.identify(docs, language_id.train(docs))
     return found.where("lang_pred <> 'und'").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that of the least doc_id, or any one where ids are missing or repeat."""
+    lean(spark)
     rows = with_key(docs)
     keep = simhash.near_duplicates(rows, doc_id="_key").where("doc_id = component_id").select(F.col("doc_id").alias("_key"))
     return rows.join(keep, "_key", "left_semi").select(*docs.columns)
@@ -35,11 +37,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
+    lean(spark)
     return mixing.mixed_rows(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed token ids, read back: doc_id, start, n_tokens, ids_crc32."""
+    lean(spark)
     return token_output.token_output(docs, tokenizer())
 
 

@@ -72,6 +72,40 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Record
     return df.mapInArrow(run, ddl)
 
 
+def lean(spark: SparkSession) -> SparkSession:
+    """The session with Arrow batches of at most 2000 rows: whole texts travel, so a batch of the usual 10000 takes tens of MB in each of several copies."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= 2000:
+        spark.conf.set(name, "2000")
+    return spark
+
+
+class Remembered:
+    """A dictionary of at most ``2 * most`` entries that forgets what was not asked for lately: entries asked for move to the young half, and when that is full the old half goes."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def take(self, keys) -> tuple[dict, list]:
+        """Those of the keys that are known, and the rest."""
+        young, old, got, rest = self.young, self.old, {}, []
+        for k in keys:
+            v = young.get(k)
+            if v is None:
+                v = old.get(k)
+                if v is None:
+                    rest.append(k)
+                    continue
+                young[k] = v
+            got[k] = v
+        return got, rest
+
+    def put(self, more: dict) -> None:
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        self.young.update(more)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

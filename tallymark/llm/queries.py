@@ -8,7 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, class_lm, decontamination, embedding_dedup, language_id, mixing, simhash, substring_dedup, token_counts, token_output
-from .common import read_table
+from .common import lean
+from .common import read_table as whole_table
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return whole_table(lean(spark), sf_dir, name)
 
 
 def tokenizer(name: str = "word_bpe_49k.json") -> str:

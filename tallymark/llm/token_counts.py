@@ -21,11 +21,11 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import bare, map_batches
+from .common import Remembered, bare, map_batches
 
 NONE = np.int64(2**31 - 1)
-#: remembered chunks per Python worker, and the longest that is remembered
-MEMO, MEMO_CHARS = 300_000, 64
+#: half the chunks that a Python worker remembers, and the longest that is remembered
+MEMO, MEMO_CHARS = 200_000, 64
 #: characters that Python's split() takes for white space and the tokenizers' regex does not
 NOT_SPACE = regex.compile(r"[\x1c-\x1f]")
 SPACES = regex.compile(r"[ \t\n\r\f\v]+")
@@ -90,7 +90,7 @@ class RankMerger:
         self.pattern = regex.compile(split["pattern"]["Regex"] if split else BYTE_LEVEL)
         added = sorted((t["content"] for t in spec.get("added_tokens", ())), key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
-        self.memo: dict[str, int] = {}
+        self.memo = Remembered(MEMO)
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         keys = a * self.size + b
@@ -153,18 +153,13 @@ class RankMerger:
 
     def count(self, texts: list[str | None]) -> list[int]:
         split = [(chunks_of(t) if self.by_chunk else [t] if t else []) if t else [] for t in texts]
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        fresh: set[str] = set()
-        for words in split:
-            fresh.update(words)
-        known = self.count_pieces(fresh.difference(memo))
-        small = {k: v for k, v in known.items() if len(k) <= MEMO_CHARS}
-        memo.update(small)
-        if len(small) == len(known):
-            return [sum(map(memo.__getitem__, words)) for words in split]
-        return [sum(memo[w] if w in memo else known[w] for w in words) for words in split]
+        chunks: set[str] = set()
+        chunks.update(*split)
+        got, fresh = self.memo.take(chunks)
+        learned = self.count_pieces(fresh)
+        self.memo.put({k: v for k, v in learned.items() if len(k) <= MEMO_CHARS})
+        got |= learned
+        return [sum(map(got.__getitem__, words)) for words in split]
 
 
 @lru_cache(maxsize=2)

@@ -12,6 +12,7 @@ second attempt of a task never leaves half a file behind, on any store that Spar
 from __future__ import annotations
 
 import contextlib
+import json
 import os
 import struct
 import zlib
@@ -24,16 +25,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bare, map_batches, materialize, partitions
-from .token_counts import MEMO_CHARS, chunks_of, groups
+from .common import Remembered, bare, map_batches, materialize, partitions
+from .token_counts import MEMO_CHARS, byte_alphabet, chunks_of, groups
 
 HEAD = struct.Struct("<4sHHIQII")  # magic, version, bits, documents, ids, ids a block, blocks
 MAGIC, VERSION = b"TMTK", 1
 BLOCK = 4096
 #: ids after which a shard is closed
 SHARD = 2_000_000
-#: chunks whose ids a Python worker remembers, and marks that are parted from the letters before them
-REMEMBERED, MARKS = 700_000, ".,;:!?|)"
+#: half the chunks whose ids a Python worker remembers, and marks that are parted from the letters before them
+REMEMBERED, MARKS = 150_000, ".,;:!?|)"
 
 
 def bits_for(vocabulary: int) -> int:
@@ -117,21 +118,25 @@ class Encoder:
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         pre = self.tokenizer.to_str()
         self.by_chunk = '"behavior":"Removed","invert":true' in pre.replace(": ", ":").replace(", ", ",")
-        self.memo: dict[str, bytes] = {}
+        self.memo = Remembered(REMEMBERED)
         self.folds = "Lowercase" in pre
         if self.by_chunk:
             ends = [t.endswith("</w>") for t in (self.tokenizer.id_to_token(i) or "" for i in range(self.vocabulary))]
             self.by_chunk, self.ends_word = any(ends), np.array(ends)
+            spec = json.loads(pre) | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "WhitespaceSplit"}}
+            self.plain = Tokenizer.from_str(json.dumps(spec))
+            self.shown = dict(enumerate(byte_alphabet())) | {32: " "}
             self.marks = dict(zip(MARKS, self.raw(list(MARKS)), strict=True))
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def raw_letters(self, words: list[str]) -> list[bytes]:
-        """As ``raw`` for words of letters only: each is one pre-token, whose last id, and no other, ends a word. So they go through as one text."""
+        """As ``raw`` for words of lower-case letters only. Each is one pre-token, so the library's model alone does; its last id, and no other, ends a word, so many go through as one text."""
         out: list[bytes] = []
         for i in range(0, len(words), 4000):
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words[i : i + 4000])], add_special_tokens=False)[0].ids, dtype="<u4")
+            text = " ".join(words[i : i + 4000]).encode().decode("latin-1").translate(self.shown)
+            ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
             cuts = np.flatnonzero(self.ends_word[ids]) + 1
             raw, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
             out += [raw[x:y] for x, y in zip(at, at[1:], strict=False)]
@@ -139,25 +144,18 @@ class Encoder:
 
     def ids_of(self, chunks: set[str]) -> dict[str, bytes]:
         """Ids of different chunks. One mark behind letters is a pre-token of its own, so the letters are looked up without it."""
-        memo, got, fresh, marked = self.memo, {}, [], []
-        for w in chunks:
-            ids = memo.get(w)
-            if ids is not None:
-                got[w] = ids
-            elif w[-1] in self.marks and w[:-1].isalpha() and max(w) < "\u0100":
-                marked.append(w)
-            else:
-                fresh.append(w)
-        fresh += {w[:-1] for w in marked}.difference(got, fresh)
-        known = {w: memo[w] for w in fresh if w in memo}
-        plain = [w for w in fresh if w not in known and w.isalpha() and max(w) < "\u0100"]
+        got, fresh = self.memo.take(chunks)
+        marked = [w for w in fresh if w[-1] in self.marks and w[:-1].isalpha() and max(w) < "\u0100"]
+        if marked:
+            known, bases = self.memo.take({w[:-1] for w in marked}.difference(got))
+            fresh = list(set(fresh).difference(marked).union(bases))
+            got |= known
+        plain = [w for w in fresh if w.isalpha() and w == w.lower() and max(w) < "\u0100"]
         learned = dict(zip(plain, self.raw_letters(plain), strict=True))
-        rest = [w for w in fresh if w not in known and w not in learned]
+        rest = [w for w in fresh if w not in learned]
         learned.update(zip(rest, self.raw(rest), strict=True))
-        if len(memo) + len(learned) > REMEMBERED:
-            memo.clear()
-        memo.update(learned if max(map(len, rest), default=0) <= MEMO_CHARS else {k: v for k, v in learned.items() if len(k) <= MEMO_CHARS})
-        got |= known | learned
+        self.memo.put(learned if max(map(len, rest), default=0) <= MEMO_CHARS else {k: v for k, v in learned.items() if len(k) <= MEMO_CHARS})
+        got |= learned
         for w in marked:
             got[w] = got[w[:-1]] + self.marks[w[-1]]
         return got
@@ -210,7 +208,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int | None = 1, shard_
             )
 
         for batch in batches:
-            encoded = (raw for texts in groups([t or "" for t in batch.column(1).to_pylist()]) for raw in enc.encode_many(texts))
+            encoded = (raw for texts in groups([t or "" for t in batch.column(1).to_pylist()], 8_000_000) for raw in enc.encode_many(texts))
             for d, raw in zip(batch.column(0).to_pylist(), encoded, strict=True):
                 raw += tail
                 doc_ids.append(d)
