@@ -31,7 +31,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated by the benchmark, unchanged."""
-    found = decontamination.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
+    found = decontamination.judge(docs, read_table(spark, sf_dir, "benchmark"))
     return found.where(~F.col("contaminated")).select(*docs.columns)
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
-from .common import bare, materialize, utf8
+from .common import bare, materialize, release, utf8
 
 WINDOW = 13
 #: words of items in one broadcast automaton (some 200 MB in a Python worker)
@@ -146,6 +146,7 @@ def _pass(docs: DataFrame, part: list[tuple[str, bytes]], window: int, text: str
                 found.append(sorted({*had, *its}))
             columns = [*batch.columns[:-3], pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), pa.array(found, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -172,16 +173,20 @@ def _matcher(sent, window: int) -> ItemMatcher:
     return _built[key]
 
 
+def judge(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``find_items`` plus ``n_hit`` (words in spans) and ``contaminated`` (some word hit, and at least 1 in ``share``)."""
+    found = find_items(docs, items, window, text=text, item_id=item_id, item_text=item_text)
+    out = found.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"]))
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words")))
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20, max_span: int | None = None, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``find_items`` plus ``n_hit`` (words in spans), ``contaminated`` (some word hit, and at least 1 in ``share``), and ``clean_text``.
+    """``judge`` plus ``clean_text``: the text without the spans that exceed a limit.
 
-    clean_text is the text without the spans that exceed a limit: all of them in a contaminated document, elsewhere those of
-    more than ``max_span`` words (None: no such limit). What lies between removed words goes with them; a null text stays null.
+    Those are all spans in a contaminated document, elsewhere those of more than ``max_span`` words (None: no such limit). What lies between
+    removed words goes with them; a null text stays null.
     """
-    found = find_items(docs, items, window, text=text, item_id=item_id, item_text=item_text)
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
-    out = found.withColumn("n_hit", hit)
-    out = out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words")))
+    out = judge(docs, items, window, share, text, item_id, item_text)
     over = "contaminated" if max_span is None else f"contaminated or (s.stop - s.start > {int(max_span)})"
     removed = F.expr(f"filter(spans, s -> {over})")
 

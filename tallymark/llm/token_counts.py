@@ -21,23 +21,23 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Remembered, bare, map_batches
+from .common import Remembered, bare, map_batches, utf8
 
 NONE = np.int64(2**31 - 1)
 #: half the chunks that a Python worker remembers, and the longest that is remembered
 MEMO, MEMO_CHARS = 200_000, 64
-#: characters that Python's split() takes for white space and the tokenizers' regex does not
-NOT_SPACE = regex.compile(r"[\x1c-\x1f]")
-SPACES = regex.compile(r"[ \t\n\r\f\v]+")
+#: bytes of Latin-1 text: no code point above U+00FF, so no combining mark, and lower case one code point at a time
+LATIN = bytes(range(0xC4))
 #: fixed value: the pre-token pattern of byte-level encoders whose file states none
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def chunks_of(text: str) -> list[str]:
-    """Split where both Python and the tokenizers see white space; other white space stays inside a chunk."""
-    if NOT_SPACE.search(text):
-        return [c for c in SPACES.split(text) if c]
-    return text.split()
+def chunks_of(raw: bytes, fold: bool = False) -> list[bytes]:
+    """A text's UTF-8 bytes, split at ASCII white space; other white space stays inside a chunk. ``fold``: A-Z may become a-z where no special string
+    or combining mark could make that matter, so more chunks are equal."""
+    if fold and b"<|" not in raw and not raw.translate(None, LATIN):
+        raw = raw.lower()
+    return raw.split()
 
 
 def byte_alphabet() -> list[str]:
@@ -140,23 +140,23 @@ class RankMerger:
             piece = piece.lower() if piece.isascii() else "".join([c.lower() for c in piece])
         return [m.encode() for m in self.pattern.findall(piece)]
 
-    def count_pieces(self, pieces: Iterable[str]) -> dict[str, int]:
-        """Token counts of distinct pieces of text, special strings among them included."""
+    def count_pieces(self, pieces: Iterable[str]) -> list[int]:
+        """Token counts of pieces of text, special strings among them included."""
         flat: dict[bytes, int] = {}
-        parts: list[tuple[str, int, list[int]]] = []
+        parts: list[tuple[int, list[int]]] = []
         for piece in pieces:
             cut = self.special.split(piece) if self.special and "<|" in piece else [piece]
             fixed = len(cut) // 2
-            parts.append((piece, fixed, [flat.setdefault(t, len(flat)) for p in cut[::2] if p for t in self.pretokens(p)]))
+            parts.append((fixed, [flat.setdefault(t, len(flat)) for p in cut[::2] if p for t in self.pretokens(p)]))
         got = self.surviving(list(flat))
-        return {piece: fixed + int(got[own].sum()) if own else fixed for piece, fixed, own in parts}
+        return [fixed + int(got[own].sum()) if own else fixed for fixed, own in parts]
 
-    def count(self, texts: list[str | None]) -> list[int]:
-        split = [(chunks_of(t) if self.by_chunk else [t] if t else []) if t else [] for t in texts]
-        chunks: set[str] = set()
+    def count(self, texts: list[bytes]) -> list[int]:
+        split = [chunks_of(t, self.lower) if self.by_chunk else [t] if t else [] for t in texts]
+        chunks: set[bytes] = set()
         chunks.update(*split)
         got, fresh = self.memo.take(chunks)
-        learned = self.count_pieces(fresh)
+        learned = dict(zip(fresh, self.count_pieces([w.decode() for w in fresh]), strict=True))
         self.memo.put({k: v for k, v in learned.items() if len(k) <= MEMO_CHARS})
         got |= learned
         return [sum(map(got.__getitem__, words)) for words in split]
@@ -167,15 +167,15 @@ def merger(path: str) -> RankMerger:
     return RankMerger(path)
 
 
-def groups(texts: list, chars: int = 2_000_000) -> Iterable[list]:
+def groups(texts: list, size: int = 3_000_000) -> Iterable[list]:
     """Runs of texts of a bounded total length (or of one longer text)."""
-    run, size = [], 0
+    run, n = [], 0
     for t in texts:
         run.append(t)
-        size += len(t or "")
-        if size >= chars:
+        n += len(t)
+        if n >= size:
             yield run
-            run, size = [], 0
+            run, n = [], 0
     if run:
         yield run
 
@@ -190,9 +190,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, text: str =
 
     def run(batch: pa.RecordBatch):
         column = batch.column(1)
-        sizes = pc.fill_null(pc.binary_length(column.cast(pa.binary())), 0).cast(pa.int64())
+        sizes = pc.binary_length(column).cast(pa.int64())
         counter = merger(tokenizer)
         n = pa.array([c for part in groups(column.to_pylist()) for c in counter.count(part)], type=pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0), sizes, n, pc.greater(n, limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return map_batches(bare(docs, doc_id=doc_id, text=text), run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    return map_batches(bare(docs, doc_id=doc_id, raw=utf8(text)), run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")

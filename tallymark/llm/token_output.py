@@ -11,7 +11,6 @@ second attempt of a task never leaves half a file behind, on any store that Spar
 
 from __future__ import annotations
 
-import contextlib
 import json
 import os
 import struct
@@ -25,16 +24,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Remembered, bare, map_batches, materialize, partitions
-from .token_counts import MEMO_CHARS, byte_alphabet, chunks_of, groups
+from .common import Remembered, bare, map_batches, materialize, partitions, release, utf8
+from .token_counts import LATIN, MEMO_CHARS, byte_alphabet, chunks_of, groups
 
 HEAD = struct.Struct("<4sHHIQII")  # magic, version, bits, documents, ids, ids a block, blocks
 MAGIC, VERSION = b"TMTK", 1
 BLOCK = 4096
 #: ids after which a shard is closed
 SHARD = 2_000_000
-#: half the chunks whose ids a Python worker remembers, and marks that are parted from the letters before them
-REMEMBERED, MARKS = 150_000, ".,;:!?|)"
+#: half the chunks whose ids a Python worker remembers, and marks that never join letters before them (an apostrophe may)
+REMEMBERED, MARKS = 150_000, b".,;:!?|)#$%&*\"-_=+/"
 
 
 def bits_for(vocabulary: int) -> int:
@@ -126,60 +125,58 @@ class Encoder:
             spec = json.loads(pre) | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "WhitespaceSplit"}}
             self.plain = Tokenizer.from_str(json.dumps(spec))
             self.shown = dict(enumerate(byte_alphabet())) | {32: " "}
-            self.marks = dict(zip(MARKS, self.raw(list(MARKS)), strict=True))
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def raw_letters(self, words: list[str]) -> list[bytes]:
+    def raw_letters(self, words: list[bytes]) -> list[bytes]:
         """As ``raw`` for words of lower-case letters only. Each is one pre-token, so the library's model alone does; its last id, and no other, ends a word, so many go through as one text."""
         out: list[bytes] = []
         for i in range(0, len(words), 4000):
-            text = " ".join(words[i : i + 4000]).encode().decode("latin-1").translate(self.shown)
+            text = b" ".join(words[i : i + 4000]).decode("latin-1").translate(self.shown)
             ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
             cuts = np.flatnonzero(self.ends_word[ids]) + 1
             raw, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
             out += [raw[x:y] for x, y in zip(at, at[1:], strict=False)]
         return out
 
-    def ids_of(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of different chunks. One mark behind letters is a pre-token of its own, so the letters are looked up without it."""
+    def ids_of(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of different chunks. Marks behind letters are a pre-token of their own, so both are looked up apart."""
         got, fresh = self.memo.take(chunks)
-        marked = [w for w in fresh if w[-1] in self.marks and w[:-1].isalpha() and max(w) < "\u0100"]
-        if marked:
-            known, bases = self.memo.take({w[:-1] for w in marked}.difference(got))
-            fresh = list(set(fresh).difference(marked).union(bases))
-            got |= known
-        plain = [w for w in fresh if w.isalpha() and w == w.lower() and max(w) < "\u0100"]
-        learned = dict(zip(plain, self.raw_letters(plain), strict=True))
-        rest = [w for w in fresh if w not in learned]
-        learned.update(zip(rest, self.raw(rest), strict=True))
-        self.memo.put(learned if max(map(len, rest), default=0) <= MEMO_CHARS else {k: v for k, v in learned.items() if len(k) <= MEMO_CHARS})
+        plain, marked, rest = set(), [], []
+        for w in fresh:
+            base = w.rstrip(MARKS)
+            if not (base.isalpha() or base and not base.translate(None, LATIN) and base.decode().isalpha()):
+                rest.append(w)
+            elif len(base) == len(w):
+                plain.add(w)
+            else:
+                marked.append((w, base, w[len(base) :]))
+        known, bases = self.memo.take({b for _, b, _ in marked}.difference(got, plain))
+        got |= known
+        letters = [*plain, *bases]
+        learned = dict(zip(letters, self.raw_letters([w.lower() if w.isascii() else w.decode().lower().encode() for w in letters]), strict=True))
+        learned.update(zip(rest, self.raw([w.decode() for w in rest]), strict=True))
+        self.memo.put(learned if max(map(len, learned), default=0) <= MEMO_CHARS else {k: v for k, v in learned.items() if len(k) <= MEMO_CHARS})
         got |= learned
-        for w in marked:
-            got[w] = got[w[:-1]] + self.marks[w[-1]]
+        marks = {t for _, _, t in marked}
+        ids = dict(zip(marks, self.raw([t.decode() for t in marks]), strict=True))
+        for w, b, t in marked:
+            got[w] = got[b] + ids[t]
         return got
 
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+    def encode_many(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text (UTF-8) as little-endian unsigned 32-bit integers."""
         if not self.by_chunk:
-            return self.raw(texts)
-        split = [chunks_of(self.folded(t)) for t in texts]
-        chunks: set[str] = set()
+            return self.raw([t.decode() for t in texts])
+        split = [chunks_of(t, self.folds) for t in texts]
+        chunks: set[bytes] = set()
         chunks.update(*split)
         got = self.ids_of(chunks)
         return [b"".join(map(got.__getitem__, words)) for words in split]
 
     def encode(self, text: str) -> bytes:
-        return self.encode_many([text])[0]
-
-    def folded(self, text: str) -> str:
-        """The text in lower case, if the tokenizer folds it anyway and that is one code point at a time: Latin-1 without a special string. It makes chunks meet."""
-        if self.folds and "<|" not in text:
-            with contextlib.suppress(UnicodeEncodeError):
-                text.encode("latin-1")
-                return text.lower()
-        return text
+        return self.encode_many([text.encode()])[0]
 
 
 @lru_cache(maxsize=2)
@@ -208,7 +205,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int | None = 1, shard_
             )
 
         for batch in batches:
-            encoded = (raw for texts in groups([t or "" for t in batch.column(1).to_pylist()], 8_000_000) for raw in enc.encode_many(texts))
+            encoded = (raw for texts in groups(batch.column(1).to_pylist()) for raw in enc.encode_many(texts))
             for d, raw in zip(batch.column(0).to_pylist(), encoded, strict=True):
                 raw += tail
                 doc_ids.append(d)
@@ -221,8 +218,9 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int | None = 1, shard_
                     doc_ids, lengths, held, size = [], [], [], 0
         if doc_ids:
             yield close()
+        release()
 
-    ordered = bare(docs, doc_id=F.col("doc_id").cast("long"), text="text").repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = bare(docs, doc_id=F.col("doc_id").cast("long"), raw=utf8()).repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "raw")
     return materialize(ordered.mapInArrow(run, "part int, seq int, first long, n_docs long, n_ids long, shard binary"), "shards")
 
 
