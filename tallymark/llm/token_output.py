@@ -184,6 +184,15 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def dealt_by_range(rows: DataFrame, column: str) -> DataFrame:
+    """Rows dealt to partitions that follow each other along a long column, nulls first. Only that column is read to find the bounds; repartitionByRange would read the texts twice."""
+    n = partitions(rows.sparkSession)
+    found = rows.select(F.percentile_approx(column, [i / n for i in range(1, n)] or [0.5], 20 * n)).first()[0] or []
+    bounds = sorted(set(found))
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(column))) if bounds else F.lit(0)
+    return rows.repartitionById(len(bounds) + 1, F.when(F.col(column).isNull(), 0).otherwise(part).cast("int"))
+
+
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int | None = 1, shard_ids: int = SHARD) -> DataFrame:
     """Shards of all documents in ascending doc_id order (nulls first, ties by text): part, seq, first (ids before it in its part), n_docs, n_ids, shard.
 
@@ -220,7 +229,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int | None = 1, shard_
             yield close()
         release()
 
-    ordered = bare(docs, doc_id=F.col("doc_id").cast("long"), raw=utf8()).repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "raw")
+    ordered = dealt_by_range(bare(docs, doc_id=F.col("doc_id").cast("long"), raw=utf8()), "doc_id").sortWithinPartitions("doc_id", "raw")
     return materialize(ordered.mapInArrow(run, "part int, seq int, first long, n_docs long, n_ids long, shard binary"), "shards")
 
 
