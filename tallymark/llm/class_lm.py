@@ -171,8 +171,8 @@ class ClassModel:
         before = cc.sum(axis=1, keepdims=True)
         followers = (cc > 0).sum(axis=1, keepdims=True)
         # Witten-Bell: a class passes on as much as it has followers
-        self.transition = np.log10((cc + followers * base) / np.maximum(before + followers, 1)) if len(cc) else cc
-        self.transition[(before + followers)[:, 0] == 0] = np.log10(base)
+        seen = before + followers > 0
+        self.transition = np.log10(np.where(seen, (cc + followers * base) / np.maximum(before + followers, 1), base))
         room = np.zeros(k)
         room[of[units.first_tail :]] = 1
         self.room = np.log10(np.maximum(into + ADD * (onehot.T @ kinds + room), 1e-300))

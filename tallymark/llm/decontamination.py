@@ -197,7 +197,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(out, pa.string())], names=[*batch.schema.names[:-2], "clean_text"])
 
     keep = [F.col(f"`{c}`") for c in out.columns if c != "clean_text"]
-    schema = out.select(*keep, F.lit("").alias("clean_text")).schema
+    schema = out.select(*keep, F.lit(None).cast("string").alias("clean_text")).schema  # nullable
     return out.select(*keep, F.col(f"`{text}`").alias("_text"), removed.alias("_removed")).mapInArrow(cut, schema)
 
 
