@@ -91,13 +91,16 @@ def likeness_pairs(left: pd.DataFrame, width: int, k: int, percent: int, most_wo
         candidates: dict = {}
         for c in signature(raw):
             held = holders.get((c, norm[c]), ())
-            if len(held) > 64 and sum(h in used for h in held) * 2 > len(held):
-                held = holders[c, norm[c]] = [h for h in held if h not in used]
+            passed = 0
             for h in held:
                 if len(candidates) >= k:
                     break
-                if h not in used:
+                if h in used:
+                    passed += 1
+                else:
                     candidates[h] = None
+            if passed > 32:  # so a row that is used up is passed by few times only
+                holders[c, norm[c]] = [h for h in held if h not in used]
             if len(candidates) >= k:
                 break
         best, top = None, -1

@@ -41,10 +41,12 @@ def moved_rows(matches: DataFrame) -> DataFrame:
     rows = m.withColumn("_b", block_of("t_rank"))
     sums = rows.groupBy("_b").agg(F.max("s_rank").alias("hi"), F.min("s_rank").alias("lo"))
     w = Window.orderBy("_b")
-    around = sums.select("_b", F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("hi"), F.min("lo").over(w.rowsBetween(1, Window.unboundedFollowing)).alias("lo"))
+    around = sums.select("_b", F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("hi"), F.min("lo").over(Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)).alias("lo"))
     inside = Window.partitionBy("_b").orderBy("t_rank")
+    # what follows is what precedes in the other order; a frame that ends unbounded costs a pass for each row
+    after = Window.partitionBy("_b").orderBy(F.desc("t_rank"))
     most = F.greatest(F.max("s_rank").over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.coalesce("hi", F.lit(-1)))
-    least = F.least(F.min("s_rank").over(inside.rowsBetween(0, Window.unboundedFollowing)), F.coalesce("lo", F.lit(2**62)))
+    least = F.least(F.min("s_rank").over(after.rowsBetween(Window.unboundedPreceding, 0)), F.coalesce("lo", F.lit(2**62)))
     seen = rows.join(around, "_b").withColumn("pivot", (most == F.col("s_rank")) & (least == F.col("s_rank")))
     # stretch: pivots before, counted by block
     fixed = seen.withColumn("p", F.col("pivot").cast("int"))
