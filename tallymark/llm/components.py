@@ -44,7 +44,10 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def smallest_members(members: DataFrame, components: DataFrame) -> DataFrame:
-    """node, component: the least ``id`` among the members (columns node, id) of the node's component. Nodes without edges stand alone."""
-    rooted = members.join(components, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"), F.col("root").isNotNull().alias("linked"))
-    least = rooted.groupBy("root", "linked").agg(F.min("id").alias("component"))
-    return rooted.join(least, ["root", "linked"]).select("node", "component")
+    """node, component: the least ``id`` among the members (columns node, id; a row for each node) of the node's component. Nodes without edges stand alone.
+
+    A root may stand for a third of all nodes. Least ids are written, so that the join back has an exchange on both sides, whose large partitions Spark splits.
+    """
+    least = materialize(members.join(components, "node").groupBy("root").agg(F.min("id").alias("component")), "least")
+    placed = components.join(least, "root").select("node", "component")
+    return members.join(placed, "node", "left").select("node", F.coalesce("component", "id").alias("component"))
