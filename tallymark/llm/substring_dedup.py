@@ -175,17 +175,18 @@ def repeated_runs(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, s
     if not 0 < anchor <= window or window - anchor > 40:
         raise ValueError("a run has as many windows as fit a mask: window - anchor is at most 40")
     runs = materialize(run_rows(rows, window, anchor), "runs")
-    often = runs.groupBy("m").agg(F.count("*").alias("n")).where("n > 1").select("m")
+    # what these joins look up is written first: then both sides have an exchange, and Spark splits the rows of a hot minimizer or window
+    often = materialize(runs.groupBy("m").agg(F.count("*").alias("n")).where("n > 1").select("m"), "often")
     shared = materialize(runs.join(often, "m", "left_semi"), "shared")
-    kinds = shared.groupBy("m", "g").agg(F.count("*").alias("c"), F.min(F.struct("key", "at")).alias("one"))
-    # only the few wide minimizers come back, so this join mostly needs no exchange of the runs
-    wide_m = kinds.groupBy("m").agg(F.count("*").alias("kinds")).where(F.col("kinds") > wide)
+    kinds = materialize(shared.groupBy("m", "g").agg(F.count("*").alias("c"), F.min(F.struct("key", "at")).alias("one")), "kinds")
+    # only the few wide minimizers come back
+    wide_m = materialize(kinds.groupBy("m").agg(F.count("*").alias("kinds")).where(F.col("kinds") > wide), "wide")
     wanted = kinds.join(wide_m, "m", "left").select("m", "g", "c", F.coalesce("kinds", F.lit(0)).alias("kinds"), "one.key", "one.at")
     found = materialize(reference_rows(rows, wanted, window, wide), "reference")
     dealt = found.where("words is not null").select("m", "g", "c", "words").repartition(partitions(spark), "m").sortWithinPartitions("m", "g")
     judged = dealt.mapInArrow(lambda b: judge_shards(b, window, shard_words), "m long, g long, mask long")
     windows = found.where("words is null")
-    again = windows.groupBy("m", "w").agg(F.sum("c").alias("n")).where("n > 1").select("m", "w")
+    again = materialize(windows.groupBy("m", "w").agg(F.sum("c").alias("n")).where("n > 1").select("m", "w"), "again")
     by_window = windows.join(again, ["m", "w"]).groupBy("m", "g").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
     marks = shared.join(judged.union(by_window), ["m", "g"])
     return marks.groupBy("key").agg(F.collect_list(F.struct("at", "mask")).alias("runs"))
