@@ -190,6 +190,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, most: int = MAX_BITS, t
     """
     printed = materialize(fingerprints(docs, width, text, doc_id), "fingerprints")
     nodes = printed.groupBy("fp").agg(F.min("doc_id").alias("id")).withColumnRenamed("fp", "node")
-    placed = smallest_members(nodes, connected_components(fingerprint_links(printed, most)))
+    # written, so that the join has an exchange on both sides and Spark splits the rows of a hot fingerprint
+    placed = materialize(smallest_members(nodes, connected_components(fingerprint_links(printed, most))), "placed")
     out = printed.join(placed.withColumnRenamed("node", "fp"), "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
