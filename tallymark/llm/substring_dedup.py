@@ -53,15 +53,22 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def powers(base: int, count: int) -> np.ndarray:
+    return np.cumprod(np.r_[np.uint64(1), np.full(count - 1, base, dtype=np.uint64)])
+
+
+UP, DOWN = powers(ODD, 4096), powers(INVERSE, 4096)
+
+
 class Hasher:
     """Hashes of any ranges of a word sequence, the same wherever the range stands."""
 
     def __init__(self, words: list[bytes]):
         h = word_hashes(words)
         n = len(h)
-        self.up = np.cumprod(np.r_[np.uint64(1), np.full(n, ODD, dtype=np.uint64)])
-        down = np.cumprod(np.r_[np.uint64(1), np.full(n, INVERSE, dtype=np.uint64)])[:-1]
-        self.sums = np.r_[np.uint64(0), np.cumsum(h * down)]
+        self.up, down = (UP, DOWN) if n < len(UP) else (powers(ODD, n + 1), powers(INVERSE, n))
+        self.sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(h * down[:n], out=self.sums[1:])
 
     def ranges(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return mixed((self.sums[stop] - self.sums[start]) * self.up[start] + (stop - start).astype(np.uint64))
@@ -149,9 +156,9 @@ def judge_shards(batches: Iterator[pa.RecordBatch], window: int, shard_words: in
         number, holding, out = automaton.occurrences(), automaton.holding(window), []
         for m, g, _, words in split:
             mask = 0
-            for i, (state, length) in enumerate(automaton.walk(words)):
+            for i, (state, length) in enumerate(automaton.walk(words), 1 - window):
                 if length >= window and number[holding[state]] > 1:
-                    mask |= 1 << (i + 1 - window)
+                    mask |= 1 << i
             if mask:
                 out.append((m, g, mask))
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], names=["m", "g", "mask"])
@@ -193,13 +200,12 @@ def repeated_runs(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, s
 
 
 def covered(n_words: int, runs: list[dict] | None, window: int) -> np.ndarray:
-    """Which words lie in repeated windows."""
-    edge = np.zeros(n_words + 1, dtype=np.int64)
+    """Which words lie in repeated windows. A run has at most ``window`` windows, so its repeated ones cover one stretch, from the first's start to the last's end."""
+    edge = np.zeros(n_words + 1, dtype=np.int32)
     for r in runs or ():
-        start, n = divmod(r["at"], 64)
-        at = start + np.flatnonzero([(r["mask"] >> i) & 1 for i in range(n)])
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + window, -1)
+        start, mask = r["at"] >> 6, r["mask"]
+        edge[start + (mask & -mask).bit_length() - 1] += 1
+        edge[start + mask.bit_length() - 1 + window] -= 1
     return np.cumsum(edge)[:n_words] > 0
 
 
@@ -217,11 +223,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", do
         n, gone, sha, kept, spans = [], [], [], [], []
         for raw, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             words = raw.split()
-            out = covered(len(words), runs, window)
-            edge = np.flatnonzero(np.diff(np.r_[False, out, False].astype(np.int8)))
-            left = b" ".join([w for w, x in zip(words, out.tolist(), strict=True) if not x] if len(edge) else words)
+            edge = np.zeros(0, dtype=np.int64)
+            if runs:
+                out = covered(len(words), runs, window)
+                edge = np.flatnonzero(np.diff(np.r_[False, out, False].astype(np.int8)))
+            stops = [0, *edge.tolist(), len(words)]
+            left = b" ".join([w for a, b in zip(stops[::2], stops[1::2], strict=True) for w in words[a:b]] if len(edge) else words)
             n.append(len(words))
-            gone.append(int(out.sum()))
+            gone.append(int((edge[1::2] - edge[::2]).sum()))
             sha.append(hashlib.sha256(left).hexdigest())
             kept.append(left.decode())
             spans.append([{"start": int(a), "stop": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)])
