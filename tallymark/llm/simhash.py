@@ -177,7 +177,9 @@ def fingerprint_links(fps: DataFrame, most: int = MAX_BITS) -> DataFrame:
             keys, owners = golay_keys(column[k : k + 1000])
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(owners)], names=["key", "fp"])
 
-    keyed = map_batches(fps.select("fp").distinct(), deal, "key long, fp long")
+    # dealt anew: Spark merges the small distinct fingerprints into few tasks, and each becomes some 170 rows
+    apart = fps.select("fp").distinct().repartition(partitions(fps.sparkSession), F.xxhash64("fp"))
+    keyed = map_batches(apart, deal, "key long, fp long")
     grouped = keyed.repartition(partitions(fps.sparkSession), "key").sortWithinPartitions("key", "fp")
     return grouped.mapInArrow(lambda batches: links_of_groups(batches, most), "a long, b long").distinct()
 
