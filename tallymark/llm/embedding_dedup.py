@@ -5,12 +5,15 @@ table are candidates. A second, independent sketch of 128 signs, compared inside
 cosine can hardly be below the threshold's neighbourhood, so a full bucket doesn't pour out all its pairs. Every
 pair let out is then decided by its cosine in double precision.
 
-With 20 signs a table and 64 tables a pair at cosine 0.95 is missed with probability (1 - (1 - 0.1012)^20)^64 < 0.0004.
+The signs a table grow with the logarithm of the number of classes, so that buckets of unrelated vectors stay small, and the
+tables with them, so that a pair at the threshold is missed with the same probability at every size: with 20 signs and 64
+tables a pair at cosine 0.95 is missed with probability (1 - (1 - 0.1012)^20)^64 < 0.0004.
 The sketch of such a pair differs in 13 of 128 signs on average and in more than 40 with probability below 1e-9.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +24,8 @@ from pyspark.sql import functions as F
 from .common import bare, map_batches, materialize, partitions
 from .components import connected_components, smallest_members
 
-TABLES, SIGNS, SEED = 64, 20, 20240229
+#: least signs a table, and the probability that a pair at the threshold is missed
+SIGNS, MISS, SEED = 20, 0.0004, 20240229
 SKETCH, SKETCH_MOST = 128, 40
 #: rows of a bucket that are compared with the others at a time
 BLOCK = 512
@@ -37,6 +41,13 @@ def rows_by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield at, flat[(ends[at] - n)[:, None] + np.arange(n)] if n else np.zeros((len(at), 0))
 
 
+def table_plan(classes: int, least: float, miss: float = MISS, signs: int = SIGNS) -> tuple[int, int]:
+    """(tables, signs): a sign for each doubling of the classes, and as many tables as ``miss`` asks for at cosine ``least``."""
+    signs = min(max(signs, math.ceil(math.log2(max(classes, 1)))), 40)
+    agree = (1 - math.acos(least) / math.pi) ** signs
+    return (1 if agree == 1 else math.ceil(math.log(miss) / math.log1p(-agree))), signs
+
+
 def planes(dims: int, count: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dims]).standard_normal((dims, count))
 
@@ -59,12 +70,13 @@ def signed(classes: DataFrame, tables: int, signs: int, seed: int) -> DataFrame:
         for at, x in rows_by_length(batch.column(1)):
             dims = x.shape[1]
             hyper, second = planes(dims, tables * signs, seed), planes(dims, SKETCH, seed + 1)
-            for k in range(0, len(at), 2000):
-                part = unit(x[k : k + 2000])
+            step = max(1, 2_560_000 // (tables * signs))
+            for k in range(0, len(at), step):
+                part = unit(x[k : k + step])
                 sides = (part @ hyper > 0).reshape(len(part), tables, signs)
-                keys = packed(sides.reshape(-1, signs)) | np.tile(np.arange(tables, dtype=np.int64) << signs, len(part)) | np.int64(dims) << 32
+                keys = packed(sides.reshape(-1, signs)) | np.tile(np.arange(tables, dtype=np.int64) << signs, len(part)) | np.int64(dims) << 52
                 sketch = part @ second > 0
-                yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.repeat(c, tables)) for c in (ids[at[k : k + 2000]], packed(sketch[:, :64]), packed(sketch[:, 64:])))], names=["key", "id", "s1", "s2"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.repeat(c, tables)) for c in (ids[at[k : k + step]], packed(sketch[:, :64]), packed(sketch[:, 64:])))], names=["key", "id", "s1", "s2"])
 
     return map_batches(classes.select("id", "v"), run, "key long, id long, s1 long, s2 long")
 
@@ -121,16 +133,18 @@ def cosines(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
             keep[at] = (unit(x) * unit(y)).sum(axis=1) >= least
         yield batch.select([0, 1]).filter(pa.array(keep))
 
-    return map_batches(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "va", "vb"), run, "a long, b long")
+    return map_batches(pairs.join(side("a"), "a").join(side("b"), "b").where("size(va) = size(vb)").select("a", "b", "va", "vb"), run, "a long, b long")
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.95, tables: int = TABLES, signs: int = SIGNS, seed: int = SEED, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.95, miss: float = MISS, signs: int = SIGNS, seed: int = SEED, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept: one row for each row of vectors.
 
     n_links counts the other rows linked directly, equal vectors among them; component_id is the least vec_id reachable; kept marks
     it. Vectors that are null, empty, zero or hold null, NaN or infinite components link with nothing and stand alone; vectors of different
     lengths don't link. Rows with a null vec_id count and link like others and get their component's id. Other columns are ignored.
     """
+    if not 0.9 <= least <= 1:
+        raise ValueError("the sketch finds pairs of cosine 0.9 or more")
     rows = bare(vectors, vec_id=F.col(f"`{vec_id}`").cast("long"), v=F.col(f"`{vector}`").cast("array<double>"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     sound = F.coalesce(~F.exists("v", bad) & F.exists("v", lambda x: x != 0), F.lit(False))
@@ -138,7 +152,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, tables: int = TABLES,
     # equal vectors are one class, named by 128 bits of its content; only (vec_id, class) of the copies moves on
     hashed = rows.select("vec_id", "v", F.xxhash64(F.col("v")).alias("class")).where("v is not null")
     classes = materialize(hashed.groupBy("class", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("n")).withColumn("id", F.coalesce("least", F.col("class"))), "classes")
-    spread = signed(classes, tables, signs, seed).repartition(partitions(vectors.sparkSession), "key").sortWithinPartitions("key", "id")
+    spread = signed(classes, *table_plan(classes.count(), least, miss, signs), seed).repartition(partitions(vectors.sparkSession), "key").sortWithinPartitions("key", "id")
     pairs = materialize(spread.mapInArrow(lambda b: pairs_of_groups(b, SKETCH_MOST), "a long, b long").distinct(), "pairs")
     links = materialize(cosines(pairs, classes, least), "links")
     both = links.union(links.select("b", "a")).toDF("id", "other")

@@ -302,4 +302,11 @@ def test_embeddings(spark):
     np.fill_diagonal(c, 0)
     expected = [(i, int((c[i] >= 0.95).sum()), r, r == i) for i, r in enumerate(components(len(x), lambda i, j: c[i, j] >= 0.95))] + [(i, 0, i, True) for i in range(900, 907)]
     assert sorted(tuple(r) for r in embedding_dedup.near_vectors(table).collect()) == sorted(expected)
+    assert sorted(tuple(r) for r in embedding_dedup.near_vectors(table, signs=31).collect()) == sorted(expected)  # as planned for 2 ** 31 vectors
     assert embedding_dedup.near_vectors(table.where("false")).count() == 0
+    with pytest.raises(ValueError):
+        embedding_dedup.near_vectors(table, 0.5)
+    for n in (0, 1, 10**6, 10**9, 10**12):
+        tables, signs = embedding_dedup.table_plan(n, 0.95)
+        assert 2**signs >= n or signs == 40
+        assert (1 - (1 - math.acos(0.95) / math.pi) ** signs) ** tables <= embedding_dedup.MISS
