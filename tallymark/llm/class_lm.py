@@ -1,13 +1,17 @@
 """Class-based bigram language model: exchange clustering of words into classes.
 
 log p(text) is the sum, over its tokens, of log P(class | class before) and log P(token | class). Tokens are the words of the
-text and an end. Two kinds of units are clustered: each of the most frequent words alone, and all other words by
-their last letters, in a fixed number of groups. Units are exchanged between classes as long as the likelihood of the
-training bigrams gains. Class transitions are interpolated with class frequencies; emissions are counts plus 0.1,
-where each class that rarer words can fall into keeps room for one unknown word, so probabilities sum to one.
+text and an end. Classes start from an exchange of units on the driver: each of the most frequent words alone, and all other words by
+their last letters, in a fixed number of groups. From there every word of the vocabulary is exchanged for itself: its bigrams with each
+class are counted, and it moves to the class that raises the likelihood of the training bigrams most. All words of a round move against the
+class totals of the round before; a round after which the likelihood is no higher is undone and tried with half as many words. Rounds end when
+the likelihood gains less than ``LEAST_GAIN``. Only words that training never saw take the class that the group of their last letters started in.
+Class transitions are interpolated with class frequencies; emissions are counts plus 0.1, where each class that unknown words
+can fall into keeps room for one, so probabilities sum to one.
 
 All counts are over all training documents. What reaches the driver or every executor has a fixed bound: the frequent
-words (``KEPT``), and the bigram counts of the units (``HEAD`` + ``TAILS`` + 1, squared). Rarer words' counts are joined.
+words (``KEPT``) with their classes, the bigram counts of the units (``HEAD`` + ``TAILS`` + 1, squared), and those of the classes. Rarer words'
+counts and classes are joined.
 """
 
 from __future__ import annotations
@@ -18,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bare, crc_of_id, map_batches, materialize, utf8
+from .common import bare, crc_of_id, map_batches, materialize, release, utf8
 
 #: frequent words that every executor knows; how many of them are units of their own; groups of the others; classes
 KEPT, HEAD, TAILS, CLASSES = 100_000, 400, 96, 48
@@ -29,6 +34,8 @@ ADD = 0.1
 END = b""
 #: words counted in a worker before they are passed on
 FLUSH = 300_000
+#: tokens whose bigrams are counted in a worker before they are passed on; relative gain of likelihood below which rounds end; least share of words that move
+CHUNK, LEAST_GAIN, LEAST_SHARE = 1_000_000, 1e-3, 1 / 16
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -111,6 +118,27 @@ def bigram_counts(docs: DataFrame, units) -> np.ndarray:
     return out.reshape(n, n)
 
 
+def f(x: np.ndarray) -> np.ndarray:
+    """x log x; counts are whole numbers, so max(x, 1) only serves x = 0."""
+    return x * np.log(np.maximum(x, 1.0))
+
+
+def gains(cc: np.ndarray, out: np.ndarray, into: np.ndarray, own: float) -> np.ndarray:
+    """Gain in likelihood of a unit in each class; cc, out and into are without it, own are its bigrams with itself. Class 0 takes none."""
+    row, col = cc.sum(axis=1), cc.sum(axis=0)
+    gain = (f(cc + out) - f(cc)).sum(axis=1) + (f(cc + into[:, None]) - f(cc)).sum(axis=0)
+    d = np.diag(cc)
+    gain += f(d + out + into + own) - f(d + out) - f(d + into) + f(d)
+    gain -= f(row + out.sum() + own) - f(row) + f(col + into.sum() + own) - f(col)
+    gain[0] = -np.inf
+    return gain
+
+
+def likelihood(cc: np.ndarray) -> float:
+    """Of the training bigrams under class bigrams, but for a term that no exchange changes."""
+    return float(f(cc).sum() - f(cc.sum(axis=1)).sum() - f(cc.sum(axis=0)).sum())
+
+
 def exchange(bigrams: np.ndarray, classes: int, passes: int = 12) -> np.ndarray:
     """Class of each unit, by exchange: a unit moves to the class that raises the bigram likelihood most, until none moves.
 
@@ -128,7 +156,6 @@ def exchange(bigrams: np.ndarray, classes: int, passes: int = 12) -> np.ndarray:
     onehot = np.eye(classes)
     b = bigrams.astype(np.float64)
     cc = onehot[of].T @ b @ onehot[of]
-    f = lambda x: x * np.log(np.maximum(x, 1.0))  # noqa: E731  counts are whole numbers, so max(x, 1) only serves x = 0
     for _ in range(passes):
         moved = 0
         for u in order:
@@ -142,12 +169,7 @@ def exchange(bigrams: np.ndarray, classes: int, passes: int = 12) -> np.ndarray:
             cc[home] -= out
             cc[:, home] -= into
             cc[home, home] -= own
-            row, col = cc.sum(axis=1), cc.sum(axis=0)
-            gain = (f(cc + out) - f(cc)).sum(axis=1) + (f(cc + into[:, None]) - f(cc)).sum(axis=0)
-            d = np.diag(cc)
-            gain += f(d + out + into + own) - f(d + out) - f(d + into) + f(d)
-            gain -= f(row + out.sum() + own) - f(row) + f(col + into.sum() + own) - f(col)
-            gain[0] = -np.inf
+            gain = gains(cc, out, into, own)
             best = int(gain.argmax()) if gain.max() > gain[home] + 1e-9 else int(home)
             cc[best] += out
             cc[:, best] += into
@@ -160,11 +182,11 @@ def exchange(bigrams: np.ndarray, classes: int, passes: int = 12) -> np.ndarray:
 
 
 class ClassModel:
-    def __init__(self, units: Units, of: np.ndarray, bigrams: np.ndarray, kinds: np.ndarray, total: int, vocabulary: int):
-        """kinds: distinct training words of each unit."""
+    def __init__(self, units: Units, of: np.ndarray, bigrams: np.ndarray, kinds: np.ndarray, total: int, vocabulary: int, by_class: bool = False):
+        """kinds: distinct training words of each unit. by_class: bigrams and kinds are those of the classes themselves."""
         self.units, self.of, self.total, self.vocabulary = units, of, total, vocabulary
-        k = int(of.max()) + 1
-        onehot = np.eye(k)[of]
+        k = len(bigrams) if by_class else int(of.max()) + 1
+        onehot = np.eye(k) if by_class else np.eye(k)[of]
         cc = onehot.T @ bigrams @ onehot
         into = cc.sum(axis=0)
         base = (into + ADD) / (into.sum() + ADD * k)
@@ -178,30 +200,172 @@ class ClassModel:
         self.room = np.log10(np.maximum(into + ADD * (onehot.T @ kinds + room), 1e-300))
         self.base_room = float(np.log10(total + ADD * (vocabulary + 1)))
 
-    def terms(self, words: list[bytes]) -> float:
-        """Transition terms less the emissions' denominators; log10(c + 0.1) of each token is still to be added."""
-        c = self.of[self.units(words)]
+    def terms(self, c: np.ndarray) -> float:
+        """Transition terms less the emissions' denominators, from the tokens' classes; log10(c + 0.1) of each token is still to be added."""
         return float(self.transition[np.r_[0, c[:-1]], c].sum() - self.room[c].sum())
 
 
+class Ids:
+    """Number of every word: the place of a frequent one, from 0 (the end), and a negative hash of any other."""
+
+    def __init__(self, often: list[bytes], seed: int):
+        self.place, self.seed = {w: i for i, w in enumerate([END, *(w for w in often if w != END)])}, seed
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        place, seed = self.place.get, self.seed
+        return np.fromiter((i if (i := place(w)) is not None else -1 - (xxhash.xxh64_intdigest(w, seed) >> 1) for w in words), dtype=np.int64, count=len(words))
+
+
+def numbered(vocabulary: DataFrame, often: list[bytes], units):
+    """(vocabulary with id and cls, the class its unit starts in; broadcast Ids). units: broadcast (Units, class of each). Hashes that clash are dealt anew, so ids are exact."""
+    for seed in range(16):
+        sent = vocabulary.sparkSession.sparkContext.broadcast(Ids(often, seed))
+
+        def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            words = batch.column(0).to_pylist()
+            u, of = units.value
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value(words)), pa.array(of[u(words)])], names=["word", "c", "id", "cls"])  # noqa: B023
+
+        out = materialize(map_batches(vocabulary, run, "word binary, c long, id long, cls long"), "numbered")
+        if out.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+            return out, sent
+    raise RuntimeError("hashes of words clash under every seed")
+
+
+def word_pairs(docs: DataFrame, ids) -> DataFrame:
+    """a, b (ids), c: all bigrams of words over ``docs``; the end stands before a text's first word too."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        local: dict[bytes, int] = {}
+        parts: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            x, number, n = np.concatenate(parts), ids.value(list(local)), len(local)
+            # a text's last token is the end, so what stands before a first word is what ends the text before
+            pair, c = np.unique(np.r_[local[END], x[:-1]] * n + x, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(number[pair // n]), pa.array(number[pair % n]), pa.array(c.astype(np.int64))], names=["a", "b", "c"])
+
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                words = tokens_of(raw)
+                for w in set(words).difference(local):
+                    local[w] = len(local)
+                parts.append(np.fromiter(map(local.__getitem__, words), dtype=np.int64, count=len(words)))
+                size += len(words)
+                if size >= CHUNK:
+                    yield flush()
+                    local, parts, size = {}, [], 0
+        if parts:
+            yield flush()
+        release()
+
+    return docs.select("raw").mapInArrow(run, "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
+
+
+def class_counts(pairs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """id, home, own, ks, cs: of every word its class, its bigrams with itself, and its other bigrams by class of the word after (k) or before (``width`` + k).
+
+    The frequent words' classes are broadcast and the others' joined, so no common word gathers its pairs in one task.
+    """
+    parts = []
+    for mine, other, first in (("a", "b", 0), ("b", "a", width)):
+        of = classes.select(F.col("id").alias(other), (F.col("cls") + first).alias("k"))
+        others = pairs.where("a <> b")
+        for rows in (others.where(f"{other} >= 0").join(F.broadcast(of.where(f"{other} >= 0")), other), others.where(f"{other} < 0").join(of.where(f"{other} < 0"), other)):
+            parts.append(rows.select(F.col(mine).alias("id"), "k", "c"))
+    summed = parts[0].union(parts[1]).union(parts[2]).union(parts[3]).groupBy("id", "k").agg(F.sum("c").alias("c"))
+    more = pairs.where("a = b").select("a", F.lit(-1).cast("long"), "c").union(classes.select("id", F.lit(-2).cast("long"), "cls"))
+    one = lambda k: F.sum(F.when(F.col("k") == k, F.col("c")))
+    entries = F.sort_array(F.collect_list(F.when(F.col("k") >= 0, F.struct("k", "c"))))  # at most 2 * width
+    rows = summed.union(more).groupBy("id").agg(one(-2).alias("home"), F.coalesce(one(-1), F.lit(0)).alias("own"), entries.alias("e"))
+    return rows.select("id", "home", "own", F.col("e.k").alias("ks"), F.col("e.c").alias("cs"))
+
+
+def class_bigrams(counts: DataFrame, width: int) -> np.ndarray:
+    after = counts.select("home", F.explode(F.arrays_zip("ks", "cs")).alias("e")).select("home", F.col("e.ks").alias("k"), F.col("e.cs").alias("c")).where(F.col("k") < width)
+    rows = after.union(counts.where("own > 0").select("home", "home", "own")).groupBy("home", "k").agg(F.sum("c").alias("c"))
+    cc = np.zeros((width, width))
+    for r in rows.collect():  # at most width * width rows
+        cc[r.home, r.k] = r.c
+    return cc
+
+
+def moved(counts: DataFrame, cc: np.ndarray, share: float, turn: int) -> DataFrame:
+    """id, cls: every word (or a ``share`` of them, others each turn) in the class of most gain against ``cc``; the end stays."""
+    width = len(cc)
+    sent = counts.sparkSession.sparkContext.broadcast(cc)
+    able = (F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 << 20)) < int(share * (1 << 20))) & (F.col("id") != 0)
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        memo: dict = {}  # rare words often have equal counts
+        for batch in batches:
+            ids, homes, owns, ks, cs, can = (c.to_pylist() for c in batch.columns)
+            out = []
+            for home, own, k, c, a in zip(homes, owns, ks, cs, can, strict=True):
+                if not a:
+                    out.append(home)
+                    continue
+                key = (home, own, *k, *c)
+                if key not in memo:
+                    if len(memo) > FLUSH:
+                        memo.clear()
+                    memo[key] = better(sent.value, home, own, k, c)
+                out.append(memo[key])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], names=["id", "cls"])
+
+    def better(cc: np.ndarray, home: int, own: int, k: list[int], c: list[int]) -> int:
+        both = np.zeros(2 * width)
+        both[k] = c
+        out, into = both[:width], both[width:]
+        cc = cc.copy()
+        cc[home] -= out
+        cc[:, home] -= into
+        cc[home, home] -= own
+        gain = gains(cc, out, into, own)
+        return int(gain.argmax()) if gain.max() > gain[home] + 1e-9 else home
+
+    return counts.select("id", "home", "own", "ks", "cs", able.alias("able")).mapInArrow(run, "id long, cls long")
+
+
+def exchange_words(pairs: DataFrame, classes: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
+    """(id, cls of every word; bigrams of the classes), from classes (id, cls) to start with."""
+    counts = materialize(class_counts(pairs, classes, width), "counts")
+    cc, share, turn = class_bigrams(counts, width), 1.0, 0
+    while width > 2 and share >= LEAST_SHARE:
+        turn += 1
+        tried = materialize(moved(counts, cc, share, turn), "classes")
+        after = materialize(class_counts(pairs, tried, width), "counts")
+        now = class_bigrams(after, width)
+        rise = likelihood(now) - likelihood(cc)
+        if rise <= 0:
+            share /= 2
+            continue
+        counts, cc, classes = after, now, tried
+        if rise < LEAST_GAIN * abs(likelihood(cc)):
+            break
+    return classes, cc
+
+
 def train(docs: DataFrame, kept: int = KEPT, head: int = HEAD, tails: int = TAILS, classes: int = CLASSES):
-    """(model, vocabulary table (word, c), the ``kept`` most frequent words with their counts) of training documents (column raw)."""
+    """(model, vocabulary table (word, c, cls), the ``kept`` most frequent words with their counts and classes) of training documents (column raw)."""
     spark = docs.sparkSession
     vocabulary = materialize(word_counts(docs), "vocabulary")
     total, size = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     often = [(bytes(r.word), r.c) for r in vocabulary.orderBy(F.desc("c"), "word").limit(kept).collect()]
     units = Units([w for w, _ in often if w != END][:head], tails)
-    sent = spark.sparkContext.broadcast(units)
-    bigrams = bigram_counts(docs, sent)
-
-    def kinds_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        n = np.bincount(sent.value(batch.column(0).to_pylist()), minlength=sent.value.size)
-        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n)), pa.array(n[n > 0])], names=["unit", "n"])
-
-    kinds = np.zeros(units.size)
-    for row in map_batches(vocabulary.select("word"), kinds_of, "unit long, n long").groupBy("unit").agg(F.sum("n").alias("n")).collect():
-        kinds[row.unit] = row.n
-    return ClassModel(units, exchange(bigrams, classes), bigrams, kinds, total, size), vocabulary, dict(often)
+    of = exchange(bigram_counts(docs, spark.sparkContext.broadcast(units)), classes)
+    width = int(of.max()) + 1
+    words, ids = numbered(vocabulary, [w for w, _ in often], spark.sparkContext.broadcast((units, of)))
+    pairs = materialize(word_pairs(docs, ids), "pairs")
+    best, cc = exchange_words(pairs, words.select("id", "cls"), width)
+    vocabulary = materialize(words.drop("cls").join(best, "id").select("word", "c", "id", "cls"), "classed")
+    kinds = np.zeros(width)
+    for row in vocabulary.groupBy("cls").count().collect():
+        kinds[row.cls] = row["count"]
+    place = {r.id: r.cls for r in vocabulary.where("id >= 0").select("id", "cls").collect()}
+    known = {w: (c, place[ids.value.place[w]]) for w, c in often}
+    return ClassModel(units, of, cc, kinds, total, size, by_class=True), vocabulary.select("word", "c", "cls"), known
 
 
 def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **sizes) -> DataFrame:
@@ -218,28 +382,49 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **s
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         model, often = sent.value
-        log = {c: float(np.log10(c + ADD)) for c in set(often.values())}
-        n, part, terms, known, rare = [], [], [], [], []
+        log = {c: float(np.log10(c + ADD)) for c in {c for c, _ in often.values()}}
+        n, part, cls, known, rare = [], [], [], [], []
         for raw in batch.column(1).to_pylist():
             words = tokens_of(raw)
             here = Counter(words)
-            got = [(often[w], k) for w, k in here.items() if w in often]
+            got = [(often[w][0], k) for w, k in here.items() if w in often]
             n.append(len(words))
             part.append(sum(log[c] * k for c, k in got))
             known.append(sum(k for _, k in got))
-            terms.append(model.terms(words))
-            rare.append([{"word": w, "k": k} for w, k in here.items() if w not in often])
-        columns = [pa.array(n, pa.int64()), pa.array(part, pa.float64()), pa.array(terms, pa.float64()), pa.array(known, pa.int64()), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())])))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n", "part", "terms", "known", "rare"])
+            at: dict = {w: [] for w in here if w not in often}
+            # a word that is not among the frequent ones stands as if training never saw it, until the vocabulary says otherwise
+            unseen = dict(zip(at, model.of[model.units(list(at))].tolist(), strict=True))
+            cls.append(np.fromiter((often[w][1] if w in often else unseen[w] for w in words), dtype=np.int16, count=len(words)).tobytes())
+            for i, w in enumerate(words):
+                if w in at:
+                    at[w].append(i)
+            rare.append([{"word": w, "k": len(p), "at": p} for w, p in at.items()])
+        columns = [pa.array(n, pa.int64()), pa.array(part, pa.float64()), pa.array(cls, pa.binary()), pa.array(known, pa.int64()), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64()), ("at", pa.list_(pa.int32()))])))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n", "part", "cls", "known", "rare"])
+
+    def finish(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        model, terms = sent.value[0], []
+        for raw, placed in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+            c = np.frombuffer(raw, dtype=np.int16).astype(np.int64)
+            for p in placed or ():
+                c[p["at"]] = p["cls"]
+            terms.append(model.terms(c))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(terms, pa.float64())], names=[*batch.schema.names[:-2], "terms"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    half = map_batches(rows, run, f"doc_id {kind}, n long, part double, terms double, known long, rare array<struct<word:binary,k:long>>")
+    half = map_batches(rows, run, f"doc_id {kind}, n long, part double, cls binary, known long, rare array<struct<word:binary,k:long,at:array<int>>>")
     half = materialize(half.withColumn("key", F.monotonically_increasing_id()), "scores")  # written, so the keys stay
-    rare = half.select("key", F.inline("rare")).join(vocabulary, "word", "left")
-    rest = rare.groupBy("key").agg(F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(ADD))).alias("more"), F.sum(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("found"))
+    found = half.select("key", F.inline("rare")).join(vocabulary.withColumnRenamed("cls", "placed"), "word", "left")
+    rest = found.groupBy("key").agg(
+        F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(ADD))).alias("more"), F.sum(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("found"),
+        F.collect_list(F.when(F.col("c").isNotNull(), F.struct("at", F.col("placed").alias("cls")))).alias("rare"),
+    )
     both = half.drop("rare").join(rest, "key", "left")
     emitted = F.col("part") + F.coalesce("more", F.lit(0.0))
+    both = both.select("doc_id", "n", (F.col("known") + F.coalesce("found", F.lit(0))).alias("known"), emitted.alias("emitted"), "cls", "rare")
+    both = map_batches(both, finish, f"doc_id {kind}, n long, known long, emitted double, terms double")
+    score = F.col("emitted") + F.col("terms")
     return both.select(
-        "doc_id", held_out().alias("held_out"), F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
-        (emitted - F.col("n") * F.lit(model.base_room)).alias("base_score"), (emitted + F.col("terms")).alias("score"), F.pow(F.lit(10.0), -(emitted + F.col("terms")) / F.col("n")).alias("perplexity"),
+        "doc_id", held_out().alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
+        (F.col("emitted") - F.col("n") * F.lit(model.base_room)).alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n")).alias("perplexity"),
     )

@@ -178,6 +178,30 @@ def test_class_lm_probabilities_sum_to_one():
         assert abs(total - 1) < 1e-9
 
 
+def test_class_lm_classes_every_word(spark):
+    """Rare words are classed by their own neighbours: two kinds of words, each in its own place, all too rare to be kept; by endings they'd be mixed."""
+    rnd = random.Random(5)
+    kinds = [[f"{chr(97 + i % 26)}{i}{k}{rnd.randrange(1000)}" for i in range(30)] for k in ("x", "y")]
+    rows = [(f"{w} p q" if k == 0 else f"r s {w}",) for k in (0, 1) for w in kinds[k] for _ in range(4)]
+    docs = spark.createDataFrame(rows, "text string").select(F.col("text").cast("binary").alias("raw"))
+    model, vocabulary, known = class_lm.train(docs, kept=5, head=4, tails=7, classes=8)
+    of = {bytes(r.word).decode(): r.cls for r in vocabulary.collect()}
+    assert len(known) == 5 and len(of) == 65 and not {of[w] for w in kinds[0]} & {of[w] for w in kinds[1]}
+    ends = [{class_lm.tail_group(w.encode(), 7) for w in k} for k in kinds]
+    assert ends[0] & ends[1]
+    # the model's class bigrams are those of these classes over the text
+    cc = Counter()
+    for (t,) in rows:
+        c = [of[w] for w in [*t.split(), ""]]
+        cc.update(zip([0, *c[:-1]], c, strict=True))
+    pairs = class_lm.materialize(class_lm.word_pairs(docs, spark.sparkContext.broadcast(class_lm.Ids([w for w in known], 0))), "pairs")
+    assert pairs.agg(F.sum("c")).first()[0] == sum(cc.values()) == model.total
+    ids = class_lm.Ids(list(known), 0)
+    classes = spark.createDataFrame([(int(ids([w.encode()])[0]), c) for w, c in of.items()], "id long, cls long")
+    got = class_lm.class_bigrams(class_lm.class_counts(pairs, classes, 8), 8)
+    assert {(i, j): got[i, j] for i, j in zip(*np.nonzero(got), strict=True)} == dict(cc)
+
+
 def brute_items(words, items, n=13):
     hit, found = [False] * len(words), set()
     for name, item in items:
