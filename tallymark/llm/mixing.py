@@ -21,8 +21,8 @@ from .common import WORD, materialize
 SHARE, WEIGHTS, CAP = 1.5, (3, 1, 2), 2
 #: Newton steps in one job, jobs at most, and the relative distance from the targets at which they end
 STEPS, JOBS, NEAR = 6, 8, 1e-6
-#: passes that make up remaining words; documents of a group that are ranked together
-MAKE_UP, TOGETHER = 6, 64
+#: documents of a group that are ranked together
+TOGETHER = 64
 
 
 def size_of(text: str = "text") -> Column:
@@ -79,19 +79,48 @@ def allotted(groups: DataFrame, sources: DataFrame, cap: int = CAP) -> DataFrame
     # rounded up or down by a hash of the group, so that errors don't add up where most groups have one document
     up = F.shiftrightunsigned(F.xxhash64("sid", "size"), 11) / F.lit(float(1 << 53))
     out = materialize(out.withColumn("copies", F.least(F.floor(F.col("n") * F.col("rate") + up), F.lit(cap) * F.col("n")).cast("long")), "copies")
-    for k in range(MAKE_UP):
-        lack = out.groupBy("sid").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("lack"))
-        room = F.when(F.col("lack") > 0, F.lit(cap) * F.col("n") - F.col("copies")).otherwise(F.col("copies"))
-        able = out.join(lack, "sid").withColumn("room", room).where((F.col("room") > 0) & (F.col("size") > 0) & (F.col("size") <= F.abs("lack")))
-        best = able.groupBy("sid").agg(F.max_by(F.struct("size", "room", "lack"), "size").alias("b"))
-        number = F.least(F.col("b.room"), F.floor(F.abs("b.lack") / F.col("b.size"))).cast("long")
-        moved = best.select("sid", F.col("b.size").alias("size"), (number * F.signum("b.lack").cast("long")).alias("more"))
-        out = out.join(moved, ["sid", "size"], "left").withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0))).drop("more")
-        if k % 2:
-            out = materialize(out, "copies")
+    out = filled(out, cap)
+    # where all smaller documents are used up, the next larger one goes beyond the target, and they make up for that; the nearer of both holds
+    lack = out.groupBy("sid").agg(_lack(), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"))
+    stuck = out.join(lack, "sid").where((F.abs("lack") >= F.col("least")) & (F.col("size") > F.abs("lack")) & (_room(cap) > 0))
+    step = materialize(stuck.groupBy("sid").agg(F.min("size").alias("size"), F.first(F.signum("lack")).cast("long").alias("more")), "steps")
+    if not step.isEmpty():
+        beyond = out.join(step.select("sid"), "sid", "left_semi").join(step, ["sid", "size"], "left").withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0))).drop("more")
+        beyond = filled(materialize(beyond, "copies"), cap)
+        far = lambda t, name: t.groupBy("sid").agg(F.abs(_lack()).alias(name))
+        nearer = far(beyond, "there").join(far(out, "here"), "sid").where("there < here").select("sid")
+        better = beyond.join(nearer, "sid", "left_semi").select("sid", "size", F.col("copies").alias("better"))
+        out = out.join(better, ["sid", "size"], "left").withColumn("copies", F.coalesce("better", "copies"))
     return out.select("sid", "size", "n", "rate", "copies")
 
 
+def _lack() -> Column:
+    """Words that a source has too few, below 0 too many."""
+    return (F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("lack")
+
+
+def _room(cap: int) -> Column:
+    """Copies of a group that can be added, or taken off where the source has too many words."""
+    return F.when(F.col("lack") > 0, F.lit(cap) * F.col("n") - F.col("copies")).otherwise(F.col("copies"))
+
+
+def filled(out: DataFrame, cap: int) -> DataFrame:
+    """Moves copies toward the targets, from large sizes to small, until no source has a movable group within its lack.
+
+    A pass moves the groups that fit one after the other, by running sums, and what fits of the next. Lacks at least halve in each, so passes are few.
+    """
+    while True:
+        able = out.join(out.groupBy("sid").agg(_lack()), "sid").withColumn("room", _room(cap)).where((F.col("room") > 0) & (F.col("size") > 0) & (F.col("size") <= F.abs("lack")))
+        larger = Window.partitionBy("sid").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+        left = F.abs("lack") - F.coalesce(F.sum(F.col("room") * F.col("size")).over(larger), F.lit(0))
+        number = F.least(F.col("room"), F.floor(left / F.col("size"))).cast("long")
+        moved = able.withColumn("number", number).where("number > 0").select("sid", "size", (F.col("number") * F.signum("lack").cast("long")).alias("more"))
+        moved = materialize(moved, "moved")
+        if moved.isEmpty():
+            return out
+        out = materialize(out.join(moved, ["sid", "size"], "left").withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0))).drop("more"), "copies")
+
+
 def extra_bounds(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """source, size, bound: the e-th least hash of each group of which e documents, more than none and fewer than all, get an extra copy.
 

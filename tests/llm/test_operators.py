@@ -124,6 +124,18 @@ def test_mixing(spark, docs, messy, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_makes_up_for_one_long_document(spark):
+    rnd = random.Random(3)
+    sizes = [("a", 30_000), *(("a", rnd.randrange(20, 900)) for _ in range(70)), *(("b", rnd.randrange(1, 900)) for _ in range(80)), *(("c", rnd.randrange(1, 900)) for _ in range(80))]
+    table = spark.createDataFrame([(i, s, n) for i, (s, n) in enumerate(sizes)], "doc_id long, source string, n int").selectExpr("doc_id", "source", "repeat('w ', n) AS text")
+    rows = mixing.mix(table).collect()
+    for s in "abc":
+        own = [r for r in rows if r.source == s]
+        lack = own[0].target - sum(r.taken for r in own)
+        # all documents that could still move toward the target are larger than what lacks
+        assert abs(lack) < 900 and all(r["size"] > abs(lack) for r in own if (r.copies < 2 if lack > 0 else r.copies > 0))
+
+
 def brute_repeats(rows, n=35):
     seen = Counter(tuple(w[i : i + n]) for w in rows for i in range(len(w) - n + 1))
     out = []
