@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from .common import bare, materialize
 
-CALL = "struct<tool_calls:array<struct<id:string,name:string,arguments:map<string,string>>>,tool_call_id:string,content:string>"
-#: JSON types by what their text looks like, as from_json leaves it in a map of strings
-LOOKS = {"integer": r"^-?(0|[1-9][0-9]*)$", "number": r"^-?(0|[1-9][0-9]*)([.][0-9]+)?([eE][+-]?[0-9]+)?$", "boolean": r"^(true|false)$", "object": r"^(?s)\{.*\}$", "array": r"^(?s)\[.*\]$", "string": r"^(?s).*$"}
+CALL = "struct<tool_calls:array<struct<id:string,name:string,arguments:map<string,variant>>>,tool_call_id:string,content:string>"
+#: JSON types by the type of the parsed value; a number without a fraction is an integer, however it is written
+TYPES = {"integer": r"^(BIGINT|DECIMAL\([0-9]+,0\))$", "number": r"^(BIGINT|DECIMAL.*|DOUBLE|FLOAT)$", "boolean": "^BOOLEAN$", "object": "^OBJECT", "array": "^ARRAY", "string": "^STRING$"}
 
 
 def quoted(c: Column) -> Column:
@@ -28,9 +28,11 @@ def canonical(fields: dict[str, Column]) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
-def canonical_map(m: Column) -> Column:
-    """JSON object of strings with sorted keys."""
-    pairs = F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(quoted(e["key"]), F.lit(":"), quoted(e["value"])))
+def canonical_map(m: Column, typed: bool = False) -> Column:
+    """JSON object with sorted keys: of values as they are, with keys sorted at every level (variants keep them so), or of strings."""
+    value = (lambda v: F.coalesce(F.to_json(v), F.lit("null"))) if typed else (lambda v: quoted(v.cast("string")))
+    keys = F.array_sort(F.map_keys(m))
+    pairs = F.transform(keys, lambda k: F.concat(quoted(k), F.lit(":"), value(F.element_at(m, k))))
     return F.when(m.isNotNull(), F.concat(F.lit("{"), F.concat_ws(",", pairs), F.lit("}")))
 
 
@@ -43,45 +45,54 @@ def fits(schemas: dict[str, dict]) -> Column:
         properties = schema.get("properties", {})
         good = F.lit(True)
         for name in sorted(schema.get("required", ())):
-            good &= F.coalesce(F.element_at("arguments", F.lit(name)).isNotNull(), F.lit(False))
+            value = F.element_at("arguments", F.lit(name))
+            good &= value.isNotNull() & F.coalesce(~F.is_variant_null(value), F.lit(False))
         for name, kind in sorted(properties.items()):
             value = F.element_at("arguments", F.lit(name))
-            good &= F.coalesce(value.startswith("$") | value.rlike(LOOKS[kind]), F.lit(True))
+            real = F.schema_of_variant(value)
+            reference = (real == "STRING") & value.cast("string").startswith("$")
+            good &= F.coalesce(F.is_variant_null(value) | reference | real.rlike(TYPES[kind]), F.lit(True))
         known = F.array(*[F.lit(n) for n in sorted(properties)]).cast("array<string>")
         good &= F.coalesce(F.size(F.array_except(F.map_keys("arguments"), known)) == 0, F.lit(True))
         out = F.when(F.col("name") == tool, good).otherwise(out)
     return out
 
 
-def depths(calls: DataFrame, rounds: int = 64) -> DataFrame:
-    """conv_id, call_id, depth of calls that others' results feed: 1 more than the deepest call they refer to; null if they wait for each other in a ring.
+def depths(calls: DataFrame) -> DataFrame:
+    """conv_id, call_id, depth of calls that refer to others or are referred to. depth: 1 more than the deepest call they refer to; null if they
+    wait for each other in a ring.
 
     Rounds end when no depth changes, so a conversation without references costs one."""
-    refers = calls.select("conv_id", "call_id", F.explode(F.expr("array_distinct(filter(map_values(arguments), v -> startswith(v, '$')))")).alias("ref")).select("conv_id", "call_id", F.expr("substring(ref, 2)").alias("needs"))
-    known = calls.select("conv_id", F.col("call_id").alias("needs"))
-    refers = materialize(refers.join(known, ["conv_id", "needs"], "left_semi").distinct(), "refers")
+    held = calls.select("conv_id", "call_id", F.explode(F.map_values("arguments")).alias("v")).where(F.schema_of_variant("v") == "STRING")
+    refers = held.select("conv_id", "call_id", F.col("v").cast("string").alias("ref")).where(F.col("ref").startswith("$")).select("conv_id", "call_id", F.expr("substring(ref, 2)").alias("needs"))
+    known = calls.groupBy("conv_id", "call_id").agg(F.min("turn").alias("turn"))
+    refers = materialize(refers.join(known.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"], "left_semi").distinct(), "refers")
     if refers.isEmpty():
         return refers.select("conv_id", "call_id", F.lit(0).alias("depth"))
-    nodes = refers.select("conv_id", "call_id").union(refers.select("conv_id", F.col("needs").alias("call_id"))).distinct()
-    state = materialize(nodes.withColumn("depth", F.when(F.lit(True), F.lit(0))).join(refers.select("conv_id", "call_id").distinct().withColumn("waits", F.lit(True)), ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.when(F.col("waits").isNull(), F.lit(0)).alias("depth")), "depths")
-    for _ in range(rounds):
-        had = state.select("conv_id", F.col("call_id").alias("needs"), F.col("depth").alias("d"))
-        ready = refers.join(had, ["conv_id", "needs"]).groupBy("conv_id", "call_id").agg(F.when(F.count("d") == F.count("*"), F.max("d") + 1).alias("new"))
-        state2 = materialize(state.join(ready, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.coalesce("depth", "new").alias("depth"), (F.col("depth").isNull() & F.col("new").isNotNull()).alias("fresh")), "depths")
-        state = state2.select("conv_id", "call_id", "depth")
-        if state2.where("fresh").isEmpty():
+    nodes = refers.select("conv_id", "call_id").union(refers.select("conv_id", F.col("needs").alias("call_id"))).distinct().join(known, ["conv_id", "call_id"])
+    waits = refers.select("conv_id", "call_id").distinct().withColumn("waits", F.lit(True))
+    state = materialize(nodes.join(waits, ["conv_id", "call_id"], "left").select("conv_id", "call_id", "turn", F.when(F.col("waits").isNull(), F.lit(0)).alias("depth"), F.when(F.col("waits").isNull(), F.col("turn")).alias("at")), "depths")
+    for _ in range(64):
+        had = state.select("conv_id", F.col("call_id").alias("needs"), F.col("depth").alias("d"), F.col("at").alias("a"))
+        every = F.count("d") == F.count("*")
+        ready = refers.join(had, ["conv_id", "needs"]).groupBy("conv_id", "call_id").agg(F.when(every, F.max("d") + 1).alias("new"), F.when(every, F.max("a")).alias("late"))
+        fresh = F.col("depth").isNull() & F.col("new").isNotNull()
+        after = state.join(ready, ["conv_id", "call_id"], "left").select("conv_id", "call_id", "turn", F.coalesce("depth", "new").alias("depth"), F.when(fresh, F.greatest("turn", "late")).otherwise(F.col("at")).alias("at"), fresh.alias("fresh"))
+        after = materialize(after, "depths")
+        state = after.drop("fresh")
+        if after.where("fresh").isEmpty():
             break
-    return state
+    return state.select("conv_id", "call_id", "depth")
 
 
-def link_tool_calls(turns: DataFrame, schemas: dict[str, dict]) -> DataFrame:
+def link_tool_calls(turns: DataFrame, schemas: dict[str, dict], typed: bool = False) -> DataFrame:
     """A row for each message, call and result: conv_id, turn, item (0, or the call's place in its turn), role, kind, call_id, linked, valid, depth, ord, json.
 
     ``linked``: a call has a later result, or a result an earlier call, of its id in its conversation. Of several calls with one id the first
     counts, of several results the first after it; the others are not linked. ``valid``: of calls only, the arguments fit the schema, and no ring of
     references holds the call. Within a conversation, ``ord`` (turn of the call, depth, item, 0 for the call and 1 for its result, turn) puts every
     result after its call and every call after those it refers to. Rows with a null conv_id or turn are never linked; a null text is an empty one; equal rows stay and are
-    treated alike; broken JSON is a message. An empty table gives an empty result; other columns are ignored.
+    treated alike; broken JSON is a message. ``typed``: arguments in json keep their JSON types, else each is written as a string. An empty table gives an empty result; other columns are ignored.
     """
     rows = bare(turns, conv_id="conv_id", turn="turn", role="role", text=F.coalesce(F.col("text"), F.lit("")))
     looks = F.ltrim("text").startswith("{") & F.col("role").isin("assistant", "tool")
@@ -90,7 +101,7 @@ def link_tool_calls(turns: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     is_result = F.coalesce((F.col("role") == "tool") & F.col("p.tool_call_id").isNotNull(), F.lit(False))
     kind = F.when(several, "call").when(is_result, "result").otherwise("message")
     # an array of one null stands for "no calls", so explode keeps every turn
-    items = rows.withColumn("kind", kind).select("conv_id", "turn", "role", "text", "kind", "p", F.posexplode(F.when(several, F.col("p.tool_calls")).otherwise(F.array(F.lit(None).cast("struct<id:string,name:string,arguments:map<string,string>>")))).alias("item", "one"))
+    items = rows.withColumn("kind", kind).select("conv_id", "turn", "role", "text", "kind", "p", F.posexplode(F.when(several, F.col("p.tool_calls")).otherwise(F.array(F.lit(None).cast("struct<id:string,name:string,arguments:map<string,variant>>")))).alias("item", "one"))
     items = items.select("conv_id", "turn", "item", "role", "kind", F.when(F.col("kind") == "call", F.col("one.id")).when(F.col("kind") == "result", F.col("p.tool_call_id")).alias("call_id"), F.col("one.name").alias("name"), F.col("one.arguments").alias("arguments"), F.when(F.col("kind") == "result", F.coalesce("p.content", F.lit(""))).otherwise(F.col("text")).alias("content"))
 
     able = F.col("conv_id").isNotNull() & F.col("turn").isNotNull() & F.col("call_id").isNotNull()
@@ -98,7 +109,7 @@ def link_tool_calls(turns: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     answers = items.where(able & (F.col("kind") == "result")).select("conv_id", "call_id", "turn").join(first_call, ["conv_id", "call_id"]).where("turn > c.turn")
     pairs = answers.groupBy("conv_id", "call_id", "c").agg(F.min("turn").alias("answer"))
     ids = first_call.select("conv_id", "call_id", "c").join(pairs.drop("c"), ["conv_id", "call_id"], "left")
-    deep = depths(items.where(able & (F.col("kind") == "call")).select("conv_id", "call_id", "arguments"))
+    deep = depths(items.where(able & (F.col("kind") == "call")).select("conv_id", "call_id", "turn", "arguments"))
     ids = ids.join(deep.withColumn("ranked", F.lit(True)), ["conv_id", "call_id"], "left")
 
     out = items.join(ids, ["conv_id", "call_id"], "left")
@@ -110,5 +121,5 @@ def link_tool_calls(turns: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     depth = F.when(F.col("kind") == "message", F.lit(0)).otherwise(F.coalesce("depth", F.lit(0)))
     at = F.when(linked, F.col("c.turn")).otherwise(F.col("turn"))
     order = F.struct(at.alias("at"), depth.alias("depth"), F.when(linked, F.col("c.item")).otherwise(F.col("item")).alias("item"), (F.col("kind") == "result").cast("int").alias("result"), F.col("turn").alias("turn"))
-    json = F.when(F.col("kind") == "call", canonical({"role": quoted(F.col("role")), "id": quoted(F.col("call_id")), "name": quoted(F.col("name")), "arguments": canonical_map(F.col("arguments"))})).when(F.col("kind") == "result", canonical({"role": quoted(F.col("role")), "id": quoted(F.col("call_id")), "content": quoted(F.col("content"))})).otherwise(canonical({"role": F.when(F.col("role").isNotNull(), quoted(F.col("role"))), "content": quoted(F.col("content"))}))
+    json = F.when(F.col("kind") == "call", canonical({"role": quoted(F.col("role")), "id": quoted(F.col("call_id")), "name": quoted(F.col("name")), "arguments": canonical_map(F.col("arguments"), typed)})).when(F.col("kind") == "result", canonical({"role": quoted(F.col("role")), "id": quoted(F.col("call_id")), "content": quoted(F.col("content"))})).otherwise(canonical({"role": F.when(F.col("role").isNotNull(), quoted(F.col("role"))), "content": quoted(F.col("content"))}))
     return out.select("conv_id", "turn", "item", "role", "kind", "call_id", linked.alias("linked"), valid.alias("valid"), depth.alias("depth"), order.alias("ord"), json.alias("json"))

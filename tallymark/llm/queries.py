@@ -58,7 +58,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", "turn", F.when(F.col("role") == "user", "assistant").when(F.col("role") == "assistant", "tool").otherwise(F.col("role")).alias("role"),
         F.when(F.col("role") == "user", call).when(F.col("role") == "assistant", result).otherwise(F.col("text")).alias("text"),
     )
-    out = chat_format.link_tool_calls(put, REPLY)
+    out = chat_format.link_tool_calls(put, REPLY, typed=True)
     return out.select("conv_id", "turn", "kind", "call_id", "linked", F.coalesce("valid", F.lit(False)).alias("valid"), F.col("ord.at").cast("long").alias("ord_at"), F.col("ord.result").cast("long").alias("ord_result"), "json")
 
 

@@ -259,6 +259,16 @@ def test_chat_format(spark):
     assert chat_format.link_tool_calls(turns.where("false"), tools).count() == 0
 
 
+def test_chat_format_types(spark):
+    values = {"string": '"5"', "integer": "5", "number": "1.5", "boolean": "true", "object": '{"b":[1,{"d":2,"c":"x"}],"a":null}', "array": "[1,2]"}
+    calls = [(k, v, '{"tool_calls":[{"id":"a","name":"%s","arguments":{"z":%s}}]}' % (k, w)) for k in values for v, w in values.items()]
+    turns = spark.createDataFrame([(i, 0, "assistant", c) for i, (_, _, c) in enumerate(calls)], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat_format.link_tool_calls(turns, {k: {"required": ["z"], "properties": {"z": k}} for k in values}, typed=True).collect()}
+    for i, (kind, value, _) in enumerate(calls):
+        assert got[i].valid == (kind == value or (kind, value) == ("number", "integer")), (kind, value)
+        assert got[i].json == '{"arguments":{"z":%s},"id":"a","name":"%s","role":"assistant"}' % (json.dumps(json.loads(values[value]), sort_keys=True, separators=(",", ":")), kind)
+
+
 def test_language_id(spark, empty, messy):
     parts = {"en": ["the", "ing", "and", "wh"], "de": ["sch", "ung", "der", "ß"], "fr": ["eau", "que", "ér", "oi"], "es": ["ción", "que", "ez", "rr"]}
     rows = [(i, None if i % 50 == 0 else " ".join("".join(RND.choice(parts[c]) for _ in range(3)) for _ in range(25)), c) for i, c in enumerate(RND.choice(list(parts)) for _ in range(400))] + [(1000, "123 !", "en"), (1001, "", None)]
