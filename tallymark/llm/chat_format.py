@@ -59,20 +59,20 @@ def fits(schemas: dict[str, dict]) -> Column:
 
 
 def depths(calls: DataFrame) -> DataFrame:
-    """conv_id, call_id, depth of calls that refer to others or are referred to. depth: 1 more than the deepest call they refer to; null if they
-    wait for each other in a ring.
+    """conv_id, call_id, depth, at of calls that refer to others or are referred to. depth: 1 more than the deepest call they refer to; null if they
+    wait for each other in a ring. at: the latest turn of the call and all it needs.
 
-    Rounds end when no depth changes, so a conversation without references costs one."""
+    Rounds end when no depth changes, so a conversation without references costs one, and chains as many as the longest has calls."""
     held = calls.select("conv_id", "call_id", F.explode(F.map_values("arguments")).alias("v")).where(F.schema_of_variant("v") == "STRING")
     refers = held.select("conv_id", "call_id", F.col("v").cast("string").alias("ref")).where(F.col("ref").startswith("$")).select("conv_id", "call_id", F.expr("substring(ref, 2)").alias("needs"))
     known = calls.groupBy("conv_id", "call_id").agg(F.min("turn").alias("turn"))
     refers = materialize(refers.join(known.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"], "left_semi").distinct(), "refers")
     if refers.isEmpty():
-        return refers.select("conv_id", "call_id", F.lit(0).alias("depth"))
+        return refers.select("conv_id", "call_id", F.lit(0).alias("depth"), F.lit(None).cast(calls.schema["turn"].dataType).alias("at"))
     nodes = refers.select("conv_id", "call_id").union(refers.select("conv_id", F.col("needs").alias("call_id"))).distinct().join(known, ["conv_id", "call_id"])
     waits = refers.select("conv_id", "call_id").distinct().withColumn("waits", F.lit(True))
     state = materialize(nodes.join(waits, ["conv_id", "call_id"], "left").select("conv_id", "call_id", "turn", F.when(F.col("waits").isNull(), F.lit(0)).alias("depth"), F.when(F.col("waits").isNull(), F.col("turn")).alias("at")), "depths")
-    for _ in range(64):
+    while True:
         had = state.select("conv_id", F.col("call_id").alias("needs"), F.col("depth").alias("d"), F.col("at").alias("a"))
         every = F.count("d") == F.count("*")
         ready = refers.join(had, ["conv_id", "needs"]).groupBy("conv_id", "call_id").agg(F.when(every, F.max("d") + 1).alias("new"), F.when(every, F.max("a")).alias("late"))
@@ -81,8 +81,7 @@ def depths(calls: DataFrame) -> DataFrame:
         after = materialize(after, "depths")
         state = after.drop("fresh")
         if after.where("fresh").isEmpty():
-            break
-    return state.select("conv_id", "call_id", "depth")
+            return state.select("conv_id", "call_id", "depth", "at")
 
 
 def link_tool_calls(turns: DataFrame, schemas: dict[str, dict], typed: bool = False) -> DataFrame:
@@ -90,7 +89,7 @@ def link_tool_calls(turns: DataFrame, schemas: dict[str, dict], typed: bool = Fa
 
     ``linked``: a call has a later result, or a result an earlier call, of its id in its conversation. Of several calls with one id the first
     counts, of several results the first after it; the others are not linked. ``valid``: of calls only, the arguments fit the schema, and no ring of
-    references holds the call. Within a conversation, ``ord`` (turn of the call, depth, item, 0 for the call and 1 for its result, turn) puts every
+    references holds the call. Within a conversation, ``ord`` (latest turn of the call and all it needs, depth, item, 0 for the call and 1 for its result, turn) puts every
     result after its call and every call after those it refers to. Rows with a null conv_id or turn are never linked; a null text is an empty one; equal rows stay and are
     treated alike; broken JSON is a message. ``typed``: arguments in json keep their JSON types, else each is written as a string. An empty table gives an empty result; other columns are ignored.
     """
@@ -119,7 +118,7 @@ def link_tool_calls(turns: DataFrame, schemas: dict[str, dict], typed: bool = Fa
     ring = F.col("ranked").isNotNull() & F.col("depth").isNull()
     valid = F.when(F.col("kind") == "call", F.coalesce(fits(schemas), F.lit(False)) & ~F.coalesce(ring & own, F.lit(False)))
     depth = F.when(F.col("kind") == "message", F.lit(0)).otherwise(F.coalesce("depth", F.lit(0)))
-    at = F.when(linked, F.col("c.turn")).otherwise(F.col("turn"))
+    at = F.when(linked | F.coalesce(own, F.lit(False)), F.coalesce(F.col("at"), F.col("c.turn"))).otherwise(F.col("turn"))
     order = F.struct(at.alias("at"), depth.alias("depth"), F.when(linked, F.col("c.item")).otherwise(F.col("item")).alias("item"), (F.col("kind") == "result").cast("int").alias("result"), F.col("turn").alias("turn"))
     json = F.when(F.col("kind") == "call", canonical({"role": quoted(F.col("role")), "id": quoted(F.col("call_id")), "name": quoted(F.col("name")), "arguments": canonical_map(F.col("arguments"), typed)})).when(F.col("kind") == "result", canonical({"role": quoted(F.col("role")), "id": quoted(F.col("call_id")), "content": quoted(F.col("content"))})).otherwise(canonical({"role": F.when(F.col("role").isNotNull(), quoted(F.col("role"))), "content": quoted(F.col("content"))}))
     return out.select("conv_id", "turn", "item", "role", "kind", "call_id", linked.alias("linked"), valid.alias("valid"), depth.alias("depth"), order.alias("ord"), json.alias("json"))

@@ -269,6 +269,15 @@ def test_chat_format_types(spark):
         assert got[i].json == '{"arguments":{"z":%s},"id":"a","name":"%s","role":"assistant"}' % (json.dumps(json.loads(values[value]), sort_keys=True, separators=(",", ":")), kind)
 
 
+def test_chat_format_long_chain_and_later_turns(spark):
+    call = lambda i, ref: json.dumps({"tool_calls": [{"id": i, "name": "f", "arguments": {"x": ref}}]})
+    rows = [(1, i, "assistant", call(str(i), f"${i - 1}" if i else "x")) for i in range(68)] + [(2, 0, "assistant", call("a", "$b")), (2, 1, "assistant", call("b", "x"))]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat_format.link_tool_calls(turns, {"f": {"properties": {"x": "string"}}}).collect()
+    assert all(r.valid for r in got) and [r.depth for r in sorted(got, key=lambda r: r.turn) if r.conv_id == 1] == list(range(68))
+    assert [r.call_id for r in sorted((r for r in got if r.conv_id == 2), key=lambda r: tuple(r.ord))] == ["b", "a"]
+
+
 def test_language_id(spark, empty, messy):
     parts = {"en": ["the", "ing", "and", "wh"], "de": ["sch", "ung", "der", "ß"], "fr": ["eau", "que", "ér", "oi"], "es": ["ción", "que", "ez", "rr"]}
     rows = [(i, None if i % 50 == 0 else " ".join("".join(RND.choice(parts[c]) for _ in range(3)) for _ in range(25)), c) for i, c in enumerate(RND.choice(list(parts)) for _ in range(400))] + [(1000, "123 !", "en"), (1001, "", None)]
