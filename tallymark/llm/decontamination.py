@@ -95,10 +95,11 @@ class ItemMatcher:
         return [(a, b) for a, b in spans], found
 
 
-def item_shards(items: DataFrame, item_id: str, text: str, shard_words: int) -> Iterable[list[tuple[str, bytes]]]:
+def item_shards(items: DataFrame, item_id: str, text: str, shard_words: int, unnamed: bool = False) -> Iterable[list[tuple[str, bytes]]]:
     """Items in order of id, in lists of at most ``shard_words`` words (or of one longer item)."""
     # a code point outside words may part two words, so half the bytes bound the words of a text
-    sized = bare(items, item=F.col(f"`{item_id}`").cast("string"), raw=utf8(text)).where("item is not null and length(raw) > 0")
+    sized = bare(items, item=F.col(f"`{item_id}`").cast("string"), raw=utf8(text)).where("length(raw) > 0")
+    sized = sized if unnamed else sized.where("item is not null")
     part, size = [], 0
     for row in sized.orderBy("item", "raw").toLocalIterator():
         n = len(normal_words(bytes(row.raw)))
@@ -111,16 +112,16 @@ def item_shards(items: DataFrame, item_id: str, text: str, shard_words: int) ->
         yield part
 
 
-def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, text: str = "text", item_id: str = "item_id", item_text: str = "text", unnamed: bool = False) -> DataFrame:
     """docs with ``n_words``, ``spans`` (word spans inside occurring windows) and ``items`` (ids of items with occurring windows, as strings, sorted) added.
 
     A null or wordless text has no words, spans or items; a null or wordless item matches nothing; items with a null id are
-    left out; equal items are each found. Repeated rows and ids are each judged alone. Columns of docs called n_words, spans or items are replaced.
+    left out, or matched with the rest and listed as one null, the last, where ``unnamed``; equal items are each found. Repeated rows and ids are each judged alone. Columns of docs called n_words, spans or items are replaced.
     """
     keep = [c for c in docs.columns if c not in ("n_words", "spans", "items", "_spans", "_items")]
     out = docs.select(*[F.col(f"`{c}`") for c in keep], F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:int,stop:int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
     shards = 0
-    for part in item_shards(items, item_id, item_text, shard_words):
+    for part in item_shards(items, item_id, item_text, shard_words, unnamed):
         if shards:
             out = materialize(out, "decontamination")  # a pass for each shard, one automaton in memory at a time
         out = _pass(out, part, window, text)
@@ -143,7 +144,7 @@ def _pass(docs: DataFrame, part: list[tuple[str, bytes]], window: int, text: str
                 got, its = matcher.match(words)
                 n.append(len(words))
                 spans.append(merged([*((s["start"], s["stop"]) for s in before), *got]))
-                found.append(sorted({*had, *its}))
+                found.append(sorted({*had, *its}, key=lambda name: (name is None, name or "")))
             columns = [*batch.columns[:-3], pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), pa.array(found, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
         release()
@@ -174,8 +175,8 @@ def _matcher(sent, window: int) -> ItemMatcher:
 
 
 def judge(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``find_items`` plus ``n_hit`` (words in spans) and ``contaminated`` (some word hit, and at least 1 in ``share``)."""
-    found = find_items(docs, items, window, text=text, item_id=item_id, item_text=item_text)
+    """``find_items`` plus ``n_hit`` (words in spans) and ``contaminated`` (some word hit, and at least 1 in ``share``). Items with a null id count too."""
+    found = find_items(docs, items, window, text=text, item_id=item_id, item_text=item_text, unnamed=True)
     out = found.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"]))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words")))
 

@@ -241,6 +241,14 @@ def test_decontamination(spark, docs, messy, empty):
     assert decontamination.decontaminate(empty, bench).count() == 0 and decontamination.find_items(docs, bench.where("false")).where("size(spans) > 0").count() == 0
 
 
+def test_decontamination_counts_items_without_id(spark):
+    docs = spark.createDataFrame([(1, "head " + PASSAGE), (2, "other words")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, PASSAGE), (7, " ".join(PASSAGE.split()[:5]))], "item_id long, text string")
+    named = {r.doc_id: (r.n_hit, list(r["items"]), r.contaminated) for r in decontamination.judge(docs, bench.where("item_id is null")).collect()}
+    assert named == {1: (60, [None], True), 2: (0, [], False)}
+    assert {r.doc_id: list(r["items"]) for r in decontamination.judge(docs, bench).collect()} == {1: ["7", None], 2: []}
+
+
 def test_chat_format(spark):
     rows = [
         (1, 0, "user", "hi"), (1, 1, "assistant", '{"tool_calls":[{"id":"a","name":"f","arguments":{"x":1,"y":"$b"}},{"id":"b","name":"f","arguments":{"x":"zz"}}]}'), (1, 2, "tool", '{"tool_call_id":"b","content":"é\\n"}'), (1, 3, "tool", '{"tool_call_id":"a","content":"2"}'),
