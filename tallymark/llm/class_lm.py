@@ -1,41 +1,49 @@
 """Class-based bigram language model: exchange clustering of words into classes.
 
 log p(text) is the sum, over its tokens, of log P(class | class before) and log P(token | class). Tokens are the words of the
-text and an end. Classes start from an exchange of units on the driver: each of the most frequent words alone, and all other words by
-their last letters, in a fixed number of groups. From there every word of the vocabulary is exchanged for itself: its bigrams with each
-class are counted, and it moves to the class that raises the likelihood of the training bigrams most. All words of a round move against the
-class totals of the round before; a round after which the likelihood is no higher is undone and tried with half as many words. Rounds end when
-the likelihood gains less than ``LEAST_GAIN``. Only words that training never saw take the class that the group of their last letters started in.
-Class transitions are interpolated with class frequencies; emissions are counts plus 0.1, where each class that unknown words
-can fall into keeps room for one, so probabilities sum to one.
-
-All counts are over all training documents. What reaches the driver or every executor has a fixed bound: the frequent
-words (``KEPT``) with their classes, the bigram counts of the units (``HEAD`` + ``TAILS`` + 1, squared), and those of the classes. Rarer words'
-counts and classes are joined.
+text and an end. Training runs in three steps, each over all training documents.
+
+1. Units. The frequent words (those above a count that at most ``KEPT`` words reach) are units of their own; other words stand for
+   each other by their endings, in ``TAILS`` units. The bigrams of units are counted once and written in blocks, each with all bigrams
+   of its units in both directions.
+2. Exchange. In a round every task walks through its blocks and moves each unit to the class that raises the likelihood of the training
+   bigrams most, against class bigrams that it keeps up to date with its own moves. The true class bigrams of the round's result are then
+   counted anew: a round that doesn't raise the likelihood is undone and tried with half as many units. Rounds end when none
+   moves, when one gains less than ``LEAST_GAIN`` of the likelihood, or when so few units are tried that nothing more is to be gained.
+3. Every rare word leaves the unit of its ending for the class that fits its own neighbours best, whatever its count. Words that training
+   never saw have the class of their ending's unit.
+
+Class bigrams are then counted under the final classes. Transitions are interpolated with class frequencies; emissions are counts plus
+0.1, where each class that unknown words can fall into keeps room for one, so probabilities sum to one.
+
+The vocabulary, its counts and classes, and the rare words' neighbours are tables that grow with the corpus. What reaches the driver or
+every executor has a fixed bound: the frequent words with counts and classes, and ``CLASSES`` squared bigrams.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bare, crc_of_id, map_batches, materialize, release, utf8
+from .common import bare, crc_of_id, map_batches, materialize, partitions, release, utf8
 
-#: frequent words that every executor knows; how many of them are units of their own; groups of the others; classes
-KEPT, HEAD, TAILS, CLASSES = 100_000, 400, 96, 48
+#: most words that are units of their own (every executor knows them), units of other words by ending, classes
+KEPT, TAILS, CLASSES = 65_536, 1024, 64
 ADD = 0.1
 END = b""
-#: words counted in a worker before they are passed on
-FLUSH = 300_000
-#: tokens whose bigrams are counted in a worker before they are passed on; relative gain of likelihood below which rounds end; least share of words that move
-CHUNK, LEAST_GAIN, LEAST_SHARE = 1_000_000, 1e-3, 1 / 16
+#: words counted in a worker before they are passed on, and tokens whose bigrams are
+FLUSH, CHUNK = 300_000, 2_000_000
+#: bigrams in a block of units, units whose counts are unpacked together
+BLOCK, SLICE = 400_000, 1000
+#: relative gain of likelihood below which rounds end, and least share of units that a round tries
+LEAST_GAIN, LEAST_SHARE = 1e-3, 1 / 16
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -68,304 +76,390 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     total.clear()
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["word", "c"])
+        release()
 
     return docs.select("raw").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def frequent(vocabulary: DataFrame, kept: int) -> list[tuple[bytes, int]]:
+    """(word, count) of the words above the least count that at most ``kept`` words reach, most frequent first, the end before all.
+
+    The count is read off a histogram of counts in steps of a 16th of a doubling, so that nothing but these words leaves the executors."""
+    step = F.floor(F.log2("c") * 16).cast("int").alias("step")
+    sizes = {r.step: r.n for r in vocabulary.where(F.length("word") > 0).groupBy(step).agg(F.count("*").alias("n")).collect()}  # some 1000 rows at most
+    least, room = 64 * 16, kept
+    for s in sorted(sizes, reverse=True):
+        room -= sizes[s]
+        if room < 0:
+            break
+        least = s
+    rows = vocabulary.where((F.length("word") == 0) | (step >= least)).collect()  # at most kept + 1 rows
+    found = sorted(((bytes(r.word), r.c) for r in rows if r.word), key=lambda r: (-r[1], r[0]))
+    return [(END, next((r.c for r in rows if not r.word), 0)), *found]
+
+
 class Units:
-    """Unit of every token: 0 the end, then the head words, then the groups of all others."""
+    """Unit of every token: 0 the end, then the frequent words, then the tails of all others."""
 
-    def __init__(self, head: list[bytes], tails: int):
-        self.head = {w: i + 1 for i, w in enumerate(head)}
-        self.tails, self.first_tail = tails, len(head) + 1
+    def __init__(self, words: list[bytes], tails: int):
+        self.place = {w: i for i, w in enumerate(words)}
+        self.tails, self.first_tail = tails, len(words)
         self.size = self.first_tail + tails
-        self.memo: dict[bytes, int] = {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        memo = self.memo
-        if len(memo) > 400_000:
-            memo.clear()
-        if not memo:
-            memo.update(self.head)
-            memo[END] = 0
-        for w in set(words).difference(memo):
-            memo[w] = self.first_tail + tail_group(w, self.tails)
-        return np.fromiter(map(memo.__getitem__, words), dtype=np.int64, count=len(words))
+        place, first, tails = self.place.get, self.first_tail, self.tails
+        return np.fromiter((u if (u := place(w)) is not None else first + tail_group(w, tails) for w in words), dtype=np.int64, count=len(words))
 
-    def __getstate__(self):
-        return self.__dict__ | {"memo": {}}
 
-
-def bigram_counts(docs: DataFrame, units) -> np.ndarray:
-    """Bigrams of units over ``docs``; the end stands before a text's first word too."""
+def unit_bigrams(docs: DataFrame, units) -> DataFrame:
+    """a, b (units), c: all bigrams over ``docs``; the end stands before a text's first word too. units: a broadcast ``Units``."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         u = units.value
-        n = u.size
-        total = np.zeros(n * n, dtype=np.int64)
+        local: dict[bytes, int] = {}
+        parts: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            # a text's last token is the end, so what stands before a first word is what ends the text before
+            x = u(list(local))[np.concatenate(parts)]
+            pair, c = np.unique(np.r_[0, x[:-1]] * u.size + x, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array((pair // u.size).astype(np.int32)), pa.array((pair % u.size).astype(np.int32)), pa.array(c.astype(np.int64))], names=["a", "b", "c"])
+
         for batch in batches:
             for raw in batch.column(0).to_pylist():
-                x = u(tokens_of(raw))
-                np.add.at(total, np.r_[0, x[:-1]] * n + x, 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "c"])
+                words = tokens_of(raw)
+                for w in set(words).difference(local):
+                    local[w] = len(local)
+                parts.append(np.fromiter(map(local.__getitem__, words), dtype=np.int32, count=len(words)))
+                size += len(words)
+                if size >= CHUNK:
+                    yield flush()
+                    local, parts, size = {}, [], 0
+        if parts:
+            yield flush()
+        release()
 
-    n = units.value.size
-    summed = docs.select("raw").mapInArrow(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
-    out = np.zeros(n * n, dtype=np.int64)
-    for row in summed.collect():  # at most size * size rows, whatever the corpus
-        out[row.pair] = row.c
-    return out.reshape(n, n)
+    return docs.select("raw").mapInArrow(run, "a int, b int, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
 
 
-def f(x: np.ndarray) -> np.ndarray:
-    """x log x; counts are whole numbers, so max(x, 1) only serves x = 0."""
-    return x * np.log(np.maximum(x, 1.0))
+def unit_blocks(bigrams: DataFrame) -> DataFrame:
+    """u, o, back, c (arrays as bytes): blocks of whole units, sorted by unit: bigrams of unit u with unit o after it, or before it where ``back``.
 
+    A unit has at most two bigrams with each other unit, so blocks are bounded whatever the corpus."""
 
-def gains(cc: np.ndarray, out: np.ndarray, into: np.ndarray, own: float) -> np.ndarray:
-    """Gain in likelihood of a unit in each class; cc, out and into are without it, own are its bigrams with itself. Class 0 takes none."""
-    row, col = cc.sum(axis=1), cc.sum(axis=0)
-    gain = (f(cc + out) - f(cc)).sum(axis=1) + (f(cc + into[:, None]) - f(cc)).sum(axis=0)
-    d = np.diag(cc)
-    gain += f(d + out + into + own) - f(d + out) - f(d + into) + f(d)
-    gain -= f(row + out.sum() + own) - f(row) + f(col + into.sum() + own) - f(col)
-    gain[0] = -np.inf
-    return gain
+    def pack(batches) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
 
+        def block(m: np.ndarray) -> pa.RecordBatch:
+            kinds = (np.int32, np.int32, np.bool_, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array([row.astype(k).tobytes()], pa.binary()) for row, k in zip(m, kinds, strict=True)], names=["u", "o", "back", "c"])
 
-def likelihood(cc: np.ndarray) -> float:
-    """Of the training bigrams under class bigrams, but for a term that no exchange changes."""
-    return float(f(cc).sum() - f(cc.sum(axis=1)).sum() - f(cc.sum(axis=0)).sum())
+        for batch in batches:
+            held.append(np.stack([c.to_numpy() for c in batch.columns]))
+            size += batch.num_rows
+            if size >= BLOCK:
+                m = np.concatenate(held, axis=1)
+                last = int(np.searchsorted(m[0], m[0][-1]))  # the last unit may go on
+                if last:
+                    yield block(m[:, :last])
+                held = [m[:, last:]]
+                size = m.shape[1] - last
+        if size:
+            yield block(np.concatenate(held, axis=1))
+        release()
 
+    wide = lambda c: F.col(c).cast("long")
+    ends = F.array(F.struct(wide("a").alias("u"), wide("b").alias("o"), F.lit(0).cast("long").alias("back"), "c"), F.struct(wide("b").alias("u"), wide("a").alias("o"), F.lit(1).cast("long").alias("back"), "c"))
+    both = bigrams.select(F.inline(ends))
+    return both.repartition(partitions(bigrams.sparkSession), "u").sortWithinPartitions("u").mapInArrow(pack, "u binary, o binary, back binary, c binary")
 
-def exchange(bigrams: np.ndarray, classes: int, passes: int = 12) -> np.ndarray:
-    """Class of each unit, by exchange: a unit moves to the class that raises the bigram likelihood most, until none moves.
 
-    Unit 0 (the end) has class 0 to itself. Starts from frequency ranks dealt in turn; ties go to the lower class, so reruns agree.
-    """
-    n = len(bigrams)
-    classes = min(classes, n)
-    freq = bigrams.sum(axis=0)
-    order = [u for u in np.argsort(-freq, kind="stable").tolist() if u]
-    of = np.zeros(n, dtype=np.int64)
-    for k, u in enumerate(order):
-        of[u] = 1 + k % (classes - 1) if classes > 1 else 0
-    if classes < 3:
-        return of
-    onehot = np.eye(classes)
-    b = bigrams.astype(np.float64)
-    cc = onehot[of].T @ b @ onehot[of]
-    for _ in range(passes):
-        moved = 0
-        for u in order:
-            if not freq[u]:
-                continue
-            home = of[u]
-            out, into, own = onehot[of].T @ b[u], b[:, u] @ onehot[of], b[u, u]
-            out[home] -= own
-            into[home] -= own
-            # the table without u, then with u in each class k: only row k and column k change
-            cc[home] -= out
-            cc[:, home] -= into
-            cc[home, home] -= own
-            gain = gains(cc, out, into, own)
-            best = int(gain.argmax()) if gain.max() > gain[home] + 1e-9 else int(home)
-            cc[best] += out
-            cc[:, best] += into
-            cc[best, best] += own
-            moved += best != home
-            of[u] = best
-        if not moved:
-            break
-    return of
+def unpacked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    for u, o, back, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+        yield np.frombuffer(u, np.int32), np.frombuffer(o, np.int32), np.frombuffer(back, np.bool_), np.frombuffer(c, np.int64)
 
 
-class ClassModel:
-    def __init__(self, units: Units, of: np.ndarray, bigrams: np.ndarray, kinds: np.ndarray, total: int, vocabulary: int, by_class: bool = False):
-        """kinds: distinct training words of each unit. by_class: bigrams and kinds are those of the classes themselves."""
-        self.units, self.of, self.total, self.vocabulary = units, of, total, vocabulary
-        k = len(bigrams) if by_class else int(of.max()) + 1
-        onehot = np.eye(k) if by_class else np.eye(k)[of]
-        cc = onehot.T @ bigrams @ onehot
-        into = cc.sum(axis=0)
-        base = (into + ADD) / (into.sum() + ADD * k)
-        before = cc.sum(axis=1, keepdims=True)
-        followers = (cc > 0).sum(axis=1, keepdims=True)
-        # Witten-Bell: a class passes on as much as it has followers
-        seen = before + followers > 0
-        self.transition = np.log10(np.where(seen, (cc + followers * base) / np.maximum(before + followers, 1), base))
-        room = np.zeros(k)
-        room[of[units.first_tail :]] = 1
-        self.room = np.log10(np.maximum(into + ADD * (onehot.T @ kinds + room), 1e-300))
-        self.base_room = float(np.log10(total + ADD * (vocabulary + 1)))
+def summed_bigrams(rows: DataFrame, width: int) -> np.ndarray:
+    """Class bigrams from rows (pair, c) with pair = class * width + class after."""
+    cc = np.zeros(width * width)
+    for r in rows.groupBy("pair").agg(F.sum("c").alias("c")).collect():  # at most width * width rows
+        cc[r.pair] = r.c
+    return cc.reshape(width, width)
 
-    def terms(self, c: np.ndarray) -> float:
-        """Transition terms less the emissions' denominators, from the tokens' classes; log10(c + 0.1) of each token is still to be added."""
-        return float(self.transition[np.r_[0, c[:-1]], c].sum() - self.room[c].sum())
 
+def pair_batch(total: np.ndarray) -> pa.RecordBatch:
+    at = np.flatnonzero(total)
+    return pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], names=["pair", "c"])
 
-class Ids:
-    """Number of every word: the place of a frequent one, from 0 (the end), and a negative hash of any other."""
 
-    def __init__(self, often: list[bytes], seed: int):
-        self.place, self.seed = {w: i for i, w in enumerate([END, *(w for w in often if w != END)])}, seed
+def class_bigrams(blocks: DataFrame, of: np.ndarray, width: int) -> np.ndarray:
+    """Bigrams of the classes ``of`` the units."""
+    sent = blocks.sparkSession.sparkContext.broadcast(of)
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        place, seed = self.place.get, self.seed
-        return np.fromiter((i if (i := place(w)) is not None else -1 - (xxhash.xxh64_intdigest(w, seed) >> 1) for w in words), dtype=np.int64, count=len(words))
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width * width)
+        for batch in batches:
+            for u, o, back, c in unpacked(batch):
+                on = ~back
+                total += np.bincount(sent.value[u[on]] * width + sent.value[o[on]], weights=c[on], minlength=width * width)
+        yield pair_batch(total)
 
+    return summed_bigrams(blocks.mapInArrow(run, "pair long, c long"), width)
 
-def numbered(vocabulary: DataFrame, often: list[bytes], units):
-    """(vocabulary with id and cls, the class its unit starts in; broadcast Ids). units: broadcast (Units, class of each). Hashes that clash are dealt anew, so ids are exact."""
-    for seed in range(16):
-        sent = vocabulary.sparkSession.sparkContext.broadcast(Ids(often, seed))
 
-        def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            words = batch.column(0).to_pylist()
-            u, of = units.value
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value(words)), pa.array(of[u(words)])], names=["word", "c", "id", "cls"])  # noqa: B023
+def f(x: np.ndarray) -> np.ndarray:
+    """x log x; counts are whole numbers, so max(x, 1) only serves x = 0."""
+    return x * np.log(np.maximum(x, 1.0))
 
-        out = materialize(map_batches(vocabulary, run, "word binary, c long, id long, cls long"), "numbered")
-        if out.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-            return out, sent
-    raise RuntimeError("hashes of words clash under every seed")
+
+def likelihood(cc: np.ndarray) -> float:
+    """Of the training bigrams under class bigrams, but for a term that no exchange changes."""
+    return float(f(cc).sum() - f(cc.sum(axis=1)).sum() - f(cc.sum(axis=0)).sum())
 
 
-def word_pairs(docs: DataFrame, ids) -> DataFrame:
-    """a, b (ids), c: all bigrams of words over ``docs``; the end stands before a text's first word too."""
+class Table:
+    """Class bigrams with what the gain of a move needs: x log x of each cell, and sums of rows and columns."""
+
+    def __init__(self, cc: np.ndarray):
+        self.cc, self.fc = cc.copy(), f(cc)
+        self.row, self.col = cc.sum(axis=1), cc.sum(axis=0)
+
+    def shift(self, k: int, out: np.ndarray, into: np.ndarray, own: float, sign: int) -> None:
+        """Put a unit with these bigrams (to classes, from classes, with itself) into class k, or take it out where ``sign`` is -1."""
+        self.cc[k] += sign * out
+        self.cc[:, k] += sign * into
+        self.cc[k, k] += sign * own
+        self.row += sign * into
+        self.col += sign * out
+        self.row[k] += sign * (out.sum() + own)
+        self.col[k] += sign * (into.sum() + own)
+        self.fc[k], self.fc[:, k] = f(self.cc[k]), f(self.cc[:, k])
+
+    def gains(self, out: np.ndarray, into: np.ndarray, own: float) -> np.ndarray:
+        """Likelihood gained by putting a unit that is in no class into each; class 0 takes none. ``row`` and ``col`` lack the unit's own sums alike for every class but the one it enters."""
+        cc, fc = self.cc, self.fc
+        a, b = np.flatnonzero(out), np.flatnonzero(into)
+        gain = (f(cc[:, a] + out[a]) - fc[:, a]).sum(axis=1) + (f(cc[b] + into[b, None]) - fc[b]).sum(axis=0)
+        d = np.diag(cc)
+        gain += f(d + out + into + own) - f(d + out) - f(d + into) + f(d)
+        # sums of a row: what the unit puts there as a neighbour, and all that follows the unit itself in the class it enters
+        mine_row, mine_col = out.sum() + own, into.sum() + own
+        gain -= f(self.row + into + mine_row) - f(self.row + into) + f(self.col + out + mine_col) - f(self.col + out)
+        gain[0] = -np.inf
+        return gain
+
+    def best(self, home: int, out: np.ndarray, into: np.ndarray, own: float) -> int:
+        """The class of most gain for a unit that is in none; its home on a tie."""
+        gain = self.gains(out, into, own)
+        return int(gain.argmax()) if gain.max() > gain[home] + 1e-9 else home
+
+
+def neighbours(u: np.ndarray, o: np.ndarray, back: np.ndarray, c: np.ndarray, of: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, float]]:
+    """(unit, bigrams to each class, from each class, with itself) of the units of a block, under the classes ``of`` the others when a slice is begun."""
+    starts = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
+    for s in range(0, len(starts), SLICE):
+        first = starts[s : s + SLICE]
+        stop = starts[s + SLICE] if s + SLICE < len(starts) else len(u)
+        part = slice(first[0], stop)
+        at = np.repeat(np.arange(len(first)), np.diff(np.r_[first, stop]))
+        same = o[part] == u[part]
+        cell = at * 2 * width + of[o[part]] + np.where(back[part], width, 0)
+        table = np.bincount(cell, weights=np.where(same, 0, c[part]), minlength=len(first) * 2 * width).reshape(-1, 2 * width)
+        own = np.bincount(at, weights=np.where(same & ~back[part], c[part], 0), minlength=len(first))
+        for i, unit in enumerate(u[first].tolist()):
+            yield unit, table[i, :width], table[i, width:], own[i]
+
+
+def moved(blocks: DataFrame, of: np.ndarray, cc: np.ndarray, share: float, turn: int) -> np.ndarray:
+    """Classes after a round in which a ``share`` of the units, others each turn, move to their best class; the end stays."""
+    sent = blocks.sparkSession.sparkContext.broadcast((of, cc))
+    width = len(cc)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        local: dict[bytes, int] = {}
-        parts: list[np.ndarray] = []
-        size = 0
+        of, cc = sent.value
+        table, now = Table(cc), of.copy()
+        units, classes = [], []
+        for batch in batches:
+            for u, o, back, c in unpacked(batch):
+                for unit, out, into, own in neighbours(u, o, back, c, now, width):
+                    if not unit or share < 1 and (unit * 2654435761 + turn * 40503) % 65536 >= share * 65536:
+                        continue
+                    home = int(now[unit])
+                    table.shift(home, out, into, own, -1)
+                    best = table.best(home, out, into, own)
+                    table.shift(best, out, into, own, 1)
+                    if best != home:
+                        now[unit] = best
+                        units.append(unit)
+                        classes.append(best)
+        yield pa.RecordBatch.from_arrays([pa.array([np.array(units, np.int32).tobytes()], pa.binary()), pa.array([np.array(classes, np.int32).tobytes()], pa.binary())], names=["u", "k"])
+        release()
+
+    out = of.copy()
+    for r in blocks.mapInArrow(run, "u binary, k binary").toLocalIterator():  # at most a row a unit in all
+        out[np.frombuffer(r.u, np.int32)] = np.frombuffer(r.k, np.int32)
+    return out
+
+
+def exchange(blocks: DataFrame, of: np.ndarray, width: int, log: list[float] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(class of each unit, class bigrams) after rounds of moves from ``of``; the likelihood of each accepted round is added to ``log``."""
+    cc, share, turn = class_bigrams(blocks, of, width), 1.0, 0
+    while width > 2 and share >= LEAST_SHARE:
+        turn += 1
+        tried = moved(blocks, of, cc, share, turn)
+        if (tried == of).all():
+            if share == 1:
+                break  # no unit has a better class
+            share /= 2
+            continue
+        now = class_bigrams(blocks, tried, width)
+        rise = likelihood(now) - likelihood(cc)
+        if rise <= 0:
+            share /= 2
+            continue
+        of, cc = tried, now
+        if log is not None:
+            log.append(likelihood(cc))
+        if rise < LEAST_GAIN * abs(likelihood(cc)):
+            break
+    return of, cc
+
+
+def rare_neighbours(docs: DataFrame, units, of, width: int) -> DataFrame:
+    """word, ks, cs: of every word that is no unit, its bigrams by the class of the unit after it (k) or before it (``width`` + k), over ``docs``.
+
+    Counts are combined in the workers; a word has at most 2 * width of them, so a common one is no burden to a task. Neighbours that are
+    rare too count under their ending's class."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        u, classes = units.value, of.value
+        total: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            x, number, n = np.concatenate(parts), ids.value(list(local)), len(local)
-            # a text's last token is the end, so what stands before a first word is what ends the text before
-            pair, c = np.unique(np.r_[local[END], x[:-1]] * n + x, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(number[pair // n]), pa.array(number[pair % n]), pa.array(c.astype(np.int64))], names=["a", "b", "c"])
+            words, ks = zip(*total, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(ks, pa.int32()), pa.array(list(total.values()), pa.int64())], names=["word", "k", "c"])
 
         for batch in batches:
             for raw in batch.column(0).to_pylist():
                 words = tokens_of(raw)
-                for w in set(words).difference(local):
-                    local[w] = len(local)
-                parts.append(np.fromiter(map(local.__getitem__, words), dtype=np.int64, count=len(words)))
-                size += len(words)
-                if size >= CHUNK:
+                x = u(words)
+                rare = np.flatnonzero(x >= u.first_tail)
+                if not len(rare):
+                    continue
+                k = classes[x]
+                own = [words[i] for i in rare.tolist()]
+                total.update(zip(own, k[rare + 1].tolist(), strict=True))  # the end is never rare
+                total.update(zip(own, (width + np.r_[0, k[:-1]][rare]).tolist(), strict=True))
+                if len(total) > FLUSH:
                     yield flush()
-                    local, parts, size = {}, [], 0
-        if parts:
+                    total.clear()
+        if total:
             yield flush()
         release()
 
-    return docs.select("raw").mapInArrow(run, "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
-
+    rows = docs.select("raw").mapInArrow(run, "word binary, k int, c long").repartition(partitions(docs.sparkSession), "word")
+    counts = rows.groupBy("word", "k").agg(F.sum("c").alias("c"))
+    return counts.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("k", "c"))).alias("e")).select("word", F.col("e.k").alias("ks"), F.col("e.c").alias("cs"))
 
-def class_counts(pairs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """id, home, own, ks, cs: of every word its class, its bigrams with itself, and its other bigrams by class of the word after (k) or before (``width`` + k).
 
-    The frequent words' classes are broadcast and the others' joined, so no common word gathers its pairs in one task.
-    """
-    parts = []
-    for mine, other, first in (("a", "b", 0), ("b", "a", width)):
-        of = classes.select(F.col("id").alias(other), (F.col("cls") + first).alias("k"))
-        others = pairs.where("a <> b")
-        for rows in (others.where(f"{other} >= 0").join(F.broadcast(of.where(f"{other} >= 0")), other), others.where(f"{other} < 0").join(of.where(f"{other} < 0"), other)):
-            parts.append(rows.select(F.col(mine).alias("id"), "k", "c"))
-    summed = parts[0].union(parts[1]).union(parts[2]).union(parts[3]).groupBy("id", "k").agg(F.sum("c").alias("c"))
-    more = pairs.where("a = b").select("a", F.lit(-1).cast("long"), "c").union(classes.select("id", F.lit(-2).cast("long"), "cls"))
-    one = lambda k: F.sum(F.when(F.col("k") == k, F.col("c")))
-    entries = F.sort_array(F.collect_list(F.when(F.col("k") >= 0, F.struct("k", "c"))))  # at most 2 * width
-    rows = summed.union(more).groupBy("id").agg(one(-2).alias("home"), F.coalesce(one(-1), F.lit(0)).alias("own"), entries.alias("e"))
-    return rows.select("id", "home", "own", F.col("e.k").alias("ks"), F.col("e.c").alias("cs"))
-
-
-def class_bigrams(counts: DataFrame, width: int) -> np.ndarray:
-    after = counts.select("home", F.explode(F.arrays_zip("ks", "cs")).alias("e")).select("home", F.col("e.ks").alias("k"), F.col("e.cs").alias("c")).where(F.col("k") < width)
-    rows = after.union(counts.where("own > 0").select("home", "home", "own")).groupBy("home", "k").agg(F.sum("c").alias("c"))
-    cc = np.zeros((width, width))
-    for r in rows.collect():  # at most width * width rows
-        cc[r.home, r.k] = r.c
-    return cc
-
-
-def moved(counts: DataFrame, cc: np.ndarray, share: float, turn: int) -> DataFrame:
-    """id, cls: every word (or a ``share`` of them, others each turn) in the class of most gain against ``cc``; the end stays."""
+def rare_classes(found: DataFrame, units, of, cc: np.ndarray) -> DataFrame:
+    """word, cls: the best class of every rare word by its own neighbours, all against the class bigrams of the units."""
+    sent = found.sparkSession.sparkContext.broadcast(cc)
     width = len(cc)
-    sent = counts.sparkSession.sparkContext.broadcast(cc)
-    able = (F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 << 20)) < int(share * (1 << 20))) & (F.col("id") != 0)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        memo: dict = {}  # rare words often have equal counts
+        u, classes, cc = units.value, of.value, sent.value
+        table, memo = Table(cc), {}
         for batch in batches:
-            ids, homes, owns, ks, cs, can = (c.to_pylist() for c in batch.columns)
             out = []
-            for home, own, k, c, a in zip(homes, owns, ks, cs, can, strict=True):
-                if not a:
-                    out.append(home)
-                    continue
-                key = (home, own, *k, *c)
+            words = batch.column(0).to_pylist()
+            for home, k, c in zip(classes[u(words)].tolist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                key = (home, *k, *c)  # most rare words stand once, and many of them alike
                 if key not in memo:
                     if len(memo) > FLUSH:
                         memo.clear()
-                    memo[key] = better(sent.value, home, own, k, c)
+                    both = np.zeros(2 * width)
+                    both[k] = c
+                    table.shift(home, both[:width], both[width:], 0.0, -1)
+                    memo[key] = table.best(home, both[:width], both[width:], 0.0)
+                    table.shift(home, both[:width], both[width:], 0.0, 1)
                 out.append(memo[key])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], names=["id", "cls"])
-
-    def better(cc: np.ndarray, home: int, own: int, k: list[int], c: list[int]) -> int:
-        both = np.zeros(2 * width)
-        both[k] = c
-        out, into = both[:width], both[width:]
-        cc = cc.copy()
-        cc[home] -= out
-        cc[:, home] -= into
-        cc[home, home] -= own
-        gain = gains(cc, out, into, own)
-        return int(gain.argmax()) if gain.max() > gain[home] + 1e-9 else home
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int32())], names=["word", "cls"])
+        release()
 
-    return counts.select("id", "home", "own", "ks", "cs", able.alias("able")).mapInArrow(run, "id long, cls long")
+    return found.mapInArrow(run, "word binary, cls int")
 
 
-def exchange_words(pairs: DataFrame, classes: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
-    """(id, cls of every word; bigrams of the classes), from classes (id, cls) to start with."""
-    counts = materialize(class_counts(pairs, classes, width), "counts")
-    cc, share, turn = class_bigrams(counts, width), 1.0, 0
-    while width > 2 and share >= LEAST_SHARE:
-        turn += 1
-        tried = materialize(moved(counts, cc, share, turn), "classes")
-        after = materialize(class_counts(pairs, tried, width), "counts")
-        now = class_bigrams(after, width)
-        rise = likelihood(now) - likelihood(cc)
-        if rise <= 0:
-            share /= 2
-            continue
-        counts, cc, classes = after, now, tried
-        if rise < LEAST_GAIN * abs(likelihood(cc)):
-            break
-    return classes, cc
+class Classes:
+    """What training has found: the units and their classes, counts and classes of the frequent words (a dictionary), of all words (a table word, c, cls), and sizes."""
 
+    def __init__(self, units: Units, of: np.ndarray, known: dict[bytes, tuple[int, int]], vocabulary: DataFrame, total: int, kinds: int, width: int):
+        self.units, self.of, self.known, self.vocabulary, self.total, self.kinds, self.width = units, of, known, vocabulary, total, kinds, width
 
-def train(docs: DataFrame, kept: int = KEPT, head: int = HEAD, tails: int = TAILS, classes: int = CLASSES):
-    """(model, vocabulary table (word, c, cls), the ``kept`` most frequent words with their counts and classes) of training documents (column raw)."""
+
+def train(docs: DataFrame, kept: int = KEPT, tails: int = TAILS, classes: int = CLASSES, log: list[float] | None = None) -> Classes:
+    """Classes of all words of the training documents (column raw)."""
     spark = docs.sparkSession
     vocabulary = materialize(word_counts(docs), "vocabulary")
-    total, size = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    often = [(bytes(r.word), r.c) for r in vocabulary.orderBy(F.desc("c"), "word").limit(kept).collect()]
-    units = Units([w for w, _ in often if w != END][:head], tails)
-    of = exchange(bigram_counts(docs, spark.sparkContext.broadcast(units)), classes)
-    width = int(of.max()) + 1
-    words, ids = numbered(vocabulary, [w for w, _ in often], spark.sparkContext.broadcast((units, of)))
-    pairs = materialize(word_pairs(docs, ids), "pairs")
-    best, cc = exchange_words(pairs, words.select("id", "cls"), width)
-    vocabulary = materialize(words.drop("cls").join(best, "id").select("word", "c", "id", "cls"), "classed")
-    kinds = np.zeros(width)
-    for row in vocabulary.groupBy("cls").count().collect():
-        kinds[row.cls] = row["count"]
-    place = {r.id: r.cls for r in vocabulary.where("id >= 0").select("id", "cls").collect()}
-    known = {w: (c, place[ids.value.place[w]]) for w, c in often}
-    return ClassModel(units, of, cc, kinds, total, size, by_class=True), vocabulary.select("word", "c", "cls"), known
+    total, kinds = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    often = frequent(vocabulary, kept)
+    units = Units([w for w, _ in often], tails)
+    width = max(2, min(classes, units.size))
+    # the end has class 0 to itself; others start by frequency, in turn, the tails after them
+    of = np.r_[0, 1 + np.arange(units.size - 1) % (width - 1)].astype(np.int64)
+    sent = spark.sparkContext.broadcast(units)
+    blocks = materialize(unit_blocks(materialize(unit_bigrams(docs, sent), "bigrams")), "blocks")
+    of, cc = exchange(blocks, of, width, log)
+    of_sent = spark.sparkContext.broadcast(of)
+    rare = materialize(rare_classes(rare_neighbours(docs, sent, of_sent, width), sent, of_sent, cc), "rare")
+    known = {w: (c, int(of[i])) for i, (w, c) in enumerate(often)}
+    placed = map_batches(vocabulary, lambda b: _known_classes(b, sent, of_sent), "word binary, c long, cls int")
+    joined = placed.where("cls >= 0").union(vocabulary.join(rare, "word").select("word", "c", "cls"))
+    return Classes(units, of, known, materialize(joined, "classed"), total, kinds, width)
+
+
+def _known_classes(batch: pa.RecordBatch, units, of) -> Iterator[pa.RecordBatch]:
+    x = units.value(batch.column(0).to_pylist())
+    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.where(x < units.value.first_tail, of.value[x], -1).astype(np.int32))], names=["word", "c", "cls"])
+
+
+class ClassModel:
+    def __init__(self, cc: np.ndarray, kinds: np.ndarray, mass: np.ndarray, open_classes: np.ndarray):
+        """cc: class bigrams. Of each class: distinct training words, their tokens, and whether unknown words can fall into it."""
+        k = len(cc)
+        base = (mass + ADD) / (mass.sum() + ADD * k)
+        before = cc.sum(axis=1, keepdims=True)
+        followers = (cc > 0).sum(axis=1, keepdims=True)
+        # Witten-Bell: a class passes on as much as it has followers
+        seen = before + followers > 0
+        self.transition = np.log10(np.where(seen, (cc + followers * base) / np.maximum(before + followers, 1), base))
+        self.room = np.log10(np.maximum(mass + ADD * (kinds + open_classes), 1e-300))
+
+    def terms(self, c: np.ndarray) -> float:
+        """Transition terms less the emissions' denominators, from the tokens' classes; log10(c + 0.1) of each token is still to be added."""
+        return float(self.transition[np.r_[0, c[:-1]], c].sum() - self.room[c].sum())
+
+
+def fitted(found: Classes, sequences: DataFrame) -> ClassModel:
+    """The model of the classes, from the class sequences of the training documents (column cls, 16-bit numbers)."""
+    width = found.width
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width * width)
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                c = np.frombuffer(raw, dtype=np.int16).astype(np.int64)
+                total += np.bincount(np.r_[0, c[:-1]] * width + c, minlength=width * width)
+        yield pair_batch(total)
+
+    cc = summed_bigrams(sequences.select("cls").mapInArrow(run, "pair long, c long"), width)
+    kinds, mass, open_classes = np.zeros(width), np.zeros(width), np.zeros(width)
+    for r in found.vocabulary.groupBy("cls").agg(F.count("*").alias("kinds"), F.sum("c").alias("mass")).collect():  # a row a class
+        kinds[r.cls], mass[r.cls] = r.kinds, r.mass
+    open_classes[found.of[found.units.first_tail :]] = 1
+    return ClassModel(cc, kinds, mass, open_classes)
 
 
 def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **sizes) -> DataFrame:
@@ -377,11 +471,11 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **s
     """
     spark = docs.sparkSession
     rows = bare(docs, doc_id=doc_id, raw=utf8(text))
-    model, vocabulary, often = train(rows.where(~held_out()), **sizes)
-    sent = spark.sparkContext.broadcast((model, often))
+    found = train(rows.where(~held_out()), **sizes)
+    sent = spark.sparkContext.broadcast((found.units, found.of, found.known))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        model, often = sent.value
+        units, of, often = sent.value
         log = {c: float(np.log10(c + ADD)) for c in {c for c, _ in often.values()}}
         n, part, cls, known, rare = [], [], [], [], []
         for raw in batch.column(1).to_pylist():
@@ -389,11 +483,12 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **s
             here = Counter(words)
             got = [(often[w][0], k) for w, k in here.items() if w in often]
             n.append(len(words))
-            part.append(sum(log[c] * k for c, k in got))
-            known.append(sum(k for _, k in got))
+            part.append(math.fsum(log[c] * k for c, k in got))
+            # the end is unknown if no document is learned from
+            known.append(sum(k for c, k in got if c))
             at: dict = {w: [] for w in here if w not in often}
             # a word that is not among the frequent ones stands as if training never saw it, until the vocabulary says otherwise
-            unseen = dict(zip(at, model.of[model.units(list(at))].tolist(), strict=True))
+            unseen = dict(zip(at, of[units(list(at))].tolist(), strict=True))
             cls.append(np.fromiter((often[w][1] if w in often else unseen[w] for w in words), dtype=np.int16, count=len(words)).tobytes())
             for i, w in enumerate(words):
                 if w in at:
@@ -402,29 +497,37 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **s
         columns = [pa.array(n, pa.int64()), pa.array(part, pa.float64()), pa.array(cls, pa.binary()), pa.array(known, pa.int64()), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64()), ("at", pa.list_(pa.int32()))])))]
         yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n", "part", "cls", "known", "rare"])
 
-    def finish(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        model, terms = sent.value[0], []
+    def place(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        out = []
         for raw, placed in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-            c = np.frombuffer(raw, dtype=np.int16).astype(np.int64)
+            c = np.frombuffer(raw, dtype=np.int16).copy()
             for p in placed or ():
                 c[p["at"]] = p["cls"]
-            terms.append(model.terms(c))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(terms, pa.float64())], names=[*batch.schema.names[:-2], "terms"])
+            out.append(c.tobytes())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(out, pa.binary())], names=batch.schema.names[:-1])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     half = map_batches(rows, run, f"doc_id {kind}, n long, part double, cls binary, known long, rare array<struct<word:binary,k:long,at:array<int>>>")
     half = materialize(half.withColumn("key", F.monotonically_increasing_id()), "scores")  # written, so the keys stay
-    found = half.select("key", F.inline("rare")).join(vocabulary.withColumnRenamed("cls", "placed"), "word", "left")
-    rest = found.groupBy("key").agg(
+    looked = half.select("key", F.inline("rare")).join(found.vocabulary.withColumnRenamed("cls", "placed"), "word", "left")
+    rest = looked.groupBy("key").agg(
         F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(ADD))).alias("more"), F.sum(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("found"),
         F.collect_list(F.when(F.col("c").isNotNull(), F.struct("at", F.col("placed").alias("cls")))).alias("rare"),
     )
     both = half.drop("rare").join(rest, "key", "left")
     emitted = F.col("part") + F.coalesce("more", F.lit(0.0))
     both = both.select("doc_id", "n", (F.col("known") + F.coalesce("found", F.lit(0))).alias("known"), emitted.alias("emitted"), "cls", "rare")
-    both = map_batches(both, finish, f"doc_id {kind}, n long, known long, emitted double, terms double")
+    both = materialize(map_batches(both, place, f"doc_id {kind}, n long, known long, emitted double, cls binary"), "sequences")
+    model = spark.sparkContext.broadcast(fitted(found, both.where(~held_out())))
+
+    def finish(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        terms = [model.value.terms(np.frombuffer(raw, dtype=np.int16).astype(np.int64)) for raw in batch.column(4).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(terms, pa.float64())], names=[*batch.schema.names[:4], "terms"])
+
+    done = map_batches(both, finish, f"doc_id {kind}, n long, known long, emitted double, terms double")
     score = F.col("emitted") + F.col("terms")
-    return both.select(
-        "doc_id", held_out().alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("emitted") - F.col("n") * F.lit(model.base_room)).alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n")).alias("perplexity"),
+    base_room = float(np.log10(found.total + ADD * (found.kinds + 1)))
+    return done.select(
+        "doc_id", held_out().alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(found.total).cast("long").alias("train_tokens"),
+        (F.col("emitted") - F.col("n") * F.lit(base_room)).alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n")).alias("perplexity"),
     )

@@ -158,60 +158,94 @@ def test_substring_dedup(docs, messy, empty, wide, monkeypatch):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+def brute_class_scores(rows, held, of, width, unseen, open_classes):
+    """log10 probability of every text, straight from the classes of the words."""
+    c = Counter(w for d, ws in rows if not held(d) for w in ws)
+    cls = lambda w: of[w] if w in of else unseen(w)
+    cc, mass, kinds = np.zeros((width, width)), Counter(), Counter()
+    for d, ws in rows:
+        if not held(d):
+            for before, w in zip([b"", *ws], ws, strict=False):
+                cc[cls(before), cls(w)] += 1
+    for w, n in c.items():
+        mass[of[w]] += n
+        kinds[of[w]] += 1
+    total = sum(mass.values())
+
+    def p(before, k):
+        base = (mass[k] + 0.1) / (total + 0.1 * width)
+        sent, followers = cc[before].sum(), (cc[before] > 0).sum()
+        return (cc[before, k] + followers * base) / (sent + followers) if sent else base
+
+    def emitted(w):
+        k = cls(w)
+        return (c[w] + 0.1) / (mass[k] + 0.1 * (kinds[k] + (k in open_classes)))
+
+    return [sum(math.log10(p(cls(before), cls(w)) * emitted(w)) for before, w in zip([b"", *ws], ws, strict=False)) for _, ws in rows]
+
+
 def test_class_lm(docs, messy, empty):
+    sizes = {"kept": 20, "tails": 4, "classes": 5}
     for table in (docs, messy):
         rows = [(r.doc_id, (r.text or "").encode().lower().split() + [b""]) for r in table.select("doc_id", "text").collect()]
         held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 10 == 0
         c = Counter(w for d, ws in rows if not held(d) for w in ws)
         total, kinds = sum(c.values()), len(c)
-        expected = sorted((str(d), held(d), len(ws), sum(c[w] > 0 for w in ws), round(sum(math.log10((c[w] + 0.1) / (total + 0.1 * (kinds + 1))) for w in ws), 6)) for d, ws in rows)
-        got = class_lm.score_texts(table, kept=20, head=8, tails=4, classes=5).collect()
-        assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == expected and all(r.train_tokens == total and r.score < 0 for r in got)
+        raw = table.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("raw")).where(~class_lm.held_out())
+        log = []
+        found = class_lm.train(raw, log=log, **sizes)
+        of = {bytes(r.word): r.cls for r in found.vocabulary.collect()}
+        assert set(of) == set(c) and of[b""] == 0 and list(of.values()).count(0) == 1
+        assert log == sorted(log) and len(set(log)) == len(log)  # every round raises the likelihood
+        tails = found.of[found.units.first_tail :]
+        scores = brute_class_scores(rows, held, of, found.width, lambda w: tails[class_lm.tail_group(w, 4)], set(tails.tolist()))  # noqa: B023
+        expected = sorted((str(d), held(d), len(ws), sum(c[w] > 0 for w in ws), round(sum(math.log10((c[w] + 0.1) / (total + 0.1 * (kinds + 1))) for w in ws), 6), round(s, 6)) for (d, ws), s in zip(rows, scores, strict=True))
+        got = class_lm.score_texts(table, **sizes).collect()
+        assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in got) == expected and all(r.train_tokens == total for r in got)
     assert class_lm.score_texts(empty).count() == 0
+    nothing = docs.where(class_lm.held_out())  # no row to learn from
+    assert all(r.n_known == 0 and r.train_tokens == 0 and math.isfinite(r.score) for r in class_lm.score_texts(nothing).collect())
 
 
 def test_class_lm_probabilities_sum_to_one():
-    units = class_lm.Units([b"a", b"b"], 3)
-    seqs = [[b"a", b"b", b""], [b"a", b"cx", b""], [b"a", b"dy", b"a", b""]]
-    bigrams, n = np.zeros((units.size, units.size)), np.zeros(units.size)
-    for s in seqs:
-        x = units(s)
-        np.add.at(bigrams, (np.r_[0, x[:-1]], x), 1)
-    counts = Counter(w for s in seqs for w in s)
-    for w in counts:
-        n[units([w])[0]] += 1
-    model = class_lm.ClassModel(units, class_lm.exchange(bigrams, 4), bigrams, n, sum(counts.values()), len(counts))
-    for before in range(len(model.transition)):
-        total = 0.0
-        for k in range(len(model.transition)):
-            own = [c for w, c in counts.items() if model.of[units([w])[0]] == k]
-            room = 0.1 if (model.of[units.first_tail :] == k).any() else 0
-            total += 10 ** model.transition[before, k] * (sum(c + 0.1 for c in own) + room) / 10 ** model.room[k] if own or room else 10 ** model.transition[before, k]
+    rng = np.random.default_rng(4)
+    cc, counts, of = rng.integers(0, 4, (5, 5)).astype(float), rng.integers(1, 9, 30), rng.integers(0, 5, 30)
+    cc[3] = 0
+    kinds, mass, unknown = np.bincount(of, minlength=5), np.bincount(of, weights=counts, minlength=5), np.array([0, 1, 1, 0, 1])
+    model = class_lm.ClassModel(cc, kinds, mass, unknown)
+    for before in range(5):
+        total = sum(10 ** model.transition[before, k] * (sum(counts[of == k] + 0.1) + 0.1 * unknown[k]) / 10 ** model.room[k] if kinds[k] or unknown[k] else 10 ** model.transition[before, k] for k in range(5))
         assert abs(total - 1) < 1e-9
 
 
+def test_class_lm_gains_are_exact():
+    """A unit's gain is the likelihood of the whole table with it in that class."""
+    rng = np.random.default_rng(6)
+    b, of = rng.integers(0, 5, (12, 12)), rng.integers(1, 4, 12)
+    of[0] = 0
+    cc = lambda of: np.array([[b[np.ix_(of == i, of == k)].sum() for k in range(4)] for i in range(4)], dtype=float)
+    table = class_lm.Table(cc(of))
+    for u in range(1, 12):
+        out, into = (np.bincount(of, weights=np.where(np.arange(12) == u, 0, x), minlength=4) for x in (b[u], b[:, u]))
+        table.shift(of[u], out, into, b[u, u], -1)
+        gain = table.gains(out, into, b[u, u])
+        true = [class_lm.likelihood(cc(np.where(np.arange(12) == u, k, of))) for k in range(4)]
+        assert np.allclose(np.diff(gain[1:]), np.diff(true[1:]))
+        table.shift(of[u], out, into, b[u, u], 1)
+    assert (table.cc == cc(of)).all()
+
+
 def test_class_lm_classes_every_word(spark):
-    """Rare words are classed by their own neighbours: two kinds of words, each in its own place, all too rare to be kept; by endings they'd be mixed."""
+    """Rare words are classed by their own neighbours: two kinds of words, each in its own place, all too rare to be units; by endings they'd be mixed."""
     rnd = random.Random(5)
     kinds = [[f"{chr(97 + i % 26)}{i}{k}{rnd.randrange(1000)}" for i in range(30)] for k in ("x", "y")]
     rows = [(f"{w} p q" if k == 0 else f"r s {w}",) for k in (0, 1) for w in kinds[k] for _ in range(4)]
     docs = spark.createDataFrame(rows, "text string").select(F.col("text").cast("binary").alias("raw"))
-    model, vocabulary, known = class_lm.train(docs, kept=5, head=4, tails=7, classes=8)
-    of = {bytes(r.word).decode(): r.cls for r in vocabulary.collect()}
-    assert len(known) == 5 and len(of) == 65 and not {of[w] for w in kinds[0]} & {of[w] for w in kinds[1]}
+    found = class_lm.train(docs, kept=5, tails=7, classes=8)
+    of = {bytes(r.word).decode(): r.cls for r in found.vocabulary.collect()}
+    assert len(found.known) == 5 and len(of) == 65 and not {of[w] for w in kinds[0]} & {of[w] for w in kinds[1]}
     ends = [{class_lm.tail_group(w.encode(), 7) for w in k} for k in kinds]
     assert ends[0] & ends[1]
-    # the model's class bigrams are those of these classes over the text
-    cc = Counter()
-    for (t,) in rows:
-        c = [of[w] for w in [*t.split(), ""]]
-        cc.update(zip([0, *c[:-1]], c, strict=True))
-    pairs = class_lm.materialize(class_lm.word_pairs(docs, spark.sparkContext.broadcast(class_lm.Ids([w for w in known], 0))), "pairs")
-    assert pairs.agg(F.sum("c")).first()[0] == sum(cc.values()) == model.total
-    ids = class_lm.Ids(list(known), 0)
-    classes = spark.createDataFrame([(int(ids([w.encode()])[0]), c) for w, c in of.items()], "id long, cls long")
-    got = class_lm.class_bigrams(class_lm.class_counts(pairs, classes, 8), 8)
-    assert {(i, j): got[i, j] for i, j in zip(*np.nonzero(got), strict=True)} == dict(cc)
 
 
 def brute_items(words, items, n=13):
