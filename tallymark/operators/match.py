@@ -6,7 +6,7 @@ from collections import defaultdict
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ReconcileError
@@ -37,20 +37,24 @@ def duplicate_keys(side: DataFrame, names: list[str], number: str) -> DataFrame:
     return rows.groupBy(*names, "n", "first").agg(F.min("number").alias("second"))
 
 
-def check_keys(side: DataFrame, model: HeaderModel, name: str, number: str) -> None:
-    keys = [f"_k{n}" for n in range(len(model.key_columns))]
-    if side.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        return
-    found = duplicate_keys(side, keys, number).orderBy("second").head()
-    shown = ", ".join(f"{model.label(i)}={found[f'_k{n}']!r}" for n, i in enumerate(model.key_columns))
-    raise ReconcileError("DUPLICATE_KEY", f"the {name} has the key {shown} in row {found['first']} and again in row {found['second']}")
-
-
 def by_key(source: DataFrame, target: DataFrame, model: HeaderModel, options: DiffOptions) -> DataFrame:
-    """Full outer join on the compared form of the key columns."""
-    s, t = keys_of(source, "s", model, options), keys_of(target, "t", model, options)
+    """Full outer join on the compared form of the key columns, written once, as all else starts from it.
+
+    Rows of a key are counted where the join has brought them together, and those of a key that stands more than once on a side are not joined; if there are any, the first
+    is reported."""
     keys = [f"_k{n}" for n in range(len(model.key_columns))]
-    return s.join(t, keys, "full_outer").drop(*keys).withColumn("via", F.lit("key"))
+    one = Window.partitionBy(*keys)
+    s, t = (keys_of(df, side, model, options).withColumn(f"_{side}n", F.count("*").over(one)) for df, side in ((source, "s"), (target, "t")))
+    same = [s[k] == t[k] for k in keys]
+    out = s.join(t, [*same, s["_sn"] == 1, t["_tn"] == 1], "full_outer")
+    out = stage(out.select(*[F.coalesce(s[k], t[k]).alias(k) for k in keys], *[c for df in (s, t) for c in df.columns if c not in keys], F.lit("key").alias("via")), "joined")
+    for side, name in (("s", "source"), ("t", "target")):
+        again = out.where(F.col(f"_{side}n") > 1)
+        if not again.isEmpty():
+            found = duplicate_keys(again, keys, f"{side}_row").orderBy("second").head()
+            shown = ", ".join(f"{model.label(i)}={found[f'_k{n}']!r}" for n, i in enumerate(model.key_columns))
+            raise ReconcileError("DUPLICATE_KEY", f"the {name} has the key {shown} in row {found['first']} and again in row {found['second']}")
+    return out.drop(*keys, "_sn", "_tn")
 
 
 def by_content(source: DataFrame, target: DataFrame, model: HeaderModel, options: DiffOptions) -> DataFrame:
@@ -86,7 +90,7 @@ def likeness_pairs(left: pd.DataFrame, width: int, k: int, percent: int, most_wo
     used: set = set()
     pairs, work = [], 0
     for idx, raw, norm in zip(targets.idx, targets.raw, targets.norm, strict=True):
-        if work >= most_work:
+        if work > most_work:
             return pairs, True
         candidates: dict = {}
         for c in signature(raw):
@@ -115,6 +119,12 @@ def likeness_pairs(left: pd.DataFrame, width: int, k: int, percent: int, most_wo
     return pairs, False
 
 
+def cells_of(df: DataFrame, side: str, model: HeaderModel, options: DiffOptions) -> DataFrame:
+    """{side}_idx, c, v: the compared form of each cell with any text."""
+    each = [F.when(F.col(f"{side}{i}") != "", F.struct(F.lit(i).alias("c"), v.alias("v"))) for i, v in enumerate(forms(side, model, options))]
+    return df.select(f"{side}_idx", F.inline(F.array_compact(F.array(*each))))
+
+
 def by_likeness(joined: DataFrame, model: HeaderModel, options: DiffOptions) -> tuple[DataFrame, bool]:
     """Pairs up unmatched rows of ``joined``; whether it gave up early. The pairing is greedy along the target, so one task does it; its work has fixed bounds."""
     cells = lambda side: F.array(*[F.col(f"{side}{i}") for i in range(model.width)])
@@ -125,8 +135,13 @@ def by_likeness(joined: DataFrame, model: HeaderModel, options: DiffOptions) ->
         return joined, False
     if sizes[True] > MOST_CELLS:
         return joined, True
-    sides = alone.where("t_idx is null").select(F.lit("s").alias("side"), F.col("s_idx").alias("idx"), cells("s").alias("raw"), norm("s").alias("norm"))
-    sides = sides.union(alone.where("s_idx is null").select(F.lit("t"), "t_idx", cells("t"), norm("t")))
+    own = lambda side: [c for c in joined.columns if c.startswith(side)]
+    s, t = alone.where("t_idx is null").select(*own("s")), alone.where("s_idx is null").select(*own("t"))
+    # a target that shares no cell with any source has no candidate; the last target shows whether the work ran out before the end
+    some = cells_of(t, "t", model, options).join(cells_of(s, "s", model, options).select("c", "v").distinct(), ["c", "v"], "left_semi").select("t_idx").distinct()
+    some = some.union(t.agg(F.max("t_idx"))).distinct()
+    sides = s.select(F.lit("s").alias("side"), F.col("s_idx").alias("idx"), cells("s").alias("raw"), norm("s").alias("norm"))
+    sides = sides.union(t.join(some, "t_idx", "left_semi").select(F.lit("t"), "t_idx", cells("t"), norm("t")))
     width, k, percent, work = model.width, options.k, options.percent, options.work
 
     def pair(left: pd.DataFrame) -> pd.DataFrame:
@@ -136,8 +151,6 @@ def by_likeness(joined: DataFrame, model: HeaderModel, options: DiffOptions) ->
     pairs = stage(sides.groupBy().applyInPandas(pair, "s_idx long, t_idx long"), "pairs")
     short = not pairs.where("s_idx < 0").isEmpty()
     pairs = pairs.where("s_idx >= 0")
-    own = lambda side: [c for c in joined.columns if c.startswith(side)]
-    s, t = alone.where("t_idx is null").select(*own("s")), alone.where("s_idx is null").select(*own("t"))
     paired = pairs.join(s, "s_idx").join(t, "t_idx").withColumn("via", F.lit("likeness")).select(*joined.columns)
     rest = [alone.where("t_idx is null").join(pairs.select("s_idx"), "s_idx", "left_anti").select(*joined.columns), alone.where("s_idx is null").join(pairs.select("t_idx"), "t_idx", "left_anti").select(*joined.columns)]
     return reduce(DataFrame.unionByName, [joined.where("s_idx is not null and t_idx is not null"), paired, *rest]), short

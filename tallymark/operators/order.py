@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: order values in a block
-BLOCK = 1 << 18
+#: order values in a block, as a power of two
+BLOCK_BITS = 18
 
 
 def block_of(order: str) -> Column:
-    return F.floor(F.col(order) / F.lit(BLOCK)).cast("long")
+    return F.shiftright(F.col(order), BLOCK_BITS)
 
 
 def ranked(df: DataFrame, block_by: str, order: list[str], name: str, within: list[str] = ()) -> DataFrame:

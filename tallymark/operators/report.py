@@ -72,21 +72,22 @@ def classified(joined: DataFrame, model: HeaderModel, options: DiffOptions) -> D
 def placed(rows: DataFrame, matches: DataFrame, deleted: str) -> DataFrame:
     """bucket and side added, which with s_idx or t_idx give the report's order: target rows in target order, each deleted row before the target row that follows its anchor.
 
-    A deleted row's anchor is the last matched row before it in the source; without one it stands first, with ``deleted`` = end after everything.
+    A deleted row's anchor is the last matched row before it in the source; without one it stands first, with ``deleted`` = end after everything. There
+    buckets go on by source place, so that however many rows are deleted, they fall into blocks.
     """
     gone = F.col("t_idx").isNull()
     if deleted == "end":
-        return rows.withColumn("bucket", F.when(gone, F.lit(2**62)).otherwise(F.col("t_idx"))).withColumn("side", F.when(gone, 0).otherwise(1))
+        return rows.withColumn("bucket", F.when(gone, F.col("s_idx") + F.lit(2**62)).otherwise(F.col("t_idx"))).withColumn("side", F.when(gone, 0).otherwise(1))
     seen = last_before(matches.select(F.col("s_idx").alias("s"), "t_idx"), "s", "t_idx", "last")
-    anchors = seen.where("t_idx is null").select(F.col("s").alias("s_idx"), (F.coalesce("last", F.lit(-1)) + 1).alias("anchor"))
+    anchors = seen.where("t_idx is null").select(F.col("s").alias("s_idx"), F.coalesce(F.col("last") + 1, F.col("s") - F.lit(2**62)).alias("anchor"))
     out = rows.join(anchors, "s_idx", "left")
     return out.withColumn("bucket", F.when(gone, F.col("anchor")).otherwise(F.col("t_idx"))).withColumn("side", F.when(gone, 0).otherwise(1)).drop("anchor")
 
 
 def positioned(rows: DataFrame) -> DataFrame:
     """report_pos (from 0) along the report's order."""
-    at = rows.withColumn("_at", F.least("bucket", F.lit(2**61))).withColumn("_idx", F.coalesce("t_idx", "s_idx"))
-    return ranked(at, "_at", ["_at", "side", "_idx"], "report_pos").drop("_at", "_idx")
+    at = rows.withColumn("_idx", F.coalesce("t_idx", "s_idx"))
+    return ranked(at, "bucket", ["bucket", "side", "_idx"], "report_pos").drop("_idx")
 
 
 def cells_of(model: HeaderModel) -> Column:

@@ -62,8 +62,8 @@ class Diff:
 
     @cached_property
     def matches(self) -> DataFrame:
-        """s_idx, t_idx, via of all rows; two numbers a row, written once as ranks, moves and anchors all start from it."""
-        return stage(self.joined.select("s_idx", "t_idx", "via"), "matches")
+        """s_idx, t_idx, via of all rows; the joined rows are written, so only these columns are read."""
+        return self.joined.select("s_idx", "t_idx", "via")
 
     @cached_property
     def moves(self) -> DataFrame:
@@ -83,6 +83,12 @@ class Diff:
         rows = reporting.placed(self.classified, self.matches, self.placement)
         return reporting.positioned(rows.where(~self.quiet) if changes_only else rows)
 
+    def first_rows(self, most: int, changes_only: bool = False) -> DataFrame:
+        """The first ``most`` of ``ordered_rows``: each task passes on its own first ones, nothing else is numbered."""
+        rows = reporting.placed(self.classified, self.matches, self.placement)
+        rows = rows.where(~self.quiet) if changes_only else rows
+        return reporting.positioned(rows.orderBy("bucket", "side", F.coalesce("t_idx", "s_idx")).limit(most))
+
     @property
     def quiet(self) -> Column:
         return (F.col("kind") == "unchanged") & ~F.col("moved") & (F.col("suppressed_cells") == 0) & (F.col("finding_cells") == 0)
@@ -204,8 +210,6 @@ def compare(spark: SparkSession, source: Source | DataFrame, target: Source | Da
 def joined_rows(left: DataFrame, right: DataFrame, model: HeaderModel, options: DiffOptions) -> tuple[DataFrame, bool]:
     """Source and target rows side by side, each row of either once; whether pairing by likeness gave up early."""
     if model.key_columns:
-        match.check_keys(match.keys_of(left, "s", model, options), model, "source", "s_row")
-        match.check_keys(match.keys_of(right, "t", model, options), model, "target", "t_row")
         return match.by_key(left, right, model, options), False
-    joined = match.by_content(left, right, model, options)
+    joined = stage(match.by_content(left, right, model, options), "joined")
     return match.by_likeness(joined, model, options) if options.similarity else (joined, False)

@@ -8,11 +8,15 @@ import uuid
 
 from pyspark.sql import DataFrame
 
+from ..errors import ReconcileError
+
 
 def shared_dir(spark) -> str:
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ReconcileError("INVALID_ARG", "spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tallymark-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -27,8 +31,3 @@ def stage(df: DataFrame, label: str) -> DataFrame:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of the size of ``df``."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

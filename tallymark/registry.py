@@ -316,7 +316,7 @@ def emit_jsonl(spark, sf_dir):
 def _csv_line(side: str, letter: str) -> str:
     cells = [f"CASE WHEN {letter}r IS NOT NULL THEN k ELSE '' END", *[f"coalesce({letter}{i}, '')" for i in (1, 2, 3, 4, 5)]]
     cells[2] = f"CASE WHEN {letter}2 LIKE ' %' THEN '\"' || {letter}2 || '\"' ELSE coalesce({letter}2, '') END"
-    return f"'1,' || kind || ',{side},false,0,' || coalesce(sr::VARCHAR, '') || ',' || coalesce(tr::VARCHAR, '') || ',' || nc || ',' || CASE WHEN nf > 0 THEN 'o_orderpriority:requiredEmpty' ELSE '' END || ',' || {' || $comma$,$comma$ || '.join(cells)}"
+    return f"'1,' || kind || ',{side},false,0,' || coalesce(sr::VARCHAR, '') || ',' || coalesce(tr::VARCHAR, '') || ',' || nc || ',' || nf || ',' || {' || $comma$,$comma$ || '.join(cells)}"
 
 
 @query(P1 + f"SELECT report_pos, 0 AS line, {_csv_line('source', 's')} AS value FROM p WHERE kind IN ('modified', 'deleted') UNION ALL SELECT report_pos, CASE kind WHEN 'modified' THEN 1 ELSE 0 END, {_csv_line('target', 't')} FROM p WHERE kind <> 'deleted'")

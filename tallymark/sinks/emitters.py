@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import ReconcileError
 from ..functions.normalize import truncated
 from ..functions.segments import DELETE, EQUAL, segments
 from ..operators import report
@@ -47,9 +48,9 @@ def html_escaped(c: Column) -> Column:
 def csv_quoted(c: Column, guard: bool = True, delimiter: str = ",") -> Column:
     """A CSV field: quoted for the delimiter, quotes, line ends and leading blanks; with ``guard``, what a spreadsheet would take for a formula gets an apostrophe.
 
-    A formula starts with = + @, a tab or a CR, or with - unless the whole is a plain number; such a value is quoted even without the guard."""
+    A formula starts with = + @, a tab or a CR, or with - unless a digit follows and the whole is a plain number; such a value is quoted even without the guard."""
     special = re.escape(delimiter)
-    formula = c.rlike(r"(?s)^[=+@\t\r]") | (c.startswith("-") & ~c.rlike(r"^-[0-9]+[.]?[0-9]*\z|^-[.][0-9]+\z"))
+    formula = c.rlike(r"(?s)^[=+@\t\r]") | (c.startswith("-") & ~c.rlike(r"^-[0-9]+[.]?[0-9]*\z"))
     quoted = F.concat(F.lit('"'), F.when(formula, F.lit("'" if guard else "")).otherwise(F.lit("")), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
     return F.when(formula | c.rlike(f'[{special}"\\n\\r]|^[ \\t]'), quoted).otherwise(c)
 
@@ -90,10 +91,6 @@ def _json_text(s: str) -> str:
     return BROKEN_RE.sub(lambda m: "\\ufffd" * len(m[0]), out)
 
 
-def _finding_words(diff) -> Column:
-    return F.concat_ws(" ", F.transform(report.finding_list(diff.model), lambda f: F.concat(f["name"], F.lit(":"), f["kind"])))
-
-
 def _csv(diff, rows: DataFrame, o: EmitOptions) -> Column:
     """Array of one or two lines."""
     d = o.csv_delimiter
@@ -101,7 +98,7 @@ def _csv(diff, rows: DataFrame, o: EmitOptions) -> Column:
     number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
 
     def line(side: str, letter: str) -> Column:
-        meta = [F.lit("1"), F.col("kind"), F.lit(side), F.when(F.col("moved"), "true").otherwise("false"), F.col("move_distance").cast("string"), number("s_row"), number("t_row"), F.col("changed_cells").cast("string"), put(_finding_words(diff))]
+        meta = [F.lit("1"), F.col("kind"), F.lit(side), F.when(F.col("moved"), "true").otherwise("false"), F.col("move_distance").cast("string"), number("s_row"), number("t_row"), F.col("changed_cells").cast("string"), F.size(report.finding_list(diff.model)).cast("string")]
         values = [put(_clipped(F.coalesce(F.col(f"{letter}{i}"), F.lit("")), o.max_cell_bytes)) for i in range(diff.model.width)] if o.include_values else []
         return F.concat_ws(d, *meta, *values)
 
@@ -144,20 +141,35 @@ def html_cell(source: str | None, target: str | None, flag: int, o: EmitOptions)
 
 
 def _html(diff, rows: DataFrame, o: EmitOptions) -> Column:
-    prefix, values = o.class_prefix, o.include_values
     n = diff.model.width
+    p = lambda *names: " ".join(f"{o.class_prefix}-{x}" for x in names)
+    mark = lambda c, name: F.when(c, f" {p(name)}").otherwise("")
+    head = [F.lit(f'<tr class="{p("row")} {o.class_prefix}-'), F.col("kind"), mark(F.col("moved"), "moved"), mark(F.col("finding_cells") > 0, "finding"), F.lit(f'"><td class="{p("num")}">'), F.coalesce("t_row", "s_row").cast("string"), F.lit("</td>")]
+    if not o.include_values:
+        return F.concat(*head, F.lit("</tr>"))
+    if o.cell_diff == "none":
+        return F.concat(*head, *[plain_cell(F.col(f"s{i}"), F.col(f"t{i}"), F.col(f"f{i}"), o) for i in range(n)], F.lit("</tr>"))
 
     @F.pandas_udf("string")
-    def render(kind: pd.Series, moved: pd.Series, found: pd.Series, number: pd.Series, flags: pd.Series, source: pd.Series, target: pd.Series) -> pd.Series:
-        out = []
-        for k, m, f, num, fl, s, t in zip(kind, moved, found, number, flags, source, target, strict=True):
-            names = ["row", k, *["moved"] * bool(m), *["finding"] * bool(f)]
-            cells = "".join(html_cell(s[i], t[i], int(fl[i]), o) for i in range(n)) if values else ""
-            out.append(f'<tr class="{" ".join(f"{prefix}-{x}" for x in names)}"><td class="{prefix}-num">{int(num)}</td>{cells}</tr>')
-        return pd.Series(out)
+    def render(flags: pd.Series, source: pd.Series, target: pd.Series) -> pd.Series:
+        return pd.Series(["".join(html_cell(s[i], t[i], int(fl[i]), o) for i in range(n)) for fl, s, t in zip(flags, source, target, strict=True)])
 
     side = lambda c: F.array(*[F.col(f"{c}{i}") for i in range(n)])
-    return render("kind", "moved", F.col("finding_cells") > 0, F.coalesce("t_row", "s_row"), F.array(*[F.col(f"f{i}") for i in range(n)]), side("s"), side("t"))
+    return F.concat(*head, render(F.array(*[F.col(f"f{i}") for i in range(n)]), side("s"), side("t")), F.lit("</tr>"))
+
+
+def plain_cell(source: Column, target: Column, flag: Column, o: EmitOptions) -> Column:
+    """``html_cell`` without marking inside changed cells."""
+    c = lambda name: f"{o.class_prefix}-{name}"
+    has = lambda bits: flag.bitwiseAND(bits) != 0
+    name = lambda cond, word: F.when(cond, f" {c(word)}").otherwise("")
+    found = F.lit("")
+    for bit, kind in reversed(report.FINDINGS):
+        found = F.when(has(bit), f' data-finding="{kind}"').otherwise(found)
+    shown = lambda v: F.regexp_replace(html_escaped(_clipped(v, o.max_cell_bytes)), f"{BROKEN}+", "\ufffd")
+    both = F.concat(F.lit(f'<span class="{c("old")}">'), shown(source), F.lit(f'</span><span class="{c("new")}">'), shown(target), F.lit("</span>"))
+    inside = F.when(has(report.CHANGED) & source.isNotNull() & target.isNotNull(), both).otherwise(shown(F.coalesce(target, source, F.lit(""))))
+    return F.concat(F.lit(f'<td class="{c("cell")}'), name(has(report.CHANGED), "changed"), name(has(report.SUPPRESSED), "suppressed"), name(has(report.FINDING), "finding"), F.lit('"'), found, F.lit(">"), inside, F.lit("</td>"))
 
 
 def head_and_foot(diff, format: str, o: EmitOptions) -> tuple[list[str], list[str]]:
@@ -177,11 +189,20 @@ def summary_json(summary: dict) -> str:
     return BROKEN_RE.sub(lambda m: "\\ufffd" * len(m[0]), json.dumps(summary, ensure_ascii=False, separators=(",", ":")))
 
 
+def read_summary(text: str) -> dict:
+    """A summary report read again; of this version only."""
+    try:
+        found = json.loads(text)
+    except ValueError as e:
+        raise ReconcileError("BAD_CONTENT", f"not a summary: {e}") from None
+    if not isinstance(found, dict) or found.get("schemaVersion") != 1 or not isinstance(found.get("rows"), dict):
+        raise ReconcileError("INVALID_ARG", "not a summary of version 1")
+    return found
+
+
 def lines(diff, format: str, o: EmitOptions = EmitOptions()) -> DataFrame:
     """report_pos, line, value of the rows' part of a report."""
-    rows = diff.ordered_rows(o.changes_only)
-    if o.max_rows > 0:
-        rows = rows.where(F.col("report_pos") < o.max_rows)
+    rows = diff.first_rows(o.max_rows, o.changes_only) if o.max_rows > 0 else diff.ordered_rows(o.changes_only)
     if format == "csv":
         return rows.select("report_pos", F.posexplode(_csv(diff, rows, o)).alias("line", "value"))
     value = _jsonl(diff, rows, o) if format == "jsonl" else _html(diff, rows, o)
@@ -212,6 +233,14 @@ def emit_to(diff, stream, format: str, o: EmitOptions = EmitOptions()) -> int:
     return n
 
 
+def restored(c: Column) -> Column:
+    """Text in which stand-ins for bytes that were not UTF-8 are those bytes again; it may not be UTF-8 then."""
+    raw = lambda b: F.lit(bytes([b])).cast("string")
+    pairs = F.array(*[F.struct(F.lit(chr(PRIVATE + b)).alias("stand"), raw(b).alias("raw")) for b in range(128, 256)])
+    return F.when(c.rlike(BROKEN), F.aggregate(pairs, c, lambda out, p: F.replace(out, p["stand"], p["raw"]))).otherwise(c)
+
+
 def write(diff, path: str, format: str, o: EmitOptions = EmitOptions()) -> None:
-    """A distributed sort, then one text file for each part."""
-    emit(diff, format, o).orderBy("part", "report_pos", "line").select("value").write.text(path)
+    """A distributed sort, then one text file for each part. Bytes of the input that weren't UTF-8 come out of CSV as they went in."""
+    ordered = emit(diff, format, o).orderBy("part", "report_pos", "line")
+    ordered.select((restored(F.col("value")) if format == "csv" else F.col("value")).alias("value")).write.text(path)

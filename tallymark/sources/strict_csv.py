@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 import codecs
-import gzip
 import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import ReconcileError
 from ..options import Dialect, Limits
 from ..plans.storage import stage
 
-#: bytes that are not UTF-8 become code points of a private plane, so differing bytes stay different and come back on output
+#: bytes that are not UTF-8 become the last 256 code points, so differing bytes stay different and come back on output
 PRIVATE = 0x10FF00
+#: what those code points themselves are in UTF-8; their bytes get stand-ins too, so that nothing else looks like one
+TAKEN = re.compile(rb"\xf4\x8f[\xbc-\xbf][\x80-\xbf]")
 BATCH = 10_000
 
 
@@ -31,7 +34,14 @@ codecs.register_error("tallymark-keep", _keep)
 
 
 def text_of(raw: bytes) -> str:
-    return raw.decode("utf-8", "tallymark-keep")
+    out = raw.decode("utf-8", "tallymark-keep")
+    if b"\xf4\x8f" in raw and TAKEN.search(raw):
+        parts, at = [], 0
+        for m in TAKEN.finditer(raw):
+            parts += [raw[at : m.start()].decode("utf-8", "tallymark-keep"), *(chr(PRIVATE + b) for b in m[0])]
+            at = m.end()
+        out = "".join([*parts, raw[at:].decode("utf-8", "tallymark-keep")])
+    return out
 
 
 def bytes_of(text: str) -> bytes:
@@ -63,14 +73,28 @@ def sniff(data: bytes) -> None:
         raise ReconcileError("BAD_CONTENT", f"this is not CSV: it begins with {head[:16].decode('latin-1')!r}")
 
 
-def inflated(data: bytes, encoding: str | None) -> bytes:
+def inflated(data: bytes, encoding: str | None, most: int | None = None) -> bytes:
+    """The bytes under an encoding. Inflating stops beyond ``most`` bytes, so a small file can't fill the memory."""
     if encoding in (None, "", "identity"):
         return data
-    if encoding == "gzip":
-        return gzip.decompress(data)
-    if encoding == "deflate":
-        return zlib.decompress(data)
-    raise ReconcileError("INVALID_ARG", f"unknown encoding {encoding}")
+    if encoding not in ("gzip", "deflate"):
+        raise ReconcileError("INVALID_ARG", f"unknown encoding {encoding}")
+    out: list[bytes] = []
+    size = 0
+    try:
+        while data:
+            worker = zlib.decompressobj(31 if encoding == "gzip" else 15)
+            part = worker.decompress(data, 0 if most is None else most - size + 1)
+            out.append(part)
+            size += len(part)
+            if most is not None and size > most:
+                raise ReconcileError("TOO_LARGE", f"the inflated bytes are more than the limit of {most}")
+            if not worker.eof:
+                raise ReconcileError("BAD_CONTENT", f"the {encoding} data ends early")
+            data = worker.unused_data if encoding == "gzip" else b""
+    except zlib.error as e:
+        raise ReconcileError("BAD_CONTENT", f"not {encoding} data: {e}") from None
+    return b"".join(out)
 
 
 def parse(data: bytes, dialect: Dialect = Dialect(), limits: Limits = Limits(), stats: ParseStats | None = None) -> Iterator[list[bytes]]:
@@ -157,7 +181,7 @@ def row_batches(data: bytes, dialect: Dialect, limits: Limits, encoding: str | N
 
     stats, out = ParseStats(), []
     try:
-        data = inflated(data, encoding)
+        data = inflated(data, encoding, limits.max_bytes)
         if sniffed:
             sniff(data)
         for record in parse(data, dialect, limits, stats):
@@ -190,8 +214,31 @@ def scan(spark: SparkSession, contents: DataFrame, dialect: Dialect = Dialect(),
     return rows.where("rec > 0").select("rec", "cells"), ParseStats(*ends[0].stats)
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("content")
+def read_files(spark: SparkSession, path: str, limits: Limits | None = None) -> DataFrame:
+    """content of the one file at ``path``; its size is looked at before it is read."""
+    try:
+        files = spark.read.format("binaryFile").load(path)
+        found = files.select("path", "length").limit(2).collect()
+    except (AnalysisException, Py4JJavaError) as e:
+        raise ReconcileError("IO_ERROR", f"{path} can't be read: {str(e).splitlines()[0]}") from None
+    if not found:
+        raise ReconcileError("IO_ERROR", f"no file at {path}")
+    if len(found) > 1:
+        raise ReconcileError("INVALID_ARG", f"{path} is several files; a source is one")
+    if limits and limits.max_bytes is not None and found[0].length > limits.max_bytes:
+        raise ReconcileError("TOO_LARGE", f"{found[0].length} bytes are more than the limit of {limits.max_bytes}")
+    return files.select("content")
+
+
+def byte_counts(contents: DataFrame) -> dict[str, int]:
+    """Bytes, line feeds and quotes of a file, counted where it lies."""
+
+    def run(batches):
+        for b in batches:
+            raws = [v.as_py() for v in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([f(r) for r in raws], pa.int64()) for f in (len, lambda r: r.count(b"\n"), lambda r: r.count(b'"'))], names=["bytes", "line_feeds", "quotes"])
+
+    return contents.select("content").mapInArrow(run, "bytes long, line_feeds long, quotes long").first().asDict()
 
 
 def from_bytes(spark: SparkSession, data: bytes) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import codecs
 from collections.abc import Iterable
 from dataclasses import dataclass
+from dataclasses import fields as dataclass_fields
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,12 +15,9 @@ from ..errors import ReconcileError
 from ..functions.render import rendered
 from ..options import Dialect, HeaderLayout, Limits
 from ..plans.header import LOOK, Header, HeaderModel
-from ..plans.storage import plan_bytes, stage
+from ..plans.storage import stage
 from . import json_rows, strict_csv
 
-#: estimated size above which rows are numbered in parts, and not by one sorted task
-NUMBER_IN_PARTS = 256 << 20
-
 
 @dataclass
 class Side:
@@ -34,12 +33,9 @@ class Side:
 def numbered(df: DataFrame, order: list[Column | str], name: str = "rec", first: int = 1) -> DataFrame:
     """``df`` with its rows numbered along ``order``, which must tell all rows apart for the numbers to be the same at every run.
 
-    Large inputs are range-partitioned, sorted and written once; each part counts for itself from where the parts before end.
+    Rows are range-partitioned, sorted and written once; each part counts for itself from where the parts before end. Small parts are merged by Spark.
     """
-    if plan_bytes(df) <= NUMBER_IN_PARTS:
-        return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) + (first - 1)).cast("long"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     spread = stage(spread, "numbered")
     part = F.shiftright("_at", 33)
     sizes = spread.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
@@ -70,6 +66,23 @@ class Source:
     def string(text: str) -> Source:
         return CsvSource(data=text.encode("utf-8", "replace"))
 
+    @staticmethod
+    def reader(stream, charset: str | None = None) -> Source:
+        """A text stream, or a binary one in another charset, read as characters: a surrogate without its pair, or a byte that the charset lacks, becomes U+FFFD."""
+        if charset is None:
+            return CsvSource(data="".join(iter(lambda: stream.read(1 << 20), "")).encode("utf-16", "surrogatepass").decode("utf-16", "replace").encode())
+        decode, parts = codecs.getincrementaldecoder(charset)("replace"), []
+        while part := stream.read(1 << 20):
+            parts.append(decode.decode(part))
+        return CsvSource(data="".join([*parts, decode.decode(b"", True)]).encode("utf-8", "replace"))
+
+    @staticmethod
+    def stream(stream, size_hint: int | None = None, encoding: str | None = None, sniff: bool = True) -> Source:
+        """A binary stream, read when the comparison begins. ``size_hint`` is how many bytes are expected, 0 or None if unknown; it is checked against the limit before anything is read, and is no limit itself."""
+        if size_hint is not None and size_hint < 0:
+            raise ReconcileError("INVALID_ARG", "a size hint is not negative")
+        return CsvSource(stream=stream, size_hint=size_hint or 0, encoding=encoding, sniff=sniff)
+
     @staticmethod
     def fast_csv(path: str, header: Header, **options) -> Source:
         """Spark's own CSV reader, for large trusted files: splits one file, but pads short rows and drops fields beyond the header."""
@@ -121,14 +134,30 @@ class CsvSource(Source):
     contents: DataFrame | None = None
     encoding: str | None = None
     sniff: bool = True
+    stream: object = None
+    size_hint: int = 0
 
     def open(self, spark, dialect, limits):
-        contents = self.contents if self.contents is not None else strict_csv.from_bytes(spark, self.data) if self.path is None else strict_csv.read_files(spark, self.path)
+        if self.stream is not None and self.data is None:
+            self.data = self._drained(limits)
+        contents = self.contents if self.contents is not None else strict_csv.from_bytes(spark, self.data) if self.path is None else strict_csv.read_files(spark, self.path, limits)
         rows, stats = strict_csv.scan(spark, contents, dialect, limits, self.encoding, self.sniff)
         first = [r.cells for r in rows.where(F.col("rec") <= max(LOOK, 64)).orderBy("rec").collect()]
         return Side(_spread(rows, stats.columns), stats.columns, first, stats=stats)
 
 
+    def _drained(self, limits: Limits) -> bytes:
+        parts, size = [], self.size_hint
+        while True:
+            if limits.max_bytes is not None and size > limits.max_bytes:
+                raise ReconcileError("TOO_LARGE", f"the stream has more than the limit of {limits.max_bytes} bytes")
+            part = self.stream.read(1 << 20)
+            if not part:
+                return b"".join(parts)
+            parts.append(part)
+            size = sum(map(len, parts))
+
+
 @dataclass
 class FastCsvSource(Source):
     path: str
@@ -235,14 +264,55 @@ class DeclaredSource(Source):
 def parse_column(df: DataFrame, column: str, dialect: Dialect = Dialect(), limits: Limits = Limits()) -> DataFrame:
     """(the other columns of df, rec, cells) for each record of the CSV table in each row's text; a broken text raises. Distributed by row."""
     others = [c for c in df.columns if c != column]
-    schema = df.select(*[F.col(f"`{c}`") for c in others], F.lit(0).cast("long").alias("rec"), F.array(F.lit("")).alias("cells")).schema
+    return _parsed(df, column, dialect, limits, False).select(*[F.col(f"`{c}`") for c in others], "rec", "cells")
+
+
+def try_parse_column(df: DataFrame, column: str, dialect: Dialect = Dialect(), limits: Limits = Limits()) -> DataFrame:
+    """As ``parse_column``, with ``status`` and ``message``: after its good records a broken text has one row with the error, and rec null. The column may be binary."""
+    return _parsed(df, column, dialect, limits, True)
+
+
+def _parsed(df: DataFrame, column: str, dialect: Dialect, limits: Limits, keep_errors: bool) -> DataFrame:
+    others = [c for c in df.columns if c != column]
+    schema = df.select(*[F.col(f"`{c}`") for c in others], F.lit(None).cast("long").alias("rec"), F.lit(None).cast("array<string>").alias("cells"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("message")).schema
 
     def run(batches):
         for b in batches:
             for i, text in enumerate(b.column(len(others)).to_pylist()):
-                records = [[strict_csv.text_of(v) for v in r] for r in strict_csv.parse((text or "").encode(), dialect, limits)]
-                if records:
-                    same = [pa.array([b.column(j)[i].as_py()] * len(records), b.column(j).type) for j in range(len(others))]
-                    yield pa.RecordBatch.from_arrays([*same, pa.array(range(1, len(records) + 1), pa.int64()), pa.array(records, pa.list_(pa.string()))], names=[*others, "rec", "cells"])
+                records, failed = [], None
+                try:
+                    for r in strict_csv.parse(text.encode() if isinstance(text, str) else text or b"", dialect, limits):
+                        records.append([strict_csv.text_of(v) for v in r])
+                except ReconcileError as e:
+                    if not keep_errors:
+                        raise
+                    failed = e
+                n, bad = len(records), int(failed is not None)
+                if n + bad:
+                    same = [pa.array([b.column(j)[i].as_py()] * (n + bad), b.column(j).type) for j in range(len(others))]
+                    more = [pa.array([*range(1, n + 1), *[None] * bad], pa.int64()), pa.array([*records, *[None] * bad], pa.list_(pa.string()))]
+                    more += [pa.array([None] * n + [v] * bad, pa.string()) for v in ((failed.status, failed.message) if failed else (None, None))]
+                    yield pa.RecordBatch.from_arrays([*same, *more], names=[*others, "rec", "cells", "status", "message"])
+
+    return df.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{column}`")).mapInArrow(run, schema)
+
 
+def parse_stats(df: DataFrame, column: str, dialect: Dialect = Dialect(), limits: Limits = Limits()) -> DataFrame:
+    """(the other columns of df, stats) with the parser's statistics of the CSV table in each row's text; a broken text raises."""
+    others = [c for c in df.columns if c != column]
+    names = [f.name for f in dataclass_fields(strict_csv.ParseStats)]
+
+    def run(batches):
+        for b in batches:
+            found = []
+            for text in b.column(len(others)).to_pylist():
+                stats = strict_csv.ParseStats()
+                for _ in strict_csv.parse((text or "").encode(), dialect, limits, stats):
+                    pass
+                found.append({n: getattr(stats, n) for n in names})
+            kind = pa.struct([(n, pa.int64()) for n in names])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(others)], pa.array(found, kind)], names=[*others, "stats"])
+
+    struct = F.struct(*[F.lit(0).cast("long").alias(n) for n in names])
+    schema = df.select(*[F.col(f"`{c}`") for c in others], struct.alias("stats")).schema
     return df.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{column}`")).mapInArrow(run, schema)

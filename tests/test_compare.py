@@ -155,7 +155,7 @@ def test_cli(spark, tmp_path):
     (tmp_path / "a.csv").write_text(head + "x,1\n")
     (tmp_path / "b.csv").write_text("id,n\nx,2\n")
     out = io.StringIO()
-    assert main(["diff", str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], spark, out) == 1 and "modified    1" in out.getvalue()
+    assert main(["diff", str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], spark, out) == 1 and "modified        1  (1 cells)" in out.getvalue()
     assert main(["diff", str(tmp_path / "a.csv"), str(tmp_path / "a.csv"), "--format", "summary"], spark, out) == 0
     (tmp_path / "c.csv").write_text('id,n\n"x,2\n')
     assert main(["diff", str(tmp_path / "a.csv"), str(tmp_path / "c.csv")], spark, out) == 2
