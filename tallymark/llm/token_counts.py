@@ -11,6 +11,7 @@ Words repeat, so the counts of white-space separated chunks are remembered per w
 from __future__ import annotations
 
 import json
+import os
 import unicodedata
 from collections.abc import Iterable
 from functools import lru_cache
@@ -32,10 +33,10 @@ LATIN = bytes(range(0xC4))
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def chunks_of(raw: bytes, fold: bool = False) -> list[bytes]:
+def chunks_of(raw: bytes, fold: bool, hint: bytes) -> list[bytes]:
     """A text's UTF-8 bytes, split at ASCII white space; other white space stays inside a chunk. ``fold``: A-Z may become a-z where no special string
-    or combining mark could make that matter, so more chunks are equal."""
-    if fold and b"<|" not in raw and not raw.translate(None, LATIN):
+    (all begin with ``hint``) or combining mark could make that matter, so more chunks are equal."""
+    if fold and hint not in raw and not raw.translate(None, LATIN):
         raw = raw.lower()
     return raw.split()
 
@@ -88,7 +89,13 @@ class RankMerger:
         if split and not self.by_chunk:
             raise ValueError("this kind of Split is not supported")
         self.pattern = regex.compile(split["pattern"]["Regex"] if split else BYTE_LEVEL)
-        added = sorted((t["content"] for t in spec.get("added_tokens", ())), key=len, reverse=True)
+        tokens = spec.get("added_tokens") or []
+        odd = sorted({k for t in tokens for k in ("lstrip", "rstrip", "single_word", "normalized") if t.get(k)})
+        if odd:
+            raise ValueError(f"added tokens with these settings are not supported: {odd}")
+        added = sorted((t["content"] for t in tokens), key=len, reverse=True)
+        #: what every special string begins with, possibly nothing
+        self.hint = os.path.commonprefix(added)
         self.special = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
         self.memo = Remembered(MEMO)
 
@@ -145,14 +152,14 @@ class RankMerger:
         flat: dict[bytes, int] = {}
         parts: list[tuple[int, list[int]]] = []
         for piece in pieces:
-            cut = self.special.split(piece) if self.special and "<|" in piece else [piece]
+            cut = self.special.split(piece) if self.special and self.hint in piece else [piece]
             fixed = len(cut) // 2
             parts.append((fixed, [flat.setdefault(t, len(flat)) for p in cut[::2] if p for t in self.pretokens(p)]))
         got = self.surviving(list(flat))
         return [fixed + int(got[own].sum()) if own else fixed for fixed, own in parts]
 
     def count(self, texts: list[bytes]) -> list[int]:
-        split = [chunks_of(t, self.lower) if self.by_chunk else [t] if t else [] for t in texts]
+        split = [chunks_of(t, self.lower, self.hint.encode()) if self.by_chunk else [t] if t else [] for t in texts]
         chunks: set[bytes] = set()
         chunks.update(*split)
         got, fresh = self.memo.take(chunks)

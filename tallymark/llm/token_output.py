@@ -119,6 +119,7 @@ class Encoder:
         self.by_chunk = '"behavior":"Removed","invert":true' in pre.replace(": ", ":").replace(", ", ",")
         self.memo = Remembered(REMEMBERED)
         self.folds = "Lowercase" in pre
+        self.hint = os.path.commonprefix([t.content for t in self.tokenizer.get_added_tokens_decoder().values()]).encode()
         if self.by_chunk:
             ends = [t.endswith("</w>") for t in (self.tokenizer.id_to_token(i) or "" for i in range(self.vocabulary))]
             self.by_chunk, self.ends_word = any(ends), np.array(ends)
@@ -169,7 +170,7 @@ class Encoder:
         """Ids of each text (UTF-8) as little-endian unsigned 32-bit integers."""
         if not self.by_chunk:
             return self.raw([t.decode() for t in texts])
-        split = [chunks_of(t, self.folds) for t in texts]
+        split = [chunks_of(t, self.folds, self.hint) for t in texts]
         chunks: set[bytes] = set()
         chunks.update(*split)
         got = self.ids_of(chunks)
