@@ -8,7 +8,9 @@ documents of equal source and size have equal rates. From tilt 0 the steps appro
 positive and convex for negative tilts when cap is 2, so they need no damping.
 
 Rates become copies of documents for each (source, size) group: the group's copies are rounded by a hash, a source's remaining words are made up
-by its groups from large sizes to small, and inside a group the documents of least hash get the extra copy.
+by its groups from large sizes to small, and inside a group the documents of least hash get the extra copy, of equal rows the first.
+
+Only (key, source, size, hash) of the documents is moved about; copies are joined back to the documents by key, so a hot source is no hot key there.
 """
 
 from __future__ import annotations
@@ -16,19 +18,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, materialize, with_key
 
 SHARE, WEIGHTS, CAP = 1.5, (3, 1, 2), 2
-#: Newton steps in one job, jobs at most, and the relative distance from the targets at which they end
-STEPS, JOBS, NEAR = 6, 8, 1e-6
+#: Newton steps in one job, steps after which they count as failed, and the relative distance from the targets at which they end
+STEPS, FAILED, NEAR = 6, 600, 1e-6
 #: documents of a group that are ranked together
 TOGETHER = 64
 
 
-def size_of(text: str = "text") -> Column:
-    return F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0)).cast("long")
-
-
 def targets(sizes: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """sid, target, mean added to sizes (source, source_size, n): ``share`` of all words by weight, no source above ``cap`` times its size.
 
@@ -53,24 +51,26 @@ def rate(cap: int) -> Column:
 
 
 def tilts(groups: DataFrame, sources: DataFrame, cap: int = CAP) -> DataFrame:
-    """sources with the ``tilt`` that solves the dual; null where the target is the source's limit."""
+    """sources with the ``tilt`` that solves the dual; null where the target is the source's limit. Steps go on until every source is at its target."""
     free = (F.col("source_size") > 0) & (F.col("target") < F.lit(cap * (1 - 1e-9)) * F.col("source_size"))
     state = sources.withColumn("tilt", F.when(free, F.lit(0.0)))
     keep = ["sid", "source", "source_size", "target", "mean"]
-    for _ in range(JOBS):
+    for _ in range(FAILED // STEPS):
         for _ in range(STEPS):
             r = rate(cap)
             words = F.col("n") * F.col("size")
             sums = groups.join(state, "sid").groupBy("sid").agg(
                 *[F.first(c).alias(c) for c in (*keep[1:], "tilt")], F.sum(words * r).alias("f"), F.sum(words * F.col("size") / F.col("mean") * r * (F.lit(1.0) - r / F.lit(float(cap)))).alias("slope")
             )
-            step = F.when(F.col("slope") > 0, (F.col("f") - F.col("target")) / F.col("slope")).otherwise(F.lit(0.0))
-            state = sums.select(*keep, (F.col("tilt") - step).alias("tilt"), (F.abs(F.col("f") - F.col("target")) / F.col("target")).alias("off"))
+            off = F.abs(F.col("f") - F.col("target")) / F.col("target")
+            # a source that has arrived stays, so that rounding does not move it on
+            step = F.when((F.col("slope") > 0) & (off > NEAR / 10), (F.col("f") - F.col("target")) / F.col("slope")).otherwise(F.lit(0.0))
+            state = sums.select(*keep, (F.col("tilt") - step).alias("tilt"), off.alias("off"))
         state = materialize(state, "tilts")
         far = state.where(F.col("tilt").isNotNull()).agg(F.max("off")).first()[0]
         if far is None or far <= NEAR:
-            break
-    return state.select(*keep, "tilt")
+            return state.select(*keep, "tilt")
+    raise RuntimeError(f"a source is still {far:.2g} of its target away from it after {FAILED} steps")
 
 
 def allotted(groups: DataFrame, sources: DataFrame, cap: int = CAP) -> DataFrame:
@@ -122,35 +122,35 @@ def filled(out: DataFrame, cap: int) -> DataFrame:
 
 
 def extra_bounds(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """source, size, bound: the e-th least hash of each group of which e documents, more than none and fewer than all, get an extra copy.
+    """source, size, bound: the e-th least (h, key) of each group of which e documents, more than none and fewer than all, get an extra copy.
 
-    Hashes are dealt into ranges of about ``TOGETHER`` documents; counts find the range, and only that is ranked, so no task gets a group.
+    Hashes are dealt into ranges of about ``TOGETHER`` documents; counts find the range, and only that is ranked, so no task gets a group. Equal
+    rows share a hash: as many as there are of one row may come together in a range.
     """
     some = groups.where("e > 0 and e < n").select(F.col("source").alias("s"), F.col("size").alias("z"), "e", F.greatest(F.lit(1.0), F.floor(F.col("n") / F.lit(TOGETHER))).alias("ranges"))
     same = F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))
-    ranged = rows.join(some, same).select("source", "size", "h", "e", F.floor(F.col("h") / F.lit(float(1 << 63)) * F.col("ranges")).alias("range"))
+    ranged = rows.join(some, same).select("source", "size", "h", "key", "e", F.floor(F.col("h") / F.lit(float(1 << 63)) * F.col("ranges")).alias("range"))
     counted = ranged.groupBy("source", "size", "range", "e").agg(F.count("*").alias("c"))
     upto = F.sum("c").over(Window.partitionBy("source", "size").orderBy("range"))
     at = counted.withColumn("upto", upto).where("upto >= e and upto - c < e").select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("range").alias("r"), (F.col("e") - F.col("upto") + F.col("c")).alias("rank"))
-    inside = ranged.join(at, same & (F.col("range") == F.col("r"))).select("source", "size", "h", "rank")
-    placed = inside.withColumn("k", F.row_number().over(Window.partitionBy("source", "size").orderBy("h")))
-    return placed.where("k = rank").select("source", "size", F.col("h").alias("bound"))
+    inside = ranged.join(at, same & (F.col("range") == F.col("r"))).select("source", "size", "h", "key", "rank")
+    placed = inside.withColumn("k", F.row_number().over(Window.partitionBy("source", "size").orderBy("h", "key")))
+    return placed.where("k = rank").select("source", "size", F.struct("h", "key").alias("bound"))
 
 
-def mix(docs: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """docs with size (words), source_size, target, rate, copies (0 to ``cap``) and taken (copies * size) added.
+ADDED = ("size", "source_size", "target", "rate", "copies", "taken")
 
-    Reruns agree: which documents get the extra copy is decided by a hash of id and text. A null text has size 0; a null source is a source, the
-    last. Equal rows get equal copies. Sources without words have target 0 and keep their documents once. An empty table stays empty. Columns of docs
-    that bear the added names are replaced.
-    """
+
+def decided(docs: DataFrame, share: float, weights: tuple[int, ...], cap: int, doc_id: str, text: str, source: str) -> DataFrame:
+    """(whole, of, key, size, source_size, target, rate, copies, taken): every row of docs as a struct ``whole``, with what the mix decides for it."""
     if cap != 2:
         raise ValueError("the Newton steps are proven for at most 2 copies")
-    added = ("size", "source_size", "target", "rate", "copies", "taken")
-    keep = [c for c in docs.columns if c not in added]
-    h = F.shiftrightunsigned(F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`"), F.lit("copies")), 1)
-    full = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{source}`").alias("_source"), size_of(text).alias("_size"), h.alias("_h"))
-    rows = materialize(full.select(F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_h").alias("h")), "sizes")
+    # the columns of docs stay inside a struct, so none of them clashes with a column used here
+    keyed = with_key(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col(f"`{doc_id}`").alias("id")), doc_id="id", key="key").drop("id")
+    own = lambda c: F.col("whole").getField(c)
+    h = F.shiftrightunsigned(F.xxhash64(own(doc_id), own(text), F.lit("copies")), 1)
+    size = F.coalesce(F.regexp_count(own(text), F.lit(WORD)), F.lit(0)).cast("long")
+    rows = materialize(keyed.select("key", own(source).alias("source"), size.alias("size"), h.alias("h")), "sizes")
     counted = rows.groupBy("source", "size").agg(F.count("*").alias("n"))
     sources = materialize(targets(counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n")), share, weights, cap), "sources")
     groups = materialize(counted.join(sources.select(F.col("source").alias("s"), "sid"), F.col("source").eqNullSafe(F.col("s"))).select("sid", "size", "n"), "groups")
@@ -159,13 +159,25 @@ def mix(docs: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHT
     whole = F.floor(F.col("copies") / F.col("n")).cast("long")
     named = materialize(named.select("source", "size", "n", "source_size", "target", "rate", whole.alias("b"), (F.col("copies") - whole * F.col("n")).alias("e")), "allotted")
     bounds = extra_bounds(rows, named).select(F.col("source").alias("s"), F.col("size").alias("z"), "bound")
-    plan = materialize(named.join(bounds, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")), "left").select(F.col("source").alias("_s"), F.col("size").alias("_z"), "source_size", "target", "rate", "b", "bound"), "plan")
-    out = full.join(plan, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")))
-    copies = F.col("b") + F.coalesce((F.col("_h") <= F.col("bound")).cast("long"), F.lit(0))
-    return out.select(*[F.col(f"`{c}`") for c in keep], F.col("_size").alias("size"), "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("_size")).alias("taken"))
+    plan = materialize(named.join(bounds, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")), "left").select(F.col("source").alias("s"), F.col("size").alias("z"), "source_size", "target", "rate", "b", "bound"), "plan")
+    found = rows.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")))
+    copies = F.col("b") + F.coalesce((F.struct("h", "key") <= F.col("bound")).cast("long"), F.lit(0))
+    found = found.select("key", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return keyed.join(found, "key")
+
+
+def mix(docs: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """docs with size (words), source_size, target, rate, copies (0 to ``cap``) and taken (copies * size) added.
+
+    Reruns agree: which documents get the extra copy is decided by a hash of id and text, and among equal rows, of which any may, by a row number.
+    A null text has size 0; a null source is a source, the last. Sources without words have target 0 and keep their documents once. An empty
+    table stays empty. Columns of docs that bear the added names are replaced; any other name is free. RuntimeError if the dual is not solved.
+    """
+    out = decided(docs, share, weights, cap, doc_id, text, source)
+    return out.select(*[F.col("whole").getField(c).alias(c) for c in docs.columns if c not in ADDED], *ADDED)
 
 
-def mixed_rows(docs: DataFrame, **settings) -> DataFrame:
-    """The mix itself: every row of docs as often as ``mix`` gives it copies."""
-    out = mix(docs, **settings)
-    return out.withColumn("_copy", F.explode(F.expr("sequence(1L, greatest(copies, 1L))"))).where("copies > 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+def mixed_rows(docs: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mix itself: every row of docs, all its columns unchanged, as often as ``mix`` gives it copies."""
+    out = decided(docs, share, weights, cap, doc_id, text, source).where("copies > 0")
+    return out.select("whole", F.explode(F.expr("sequence(1L, copies)"))).select(*[F.col("whole").getField(c).alias(c) for c in docs.columns])
