@@ -7,8 +7,12 @@ of a window meet there. Runs whose minimizer occurs once can't hold a repeated w
 once, with their number. Each shard builds a suffix automaton of its runs and streams the same runs through it: wherever the
 match reaches a whole window, the automaton's weighted number of occurrences tells if it also starts anywhere else.
 
-A minimizer with very many different runs (a common phrase in ever new surroundings) is split further, into windows, whose
-occurrences are summed by hash with partial aggregation; so no task gets all of them.
+A minimizer with very many different runs (a common phrase in ever new surroundings) would be too much for one shard. Its runs are cut
+anew by a longer minimizer, halfway from the last to the window, and so on until the runs that meet are few or the minimizer is the window
+itself. Automata judge the pieces, and the runs they came from gather the verdicts.
+
+Runs count as equal where both the hash of the minimizer and that of the whole run agree, so two different runs are taken for one only if
+64-bit hashes clash within one minimizer.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from .automaton import SuffixAutomaton
 from .common import bare, map_batches, materialize, partitions, utf8, with_key
 
 WINDOW, ANCHOR = 35, 16
-#: words in one automaton, and different runs of a minimizer from which it is split into windows
+#: words in one automaton, and different runs of a minimizer from which they are cut anew
 SHARD_WORDS, WIDE = 20_000, 256
 MEMO = 400_000
 ODD = 0x9E3779B97F4A7C15
@@ -117,22 +121,17 @@ def run_rows(rows: DataFrame, window: int, anchor: int) -> DataFrame:
     return map_batches(rows.select("key", "text"), run, "m long, g long, key long, at long")
 
 
-def reference_rows(rows: DataFrame, wanted: DataFrame, window: int, wide: int) -> DataFrame:
-    """Words of the wanted runs (columns m, g, c, kinds, key, at): words for the automata, or hashes of each window where a minimizer is wide."""
-    lists = wanted.groupBy("key").agg(F.collect_list(F.struct("m", "g", "c", "kinds", "at")).alias("runs"))
+def reference_rows(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
+    """m, g, c, words of the wanted runs (columns m, g, c, key, at)."""
+    lists = wanted.groupBy("key").agg(F.collect_list(F.struct("m", "g", "c", "at")).alias("runs"))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for raw, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words, h = raw.split(), None
+            words = raw.split()
             for r in runs:
                 start, n = divmod(r["at"], 64)
-                if r["kinds"] <= wide:
-                    out.append((r["m"], r["g"], r["c"], 0, None, b" ".join(words[start : start + n + window - 1])))
-                else:
-                    h = h or Hasher(words)
-                    at = np.arange(start, start + n)
-                    out += [(r["m"], r["g"], r["c"], i, x, None) for i, x in enumerate(h.ranges(at, at + window).view(np.int64).tolist())]
+                out.append((r["m"], r["g"], r["c"], b" ".join(words[start : start + n + window - 1])))
             if len(out) > 20_000:
                 yield batch_of(out)
                 out = []
@@ -140,9 +139,44 @@ def reference_rows(rows: DataFrame, wanted: DataFrame, window: int, wide: int) -
             yield batch_of(out)
 
     def batch_of(out):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["m", "g", "c", "i", "w", "words"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["m", "g", "c", "words"])
+
+    return map_batches(rows.join(lists, "key").select("text", "runs"), run, "m long, g long, c long, words binary")
+
 
-    return map_batches(rows.join(lists, "key").select("text", "runs"), run, "m long, g long, c long, i int, w long, words binary")
+def cut_anew(found: DataFrame, window: int, anchor: int) -> DataFrame:
+    """pm, pg, off, m, g, c, words: the runs of ``found`` (m, g, c, words) cut by minimizers of ``anchor`` words, with the run and the window of it that each piece begins with."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for pm, pg, c, raw in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            words = raw.split(b" ")
+            m, g, first, number = (x.tolist() for x in runs_of(words, window, anchor))
+            out += [(pm, pg, at, m[i], g[i], c, b" ".join(words[at : at + number[i] + window - 1])) for i, at in enumerate(first)]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["pm", "pg", "off", "m", "g", "c", "words"])
+
+    return map_batches(found.select("m", "g", "c", "words"), run, "pm long, pg long, off int, m long, g long, c long, words binary")
+
+
+def judged(found: DataFrame, window: int, anchor: int, shard_words: int, wide: int) -> DataFrame:
+    """m, g, mask of the runs of ``found`` (m, g, c, words; each different run once) that hold repeated windows. ``found`` is cut by minimizers of ``anchor`` words."""
+    # only the few wide minimizers come back; where the minimizer is the window, all runs that meet are equal
+    wide_m = materialize(found.groupBy("m").agg(F.count("*").alias("kinds")).where(F.lit(anchor < window) & (F.col("kinds") > wide)).select("m"), "wide")
+    some = not wide_m.isEmpty()
+    narrow = found.join(wide_m, "m", "left_anti") if some else found
+    dealt = narrow.select("m", "g", "c", "words").repartition(partitions(found.sparkSession), "m").sortWithinPartitions("m", "g")
+    marks = dealt.mapInArrow(lambda b: judge_shards(b, window, shard_words), "m long, g long, mask long")
+    if not some:
+        return marks
+    longer = (anchor + window + 1) // 2
+    parts = materialize(cut_anew(found.join(wide_m, "m", "left_semi"), window, longer), "parts")
+    # pieces whose minimizer occurs once hold no repeated window
+    often = materialize(parts.groupBy("m").agg(F.sum("c").alias("n")).where("n > 1").select("m"), "often")
+    pieces = materialize(parts.join(often, "m", "left_semi").groupBy("m", "g").agg(F.sum("c").alias("c"), F.min("words").alias("words")), "pieces")
+    below = materialize(judged(pieces, window, longer, shard_words, wide), "judged")
+    gathered = parts.select("pm", "pg", "off", "m", "g").join(below, ["m", "g"]).groupBy("pm", "pg").agg(F.bit_or(F.expr("shiftleft(mask, off)")).alias("mask"))
+    return marks.union(gathered)
 
 
 def judge_shards(batches: Iterator[pa.RecordBatch], window: int, shard_words: int) -> Iterator[pa.RecordBatch]:
@@ -185,17 +219,9 @@ def repeated_runs(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, s
     # what these joins look up is written first: then both sides have an exchange, and Spark splits the rows of a hot minimizer or window
     often = materialize(runs.groupBy("m").agg(F.count("*").alias("n")).where("n > 1").select("m"), "often")
     shared = materialize(runs.join(often, "m", "left_semi"), "shared")
-    kinds = materialize(shared.groupBy("m", "g").agg(F.count("*").alias("c"), F.min(F.struct("key", "at")).alias("one")), "kinds")
-    # only the few wide minimizers come back
-    wide_m = materialize(kinds.groupBy("m").agg(F.count("*").alias("kinds")).where(F.col("kinds") > wide), "wide")
-    wanted = kinds.join(wide_m, "m", "left").select("m", "g", "c", F.coalesce("kinds", F.lit(0)).alias("kinds"), "one.key", "one.at")
-    found = materialize(reference_rows(rows, wanted, window, wide), "reference")
-    dealt = found.where("words is not null").select("m", "g", "c", "words").repartition(partitions(spark), "m").sortWithinPartitions("m", "g")
-    judged = dealt.mapInArrow(lambda b: judge_shards(b, window, shard_words), "m long, g long, mask long")
-    windows = found.where("words is null")
-    again = materialize(windows.groupBy("m", "w").agg(F.sum("c").alias("n")).where("n > 1").select("m", "w"), "again")
-    by_window = windows.join(again, ["m", "w"]).groupBy("m", "g").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
-    marks = shared.join(judged.union(by_window), ["m", "g"])
+    kinds = shared.groupBy("m", "g").agg(F.count("*").alias("c"), F.min(F.struct("key", "at")).alias("one")).select("m", "g", "c", "one.key", "one.at")
+    found = materialize(reference_rows(rows, kinds, window), "reference")
+    marks = shared.join(judged(found, window, anchor, shard_words, wide), ["m", "g"])
     return marks.groupBy("key").agg(F.collect_list(F.struct("at", "mask")).alias("runs"))
 
 
