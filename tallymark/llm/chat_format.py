@@ -2,11 +2,14 @@
 
 Turns are (conv_id, turn, role, text). A text that is a JSON object with ``tool_calls`` (each with id, name, arguments) makes calls; a turn of
 role ``tool`` whose text is a JSON object with ``tool_call_id`` and ``content`` is a result; any other turn is a message. Calls and
-results are joined by (conv_id, id). An argument "$id" refers to the result of the call of that id, so that call comes first.
+results are joined by (conv_id, id), in a hash join where Spark finds a side small enough and a sort-merge join beyond, which spills. An argument
+"$id" refers to the result of the call of that id, so that call comes first; text that begins with "$" is written with "$$".
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +39,38 @@ def canonical_map(m: Column, typed: bool = False) -> Column:
     return F.when(m.isNotNull(), F.concat(F.lit("{"), F.concat_ws(",", pairs), F.lit("}")))
 
 
+def is_reference(value: Column) -> Column:
+    """Whether a variant is a string that stands for the result of a call: one "$" and the call's id. Text that begins with "$" is written with "$$"."""
+    text = value.cast("string")
+    return F.coalesce((F.schema_of_variant(value) == "STRING") & text.startswith("$") & ~text.startswith("$$"), F.lit(False))
+
+
+def conforms(value: Column, schema: str | dict) -> Column:
+    """Whether a variant that is there fits a schema: a type, or {"type", "enum", "properties", "required", "items", "additionalProperties": False}. JSON null fits as if it weren't there."""
+    schema = {"type": schema} if isinstance(schema, str) else schema
+    good = F.lit(True)
+    if "type" in schema:
+        good &= F.schema_of_variant(value).rlike(TYPES[schema["type"]])
+    if "enum" in schema:
+        good &= F.to_json(value).isin([json.dumps(v, ensure_ascii=False, sort_keys=True, separators=(",", ":")) for v in schema["enum"]])
+    for name in {*schema.get("properties", ()), *schema.get("required", ())}:
+        if "'" in name or "\\" in name:
+            raise ValueError(f"an inner name may not hold quotes: {name}")
+    inner = lambda name: F.try_variant_get(value, f"$['{name}']", "variant")
+    for name in sorted(schema.get("required", ())):
+        good &= inner(name).isNotNull() & ~F.is_variant_null(inner(name))
+    for name, sub in sorted(schema.get("properties", {}).items()):
+        good &= F.coalesce(conforms(inner(name), sub), F.lit(True))
+    if schema.get("additionalProperties") is False:
+        names = F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
+        good &= F.coalesce(F.size(F.array_except(names, F.array(*[F.lit(n) for n in sorted(schema.get("properties", ()))]).cast("array<string>"))) == 0, F.lit(True))
+    if "items" in schema:
+        good &= F.coalesce(F.forall(F.try_variant_get(value, "$", "array<variant>"), lambda x: conforms(x, schema["items"])), F.lit(True))
+    return F.when(value.isNull() | F.is_variant_null(value), F.lit(True)).otherwise(F.coalesce(good, F.lit(False)))
+
+
 def fits(schemas: dict[str, dict]) -> Column:
-    """Whether a call (columns name, arguments) fits the schema of its tool: {"required": [...], "properties": {argument: type}}. An unknown tool fits nothing.
+    """Whether a call (columns name, arguments) fits the schema of its tool: {"required": [...], "properties": {argument: schema}}. An unknown tool fits nothing, an unknown argument neither.
 
     References fit any type."""
     out = F.lit(False)
@@ -49,9 +82,7 @@ def fits(schemas: dict[str, dict]) -> Column:
             good &= value.isNotNull() & F.coalesce(~F.is_variant_null(value), F.lit(False))
         for name, kind in sorted(properties.items()):
             value = F.element_at("arguments", F.lit(name))
-            real = F.schema_of_variant(value)
-            reference = (real == "STRING") & value.cast("string").startswith("$")
-            good &= F.coalesce(F.is_variant_null(value) | reference | real.rlike(TYPES[kind]), F.lit(True))
+            good &= F.coalesce(is_reference(value) | conforms(value, kind), F.lit(True))
         known = F.array(*[F.lit(n) for n in sorted(properties)]).cast("array<string>")
         good &= F.coalesce(F.size(F.array_except(F.map_keys("arguments"), known)) == 0, F.lit(True))
         out = F.when(F.col("name") == tool, good).otherwise(out)
@@ -63,8 +94,8 @@ def depths(calls: DataFrame) -> DataFrame:
     wait for each other in a ring. at: the latest turn of the call and all it needs.
 
     Rounds end when no depth changes, so a conversation without references costs one, and chains as many as the longest has calls."""
-    held = calls.select("conv_id", "call_id", F.explode(F.map_values("arguments")).alias("v")).where(F.schema_of_variant("v") == "STRING")
-    refers = held.select("conv_id", "call_id", F.col("v").cast("string").alias("ref")).where(F.col("ref").startswith("$")).select("conv_id", "call_id", F.expr("substring(ref, 2)").alias("needs"))
+    held = calls.select("conv_id", "call_id", F.explode(F.map_values("arguments")).alias("v")).where(is_reference(F.col("v")))
+    refers = held.select("conv_id", "call_id", F.expr("substring(cast(v AS string), 2)").alias("needs"))
     known = calls.groupBy("conv_id", "call_id").agg(F.min("turn").alias("turn"))
     refers = materialize(refers.join(known.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"], "left_semi").distinct(), "refers")
     if refers.isEmpty():
@@ -120,5 +151,5 @@ def link_tool_calls(turns: DataFrame, schemas: dict[str, dict], typed: bool = Fa
     depth = F.when(F.col("kind") == "message", F.lit(0)).otherwise(F.coalesce("depth", F.lit(0)))
     at = F.when(linked | F.coalesce(own, F.lit(False)), F.coalesce(F.col("at"), F.col("c.turn"))).otherwise(F.col("turn"))
     order = F.struct(at.alias("at"), depth.alias("depth"), F.when(linked, F.col("c.item")).otherwise(F.col("item")).alias("item"), (F.col("kind") == "result").cast("int").alias("result"), F.col("turn").alias("turn"))
-    json = F.when(F.col("kind") == "call", canonical({"role": quoted(F.col("role")), "id": quoted(F.col("call_id")), "name": quoted(F.col("name")), "arguments": canonical_map(F.col("arguments"), typed)})).when(F.col("kind") == "result", canonical({"role": quoted(F.col("role")), "id": quoted(F.col("call_id")), "content": quoted(F.col("content"))})).otherwise(canonical({"role": F.when(F.col("role").isNotNull(), quoted(F.col("role"))), "content": quoted(F.col("content"))}))
-    return out.select("conv_id", "turn", "item", "role", "kind", "call_id", linked.alias("linked"), valid.alias("valid"), depth.alias("depth"), order.alias("ord"), json.alias("json"))
+    written = F.when(F.col("kind") == "call", canonical({"role": quoted(F.col("role")), "id": quoted(F.col("call_id")), "name": quoted(F.col("name")), "arguments": canonical_map(F.col("arguments"), typed)})).when(F.col("kind") == "result", canonical({"role": quoted(F.col("role")), "id": quoted(F.col("call_id")), "content": quoted(F.col("content"))})).otherwise(canonical({"role": F.when(F.col("role").isNotNull(), quoted(F.col("role"))), "content": quoted(F.col("content"))}))
+    return out.select("conv_id", "turn", "item", "role", "kind", "call_id", linked.alias("linked"), valid.alias("valid"), depth.alias("depth"), order.alias("ord"), written.alias("json"))

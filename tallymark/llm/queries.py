@@ -46,20 +46,44 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: the one tool that op6 knows: a reply to a prompt
-REPLY = {"reply": {"required": ["prompt"], "properties": {"prompt": "string"}}}
+REPLY = {
+    "reply": {
+        "required": ["prompt", "options"],
+        "properties": {
+            "prompt": "string", "n": "integer", "after": "string",
+            "options": {"type": "object", "required": ["lang"], "properties": {"lang": {"type": "string", "enum": ["de", "en"]}, "tags": {"type": "array", "items": "string"}}},
+        },
+    }
+}
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table has prompts and replies but no tool calls, so each user turn is put as a call of ``reply`` and each assistant turn as the result of the turn before."""
-    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    call = F.to_json(F.struct(F.array(F.struct(F.col("turn").cast("string").alias("id"), F.lit("reply").alias("name"), F.struct(F.coalesce("text", F.lit("")).alias("prompt")).alias("arguments"))).alias("tool_calls")))
-    result = F.to_json(F.struct((F.col("turn") - 1).cast("string").alias("tool_call_id"), F.coalesce("text", F.lit("")).alias("content")))
+    """The table has prompts and replies but no tool calls, so each user turn is put as a call and each assistant turn as a result.
+
+    By conversation and turn, calls refer to the next call (every other one), to each other in rings, name an unknown tool, give a number as
+    text, leave out a required field, hold a value outside an enumeration or an item of the wrong type; results answer the call before, one that has
+    its answer already, or one that is still to come.
+    """
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    number = lambda c: F.col(c).cast("string")
+    second = (F.expr("turn div 2") % 2 == 1)
+    after = F.when(~second, (F.col("turn") + 2).cast("string")).when(F.col("conv_id") % 7 == 3, (F.col("turn") - 2).cast("string"))
+    options = F.when(F.col("conv_id") % 6 == 2, '{"lang":"xx"}').when(F.col("conv_id") % 6 == 3, "{}").when(F.col("conv_id") % 6 == 4, '{"tags":["b",1],"lang":"de"}').otherwise('{"tags":["b"],"lang":"de"}')
+    n = F.when(F.col("conv_id") % 5 == 1, F.concat(F.lit('"'), number("turn"), F.lit('"'))).otherwise(number("turn"))
+    prompt = chat_format.quoted(F.concat(F.when(F.col("text").startswith("$"), "$").otherwise(""), F.col("text")))
+    call = F.concat(
+        F.lit('{"tool_calls":[{"id":"'), number("turn"), F.when(F.col("conv_id") % 8 == 5, '","name":"other"').otherwise('","name":"reply"'), F.lit(',"arguments":{"prompt":'), prompt,
+        F.lit(',"n":'), n, F.coalesce(F.concat(F.lit(',"after":"$'), after, F.lit('"')), F.lit("")), F.lit(',"options":'), options, F.lit("}}]}"),
+    )
+    answers = F.when(F.col("conv_id") % 9 == 4, F.col("turn") + 1).when((F.col("conv_id") % 4 == 1) & (F.expr("(turn + 1) div 2") % 2 == 0), F.col("turn") - 3).otherwise(F.col("turn") - 1)
+    result = F.to_json(F.struct(answers.cast("string").alias("tool_call_id"), F.col("text").alias("content")))
     put = rows.select(
         "conv_id", "turn", F.when(F.col("role") == "user", "assistant").when(F.col("role") == "assistant", "tool").otherwise(F.col("role")).alias("role"),
         F.when(F.col("role") == "user", call).when(F.col("role") == "assistant", result).otherwise(F.col("text")).alias("text"),
     )
     out = chat_format.link_tool_calls(put, REPLY, typed=True)
-    return out.select("conv_id", "turn", "kind", "call_id", "linked", F.coalesce("valid", F.lit(False)).alias("valid"), F.col("ord.at").cast("long").alias("ord_at"), F.col("ord.result").cast("long").alias("ord_result"), "json")
+    ord_of = lambda c: F.col(f"ord.{c}").cast("long").alias(f"ord_{c}")
+    return out.select("conv_id", "turn", "kind", "call_id", "linked", F.coalesce("valid", F.lit(False)).alias("valid"), ord_of("at"), ord_of("depth"), ord_of("result"), "json")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,20 +149,34 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+#: a call needs the next one (every other call does), or both need each other
 OP6 = """
 WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
 calls AS (SELECT DISTINCT conv_id, turn FROM c WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL),
-results AS (SELECT DISTINCT conv_id, turn FROM c WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL)
-SELECT c.conv_id, c.turn, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
-  CASE role WHEN 'user' THEN c.turn::VARCHAR WHEN 'assistant' THEN (c.turn - 1)::VARCHAR END AS call_id,
-  coalesce((role = 'user' AND r.turn IS NOT NULL) OR (role = 'assistant' AND k.turn IS NOT NULL), false) AS linked,
-  coalesce(role = 'user', false) AS valid, CASE WHEN role = 'assistant' AND k.turn IS NOT NULL THEN c.turn - 1 ELSE c.turn END AS ord_at,
-  CASE role WHEN 'assistant' THEN 1 ELSE 0 END::BIGINT AS ord_result,
-  CASE role WHEN 'user' THEN '{"arguments":{"prompt":' || to_json(text) || '},"id":"' || c.turn || '","name":"reply","role":"assistant"}'
-    WHEN 'assistant' THEN '{"content":' || to_json(text) || ',"id":"' || (c.turn - 1) || '","role":"tool"}'
+results AS (
+  SELECT DISTINCT conv_id, turn, CASE WHEN conv_id % 9 = 4 THEN turn + 1 WHEN conv_id % 4 = 1 AND (turn + 1) // 2 % 2 = 0 THEN turn - 3 ELSE turn - 1 END AS id
+  FROM c WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL),
+answered AS (SELECT r.conv_id, r.id, min(r.turn) AS answer FROM results r JOIN calls k ON k.conv_id = r.conv_id AND k.turn = r.id WHERE r.turn > k.turn GROUP BY ALL),
+ranked AS (
+  SELECT k.conv_id, k.turn, conv_id % 7 = 3 AND (k.turn // 2 % 2 = 0 AND EXISTS (FROM calls n WHERE n.conv_id = k.conv_id AND n.turn = k.turn + 2) OR k.turn // 2 % 2 = 1 AND EXISTS (FROM calls n WHERE n.conv_id = k.conv_id AND n.turn = k.turn - 2)) AS ring,
+    conv_id % 7 <> 3 AND k.turn // 2 % 2 = 0 AND EXISTS (FROM calls n WHERE n.conv_id = k.conv_id AND n.turn = k.turn + 2) AS waits FROM calls k),
+j AS (
+  SELECT c.*, CASE role WHEN 'user' THEN c.turn WHEN 'assistant' THEN CASE WHEN conv_id % 9 = 4 THEN turn + 1 WHEN conv_id % 4 = 1 AND (turn + 1) // 2 % 2 = 0 THEN turn - 3 ELSE turn - 1 END END AS id FROM c),
+l AS (
+  SELECT j.*, k.turn AS k_turn, k.ring, k.waits, coalesce(role = 'user' AND a.answer IS NOT NULL OR role = 'assistant' AND a.answer = j.turn, false) AS linked
+  FROM j LEFT JOIN ranked k ON k.conv_id = j.conv_id AND k.turn = j.id LEFT JOIN answered a ON a.conv_id = j.conv_id AND a.id = j.id)
+SELECT conv_id, turn, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind, id::VARCHAR AS call_id, linked,
+  coalesce(role = 'user' AND NOT coalesce(ring, false) AND NOT coalesce(conv_id % 8 = 5 OR conv_id % 5 = 1 OR conv_id % 6 IN (2, 3, 4), false), false) AS valid,
+  CASE WHEN linked OR (role = 'user' AND k_turn IS NOT NULL) THEN CASE WHEN waits THEN k_turn + 2 ELSE k_turn END ELSE turn END AS ord_at,
+  CASE WHEN waits THEN 1 ELSE 0 END::BIGINT AS ord_depth, CASE role WHEN 'assistant' THEN 1 ELSE 0 END::BIGINT AS ord_result,
+  CASE role WHEN 'user' THEN '{"arguments":{'
+      || CASE WHEN turn // 2 % 2 = 0 THEN '"after":"$' || (turn + 2) || '",' WHEN conv_id % 7 = 3 THEN '"after":"$' || (turn - 2) || '",' ELSE '' END
+      || '"n":' || CASE WHEN conv_id % 5 = 1 THEN '"' || turn || '"' ELSE turn::VARCHAR END
+      || ',"options":' || CASE conv_id % 6 WHEN 2 THEN '{"lang":"xx"}' WHEN 3 THEN '{}' WHEN 4 THEN '{"lang":"de","tags":["b",1]}' ELSE '{"lang":"de","tags":["b"]}' END
+      || ',"prompt":' || to_json(CASE WHEN text LIKE '$%' THEN '$' || text ELSE text END) || '},"id":"' || turn || '","name":"' || CASE WHEN conv_id % 8 = 5 THEN 'other' ELSE 'reply' END || '","role":"assistant"}'
+    WHEN 'assistant' THEN '{"content":' || to_json(text) || ',"id":"' || id || '","role":"tool"}'
     ELSE '{"content":' || to_json(text) || ',"role":' || to_json(role) || '}' END AS json
-FROM c LEFT JOIN results r ON role = 'user' AND r.conv_id = c.conv_id AND r.turn = c.turn + 1
-LEFT JOIN calls k ON role = 'assistant' AND k.conv_id = c.conv_id AND k.turn = c.turn - 1
+FROM l
 """
 
 OP10 = """
