@@ -22,6 +22,10 @@ from .common import bare, crc_of_id, map_batches, utf8
 DIMS = 4096
 #: labelled rows a language that the machines are fitted on (in expectation; chosen by a hash of the id)
 SAMPLE = 500
+#: languages that are learned: the most frequent labels, so that a dirty column adds no machines without end
+MOST_LANGUAGES = 200
+#: largest violation of the optimum's conditions at which a machine counts as fitted, and passes after which it counts as failed
+NEAR, PASSES = 0.02, 2000
 #: fixed values: language families by ISO 639-1 code; a language not listed is a family of its own
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb yi",
@@ -58,21 +62,32 @@ def scaled(total: np.ndarray) -> np.ndarray:
     return x / np.where(norm > 0, norm, 1)
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 4.0, passes: int = 20) -> np.ndarray:
-    """Linear machine (last weight: the bias) with squared hinge loss, by dual coordinate descent; y is +1 or -1."""
-    x = np.c_[x, np.ones(len(x), dtype=np.float32)]
+def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 4.0) -> np.ndarray:
+    """Linear machine (last weight: the bias) with squared hinge loss, by dual coordinate descent until no row violates the optimum by more than ``NEAR``; y is +1 or -1."""
+    x = np.c_[x, np.ones(len(x), dtype=np.float32)].astype(np.float64)
     share = {s: cost * len(y) / (2 * max(1, int((y == s).sum()))) for s in (1, -1)}  # sides weigh the same
     add = np.array([1 / (2 * share[s]) for s in y])
     q, alpha, w = (x * x).sum(axis=1) + add, np.zeros(len(x)), np.zeros(x.shape[1])
-    order = np.random.default_rng(7)
-    for _ in range(passes):
-        for i in order.permutation(len(x)):
-            step = (y[i] * (x[i] @ w) - 1 + add[i] * alpha[i]) / q[i]
-            new = max(0.0, alpha[i] - step)
-            if new != alpha[i]:
+    order, able = np.random.default_rng(7), np.arange(len(x))
+    for _ in range(PASSES):
+        worst, rest = 0.0, []
+        for i in order.permutation(able).tolist():
+            slope = y[i] * (x[i] @ w) - 1 + add[i] * alpha[i]
+            violation = abs(slope) if alpha[i] > 0 else max(0.0, -slope)
+            worst = max(worst, violation)
+            if alpha[i] > 0 or slope < NEAR:
+                rest.append(i)
+            if violation > 1e-9:
+                new = max(0.0, alpha[i] - slope / q[i])
                 w += (new - alpha[i]) * y[i] * x[i]
                 alpha[i] = new
-    return w.astype(np.float32)
+        if worst <= NEAR:
+            if len(able) == len(x):
+                return w.astype(np.float32)
+            able = np.arange(len(x))  # rows left aside are looked at once more
+        else:
+            able = np.array(sorted(rest))
+    raise RuntimeError("a language machine was not fitted")
 
 
 def margin(x: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -126,18 +141,18 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(crc_of_id(doc_id), F.lit(3)) == 1, F.lit(False))
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
+def train(docs: DataFrame, sample: int = SAMPLE, most: int = MOST_LANGUAGES) -> LanguageModel | None:
     """Fit on about ``sample`` rows a language, out of the labelled rows with a text that are not held out; None without any.
 
-    Chosen by a hash of the id, so the same rows at every run; languages with fewer rows give all. Features are counted on the executors.
+    Chosen by a hash of the id, so the same rows at every run; languages with fewer rows give all. Of more than ``most`` labels the most frequent
+    are learned, ties by code point. Features are counted on the executors.
     """
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out())
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()
     if not sizes:
         return None
-    share = F.lit(0.0)
-    for code, n in sorted(sizes.items()):
-        share = F.when(F.col("lang") == code, F.lit(min(1.0, sample / n))).otherwise(share)
+    rates = F.create_map(*[F.lit(v) for r in sizes for v in (r.lang, min(1.0, sample / r.n))])
+    share = F.coalesce(F.try_element_at(rates, F.col("lang")), F.lit(0.0))
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     picked = bare(rows.where(draw < share), lang="lang", raw=utf8(), doc_id="doc_id")
 
