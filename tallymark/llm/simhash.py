@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import bare, map_batches, materialize, partitions, utf8
 from .components import connected_components, smallest_members
+from .groups import MOST, block_pairs, whole_groups
 
 SEED, WIDTH, MAX_BITS = 42, 4, 4
 #: fixed value: generator polynomial of the binary Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
@@ -135,39 +136,28 @@ def spanning_links(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
     return out
 
 
-def links_of_groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Links within the groups of equal key of batches (key, fp) sorted by key."""
-
-    def links(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch | None:
-        cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        size = np.diff(np.r_[cut, len(keys)])
-        two = cut[size == 2]
-        a, b = fps[two], fps[two + 1]
-        near = np.bitwise_count((a ^ b).view(np.uint64)) <= most
-        more = [p for at, n in zip(cut[size > 2].tolist(), size[size > 2].tolist(), strict=True) for p in spanning_links(fps[at : at + n], most)]
-        a, b = np.r_[a[near], np.array([p[0] for p in more], dtype=np.int64)], np.r_[b[near], np.array([p[1] for p in more], dtype=np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"]) if len(a) else None
-
-    held_keys, held_fps = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-    for batch in batches:
-        k, f = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(k):
-            continue
-        held_keys.append(k)
-        held_fps.append(f)
-        if k[0] == k[-1] or sum(map(len, held_keys)) < 200_000 and len(held_keys) < 40:
-            continue
-        keys, fps = np.concatenate(held_keys), np.concatenate(held_fps)
-        last = int(np.searchsorted(keys, keys[-1]))  # the last group may go on
-        if (out := links(keys[:last], fps[:last])) is not None:
-            yield out
-        held_keys, held_fps = [keys[last:]], [fps[last:]]
-    if (out := links(np.concatenate(held_keys), np.concatenate(held_fps))) is not None:
-        yield out
-
-
-def fingerprint_links(fps: DataFrame, most: int = MAX_BITS) -> DataFrame:
-    """Links a, b that join up exactly the distinct fingerprints (column fp) of at most ``most`` (up to four) differing bits."""
+def links_of(keys: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links within the groups of equal key, sorted by key."""
+    cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    size = np.diff(np.r_[cut, len(keys)])
+    two = cut[size == 2]
+    a, b = fps[two], fps[two + 1]
+    near = np.bitwise_count((a ^ b).view(np.uint64)) <= most
+    more = [p for at, n in zip(cut[size > 2].tolist(), size[size > 2].tolist(), strict=True) for p in spanning_links(fps[at : at + n], most)]
+    return np.r_[a[near], np.array([p[0] for p in more], dtype=np.int64)], np.r_[b[near], np.array([p[1] for p in more], dtype=np.int64)]
+
+
+def links_of_groups(batches: Iterator[pa.RecordBatch], most: int, held: int = MOST) -> Iterator[pa.RecordBatch]:
+    """a, b, late: the links of groups of batches (key, fp) sorted by key; of groups of more than ``held`` rows the rows themselves, late."""
+    for late, m in whole_groups(batches, held):
+        a, b = m if late else links_of(m[0], m[1], most)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), late))], names=["a", "b", "late"])
+
+
+def fingerprint_links(fps: DataFrame, most: int = MAX_BITS, held: int = MOST) -> DataFrame:
+    """Links a, b that join up exactly the distinct fingerprints (column fp) of at most ``most`` (up to four) differing bits.
+
+    Groups of more than ``held`` fingerprints are linked in pairs of blocks, so that no task holds one."""
     if not 0 <= most <= 4:
         raise ValueError("the keys find links of up to four differing bits")
 
@@ -181,7 +171,17 @@ def fingerprint_links(fps: DataFrame, most: int = MAX_BITS) -> DataFrame:
     apart = fps.select("fp").distinct().repartition(partitions(fps.sparkSession), F.xxhash64("fp"))
     keyed = map_batches(apart, deal, "key long, fp long")
     grouped = keyed.repartition(partitions(fps.sparkSession), "key").sortWithinPartitions("key", "fp")
-    return grouped.mapInArrow(lambda batches: links_of_groups(batches, most), "a long, b long").distinct()
+    found = materialize(grouped.mapInArrow(lambda batches: links_of_groups(batches, most, held), "a long, b long, late boolean"), "links")
+    links, late = found.where("not late").select("a", "b"), found.where("late").select(F.col("a").alias("key"), F.col("b").alias("fp"))
+    if not late.isEmpty():
+
+        def block(table: pa.Table) -> pa.Table:
+            fps = np.sort(table.column("fp").to_numpy())
+            a, b = links_of(np.zeros(len(fps), dtype=np.int64), fps, most)
+            return pa.table([a, b], names=["a", "b"])
+
+        links = links.union(block_pairs(late, "key", "fp", held).groupBy("key", "i", "j").applyInArrow(block, "a long, b long"))
+    return links.distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, most: int = MAX_BITS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
