@@ -21,10 +21,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and driver and executors are one machine."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tallymark-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -52,17 +54,6 @@ def utf8(column: str = "text") -> Column:
     return F.coalesce(F.col(f"`{column}`"), F.lit("")).cast("binary")
 
 
-def arrow_schema(ddl: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(ddl))
-
-
-def arrow_rows(names: list[str], types: list[pa.DataType], columns: list[list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=names)
-
-
 def release() -> None:
     """At the end of a task: hand freed memory back, since Python workers stay for later tasks while others run beside them."""
     pa.default_memory_pool().release_unused()
