@@ -5,21 +5,24 @@ each word the automaton's state and length give the longest run, ending there, t
 item. A run of 13 words or more covers an item's window; items shorter than that must occur whole.
 
 The automaton is broadcast, so its size is bounded: items are cut into shards of at most ``SHARD_WORDS``
-words, and the documents pass once for each shard (one, for any usual benchmark).
+words, the documents are read once for each shard (one, for any usual benchmark), and what the shards find is put together.
 """
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Iterable
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from .automaton import SuffixAutomaton
-from .common import bare, materialize, release, utf8
+from .common import bare, map_batches, materialize, release, utf8
 
 WINDOW = 13
 #: words of items in one broadcast automaton (some 200 MB in a Python worker)
@@ -118,38 +121,58 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_wo
     A null or wordless text has no words, spans or items; a null or wordless item matches nothing; items with a null id are
     left out, or matched with the rest and listed as one null, the last, where ``unnamed``; equal items are each found. Repeated rows and ids are each judged alone. Columns of docs called n_words, spans or items are replaced.
     """
-    keep = [c for c in docs.columns if c not in ("n_words", "spans", "items", "_spans", "_items")]
-    out = docs.select(*[F.col(f"`{c}`") for c in keep], F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:int,stop:int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    shards = 0
-    for part in item_shards(items, item_id, item_text, shard_words, unnamed):
-        if shards:
-            out = materialize(out, "decontamination")  # a pass for each shard, one automaton in memory at a time
-        out = _pass(out, part, window, text)
-        shards += 1
-    return out if shards else _pass(out, [], window, text)
+    keep = [c for c in docs.columns if c not in ("n_words", "spans", "items")]
+    shards = iter(item_shards(items, item_id, item_text, shard_words, unnamed))
+    first = next(shards, [])
+    second = next(shards, None)
+    if second is None:
+        rows = docs.select(*[F.col(f"`{c}`") for c in keep])
+        return _matched(rows, first, window, keep.index(text), rows.schema)
+    # more items than one automaton holds: the texts are read for each, only what is found is written, and that is brought to the documents once
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("whole"))
+    keyed = materialize(whole.withColumn("key", F.monotonically_increasing_id()), "keyed")
+    texts = keyed.select("key", F.col("whole").getField(text).alias("text"))
+    kind = keyed.select("key").schema
+    found = [materialize(_matched(texts, part, window, 1, kind).where(F.lit(n == 0) | (F.size("spans") > 0)), "hits") for n, part in enumerate(chain([first, second], shards))]
+    together = reduce(DataFrame.union, found).groupBy("key").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
 
+    def joined(batch: pa.RecordBatch):
+        spans = [merged([(s["start"], s["stop"]) for s in row]) for row in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(spans, SPANS), pa.array([in_order(row) for row in batch.column(3).to_pylist()], pa.list_(pa.string()))], names=batch.schema.names)
 
-def _pass(docs: DataFrame, part: list[tuple[str, bytes]], window: int, text: str) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(part)
-    where, names = docs.columns.index(text), docs.columns
+    out = keyed.join(map_batches(together, joined, together.schema), "key")
+    return out.select(*[F.col("whole").getField(c).alias(c) for c in keep], "n_words", "spans", "items")
+
+
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+
+
+def in_order(names: Iterable[str | None]) -> list[str | None]:
+    """Different names by code point, null last."""
+    return sorted(set(names), key=lambda name: (name is None, name or ""))
+
+
+def _matched(rows: DataFrame, part: list[tuple[str, bytes]], window: int, where: int, kept: StructType) -> DataFrame:
+    """The columns ``kept`` of rows with n_words, spans and items of this part, found in the text at place ``where``."""
+    sent, token = rows.sparkSession.sparkContext.broadcast(part), uuid.uuid4().hex
+    names = kept.fieldNames()
 
     def run(batches):
-        matcher = _matcher(sent, window)
+        matcher = _matcher(sent, token, window)
         for batch in batches:
-            raws = batch.column(where).cast(pa.large_binary()).to_pylist() if pa.types.is_large_string(batch.column(where).type) else batch.column(where).cast(pa.binary()).to_pylist()
-            old_spans, old_items = batch.column(len(names) - 2).to_pylist(), batch.column(len(names) - 1).to_pylist()
+            raws = batch.column(where).cast(pa.large_binary() if pa.types.is_large_string(batch.column(where).type) else pa.binary()).to_pylist()
             n, spans, found = [], [], []
-            for raw, before, had in zip(raws, old_spans, old_items, strict=True):
+            for raw in raws:
                 words = normal_words(raw or b"")
                 got, its = matcher.match(words)
                 n.append(len(words))
-                spans.append(merged([*((s["start"], s["stop"]) for s in before), *got]))
-                found.append(sorted({*had, *its}, key=lambda name: (name is None, name or "")))
-            columns = [*batch.columns[:-3], pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), pa.array(found, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                spans.append(merged(got))
+                found.append(in_order(its))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(n, pa.int64()), pa.array(spans, SPANS), pa.array(found, pa.list_(pa.string()))], names=[*names, "n_words", "spans", "items"])
         release()
 
-    return docs.mapInArrow(run, docs.schema)
+    schema = StructType([*kept.fields, StructField("n_words", LongType()), StructField("spans", ArrayType(StructType([StructField("start", IntegerType()), StructField("stop", IntegerType())]))), StructField("items", ArrayType(StringType()))])
+    return rows.mapInArrow(run, schema)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[dict]:
@@ -165,13 +188,12 @@ def merged(spans: list[tuple[int, int]]) -> list[dict]:
 _built: dict = {}
 
 
-def _matcher(sent, window: int) -> ItemMatcher:
+def _matcher(sent, token: str, window: int) -> ItemMatcher:
     """One automaton a worker, kept while the same items are asked for."""
-    key = (hashlib.md5(repr(sent.value).encode()).hexdigest(), window)
-    if key not in _built:
+    if (token, window) not in _built:
         _built.clear()
-        _built[key] = ItemMatcher(sent.value, window)
-    return _built[key]
+        _built[token, window] = ItemMatcher(sent.value, window)
+    return _built[token, window]
 
 
 def judge(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
