@@ -1,28 +1,25 @@
 """Class-based bigram language model: exchange clustering of words into classes.
 
 log p(text) is the sum, over its tokens, of log P(class | class before) and log P(token | class). Tokens are the words of the
-text and an end. Training runs in three steps, each over all training documents.
+text and an end. Training runs over all training documents:
 
 1. Units. The frequent words (those above a count that at most ``KEPT`` words reach) are units of their own; other words stand for
-   each other by their endings, in ``TAILS`` units. The bigrams of units are counted once and written in blocks, each with all bigrams
-   of its units in both directions.
+   each other by their endings, in ``TAILS`` units. Texts are written as numbers of units. Their bigrams are counted and written in blocks, each
+   with all bigrams of its units in both directions.
 2. Exchange. In a round every task walks through its blocks and moves each unit to the class that raises the likelihood of the training
    bigrams most, against class bigrams that it keeps up to date with its own moves. The true class bigrams of the round's result are then
-   counted anew: a round that doesn't raise the likelihood is undone and tried with half as many units. Rounds end when none
-   moves, when one gains less than ``LEAST_GAIN`` of the likelihood, or when so few units are tried that nothing more is to be gained.
-3. Every rare word leaves the unit of its ending for the class that fits its own neighbours best, whatever its count. Words that training
-   never saw have the class of their ending's unit.
+   counted anew: a round that doesn't raise the likelihood is undone. After a round that gains less than ``LEAST_GAIN`` of the likelihood (for all units;
+   less for fewer) half as many units are tried, so that moves get in each other's way less, and rounds end when fewer than ``LEAST_SHARE`` would be.
 
-Class bigrams are then counted under the final classes. Transitions are interpolated with class frequencies; emissions are counts plus
-0.1, where each class that unknown words can fall into keeps room for one, so probabilities sum to one.
+Transitions are interpolated with class frequencies; emissions are counts plus 0.1, of every word its own count. Each class that words
+without a unit can fall into keeps room for an unknown one, so probabilities sum to one.
 
-The vocabulary, its counts and classes, and the rare words' neighbours are tables that grow with the corpus. What reaches the driver or
-every executor has a fixed bound: the frequent words with counts and classes, and ``CLASSES`` squared bigrams.
+The vocabulary and its counts are a table that grows with the corpus, and so do the bigrams until all of the units' are seen. What reaches the
+driver or every executor has a fixed bound: the frequent words with counts and classes, and ``CLASSES`` squared bigrams.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -35,15 +32,15 @@ from pyspark.sql import functions as F
 from .common import bare, crc_of_id, map_batches, materialize, partitions, release, utf8
 
 #: most words that are units of their own (every executor knows them), units of other words by ending, classes
-KEPT, TAILS, CLASSES = 65_536, 1024, 64
+KEPT, TAILS, CLASSES = 65_536, 4096, 64
 ADD = 0.1
 END = b""
 #: words counted in a worker before they are passed on, and tokens whose bigrams are
-FLUSH, CHUNK = 300_000, 2_000_000
-#: bigrams in a block of units, units whose counts are unpacked together
-BLOCK, SLICE = 400_000, 1000
-#: relative gain of likelihood below which rounds end, and least share of units that a round tries
-LEAST_GAIN, LEAST_SHARE = 1e-3, 1 / 16
+FLUSH, CHUNK = 300_000, 1_000_000
+#: bigrams that a task merges or a block holds, units whose counts are unpacked together
+BLOCK, SLICE = 500_000, 1000
+#: relative gain of likelihood that a round of all units must bring, and least share of units that a round tries
+LEAST_GAIN, LEAST_SHARE = 1e-3, 1 / 4
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -106,79 +103,142 @@ class Units:
         self.tails, self.first_tail = tails, len(words)
         self.size = self.first_tail + tails
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        place, first, tails = self.place.get, self.first_tail, self.tails
-        return np.fromiter((u if (u := place(w)) is not None else first + tail_group(w, tails) for w in words), dtype=np.int64, count=len(words))
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+        """Units of the words, and those words, in order, that have none of their own."""
+        got = list(map(self.place.get, words))
+        if None not in got:
+            return np.array(got, dtype=np.int32), []
+        rare = [w for w, u in zip(words, got, strict=True) if u is None]
+        x = np.array([-1 if u is None else u for u in got], dtype=np.int32)
+        first, tails = self.first_tail, self.tails
+        x[x < 0] = [first + tail_group(w, tails) for w in rare]
+        return x, rare
 
 
-def unit_bigrams(docs: DataFrame, units) -> DataFrame:
-    """a, b (units), c: all bigrams over ``docs``; the end stands before a text's first word too. units: a broadcast ``Units``."""
+def numbered(rows: DataFrame, units) -> DataFrame:
+    """key, doc_id, n, ids (units of the tokens as 32-bit numbers), rare (words without a unit, and how often) of every row (doc_id, raw). units: a broadcast ``Units``."""
 
-    def run(batches) -> Iterator[pa.RecordBatch]:
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         u = units.value
-        local: dict[bytes, int] = {}
-        parts: list[np.ndarray] = []
-        size = 0
+        n, ids, words, times, ends = [], [], [], [], [0]
+        for raw in batch.column(1).to_pylist():
+            x, rare = u(tokens_of(raw))
+            n.append(len(x))
+            ids.append(x.tobytes())
+            here = Counter(rare)
+            words += here
+            times += here.values()
+            ends.append(len(words))
+        pairs = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int64())], ["word", "k"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], names=["doc_id", "n", "ids", "rare"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    out = map_batches(rows.select("doc_id", "raw"), run, f"doc_id {kind}, n long, ids binary, rare array<struct<word:binary,k:long>>")
+    return materialize(out.withColumn("key", F.monotonically_increasing_id()), "numbered")  # written, so the keys stay
+
+
+def summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different codes in order, and the sums of their counts."""
+    code, c = np.concatenate(codes), np.concatenate(counts)
+    order = np.argsort(code)
+    code = code[order]
+    first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, dtype=np.int64)
+    return code[first], np.add.reduceat(c[order], first) if len(code) else c
+
+
+#: bigrams in order of code, as bytes: the unit * 2 + back of each run, how many bigrams it has, the others' units (32 bits each), and counts in as many bytes as the largest takes
+PACKED = "part int, heads binary, sizes binary, others binary, counts binary"
+
+
+def packed(parts: list[int], codes: list[np.ndarray], counts: list[np.ndarray], size: int) -> pa.RecordBatch:
+    rows = []
+    for code, c in zip(codes, counts, strict=True):
+        head = code // size
+        first = np.flatnonzero(np.r_[True, head[1:] != head[:-1]])
+        rows.append([head[first].astype(np.int32), np.diff(np.r_[first, len(code)]).astype(np.int32), (code % size).astype(np.int32), c.astype(np.min_scalar_type(int(c.max())))])
+    names = [field.split()[0] for field in PACKED.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *(pa.array([r[i].tobytes() for r in rows], pa.binary()) for i in range(4))], names=names)
+
+
+def unpacked(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(part, codes, counts) of each row, read where they lie."""
+    for i, part in enumerate(batch.column(0).to_pylist()):
+        heads, sizes, others, counts = (batch.column(k)[i].as_buffer() for k in range(1, 5))
+        others = np.frombuffer(others, np.int32)
+        c = np.frombuffer(counts, f"u{len(counts) // len(others)}")
+        yield part, np.repeat(np.frombuffer(heads, np.int32).astype(np.int64), np.frombuffer(sizes, np.int32)) * size + others, c.astype(np.int64)
+
+
+def unit_blocks(texts: DataFrame, size: int) -> DataFrame:
+    """Blocks (``PACKED``) of whole units with all their bigrams over ``texts`` (column ids).
+
+    code: (unit * 2 + back) * size + other, for the bigrams of a unit with the one after it, or before it where back is 1. The end stands before a
+    text's first word too. A worker counts in arrays and deals whole arrays to the parts, so no row is made for a bigram; a part is merged as it
+    arrives. A unit has at most two bigrams with each other unit, so a part is bounded whatever the corpus.
+    """
+    parts = partitions(texts.sparkSession)
+
+    def count(batches) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        tokens = 0
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
+            x = np.concatenate(held).astype(np.int64)
             # a text's last token is the end, so what stands before a first word is what ends the text before
-            x = u(list(local))[np.concatenate(parts)]
-            pair, c = np.unique(np.r_[0, x[:-1]] * u.size + x, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array((pair // u.size).astype(np.int32)), pa.array((pair % u.size).astype(np.int32)), pa.array(c.astype(np.int64))], names=["a", "b", "c"])
+            pair, c = np.unique(np.r_[0, x[:-1]] * size + x, return_counts=True)
+            a, b = pair // size, pair % size
+            for back in (0, 1):
+                unit, other = (b, a) if back else (a, b)
+                order = np.lexsort((other, unit, unit % parts)) if back else np.argsort(unit % parts, kind="stable")
+                unit, other, n = unit[order], other[order], c[order]
+                cut = np.searchsorted(unit % parts, np.arange(parts + 1))
+                code = (unit * 2 + back) * size + other
+                for p in range(parts):
+                    if cut[p] < cut[p + 1]:
+                        yield packed([p], [code[cut[p] : cut[p + 1]]], [n[cut[p] : cut[p + 1]]], size)
 
         for batch in batches:
             for raw in batch.column(0).to_pylist():
-                words = tokens_of(raw)
-                for w in set(words).difference(local):
-                    local[w] = len(local)
-                parts.append(np.fromiter(map(local.__getitem__, words), dtype=np.int32, count=len(words)))
-                size += len(words)
-                if size >= CHUNK:
-                    yield flush()
-                    local, parts, size = {}, [], 0
-        if parts:
-            yield flush()
+                held.append(np.frombuffer(raw, np.int32))
+                tokens += len(held[-1])
+                if tokens >= CHUNK:
+                    yield from flush()
+                    held, tokens = [], 0
+        if held:
+            yield from flush()
         release()
 
-    return docs.select("raw").mapInArrow(run, "a int, b int, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
-
-
-def unit_blocks(bigrams: DataFrame) -> DataFrame:
-    """u, o, back, c (arrays as bytes): blocks of whole units, sorted by unit: bigrams of unit u with unit o after it, or before it where ``back``.
-
-    A unit has at most two bigrams with each other unit, so blocks are bounded whatever the corpus."""
-
-    def pack(batches) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-
-        def block(m: np.ndarray) -> pa.RecordBatch:
-            kinds = (np.int32, np.int32, np.bool_, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array([row.astype(k).tobytes()], pa.binary()) for row, k in zip(m, kinds, strict=True)], names=["u", "o", "back", "c"])
-
+    def merge(batches) -> Iterator[pa.RecordBatch]:
+        found: dict[int, tuple[list, list]] = {}
+        waiting: dict[int, int] = {}
         for batch in batches:
-            held.append(np.stack([c.to_numpy() for c in batch.columns]))
-            size += batch.num_rows
-            if size >= BLOCK:
-                m = np.concatenate(held, axis=1)
-                last = int(np.searchsorted(m[0], m[0][-1]))  # the last unit may go on
-                if last:
-                    yield block(m[:, :last])
-                held = [m[:, last:]]
-                size = m.shape[1] - last
-        if size:
-            yield block(np.concatenate(held, axis=1))
+            for part, code, c in unpacked(batch, size):
+                codes, counts = found.setdefault(part, ([], []))
+                codes.append(code)
+                counts.append(c)
+                waiting[part] = waiting.get(part, 0) + len(code)
+                if waiting[part] > max(BLOCK, len(codes[0])):
+                    one = summed(codes, counts)
+                    found[part], waiting[part] = ([one[0]], [one[1]]), 0
+        for part in list(found):
+            code, c = summed(*found.pop(part))
+            unit = code // (2 * size)
+            at = 0
+            while at < len(code):
+                stop = int(np.searchsorted(unit, unit[min(at + BLOCK, len(code)) - 1], side="right"))
+                yield packed([part], [code[at:stop]], [c[at:stop]], size)
+                at = stop
         release()
 
-    wide = lambda c: F.col(c).cast("long")
-    ends = F.array(F.struct(wide("a").alias("u"), wide("b").alias("o"), F.lit(0).cast("long").alias("back"), "c"), F.struct(wide("b").alias("u"), wide("a").alias("o"), F.lit(1).cast("long").alias("back"), "c"))
-    both = bigrams.select(F.inline(ends))
-    return both.repartition(partitions(bigrams.sparkSession), "u").sortWithinPartitions("u").mapInArrow(pack, "u binary, o binary, back binary, c binary")
+    dealt = texts.select("ids").mapInArrow(count, PACKED).repartition(parts, "part")
+    return dealt.mapInArrow(merge, PACKED)
 
 
-def unpacked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
-    for u, o, back, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-        yield np.frombuffer(u, np.int32), np.frombuffer(o, np.int32), np.frombuffer(back, np.bool_), np.frombuffer(c, np.int64)
+def block_bigrams(batch: pa.RecordBatch, size: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(unit, other, whether other is before it, count) of the bigrams of each block."""
+    for _, code, c in unpacked(batch, size):
+        head = code // size
+        yield head // 2, code % size, head % 2 == 1, c
 
 
 def summed_bigrams(rows: DataFrame, width: int) -> np.ndarray:
@@ -196,12 +256,12 @@ def pair_batch(total: np.ndarray) -> pa.RecordBatch:
 
 def class_bigrams(blocks: DataFrame, of: np.ndarray, width: int) -> np.ndarray:
     """Bigrams of the classes ``of`` the units."""
-    sent = blocks.sparkSession.sparkContext.broadcast(of)
+    sent, size = blocks.sparkSession.sparkContext.broadcast(of), len(of)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width * width)
         for batch in batches:
-            for u, o, back, c in unpacked(batch):
+            for u, o, back, c in block_bigrams(batch, size):
                 on = ~back
                 total += np.bincount(sent.value[u[on]] * width + sent.value[o[on]], weights=c[on], minlength=width * width)
         yield pair_batch(total)
@@ -220,44 +280,60 @@ def likelihood(cc: np.ndarray) -> float:
 
 
 class Table:
-    """Class bigrams with what the gain of a move needs: x log x of each cell, and sums of rows and columns."""
+    """Class bigrams with what the gain of a move needs. ``both`` holds them twice, row k being what follows class k and then what precedes it; ``logs`` are x log x of its cells."""
 
     def __init__(self, cc: np.ndarray):
-        self.cc, self.fc = cc.copy(), f(cc)
-        self.row, self.col = cc.sum(axis=1), cc.sum(axis=0)
-
-    def shift(self, k: int, out: np.ndarray, into: np.ndarray, own: float, sign: int) -> None:
-        """Put a unit with these bigrams (to classes, from classes, with itself) into class k, or take it out where ``sign`` is -1."""
-        self.cc[k] += sign * out
-        self.cc[:, k] += sign * into
-        self.cc[k, k] += sign * own
-        self.row += sign * into
-        self.col += sign * out
-        self.row[k] += sign * (out.sum() + own)
-        self.col[k] += sign * (into.sum() + own)
-        self.fc[k], self.fc[:, k] = f(self.cc[k]), f(self.cc[:, k])
-
-    def gains(self, out: np.ndarray, into: np.ndarray, own: float) -> np.ndarray:
-        """Likelihood gained by putting a unit that is in no class into each; class 0 takes none. ``row`` and ``col`` lack the unit's own sums alike for every class but the one it enters."""
-        cc, fc = self.cc, self.fc
-        a, b = np.flatnonzero(out), np.flatnonzero(into)
-        gain = (f(cc[:, a] + out[a]) - fc[:, a]).sum(axis=1) + (f(cc[b] + into[b, None]) - fc[b]).sum(axis=0)
-        d = np.diag(cc)
-        gain += f(d + out + into + own) - f(d + out) - f(d + into) + f(d)
-        # sums of a row: what the unit puts there as a neighbour, and all that follows the unit itself in the class it enters
-        mine_row, mine_col = out.sum() + own, into.sum() + own
-        gain -= f(self.row + into + mine_row) - f(self.row + into) + f(self.col + out + mine_col) - f(self.col + out)
+        self.width = len(cc)
+        self.both = np.concatenate([cc, cc.T], axis=1)
+        self.logs = f(self.both)
+        #: tokens before and after, by class
+        self.sums = np.concatenate([cc.sum(axis=1), cc.sum(axis=0)])
+
+    @property
+    def cc(self) -> np.ndarray:
+        return self.both[:, : self.width]
+
+    def shift(self, k: int, near: np.ndarray, own: float, sign: int) -> None:
+        """Put a unit with these bigrams (to classes, then from classes; with itself) into class k, or take it out where ``sign`` is -1."""
+        w = self.width
+        out, into = near[:w], near[w:]
+        if sign < 0:
+            near, out, into, own = -near, -out, -into, -own
+        self.both[k] += near
+        self.both[:, k] += into
+        self.both[:, w + k] += out
+        self.both[k, k] += own
+        self.both[k, w + k] += own
+        self.sums[:w] += into
+        self.sums[w:] += out
+        self.sums[k] += out.sum() + own
+        self.sums[w + k] += into.sum() + own
+        self.logs[k] = f(self.both[k])
+        self.logs[:, k], self.logs[:, w + k] = f(self.both[:, k]), f(self.both[:, w + k])
+
+    def gains(self, near: np.ndarray, own: float) -> np.ndarray:
+        """Likelihood gained by putting a unit that is in no class into each; class 0 takes none."""
+        w = self.width
+        some = np.flatnonzero(near)
+        gain = (f(self.both[:, some] + near[some]) - self.logs[:, some]).sum(axis=1)
+        # the cell of a class with itself is met twice; sums change by the unit's neighbours whatever its class, and by the unit itself in the class it enters
+        out, into, d = near[:w], near[w:], self.both.diagonal()
+        before, after = self.sums[:w] + into, self.sums[w:] + out
+        x = np.stack([d + out + into + own, d, before, after, d + out, d + into, before + (out.sum() + own), after + (into.sum() + own)])
+        x = f(x)
+        gain += x[:4].sum(axis=0) - x[4:].sum(axis=0)
         gain[0] = -np.inf
         return gain
 
-    def best(self, home: int, out: np.ndarray, into: np.ndarray, own: float) -> int:
+    def best(self, home: int, near: np.ndarray, own: float) -> int:
         """The class of most gain for a unit that is in none; its home on a tie."""
-        gain = self.gains(out, into, own)
-        return int(gain.argmax()) if gain.max() > gain[home] + 1e-9 else home
+        gain = self.gains(near, own)
+        k = int(gain.argmax())
+        return k if gain[k] > gain[home] + 1e-9 else home
 
 
-def neighbours(u: np.ndarray, o: np.ndarray, back: np.ndarray, c: np.ndarray, of: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, float]]:
-    """(unit, bigrams to each class, from each class, with itself) of the units of a block, under the classes ``of`` the others when a slice is begun."""
+def neighbours(u: np.ndarray, o: np.ndarray, back: np.ndarray, c: np.ndarray, of: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray, float]]:
+    """(unit, bigrams to each class and then from each, with itself) of the units of a block, under the classes ``of`` the others when a slice is begun."""
     starts = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
     for s in range(0, len(starts), SLICE):
         first = starts[s : s + SLICE]
@@ -269,27 +345,27 @@ def neighbours(u: np.ndarray, o: np.ndarray, back: np.ndarray, c: np.ndarray, of
         table = np.bincount(cell, weights=np.where(same, 0, c[part]), minlength=len(first) * 2 * width).reshape(-1, 2 * width)
         own = np.bincount(at, weights=np.where(same & ~back[part], c[part], 0), minlength=len(first))
         for i, unit in enumerate(u[first].tolist()):
-            yield unit, table[i, :width], table[i, width:], own[i]
+            yield unit, table[i], own[i]
 
 
 def moved(blocks: DataFrame, of: np.ndarray, cc: np.ndarray, share: float, turn: int) -> np.ndarray:
     """Classes after a round in which a ``share`` of the units, others each turn, move to their best class; the end stays."""
     sent = blocks.sparkSession.sparkContext.broadcast((of, cc))
-    width = len(cc)
+    width, size = len(cc), len(of)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         of, cc = sent.value
         table, now = Table(cc), of.copy()
         units, classes = [], []
         for batch in batches:
-            for u, o, back, c in unpacked(batch):
-                for unit, out, into, own in neighbours(u, o, back, c, now, width):
+            for u, o, back, c in block_bigrams(batch, size):
+                for unit, near, own in neighbours(u, o, back, c, now, width):
                     if not unit or share < 1 and (unit * 2654435761 + turn * 40503) % 65536 >= share * 65536:
                         continue
                     home = int(now[unit])
-                    table.shift(home, out, into, own, -1)
-                    best = table.best(home, out, into, own)
-                    table.shift(best, out, into, own, 1)
+                    table.shift(home, near, own, -1)
+                    best = table.best(home, near, own)
+                    table.shift(best, near, own, 1)
                     if best != home:
                         now[unit] = best
                         units.append(unit)
@@ -298,7 +374,7 @@ def moved(blocks: DataFrame, of: np.ndarray, cc: np.ndarray, share: float, turn:
         release()
 
     out = of.copy()
-    for r in blocks.mapInArrow(run, "u binary, k binary").toLocalIterator():  # at most a row a unit in all
+    for r in blocks.mapInArrow(run, "u binary, k binary").collect():  # at most a row a unit in all
         out[np.frombuffer(r.u, np.int32)] = np.frombuffer(r.k, np.int32)
     return out
 
@@ -309,120 +385,39 @@ def exchange(blocks: DataFrame, of: np.ndarray, width: int, log: list[float] | N
     while width > 2 and share >= LEAST_SHARE:
         turn += 1
         tried = moved(blocks, of, cc, share, turn)
-        if (tried == of).all():
-            if share == 1:
-                break  # no unit has a better class
-            share /= 2
-            continue
         now = class_bigrams(blocks, tried, width)
         rise = likelihood(now) - likelihood(cc)
-        if rise <= 0:
+        if rise > 0:
+            of, cc = tried, now
+            if log is not None:
+                log.append(likelihood(cc))
+        if rise < LEAST_GAIN * share * abs(likelihood(cc)):
+            # tasks moved too much at once, or little is left to be gained
             share /= 2
-            continue
-        of, cc = tried, now
-        if log is not None:
-            log.append(likelihood(cc))
-        if rise < LEAST_GAIN * abs(likelihood(cc)):
-            break
     return of, cc
 
 
-def rare_neighbours(docs: DataFrame, units, of, width: int) -> DataFrame:
-    """word, ks, cs: of every word that is no unit, its bigrams by the class of the unit after it (k) or before it (``width`` + k), over ``docs``.
-
-    Counts are combined in the workers; a word has at most 2 * width of them, so a common one is no burden to a task. Neighbours that are
-    rare too count under their ending's class."""
-
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        u, classes = units.value, of.value
-        total: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            words, ks = zip(*total, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(ks, pa.int32()), pa.array(list(total.values()), pa.int64())], names=["word", "k", "c"])
-
-        for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                words = tokens_of(raw)
-                x = u(words)
-                rare = np.flatnonzero(x >= u.first_tail)
-                if not len(rare):
-                    continue
-                k = classes[x]
-                own = [words[i] for i in rare.tolist()]
-                total.update(zip(own, k[rare + 1].tolist(), strict=True))  # the end is never rare
-                total.update(zip(own, (width + np.r_[0, k[:-1]][rare]).tolist(), strict=True))
-                if len(total) > FLUSH:
-                    yield flush()
-                    total.clear()
-        if total:
-            yield flush()
-        release()
-
-    rows = docs.select("raw").mapInArrow(run, "word binary, k int, c long").repartition(partitions(docs.sparkSession), "word")
-    counts = rows.groupBy("word", "k").agg(F.sum("c").alias("c"))
-    return counts.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("k", "c"))).alias("e")).select("word", F.col("e.k").alias("ks"), F.col("e.c").alias("cs"))
-
-
-def rare_classes(found: DataFrame, units, of, cc: np.ndarray) -> DataFrame:
-    """word, cls: the best class of every rare word by its own neighbours, all against the class bigrams of the units."""
-    sent = found.sparkSession.sparkContext.broadcast(cc)
-    width = len(cc)
-
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        u, classes, cc = units.value, of.value, sent.value
-        table, memo = Table(cc), {}
-        for batch in batches:
-            out = []
-            words = batch.column(0).to_pylist()
-            for home, k, c in zip(classes[u(words)].tolist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                key = (home, *k, *c)  # most rare words stand once, and many of them alike
-                if key not in memo:
-                    if len(memo) > FLUSH:
-                        memo.clear()
-                    both = np.zeros(2 * width)
-                    both[k] = c
-                    table.shift(home, both[:width], both[width:], 0.0, -1)
-                    memo[key] = table.best(home, both[:width], both[width:], 0.0)
-                    table.shift(home, both[:width], both[width:], 0.0, 1)
-                out.append(memo[key])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int32())], names=["word", "cls"])
-        release()
-
-    return found.mapInArrow(run, "word binary, cls int")
-
-
 class Classes:
-    """What training has found: the units and their classes, counts and classes of the frequent words (a dictionary), of all words (a table word, c, cls), and sizes."""
+    """What training has found: the units and their classes, counts of the units, the table of all words (word, c), how many tokens and different words there are, and the number of classes."""
 
-    def __init__(self, units: Units, of: np.ndarray, known: dict[bytes, tuple[int, int]], vocabulary: DataFrame, total: int, kinds: int, width: int):
-        self.units, self.of, self.known, self.vocabulary, self.total, self.kinds, self.width = units, of, known, vocabulary, total, kinds, width
+    def __init__(self, units: Units, of: np.ndarray, counts: np.ndarray, vocabulary: DataFrame, total: int, kinds: int, width: int):
+        self.units, self.of, self.counts, self.vocabulary, self.total, self.kinds, self.width = units, of, counts, vocabulary, total, kinds, width
 
 
-def train(docs: DataFrame, kept: int = KEPT, tails: int = TAILS, classes: int = CLASSES, log: list[float] | None = None) -> Classes:
-    """Classes of all words of the training documents (column raw)."""
-    spark = docs.sparkSession
-    vocabulary = materialize(word_counts(docs), "vocabulary")
+def train(rows: DataFrame, kept: int = KEPT, tails: int = TAILS, classes: int = CLASSES, log: list[float] | None = None) -> tuple[Classes, DataFrame]:
+    """Classes of all words of the rows (doc_id, raw) that are not held out, and all rows as numbers of units."""
+    spark = rows.sparkSession
+    vocabulary = materialize(word_counts(rows.where(~held_out())), "vocabulary")
     total, kinds = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     often = frequent(vocabulary, kept)
     units = Units([w for w, _ in often], tails)
+    texts = numbered(rows, spark.sparkContext.broadcast(units))
     width = max(2, min(classes, units.size))
     # the end has class 0 to itself; others start by frequency, in turn, the tails after them
     of = np.r_[0, 1 + np.arange(units.size - 1) % (width - 1)].astype(np.int64)
-    sent = spark.sparkContext.broadcast(units)
-    blocks = materialize(unit_blocks(materialize(unit_bigrams(docs, sent), "bigrams")), "blocks")
-    of, cc = exchange(blocks, of, width, log)
-    of_sent = spark.sparkContext.broadcast(of)
-    rare = materialize(rare_classes(rare_neighbours(docs, sent, of_sent, width), sent, of_sent, cc), "rare")
-    known = {w: (c, int(of[i])) for i, (w, c) in enumerate(often)}
-    placed = map_batches(vocabulary, lambda b: _known_classes(b, sent, of_sent), "word binary, c long, cls int")
-    joined = placed.where("cls >= 0").union(vocabulary.join(rare, "word").select("word", "c", "cls"))
-    return Classes(units, of, known, materialize(joined, "classed"), total, kinds, width)
-
-
-def _known_classes(batch: pa.RecordBatch, units, of) -> Iterator[pa.RecordBatch]:
-    x = units.value(batch.column(0).to_pylist())
-    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.where(x < units.value.first_tail, of.value[x], -1).astype(np.int32))], names=["word", "c", "cls"])
+    blocks = materialize(unit_blocks(texts.where(~held_out()), units.size), "blocks")
+    of, _ = exchange(blocks, of, width, log)
+    return Classes(units, of, np.array([c for _, c in often], dtype=np.int64), vocabulary, total, kinds, width), texts
 
 
 class ClassModel:
@@ -442,24 +437,35 @@ class ClassModel:
         return float(self.transition[np.r_[0, c[:-1]], c].sum() - self.room[c].sum())
 
 
-def fitted(found: Classes, sequences: DataFrame) -> ClassModel:
-    """The model of the classes, from the class sequences of the training documents (column cls, 16-bit numbers)."""
-    width = found.width
+def fitted(found: Classes, texts: DataFrame) -> ClassModel:
+    """The model of the classes, with class bigrams, tokens and words of the training rows."""
+    width, units, of = found.width, found.units, found.of
+    sent = texts.sparkSession.sparkContext.broadcast(of)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width * width)
         for batch in batches:
             for raw in batch.column(0).to_pylist():
-                c = np.frombuffer(raw, dtype=np.int16).astype(np.int64)
+                c = sent.value[np.frombuffer(raw, dtype=np.int32)]
                 total += np.bincount(np.r_[0, c[:-1]] * width + c, minlength=width * width)
         yield pair_batch(total)
 
-    cc = summed_bigrams(sequences.select("cls").mapInArrow(run, "pair long, c long"), width)
-    kinds, mass, open_classes = np.zeros(width), np.zeros(width), np.zeros(width)
-    for r in found.vocabulary.groupBy("cls").agg(F.count("*").alias("kinds"), F.sum("c").alias("mass")).collect():  # a row a class
-        kinds[r.cls], mass[r.cls] = r.kinds, r.mass
-    open_classes[found.of[found.units.first_tail :]] = 1
-    return ClassModel(cc, kinds, mass, open_classes)
+    def by_tail(batches) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(units.tails, dtype=np.int64)
+        for batch in batches:
+            own = [tail_group(w, units.tails) for w in batch.column(0).to_pylist() if w not in known.value]
+            total += np.bincount(np.array(own, dtype=np.int64), minlength=units.tails)
+        yield pair_batch(total)
+
+    cc = summed_bigrams(texts.where(~held_out()).select("ids").mapInArrow(run, "pair long, c long"), width)
+    known = texts.sparkSession.sparkContext.broadcast(units.place)
+    kinds = np.bincount(of[: units.first_tail], weights=found.counts > 0, minlength=width)
+    rows = found.vocabulary.select("word").mapInArrow(by_tail, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
+    for r in rows.collect():  # a row an ending's unit
+        kinds[of[units.first_tail + r.pair]] += r.c
+    open_classes = np.zeros(width)
+    open_classes[of[units.first_tail :]] = 1
+    return ClassModel(cc, kinds, cc.sum(axis=0), open_classes)
 
 
 def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **sizes) -> DataFrame:
@@ -470,64 +476,32 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **s
     scored row by row; other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    rows = bare(docs, doc_id=doc_id, raw=utf8(text))
-    found = train(rows.where(~held_out()), **sizes)
-    sent = spark.sparkContext.broadcast((found.units, found.of, found.known))
+    found, texts = train(bare(docs, doc_id=doc_id, raw=utf8(text)), **sizes)
+    model = fitted(found, texts)
+    sent = spark.sparkContext.broadcast((model, found.of, found.counts, found.units.first_tail))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        units, of, often = sent.value
-        log = {c: float(np.log10(c + ADD)) for c in {c for c, _ in often.values()}}
-        n, part, cls, known, rare = [], [], [], [], []
-        for raw in batch.column(1).to_pylist():
-            words = tokens_of(raw)
-            here = Counter(words)
-            got = [(often[w][0], k) for w, k in here.items() if w in often]
-            n.append(len(words))
-            part.append(math.fsum(log[c] * k for c, k in got))
-            # the end is unknown if no document is learned from
-            known.append(sum(k for c, k in got if c))
-            at: dict = {w: [] for w in here if w not in often}
-            # a word that is not among the frequent ones stands as if training never saw it, until the vocabulary says otherwise
-            unseen = dict(zip(at, of[units(list(at))].tolist(), strict=True))
-            cls.append(np.fromiter((often[w][1] if w in often else unseen[w] for w in words), dtype=np.int16, count=len(words)).tobytes())
-            for i, w in enumerate(words):
-                if w in at:
-                    at[w].append(i)
-            rare.append([{"word": w, "k": len(p), "at": p} for w, p in at.items()])
-        columns = [pa.array(n, pa.int64()), pa.array(part, pa.float64()), pa.array(cls, pa.binary()), pa.array(known, pa.int64()), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64()), ("at", pa.list_(pa.int32()))])))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n", "part", "cls", "known", "rare"])
-
-    def place(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        out = []
-        for raw, placed in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-            c = np.frombuffer(raw, dtype=np.int16).copy()
-            for p in placed or ():
-                c[p["at"]] = p["cls"]
-            out.append(c.tobytes())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(out, pa.binary())], names=batch.schema.names[:-1])
+        model, of, counts, first_tail = sent.value
+        logs = np.log10(counts + ADD)
+        emitted, known, terms = [], [], []
+        for raw in batch.column(3).to_pylist():
+            x = np.frombuffer(raw, dtype=np.int32)
+            own = x[x < first_tail]
+            emitted.append(float(logs[own].sum()))
+            known.append(int((counts[own] > 0).sum()))
+            terms.append(model.terms(of[x]))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(emitted, pa.float64()), pa.array(known, pa.int64()), pa.array(terms, pa.float64())], names=["key", "doc_id", "n", "emitted", "known", "terms"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    half = map_batches(rows, run, f"doc_id {kind}, n long, part double, cls binary, known long, rare array<struct<word:binary,k:long,at:array<int>>>")
-    half = materialize(half.withColumn("key", F.monotonically_increasing_id()), "scores")  # written, so the keys stay
-    looked = half.select("key", F.inline("rare")).join(found.vocabulary.withColumnRenamed("cls", "placed"), "word", "left")
-    rest = looked.groupBy("key").agg(
-        F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(ADD))).alias("more"), F.sum(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("found"),
-        F.collect_list(F.when(F.col("c").isNotNull(), F.struct("at", F.col("placed").alias("cls")))).alias("rare"),
-    )
-    both = half.drop("rare").join(rest, "key", "left")
-    emitted = F.col("part") + F.coalesce("more", F.lit(0.0))
-    both = both.select("doc_id", "n", (F.col("known") + F.coalesce("found", F.lit(0))).alias("known"), emitted.alias("emitted"), "cls", "rare")
-    both = materialize(map_batches(both, place, f"doc_id {kind}, n long, known long, emitted double, cls binary"), "sequences")
-    model = spark.sparkContext.broadcast(fitted(found, both.where(~held_out())))
-
-    def finish(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        terms = [model.value.terms(np.frombuffer(raw, dtype=np.int16).astype(np.int64)) for raw in batch.column(4).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(terms, pa.float64())], names=[*batch.schema.names[:4], "terms"])
-
-    done = map_batches(both, finish, f"doc_id {kind}, n long, known long, emitted double, terms double")
-    score = F.col("emitted") + F.col("terms")
+    mine = map_batches(texts.select("key", "doc_id", "n", "ids"), run, f"key long, doc_id {kind}, n long, emitted double, known long, terms double")
+    # words without a unit bring their counts along from the vocabulary
+    looked = texts.select("key", F.inline("rare")).join(found.vocabulary, "word", "left")
+    rest = looked.groupBy("key").agg(F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(ADD))).alias("more"), F.sum(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("found"))
+    done = mine.join(rest, "key", "left")
+    emitted = F.col("emitted") + F.coalesce("more", F.lit(0.0))
+    score = emitted + F.col("terms")
     base_room = float(np.log10(found.total + ADD * (found.kinds + 1)))
     return done.select(
-        "doc_id", held_out().alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(found.total).cast("long").alias("train_tokens"),
-        (F.col("emitted") - F.col("n") * F.lit(base_room)).alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n")).alias("perplexity"),
+        "doc_id", held_out().alias("held_out"), F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(found.total).cast("long").alias("train_tokens"),
+        (emitted - F.col("n") * F.lit(base_room)).alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n")).alias("perplexity"),
     )
