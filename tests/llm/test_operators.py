@@ -120,8 +120,22 @@ def test_mixing(spark, docs, messy, empty):
     assert first == again
     for r in mixing.mix(many).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g")).collect():
         assert abs(r.t - r.g) <= 40
-    assert mixing.mixed_rows(many).count() == sum(1 for _ in mixing.mixed_rows(many).toLocalIterator()) and mixing.mixed_rows(many).columns == many.columns
-    assert mixing.mix(empty).count() == 0
+    assert mixing.mixed_rows(many).columns == many.columns and mixing.mix(empty).count() == 0 == mixing.mixed_rows(empty).count()
+
+
+def test_mixing_deals_equal_rows_one_by_one(spark):
+    """1000 equal rows, of which a part is taken twice, reach the target within one document; columns of any name come through."""
+    rows = [(7, "a b c", "x", i) for i in range(1000)] + [(i, "w " * (1 + i % 5), "y", i) for i in range(2000, 3500)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, b int")
+    for name in ("bound", "key", "whole", "_s", "_h", "h", "size"):
+        table = table.withColumn(name, F.col("b"))
+    got = mixing.mix(table).collect()
+    assert len(got) == len(rows)
+    for s in "xy":
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 3 and {r.copies for r in own} <= {0, 1, 2}
+    mixed = mixing.mixed_rows(table).collect()
+    assert all(r.b == r.bound == r.key == r.whole == r._s == r._h == r.h == r["size"] for r in mixed) and len(mixed) == sum(r.copies for r in got)
 
 
 def test_mixing_makes_up_for_one_long_document(spark):
@@ -148,7 +162,7 @@ def brute_repeats(rows, n=35):
     return sorted(out)
 
 
-@pytest.mark.parametrize("wide", [1, 256])
+@pytest.mark.parametrize("wide", [0, 1, 256])
 def test_substring_dedup(docs, messy, empty, wide, monkeypatch):
     monkeypatch.setattr(substring_dedup.repeated_runs, "__defaults__", (substring_dedup.WINDOW, substring_dedup.ANCHOR, 300, wide))
     for table in (docs, messy):
@@ -158,6 +172,19 @@ def test_substring_dedup(docs, messy, empty, wide, monkeypatch):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+def test_substring_dedup_of_a_phrase_in_ever_new_surroundings(spark, monkeypatch):
+    """One minimizer with many different runs: cut anew until the pieces are few, down to windows themselves."""
+    monkeypatch.setattr(substring_dedup.repeated_runs, "__defaults__", (substring_dedup.WINDOW, substring_dedup.ANCHOR, 300, 3))
+    rnd = random.Random(12)
+    fresh = lambda n: [f"q{rnd.randrange(10**9)}" for _ in range(n)]
+    phrase = fresh(34)
+    texts = [[*fresh(20), *phrase[: rnd.choice((16, 20, 28, 32, 34))], *fresh(20)] for _ in range(40)]
+    texts += [[*fresh(3), *phrase, "one", *fresh(2)], [*phrase, "one"], ["one", *phrase], [*fresh(5), "one", *phrase, "two"]]
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = substring_dedup.remove_repeats(table)
+    assert sorted((r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == brute_repeats([[w.encode() for w in t] for t in texts])
+
+
 def brute_class_scores(rows, held, of, width, unseen, open_classes):
     """log10 probability of every text, straight from the classes of the words."""
     c = Counter(w for d, ws in rows if not held(d) for w in ws)
@@ -191,14 +218,14 @@ def test_class_lm(docs, messy, empty):
         held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 10 == 0
         c = Counter(w for d, ws in rows if not held(d) for w in ws)
         total, kinds = sum(c.values()), len(c)
-        raw = table.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("raw")).where(~class_lm.held_out())
+        raw = table.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
         log = []
-        found = class_lm.train(raw, log=log, **sizes)
-        of = {bytes(r.word): r.cls for r in found.vocabulary.collect()}
-        assert set(of) == set(c) and of[b""] == 0 and list(of.values()).count(0) == 1
+        found, _ = class_lm.train(raw, log=log, **sizes)
+        units = found.units
+        of = {w: int(found.of[units([w])[0][0]]) for w in c}
+        assert of[b""] == 0 and list(of.values()).count(0) == 1 and 0 not in found.of[1:] and units.first_tail <= 21
         assert log == sorted(log) and len(set(log)) == len(log)  # every round raises the likelihood
-        tails = found.of[found.units.first_tail :]
-        scores = brute_class_scores(rows, held, of, found.width, lambda w: tails[class_lm.tail_group(w, 4)], set(tails.tolist()))  # noqa: B023
+        scores = brute_class_scores(rows, held, of, found.width, lambda w: int(found.of[units([w])[0][0]]), set(found.of[units.first_tail :].tolist()))  # noqa: B023
         expected = sorted((str(d), held(d), len(ws), sum(c[w] > 0 for w in ws), round(sum(math.log10((c[w] + 0.1) / (total + 0.1 * (kinds + 1))) for w in ws), 6), round(s, 6)) for (d, ws), s in zip(rows, scores, strict=True))
         got = class_lm.score_texts(table, **sizes).collect()
         assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in got) == expected and all(r.train_tokens == total for r in got)
@@ -226,26 +253,36 @@ def test_class_lm_gains_are_exact():
     cc = lambda of: np.array([[b[np.ix_(of == i, of == k)].sum() for k in range(4)] for i in range(4)], dtype=float)
     table = class_lm.Table(cc(of))
     for u in range(1, 12):
-        out, into = (np.bincount(of, weights=np.where(np.arange(12) == u, 0, x), minlength=4) for x in (b[u], b[:, u]))
-        table.shift(of[u], out, into, b[u, u], -1)
-        gain = table.gains(out, into, b[u, u])
+        near = np.concatenate([np.bincount(of, weights=np.where(np.arange(12) == u, 0, x), minlength=4) for x in (b[u], b[:, u])])
+        table.shift(of[u], near, b[u, u], -1)
+        gain = table.gains(near, b[u, u])
         true = [class_lm.likelihood(cc(np.where(np.arange(12) == u, k, of))) for k in range(4)]
         assert np.allclose(np.diff(gain[1:]), np.diff(true[1:]))
-        table.shift(of[u], out, into, b[u, u], 1)
-    assert (table.cc == cc(of)).all()
+        table.shift(of[u], near, b[u, u], 1)
+    assert (table.cc == cc(of)).all() and (table.sums == np.r_[cc(of).sum(axis=1), cc(of).sum(axis=0)]).all()
 
 
-def test_class_lm_classes_every_word(spark):
-    """Rare words are classed by their own neighbours: two kinds of words, each in its own place, all too rare to be units; by endings they'd be mixed."""
+def test_class_lm_finds_kinds_of_words(spark):
+    """Two kinds of words, each in its own place, are parted, and their bigrams counted as they are."""
     rnd = random.Random(5)
     kinds = [[f"{chr(97 + i % 26)}{i}{k}{rnd.randrange(1000)}" for i in range(30)] for k in ("x", "y")]
-    rows = [(f"{w} p q" if k == 0 else f"r s {w}",) for k in (0, 1) for w in kinds[k] for _ in range(4)]
-    docs = spark.createDataFrame(rows, "text string").select(F.col("text").cast("binary").alias("raw"))
-    found = class_lm.train(docs, kept=5, tails=7, classes=8)
-    of = {bytes(r.word).decode(): r.cls for r in found.vocabulary.collect()}
-    assert len(found.known) == 5 and len(of) == 65 and not {of[w] for w in kinds[0]} & {of[w] for w in kinds[1]}
-    ends = [{class_lm.tail_group(w.encode(), 7) for w in k} for k in kinds]
-    assert ends[0] & ends[1]
+    rows = [(1 + 10 * i, f"{w} p q" if k == 0 else f"r s {w}") for i, (k, w) in enumerate((k, w) for k in (0, 1) for w in kinds[k] for _ in range(4))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.col("text").cast("binary").alias("raw"))
+    found, texts = class_lm.train(docs, kept=200, tails=7, classes=8)
+    classes = [{int(found.of[found.units([w.encode()])[0][0]]) for w in k if w.encode() in found.units.place} for k in kinds]
+    assert not classes[0] & classes[1] and found.units.first_tail > 60
+    learned = {r.doc_id for r in docs.where(~class_lm.held_out()).select("doc_id").collect()}
+    pairs = Counter()
+    for d, t in rows:
+        if d in learned:
+            x = found.units([*t.encode().split(), b""])[0].tolist()
+            pairs.update(zip([0, *x[:-1]], x, strict=True))
+    got = Counter()
+    for batch in class_lm.unit_blocks(texts.where(~class_lm.held_out()), found.units.size, found.units.kind).toArrow().to_batches():
+        for block in class_lm.block_bigrams(batch, found.units.size):
+            for unit, other, back, n in zip(*(x.tolist() for x in block), strict=True):
+                got[(other, unit) if back else (unit, other), int(back)] += n
+    assert got == Counter({(p, back): n for p, n in pairs.items() for back in (0, 1)})
 
 
 def brute_items(words, items, n=13):
@@ -311,6 +348,25 @@ def test_chat_format_types(spark):
         assert got[i].json == '{"arguments":{"z":%s},"id":"a","name":"%s","role":"assistant"}' % (json.dumps(json.loads(values[value]), sort_keys=True, separators=(",", ":")), kind)
 
 
+def test_chat_format_schemas(spark):
+    schema = {
+        "required": ["o"], "properties": {
+            "o": {"type": "object", "required": ["k"], "properties": {"k": {"type": "string", "enum": ["x", "y"]}, "n": {"type": "array", "items": {"type": "object", "properties": {"v": "integer"}}}}, "additionalProperties": False},
+            "s": "string", "i": "integer",
+        }}
+    cases = [
+        ({"o": {"k": "x"}}, True), ({"o": {"k": "z"}}, False), ({"o": {}}, False), ({"o": {"k": None}}, False), ({"o": "x"}, False), ({"o": {"k": "y", "n": [{"v": 1}, {"v": 2}, {}]}}, True), ({"o": {"k": "y", "n": [{"v": "1"}]}}, False),
+        ({"o": {"k": "y", "n": {"v": 1}}}, False), ({"o": {"k": "x", "more": 1}}, False), ({}, False), ({"o": {"k": "x"}, "s": 1}, False), ({"o": {"k": "x"}, "i": "$b"}, True), ({"o": {"k": "x"}, "i": "$$b"}, False), ({"o": {"k": "x"}, "s": "$$b"}, True),
+        ({"o": {"k": "x"}, "s": "x" * 200_000}, True), ({"o": {"k": "x"}, "s": None}, True), ({"o": {"k": "x"}, "t": 1}, False),
+    ]
+    turns = spark.createDataFrame([(i, 0, "assistant", json.dumps({"tool_calls": [{"id": "a", "name": "f", "arguments": a}]})) for i, (a, _) in enumerate(cases)], "conv_id long, turn long, role string, text string")
+    for name in ("item", "ord", "c", "depth", "at", "valid", "json"):
+        turns = turns.withColumn(name, F.lit(1))
+    got = {r.conv_id: r for r in chat_format.link_tool_calls(turns, {"f": schema}, typed=True).collect()}
+    assert [got[i].valid for i in range(len(cases))] == [good for _, good in cases]
+    assert all(json.loads(got[i].json)["arguments"] == a for i, (a, _) in enumerate(cases))
+
+
 def test_chat_format_long_chain_and_later_turns(spark):
     call = lambda i, ref: json.dumps({"tool_calls": [{"id": i, "name": "f", "arguments": {"x": ref}}]})
     rows = [(1, i, "assistant", call(str(i), f"${i - 1}" if i else "x")) for i in range(68)] + [(2, 0, "assistant", call("a", "$b")), (2, 1, "assistant", call("b", "x"))]
@@ -331,6 +387,46 @@ def test_language_id(spark, empty, messy):
     assert language_id.train(empty) is None and language_id.identify(messy, None).select("lang_pred").distinct().collect()[0][0] == "und" and language_id.identify(empty, None).count() == 0
 
 
+def test_language_machines_reach_the_optimum():
+    """The dual gap of a fitted machine is small."""
+    rng = np.random.default_rng(2)
+    y = np.where(rng.random(300) < 0.3, 1, -1)
+    x = (rng.standard_normal((300, 12)) + 0.8 * y[:, None] * (np.arange(12) < 3)).astype(np.float32)
+    w = language_id.fit_svm(x, y).astype(np.float64)
+    cost = np.where(y == 1, 4.0 * 300 / (2 * (y == 1).sum()), 4.0 * 300 / (2 * (y == -1).sum()))
+    z = np.c_[x, np.ones(300)]
+    slack = np.maximum(0, 1 - y * (z @ w))
+    alpha = 2 * cost * slack  # what the optimum's conditions say
+    u = (alpha * y) @ z
+    primal = 0.5 * w @ w + (cost * slack**2).sum()
+    dual = alpha.sum() - 0.5 * u @ u - (alpha**2 / (4 * cost)).sum()
+    assert 0 <= primal - dual < 0.02 * primal
+
+
+def test_language_votes_are_as_counted():
+    rng = np.random.default_rng(5)
+    labels = [("en", "de", "nl", "fr", "es", "xx")[i % 6] for i in range(240)]
+    x = rng.random((240, 20)).astype(np.float32) * 0.3
+    x[np.arange(240), np.arange(240) % 6] += 1
+    model = language_id.LanguageModel(x, labels)
+    for row, (lang, score) in zip(x, model.predict(x), strict=True):
+        family = max(model.names, key=lambda f: (language_id.margin(row, model.against_rest[model.names.index(f)]), f == f))  # noqa: B023
+        codes = model.families[family]
+        wins = Counter({c: 0 for c in codes})
+        for (a, b), w in model.pairs.items():
+            if a in codes:
+                wins[a if language_id.margin(row, w) >= 0 else b] += 1
+        assert lang in codes and wins[lang] == max(wins.values()) and 0 <= score <= 1
+
+
+def test_language_labels_are_bounded(spark):
+    rows = [(i, f"w{i % 7} text of words", f"l{i % 9}" if i % 3 else "en") for i in range(400)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=3)
+    assert len(model.langs) == 3 and "en" in model.langs
+    table = spark.createDataFrame([(1, "word " * 300_000, "en"), (2, "", "en")], "doc_id long, text string, lang string")
+    assert [r.lang_pred == "und" for r in language_id.identify(table, model).orderBy("doc_id").collect()] == [False, True]
+
+
 def components(n, linked):
     root = list(range(n))
 
@@ -367,6 +463,21 @@ def test_simhash(spark, docs, messy, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_simhash_links_of_large_groups(spark):
+    """Groups beyond what a task holds are linked in blocks, and to the same effect."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**63, size=6, dtype=np.int64)
+    fps = sorted({int(b ^ (1 << rng.integers(0, 62)) ^ (1 << rng.integers(0, 62))) for b in base.tolist() for _ in range(60)})
+    roots = components(len(fps), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 4)
+    table = spark.createDataFrame([(f,) for f in fps], "fp long")
+    for held in (20, 20_000):
+        links = simhash.fingerprint_links(table, held=held).collect()
+        assert all((r.a ^ r.b).bit_count() <= 4 for r in links)
+        at = {f: i for i, f in enumerate(fps)}
+        linked = {(max(at[r.a], at[r.b]), min(at[r.a], at[r.b])) for r in links}
+        assert components(len(fps), lambda i, j: (i, j) in linked) == roots  # noqa: B023
+
+
 def test_golay_keys_meet():
     rng = np.random.default_rng(3)
     for _ in range(500):
@@ -400,9 +511,16 @@ def test_embeddings(spark):
     expected = [(i, int((c[i] >= 0.95).sum()), r, r == i) for i, r in enumerate(components(len(x), lambda i, j: c[i, j] >= 0.95))] + [(i, 0, i, True) for i in range(900, 907)]
     assert sorted(tuple(r) for r in embedding_dedup.near_vectors(table).collect()) == sorted(expected)
     assert sorted(tuple(r) for r in embedding_dedup.near_vectors(table, signs=31).collect()) == sorted(expected)  # as planned for 2 ** 31 vectors
+    assert sorted(tuple(r) for r in embedding_dedup.near_vectors(table, held=8).collect()) == sorted(expected)  # buckets compared in blocks
     assert embedding_dedup.near_vectors(table.where("false")).count() == 0
     with pytest.raises(ValueError):
         embedding_dedup.near_vectors(table, 0.5)
+    # ids that repeat or are missing: every row is judged by its own vector
+    ids = [5, 5, 7, 9, None, None, 5]
+    vectors = [base[0], base[1], base[0] * 2, base[2], base[1], base[3], base[0]]
+    same = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in zip(ids, vectors, strict=True)], "vec_id long, embedding array<double>")
+    got = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_vectors(same).collect())
+    assert got == Counter([(5, 2, 5, True), (5, 1, 5, True), (7, 2, 5, False), (9, 0, 9, True), (None, 1, 5, False), (None, 0, None, False), (5, 2, 5, True)])
     for n in (0, 1, 10**6, 10**9, 10**12):
         tables, signs = embedding_dedup.table_plan(n, 0.95)
         assert 2**signs >= n or signs == 40

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -33,8 +34,35 @@ def test_run(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(ids("token_output"))
 
 
-def test_empty(spark):
+@pytest.fixture()
+def bench_dir(spark, tmp_path):
+    spark.createDataFrame([(1, "item " * 3 + " ".join(f"z{i}" for i in range(20)))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    return str(tmp_path)
+
+
+def test_empty(spark, bench_dir):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for name, stage in corpus_pipeline.STAGES:
-        if name != "benchmark_decontamination":
-            assert stage(spark, docs, "/root/testdata/sf0.001").count() == 0
+        assert stage(spark, docs, bench_dir).count() == 0, name
+
+
+def test_odd_rows_and_clashing_columns(spark, bench_dir):
+    """Nulls everywhere, an empty and a very long text, repeated rows and ids, and columns named as the stages name their own."""
+    long = "thing and where " * 100_000
+    rows = [(1, "the thing where", "en", "a"), (1, "the thing where", "en", "a"), (1, "other words here now", None, None), (None, None, None, None), (2, "", "en", "b"), (3, long, "en", "b"), (None, "der hund und die katze", "de", "a"), (None, "der hund und die katze", "de", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    clash = ["size", "n_words", "score", "lang_pred", "spans", "items", "n_hit", "contaminated", "rate", "target", "taken", "_key", "_copy", "key", "b", "bound", "whole", "component_id", "fp", "column_0_of_docs", "h"]
+    for i, name in enumerate(clash):
+        docs = docs.withColumn(name, F.lit(f"own {i}"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, bench_dir)
+        assert out.columns == docs.columns, name
+        got = [tuple(r) for r in out.collect()]
+        assert got and all(r[4:] == tuple(f"own {i}" for i in range(len(clash))) for r in got) and {r[:4] for r in got} <= set(rows), name
+        if name == "language_id":
+            assert sorted(str(r[:4]) for r in got) == sorted(str(r) for r in rows if r[1])
+        if name == "simhash_near_dedup":
+            assert sorted((r[1] or "") for r in got) == sorted({r[1] or "" for r in rows})
+        if name == "benchmark_decontamination":
+            assert sorted(str(r[:4]) for r in got) == sorted(map(str, rows))
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, bench_dir).count() == len(rows)
