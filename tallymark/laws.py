@@ -38,6 +38,7 @@ GRAMMAR = [
     ("G6", "n || chr(10) || chr(10) || chr(13) || chr(10) || k", ["n", "k"], None),
     ("G7", "n || ','", ["n || '|'"], None),
     ("G8", """n || chr(10) || '"' || k""", ["n"], "UNTERMINATED_QUOTE"),
+    ("G8 pair", """'a' || chr(10) || '"b""' || n""", ["'a'"], "UNTERMINATED_QUOTE"),
     ("G9", "'a,b' || chr(10) || n", ["'a|b'"], "RAGGED_ROW"),
     ("G10 empty", "'a,b' || chr(10) || n || ',' || k || ',,'", ["'a|b'", "n || '|' || k"], None),
     ("G10 filled", "'a,b' || chr(10) || n || ',b,c'", ["'a|b'"], "RAGGED_ROW"),

@@ -58,12 +58,15 @@ def by_key(source: DataFrame, target: DataFrame, model: HeaderModel, options: Di
 
 
 def by_content(source: DataFrame, target: DataFrame, model: HeaderModel, options: DiffOptions) -> DataFrame:
-    """The k-th target row of some content is the k-th source row of that content; full outer join on content and k."""
-    names = [f"_k{i}" for i in range(model.width)]
+    """The k-th target row of some content is the k-th source row of that content; full outer join on content and k.
+
+    Content is moved and compared as two independent 64-bit hashes of all compared forms and where they end, 128 bits in all."""
+    names = ["_h", "_g"]
 
     def counted(df: DataFrame, side: str) -> DataFrame:
-        rows = df.select("*", *[c.alias(n) for c, n in zip(forms(side, model, options), names, strict=True)])
-        return ranked(rows, f"{side}_idx", [f"{side}_idx"], "_nth", within=names)
+        parts = forms(side, model, options)
+        seeded = [F.xxhash64(F.lit(seed), *[x for v in parts for x in (v, F.octet_length(v))]).alias(n) for seed, n in enumerate(names)]
+        return ranked(df.select("*", *seeded), f"{side}_idx", [f"{side}_idx"], "_nth", within=names)
 
     return counted(source, "s").join(counted(target, "t"), [*names, "_nth"], "full_outer").drop(*names, "_nth").withColumn("via", F.lit("content"))
 

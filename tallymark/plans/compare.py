@@ -79,9 +79,23 @@ class Diff:
         return rows.withColumn("moved", F.coalesce("moved", F.lit(False))).withColumn("move_distance", F.coalesce("move_distance", F.lit(0)))
 
     def ordered_rows(self, changes_only: bool = False) -> DataFrame:
-        """``classified`` with report_pos."""
-        rows = reporting.placed(self.classified, self.matches, self.placement)
-        return reporting.positioned(rows.where(~self.quiet) if changes_only else rows)
+        """``classified`` with report_pos. For the whole report positions are found from row numbers alone and joined once; of a part, from the part."""
+        if changes_only:
+            return reporting.positioned(reporting.placed(self.classified, self.matches, self.placement).where(~self.quiet))
+        name = F.coalesce("t_idx", -1 - F.col("s_idx")).alias("_row")
+        places = reporting.positioned(reporting.placed(self.matches.select("s_idx", "t_idx"), self.matches, self.placement))
+        return self.classified.withColumn("_row", name).join(places.select(name, "bucket", "side", "report_pos"), "_row").drop("_row")
+
+    @cached_property
+    def _indexes(self) -> dict[bool, DataFrame]:
+        return {}
+
+    def index(self, changes_only: bool = False) -> DataFrame:
+        """``ordered_rows`` written once in order, so that a page, the next change and a walk through the rows read only their part."""
+        if changes_only not in self._indexes:
+            rows = self.ordered_rows(changes_only)
+            self._indexes[changes_only] = stage(rows.repartitionByRange("report_pos").sortWithinPartitions("report_pos"), "report")
+        return self._indexes[changes_only]
 
     def first_rows(self, most: int, changes_only: bool = False) -> DataFrame:
         """The first ``most`` of ``ordered_rows``: each task passes on its own first ones, nothing else is numbered."""
@@ -93,9 +107,9 @@ class Diff:
     def quiet(self) -> Column:
         return (F.col("kind") == "unchanged") & ~F.col("moved") & (F.col("suppressed_cells") == 0) & (F.col("finding_cells") == 0)
 
-    def report(self, changes_only: bool = False, include_values: bool = True) -> DataFrame:
-        """The versioned report: one row for each target row and each deleted row."""
-        rows = self.ordered_rows(changes_only)
+    def report(self, changes_only: bool = False, include_values: bool = True, indexed: bool = False) -> DataFrame:
+        """The versioned report: one row for each target row and each deleted row; from the written ``index`` if ``indexed``."""
+        rows = self.index(changes_only) if indexed else self.ordered_rows(changes_only)
         keys = F.array(*[F.coalesce(f"t{i}", f"s{i}") for i in self.model.key_columns]) if self.model.key_columns else F.lit(None).cast("array<string>")
         cells = [reporting.cells_of(self.model).alias("cells")] if include_values else []
         return rows.select(
@@ -105,16 +119,16 @@ class Diff:
 
     def rows(self, **how):
         """Report rows in order, one at a time, on the driver."""
-        return self.report(**how).orderBy("report_pos").toLocalIterator()
+        return self.report(indexed=True, **how).orderBy("report_pos").toLocalIterator()
 
     def page(self, start: int, size: int, changes_only: bool = False) -> DataFrame:
         """Report rows from position ``start``."""
         start = max(0, start)
-        return self.report(changes_only).where((F.col("report_pos") >= start) & (F.col("report_pos") < start + max(0, size)))
+        return self.report(changes_only, indexed=True).where((F.col("report_pos") >= start) & (F.col("report_pos") < start + max(0, size)))
 
     def find_next_change(self, after: int, most: int = 100_000) -> int | None:
         """Position of the first row behind ``after`` that isn't plainly unchanged, among the next ``most``."""
-        rows = self.ordered_rows().where((F.col("report_pos") > after) & (F.col("report_pos") <= after + most)).where("kind <> 'unchanged' or moved")
+        rows = self.index().where((F.col("report_pos") > after) & (F.col("report_pos") <= after + most)).where("kind <> 'unchanged' or moved")
         return rows.agg(F.min("report_pos")).first()[0]
 
     def cells(self, flag: int = reporting.CHANGED) -> DataFrame:

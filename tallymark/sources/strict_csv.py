@@ -5,7 +5,7 @@ from __future__ import annotations
 import codecs
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import asdict, dataclass
 
 import pyarrow as pa
@@ -97,30 +97,52 @@ def inflated(data: bytes, encoding: str | None, most: int | None = None) -> byte
     return b"".join(out)
 
 
-def parse(data: bytes, dialect: Dialect = Dialect(), limits: Limits = Limits(), stats: ParseStats | None = None) -> Iterator[list[bytes]]:
-    """Records as lists of field values (quotes removed, pairs of quotes collapsed).
+def parse(data: bytes | Iterable[bytes], dialect: Dialect = Dialect(), limits: Limits = Limits(), stats: ParseStats | None = None) -> Iterator[list[bytes]]:
+    """Records as lists of field values (quotes removed, pairs of quotes collapsed), from bytes or from chunks of them, wherever those are cut.
 
     LF, CRLF and CR end records, mixed too; an empty line is no record; blanks are data, but those between a closing quote and the next
-    delimiter are skipped; a quote inside a bare field is data. Errors carry byte, row and field.
+    delimiter are skipped; a quote inside a bare field is data. Errors carry byte, row and field. Of chunks, only the field being read is held.
     """
     st = stats if stats is not None else ParseStats()
-    st.bytes, st.line_feeds, st.quotes = len(data), data.count(b"\n"), data.count(dialect.quote.encode())
-    if limits.max_bytes is not None and len(data) > limits.max_bytes:
-        raise ReconcileError("TOO_LARGE", f"{len(data)} bytes are more than the limit of {limits.max_bytes}")
-    d, q = re.escape(dialect.delimiter.encode()), re.escape(dialect.quote.encode())
+    chunks = iter((data,) if isinstance(data, bytes) else data)
+    mark, pair, delimiter = dialect.quote.encode(), dialect.quote.encode() * 2, dialect.delimiter.encode()
+    d, q = re.escape(delimiter), re.escape(mark)
     blanks = b"[ ]*" if dialect.delimiter == "\t" else b"[\t]*" if dialect.delimiter == " " else b"[ \t]*"
-    quoted = re.compile(q + b"((?:[^" + q + b"]|" + q + q + b")*)" + q + blanks)
+    quoted = re.compile(q + b"((?:[^" + q + b"]|" + q + q + b")*+)" + q + blanks)  # a pair of quotes is never taken apart
     bare = re.compile(b"[^" + d + b"\r\n]*")
-    mark, pair, delimiter = dialect.quote.encode(), dialect.quote.encode() * 2, dialect.delimiter.encode()
-    at, n = (3 if dialect.strip_bom and data.startswith(codecs.BOM_UTF8) else 0), len(data)
+    held, at, passed, more = b"", 0, 0, True
+
+    def longer() -> bool:
+        """What is left, and another chunk behind it; False after the last."""
+        nonlocal held, at, passed, more
+        for chunk in chunks:
+            if not chunk:
+                continue
+            st.bytes += len(chunk)
+            st.line_feeds += chunk.count(b"\n")
+            st.quotes += chunk.count(mark)
+            if limits.max_bytes is not None and st.bytes > limits.max_bytes:
+                raise ReconcileError("TOO_LARGE", f"{st.bytes} bytes are more than the limit of {limits.max_bytes}")
+            held, passed, at = held[at:] + chunk, passed + at, 0
+            return True
+        more = False
+        return False
+
+    while len(held) < 3 and longer():
+        pass
+    if dialect.strip_bom and held.startswith(codecs.BOM_UTF8):
+        at = 3
     record: list[bytes] = []
     any_quoted = False
-    while at < n or record:
-        open_field = data[at : at + 1] == mark
-        if open_field:
-            m = quoted.match(data, at)
-            if not m:
-                raise ReconcileError("UNTERMINATED_QUOTE", f"the quote opened in row {st.rows + 1}, field {len(record) + 1} is never closed")
+    while at < len(held) or record or (more and longer()):
+        is_quoted = held[at : at + 1] == mark
+        m = (quoted if is_quoted else bare).match(held, at)
+        # what ends a field, and the LF of a CRLF, must be in sight; a quote before the end may be the first of a pair
+        if more and (m is None or m.end() + 2 > len(held)) and longer():
+            continue
+        if m is None:
+            raise ReconcileError("UNTERMINATED_QUOTE", f"the quote opened in row {st.rows + 1}, field {len(record) + 1} is never closed")
+        if is_quoted:
             value = m[1]
             st.quoted += 1
             if pair in value:
@@ -129,26 +151,26 @@ def parse(data: bytes, dialect: Dialect = Dialect(), limits: Limits = Limits(),
             st.multiline += b"\n" in value or b"\r" in value
             any_quoted = True
         else:
-            m = bare.match(data, at)
             value = m[0]
         at = m.end()
-        end = data[at : at + 1]
+        end = held[at : at + 1]
         if end == delimiter:
             record.append(value)
             at += 1
-            if at < n:
+            if at < len(held) or (more and longer()):
                 continue
             record.append(b"")  # a delimiter at the very end opens one more, empty field
         elif end in (b"\n", b"\r", b""):
+            after = at + (2 if held[at : at + 2] == b"\r\n" else 1)
             if not record and not value and not any_quoted:
                 if end:
                     st.blank_lines += 1
-                    at += 2 if data[at : at + 2] == b"\r\n" else 1
+                    at = after
                 continue
             record.append(value)
-            at += 2 if data[at : at + 2] == b"\r\n" else 1
+            at = after
         else:
-            raise ReconcileError("BAD_CONTENT", f"byte 0x{end[0]:02x} after the closing quote at byte {at}, row {st.rows + 1}, field {len(record) + 1}")
+            raise ReconcileError("BAD_CONTENT", f"byte 0x{end[0]:02x} after the closing quote at byte {passed + at}, row {st.rows + 1}, field {len(record) + 1}")
         st.rows += 1
         if limits.max_rows is not None and st.rows > limits.max_rows:
             raise ReconcileError("INVALID_ARG", f"more than {limits.max_rows} rows")

@@ -2,6 +2,7 @@
 
 import random
 from bisect import bisect_left
+from dataclasses import asdict
 
 import pytest
 
@@ -9,7 +10,7 @@ from tallymark import DiffOptions, ReconcileError, Source, compare
 from tallymark.operators.moves import moved_rows, staying
 from tallymark.options import EmitOptions
 from tallymark.plans.header import Header
-from tallymark.sources.strict_csv import bytes_of, text_of
+from tallymark.sources.strict_csv import ParseStats, bytes_of, parse, text_of
 
 
 def patience(values):
@@ -58,6 +59,25 @@ def test_text_of_bytes_is_exact():
         assert bytes_of(text_of(raw)) == raw and seen.setdefault(text_of(raw), raw) == raw
 
 
+def test_chunks_are_invisible():
+    """Records, errors and statistics are the same however the bytes are cut."""
+    rnd = random.Random(5)
+
+    def run(data):
+        stats, out = ParseStats(), []
+        try:
+            for record in parse(data, stats=stats):
+                out.append(record)
+        except ReconcileError as e:
+            return out, e.message
+        return out, asdict(stats)
+
+    for _ in range(8000):
+        data = b"".join(rnd.choice([b"a", b"b", b",", b",", b'"', b'"', b"\n", b"\r", b"\r\n", b" ", b"\t", b"\xef\xbb\xbf"]) for _ in range(rnd.randint(0, 14)))
+        cuts = sorted(rnd.randint(0, len(data)) for _ in range(rnd.randint(0, 6)))
+        assert run(data) == run([data[a:b] for a, b in zip([0, *cuts], [*cuts, len(data)], strict=True)])
+
+
 def test_written_csv_has_the_bytes_of_its_input(spark, tmp_path):
     head = b"KEY,\n,\nVARCHAR(9),VARCHAR(9)\nid,n\n"
     odd = [b"1,a\xe9b", b"2,\xc3\xa9", "3,\U0010ffe9".encode(), b"4,\xff\xfe"]
