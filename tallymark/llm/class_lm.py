@@ -32,11 +32,13 @@ from pyspark.sql import functions as F
 from .common import bare, crc_of_id, map_batches, materialize, partitions, release, utf8
 
 #: most words that are units of their own (every executor knows them), units of other words by ending, classes
-KEPT, TAILS, CLASSES = 65_536, 4096, 64
+KEPT, TAILS, CLASSES = 60_000, 4096, 64
 ADD = 0.1
 END = b""
 #: words counted in a worker before they are passed on, and tokens whose bigrams are
 FLUSH, CHUNK = 300_000, 1_000_000
+#: different bigrams in a worker before they are passed on
+MERGED = 4_000_000
 #: bigrams that a task merges or a block holds, units whose counts are unpacked together
 BLOCK, SLICE = 500_000, 1000
 #: relative gain of likelihood that a round of all units must bring, and least share of units that a round tries
@@ -102,6 +104,8 @@ class Units:
         self.place = {w: i for i, w in enumerate(words)}
         self.tails, self.first_tail = tails, len(words)
         self.size = self.first_tail + tails
+        #: how the numbers are written
+        self.kind = np.min_scalar_type(self.size - 1)
 
     def __call__(self, words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
         """Units of the words, and those words, in order, that have none of their own."""
@@ -116,7 +120,7 @@ class Units:
 
 
 def numbered(rows: DataFrame, units) -> DataFrame:
-    """key, doc_id, n, ids (units of the tokens as 32-bit numbers), rare (words without a unit, and how often) of every row (doc_id, raw). units: a broadcast ``Units``."""
+    """key, doc_id, n, ids (units of the tokens as bytes, of the units' ``kind``), rare (words without a unit, and how often) of every row (doc_id, raw). units: a broadcast ``Units``."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         u = units.value
@@ -124,7 +128,7 @@ def numbered(rows: DataFrame, units) -> DataFrame:
         for raw in batch.column(1).to_pylist():
             x, rare = u(tokens_of(raw))
             n.append(len(x))
-            ids.append(x.tobytes())
+            ids.append(x.astype(u.kind).tobytes())
             here = Counter(rare)
             words += here
             times += here.values()
@@ -169,7 +173,7 @@ def unpacked(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray
         yield part, np.repeat(np.frombuffer(heads, np.int32).astype(np.int64), np.frombuffer(sizes, np.int32)) * size + others, c.astype(np.int64)
 
 
-def unit_blocks(texts: DataFrame, size: int) -> DataFrame:
+def unit_blocks(texts: DataFrame, size: int, kind: np.dtype) -> DataFrame:
     """Blocks (``PACKED``) of whole units with all their bigrams over ``texts`` (column ids).
 
     code: (unit * 2 + back) * size + other, for the bigrams of a unit with the one after it, or before it where back is 1. The end stands before a
@@ -180,32 +184,39 @@ def unit_blocks(texts: DataFrame, size: int) -> DataFrame:
 
     def count(batches) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         tokens = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def add() -> None:
             x = np.concatenate(held).astype(np.int64)
             # a text's last token is the end, so what stands before a first word is what ends the text before
-            pair, c = np.unique(np.r_[0, x[:-1]] * size + x, return_counts=True)
-            a, b = pair // size, pair % size
+            found[:] = [summed(*zip(*found, np.unique(np.r_[0, x[:-1]] * size + x, return_counts=True), strict=True))]
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            pair, c = found[0]
+            found[:] = [(pair[:0], c[:0])]
             for back in (0, 1):
-                unit, other = (b, a) if back else (a, b)
-                order = np.lexsort((other, unit, unit % parts)) if back else np.argsort(unit % parts, kind="stable")
-                unit, other, n = unit[order], other[order], c[order]
-                cut = np.searchsorted(unit % parts, np.arange(parts + 1))
-                code = (unit * 2 + back) * size + other
+                unit, other = (pair % size, pair // size) if back else (pair // size, pair % size)
+                part = unit % parts
+                order = np.lexsort((other, unit, part)) if back else np.argsort(part, kind="stable")
+                cut = np.searchsorted(part[order], np.arange(parts + 1))
                 for p in range(parts):
-                    if cut[p] < cut[p + 1]:
-                        yield packed([p], [code[cut[p] : cut[p + 1]]], [n[cut[p] : cut[p + 1]]], size)
+                    at = order[cut[p] : cut[p + 1]]
+                    if len(at):
+                        yield packed([p], [(unit[at] * 2 + back) * size + other[at]], [c[at]], size)
 
         for batch in batches:
             for raw in batch.column(0).to_pylist():
-                held.append(np.frombuffer(raw, np.int32))
+                held.append(np.frombuffer(raw, kind))
                 tokens += len(held[-1])
                 if tokens >= CHUNK:
-                    yield from flush()
+                    add()
                     held, tokens = [], 0
+                    if len(found[0][0]) > MERGED:
+                        yield from flush()
         if held:
-            yield from flush()
+            add()
+        yield from flush()
         release()
 
     def merge(batches) -> Iterator[pa.RecordBatch]:
@@ -230,7 +241,7 @@ def unit_blocks(texts: DataFrame, size: int) -> DataFrame:
                 at = stop
         release()
 
-    dealt = texts.select("ids").mapInArrow(count, PACKED).repartition(parts, "part")
+    dealt = texts.select("ids").mapInArrow(count, PACKED).repartitionById(parts, "part")
     return dealt.mapInArrow(merge, PACKED)
 
 
@@ -391,7 +402,7 @@ def exchange(blocks: DataFrame, of: np.ndarray, width: int, log: list[float] | N
             of, cc = tried, now
             if log is not None:
                 log.append(likelihood(cc))
-        if rise < LEAST_GAIN * share * abs(likelihood(cc)):
+        if rise <= LEAST_GAIN * share * abs(likelihood(cc)):
             # tasks moved too much at once, or little is left to be gained
             share /= 2
     return of, cc
@@ -415,7 +426,7 @@ def train(rows: DataFrame, kept: int = KEPT, tails: int = TAILS, classes: int =
     width = max(2, min(classes, units.size))
     # the end has class 0 to itself; others start by frequency, in turn, the tails after them
     of = np.r_[0, 1 + np.arange(units.size - 1) % (width - 1)].astype(np.int64)
-    blocks = materialize(unit_blocks(texts.where(~held_out()), units.size), "blocks")
+    blocks = materialize(unit_blocks(texts.where(~held_out()), units.size, units.kind), "blocks")
     of, _ = exchange(blocks, of, width, log)
     return Classes(units, of, np.array([c for _, c in often], dtype=np.int64), vocabulary, total, kinds, width), texts
 
@@ -439,32 +450,33 @@ class ClassModel:
 
 def fitted(found: Classes, texts: DataFrame) -> ClassModel:
     """The model of the classes, with class bigrams, tokens and words of the training rows."""
-    width, units, of = found.width, found.units, found.of
+    width, of, kind = found.width, found.of, found.units.kind
+    first_tail, tails = found.units.first_tail, found.units.tails
     sent = texts.sparkSession.sparkContext.broadcast(of)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width * width)
         for batch in batches:
             for raw in batch.column(0).to_pylist():
-                c = sent.value[np.frombuffer(raw, dtype=np.int32)]
+                c = sent.value[np.frombuffer(raw, kind)]
                 total += np.bincount(np.r_[0, c[:-1]] * width + c, minlength=width * width)
         yield pair_batch(total)
 
     def by_tail(batches) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(units.tails, dtype=np.int64)
+        total = np.zeros(tails, dtype=np.int64)
         for batch in batches:
-            own = [tail_group(w, units.tails) for w in batch.column(0).to_pylist() if w not in known.value]
-            total += np.bincount(np.array(own, dtype=np.int64), minlength=units.tails)
+            own = [tail_group(w, tails) for w in batch.column(0).to_pylist() if w not in known.value]
+            total += np.bincount(np.array(own, dtype=np.int64), minlength=tails)
         yield pair_batch(total)
 
     cc = summed_bigrams(texts.where(~held_out()).select("ids").mapInArrow(run, "pair long, c long"), width)
-    known = texts.sparkSession.sparkContext.broadcast(units.place)
-    kinds = np.bincount(of[: units.first_tail], weights=found.counts > 0, minlength=width)
+    known = texts.sparkSession.sparkContext.broadcast(found.units.place)
+    kinds = np.bincount(of[:first_tail], weights=found.counts > 0, minlength=width)
     rows = found.vocabulary.select("word").mapInArrow(by_tail, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
     for r in rows.collect():  # a row an ending's unit
-        kinds[of[units.first_tail + r.pair]] += r.c
+        kinds[of[first_tail + r.pair]] += r.c
     open_classes = np.zeros(width)
-    open_classes[of[units.first_tail :]] = 1
+    open_classes[of[first_tail:]] = 1
     return ClassModel(cc, kinds, cc.sum(axis=0), open_classes)
 
 
@@ -479,13 +491,14 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **s
     found, texts = train(bare(docs, doc_id=doc_id, raw=utf8(text)), **sizes)
     model = fitted(found, texts)
     sent = spark.sparkContext.broadcast((model, found.of, found.counts, found.units.first_tail))
+    kind_of_ids = found.units.kind
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         model, of, counts, first_tail = sent.value
         logs = np.log10(counts + ADD)
         emitted, known, terms = [], [], []
         for raw in batch.column(3).to_pylist():
-            x = np.frombuffer(raw, dtype=np.int32)
+            x = np.frombuffer(raw, kind_of_ids)
             own = x[x < first_tail]
             emitted.append(float(logs[own].sum()))
             known.append(int((counts[own] > 0).sum()))
