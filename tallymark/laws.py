@@ -451,3 +451,53 @@ def dragged_rows(spark, sf_dir):
     at = F.when(F.col("s_idx") == 0, last).when(F.col("s_idx") == last, 0).otherwise(F.col("s_idx"))
     found = moved_rows(rows.select("s_idx", at.alias("t_idx")))
     return found.select("t_idx", F.col("move_distance").alias("d"))
+
+
+def _cell_rows() -> str:
+    cells = [("o_orderkey", "CASE WHEN sr IS NOT NULL THEN k END", "CASE WHEN tr IS NOT NULL THEN k END", "false", "false"), ("o_custkey", "s1", "t1", "false", "false"), ("o_orderstatus", "s2", "t2", "false", "p2"), ("o_totalprice", "s3", "t3", "c3", "p3"), ("o_orderdate", "s4", "t4", "false", "false"), ("o_orderpriority", "s5", "t5", "c5", "false")]
+    return " UNION ALL ".join(
+        f"SELECT report_pos, kind, sr AS source_row, tr AS target_row, {i} AS \"column\", '{name}' AS name, CASE WHEN tr IS NULL OR {c} OR {p} THEN {s} END AS source, CASE WHEN tr IS NOT NULL THEN {t} END AS target, {c} AS changed, {p} AS suppressed FROM p" for i, (name, s, t, c, p) in enumerate(cells)
+    )
+
+
+@query(P1 + _cell_rows())
+def report_cells(spark, sf_dir):
+    """EM11: the typed report, every cell of it."""
+    rows = diff_of(spark, sf_dir, "orders", UNMOVED).report()
+    cells = rows.select("report_pos", "kind", "source_row", "target_row", F.explode("cells").alias("c"))
+    return cells.select("report_pos", "kind", "source_row", "target_row", "c.column", "c.name", "c.source", "c.target", "c.changed", "c.suppressed")
+
+
+@query("SELECT 'column_2' AS name, n_name AS source, lower(n_name) AS target FROM nation WHERE n_nationkey % 5 = 0")
+def nameless_columns(spark, sf_dir):
+    """HDR8, EM9: files without a name row; columns are called by their places, and rows matched by content and likeness."""
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), "n_name").orderBy("k").collect()  # a reference table of 25 rows
+    body = lambda change: "".join(f"{r.k},{strict_csv.quote_field(change(r))}\n" for r in rows)
+    one, two = body(lambda r: r.n_name), body(lambda r: r.n_name.lower() if r.k % 5 == 0 else r.n_name)
+    return compare(spark, Source.string(one), Source.string(two), DiffOptions(header=HeaderLayout(rows=0))).cells().select("name", "source", "target")
+
+
+META_LINE = "'1,' || kind || ',{side},false,0,' || coalesce(sr::VARCHAR, '') || ',' || coalesce(tr::VARCHAR, '') || ',' || nc || ',' || nf"
+
+
+@query(P1 + f"""SELECT '{",".join(emitters.META)}' AS line UNION ALL SELECT {META_LINE.format(side="source")} FROM p WHERE kind IN ('modified', 'deleted') UNION ALL SELECT {META_LINE.format(side="target")} FROM p WHERE kind <> 'deleted'""")
+def streamed_report(spark, sf_dir):
+    """EM14: a report written to a stream on the driver, a partition at a time."""
+    out = io.BytesIO()
+    size = emitters.emit_to(diff_of(spark, sf_dir, "orders", UNMOVED), out, "csv", EmitOptions(include_values=False))
+    lines = out.getvalue().decode().splitlines()
+    return spark.createDataFrame([(x,) for x in lines] if size == len(out.getvalue()) else [], "line string")
+
+
+@query("""SELECT sum(strlen(c_custkey::VARCHAR) + strlen(c_name) + 4)::BIGINT AS bytes, count(*)::BIGINT AS line_feeds, 2 * count(*)::BIGINT AS quotes, count(*)::BIGINT AS "rows", 2 * count(*)::BIGINT AS fields, 2::BIGINT AS columns, count(*)::BIGINT AS quoted, true AS same FROM customer""")
+def ingest_reports(spark, sf_dir):
+    """SRC1, EM15: what the command line says of a file, of its bytes and of its records."""
+    line = F.concat(F.col("c_custkey").cast("string"), F.lit(',"'), "c_name", F.lit('"'))
+    file, said = _written(spark, table(spark, sf_dir, "customer").select(line)), {}
+    for command in ("ingest", "parse"):
+        out = io.StringIO()
+        cli.main([command, file], spark, out)
+        said[command] = json.loads(out.getvalue())
+    names = ("bytes", "line_feeds", "quotes", "rows", "fields", "columns", "quoted")
+    same = all(said["ingest"][n] == said["parse"][n] for n in names[:3])
+    return spark.createDataFrame([(*(said["parse"][n] for n in names), same)], ", ".join(f"{n} long" for n in names) + ", same boolean")
