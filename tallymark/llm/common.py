@@ -32,18 +32,37 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: folders that materialize has written and nothing has deleted yet, in order
+written: list[str] = []
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: one evaluation, short lineage, survives lost executors."""
+    """Write ``df`` as Parquet to the shared folder and read it back: one evaluation, short lineage, survives lost executors. Deleted by ``clean`` or at the end."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    written.append(path)
     with contextlib.suppress(Exception):  # best effort: a store may refuse deletion at exit
-        jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).deleteOnExit(where)
+        where, files = _located(spark, path)
+        files.deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _located(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def clean(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete what ``materialize`` has written, from the ``since``-th folder on, but for the last ``keep``. For when results that were made of it are written themselves."""
+    stop = len(written) - keep
+    for path in written[since:stop]:
+        with contextlib.suppress(Exception):
+            where, files = _located(spark, path)
+            files.delete(where, True)
+    del written[since:stop]
+
+
 def bare(df: DataFrame, **columns: Column | str) -> DataFrame:
     """Only the named columns, under the given names; whatever else the table carries is dropped before any join."""
     return df.select(*[(F.col(f"`{c}`") if isinstance(c, str) else c).alias(name) for name, c in columns.items()])
