@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.llm import decontamination, language_id, mixing, simhash, token_output
-from tallymark.llm.common import lean, materialize, with_key
+from tallymark.llm.common import clean, lean, materialize, with_key, written
 from tallymark.llm.queries import read_table, tokenizer
 
 
@@ -71,5 +71,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
+        before = len(written)
         docs = materialize(stage(spark, docs, sf_dir), name)
+        clean(spark, before, keep=1)  # the stage's result stands; what it was made of goes
     return docs
