@@ -31,7 +31,9 @@ def test_run(spark, tmp_path):
     assert ids("benchmark_decontamination") == list(range(40))
     assert set(ids("source_mixing")) <= set(range(40)) and 1.4 * 2400 < 60 * len(ids("source_mixing")) < 1.6 * 2400
     assert ids("token_output") == ids("source_mixing")
+    before = len(corpus_pipeline.written)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(ids("token_output"))
+    assert len(corpus_pipeline.written) == before + len(corpus_pipeline.STAGES)  # results only
 
 
 @pytest.fixture()
