@@ -16,6 +16,7 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 def main() -> None:
     sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
     from tallymark import EmitOptions, registry
+    from tallymark.plans.storage import clean
 
     spark = (
         SparkSession.builder.master(f"local[{CPUS}]").appName("bench").config("spark.driver.memory", "12g").config("spark.sql.shuffle.partitions", CPUS)
@@ -44,6 +45,7 @@ def main() -> None:
             began = time.perf_counter()
             query().write.format("noop").mode("overwrite").save()
             best.append(time.perf_counter() - began)
+            clean(spark)
         took[name] = round(min(best), 3)
         print(name, best, file=sys.stderr, flush=True)
     print(json.dumps({"metric": "total_warm_seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": SF_DIR.rstrip("/").rpartition("sf")[2]}))

@@ -22,11 +22,25 @@ def shared_dir(spark) -> str:
     return found.rstrip("/")
 
 
+#: folders that stage has written and nothing has deleted yet
+written: list[str] = []
+
+
+def clean(spark) -> None:
+    """Delete all that ``stage`` has written in this process. Diffs made before are of no use then."""
+    for path in written:
+        with contextlib.suppress(Exception):
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    written.clear()
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """``df``, written once as Parquet and read back: evaluated once, short lineage, whole after the loss of executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    written.append(path)
     with contextlib.suppress(Exception):
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
