@@ -48,10 +48,10 @@ def by_key(source: DataFrame, target: DataFrame, model: HeaderModel, options: Di
     same = [s[k] == t[k] for k in keys]
     out = s.join(t, [*same, s["_sn"] == 1, t["_tn"] == 1], "full_outer")
     out = stage(out.select(*[F.coalesce(s[k], t[k]).alias(k) for k in keys], *[c for df in (s, t) for c in df.columns if c not in keys], F.lit("key").alias("via")), "joined")
-    for side, name in (("s", "source"), ("t", "target")):
-        again = out.where(F.col(f"_{side}n") > 1)
-        if not again.isEmpty():
-            found = duplicate_keys(again, keys, f"{side}_row").orderBy("second").head()
+    most = out.agg(F.max("_sn"), F.max("_tn")).first()
+    for side, name, n in zip("st", ("source", "target"), most, strict=True):
+        if (n or 0) > 1:
+            found = duplicate_keys(out.where(F.col(f"_{side}n") > 1), keys, f"{side}_row").orderBy("second").head()
             shown = ", ".join(f"{model.label(i)}={found[f'_k{n}']!r}" for n, i in enumerate(model.key_columns))
             raise ReconcileError("DUPLICATE_KEY", f"the {name} has the key {shown} in row {found['first']} and again in row {found['second']}")
     return out.drop(*keys, "_sn", "_tn")
