@@ -18,13 +18,16 @@ from .functions import normalize
 from .functions.declared import parse_type
 from .functions.segments import cell_segments, pieces
 from .options import CompareOptions, Dialect, DiffOptions, EmitOptions, HeaderLayout, Limits
+from .operators.moves import moved_rows
 from .plans.compare import compare
 from .plans.header import Header, find_target_header, resolve_source
 from .plans.storage import shared_dir
-from .registry import P1, P5, P6, POLICY, UNMOVED, _json_cell, diff_of, oracle_pair, query, sides, table
+from .registry import HEADERS as COLUMNS
+from .registry import P1, P4, P5, P6, POLICY, UNMOVED, diff_of, oracle_pair, query, sides, table
 from .sinks import emitters
 from .sources import strict_csv
-from .sources.tables import Source, parse_column, parse_stats, try_parse_column
+from .sources.tables import Source, numbered, parse_stats, try_parse_column
+from .streaming.snapshots import reconcile_stream
 
 #: customers as texts: n the name, k the key; the same SQL in both engines
 C = "(SELECT c_custkey, c_name AS n, cast(c_custkey AS string) AS k FROM {customer})"
@@ -339,9 +342,7 @@ def _html_oracle(old: str, new: str) -> str:
 
 
 def _html(spark, sf_dir, cell_diff: str) -> DataFrame:
-    from .registry import HEADERS
-
-    keyed = Header([(n, t, i == 0, q) for i, (n, t, _, q) in enumerate(HEADERS["part"].columns)])
+    keyed = Header([(n, t, i == 0, q) for i, (n, t, _, q) in enumerate(COLUMNS["part"].columns)])
     s, t = sides(spark, sf_dir, "part")
     diff = compare(spark, Source.dataframe(s, keyed, ["ord"]), Source.dataframe(t, keyed, ["ord"]), replace(UNMOVED, validate=False))
     return diff.emit("html", EmitOptions(class_prefix="px", cell_diff=cell_diff)).where("part = 1").select((F.col("report_pos") + 5).alias("target_row"), "value")
@@ -443,9 +444,6 @@ def summary_read(spark, sf_dir):
 @query(f"WITH s AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS s_idx, count(*) OVER () AS n FROM orders) SELECT s_idx AS t_idx, 0::BIGINT AS d FROM s WHERE false UNION ALL SELECT 0, -(n - 1) FROM s WHERE s_idx = n - 1 UNION ALL SELECT n - 1, n - 1 FROM s WHERE s_idx = 0")
 def dragged_rows(spark, sf_dir):
     """WIN2, WIN3: the first row dragged to the end and the last to the front: two moved rows, all others stay."""
-    from .operators.moves import moved_rows
-    from .sources.tables import numbered
-
     rows = numbered(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], "s_idx", first=0).select("s_idx")
     last = rows.agg(F.max("s_idx")).first()[0]
     at = F.when(F.col("s_idx") == 0, last).when(F.col("s_idx") == last, 0).otherwise(F.col("s_idx"))
@@ -501,3 +499,18 @@ def ingest_reports(spark, sf_dir):
     names = ("bytes", "line_feeds", "quotes", "rows", "fields", "columns", "quoted")
     same = all(said["ingest"][n] == said["parse"][n] for n in names[:3])
     return spark.createDataFrame([(*(said["parse"][n] for n in names), same)], ", ".join(f"{n} long" for n in names) + ", same boolean")
+
+
+@query(P4 + " SELECT k AS event_id, CASE WHEN tr IS NULL THEN 'deleted' WHEN c1 OR c4 THEN 'modified' ELSE 'unchanged' END AS kind, (c1::INT + c4::INT)::BIGINT AS changed_cells FROM d")
+def streamed_snapshot(spark, sf_dir):
+    """A stream of rows, taken as it stands in one micro-batch, against the table's snapshot."""
+    s, t = sides(spark, sf_dir, "events")
+    spot = f"{shared_dir(spark)}/law-{uuid.uuid4().hex}"
+    t.write.parquet(spot + "/in")
+    open_rows = lambda rows: Source.dataframe(rows, COLUMNS["events"], ["ord"])
+
+    def keep(diff, number: int) -> None:
+        diff.classified.select(F.coalesce("t0", "s0").alias("event_id"), "kind", F.col("changed_cells").cast("long").alias("changed_cells")).write.parquet(f"{spot}/out{number}")
+
+    reconcile_stream(spark.readStream.schema(t.schema).parquet(spot + "/in"), lambda: open_rows(s), open_rows, keep, spot + "/checkpoint", UNMOVED).awaitTermination()
+    return spark.read.parquet(f"{spot}/out0")
