@@ -17,11 +17,14 @@ from .sources import strict_csv
 
 def counts_text(summary: dict) -> str:
     rows, cells, found, matching, columns = (summary[k] for k in ("rows", "cells", "findings", "matching", "columns"))
-    out = [("matching", "all columns" if matching["allKeys"] else "by key"), ("columns", f"{columns['compared']} compared" + (f", {columns['added']} added and {columns['removed']} removed in the target" if columns["added"] or columns["removed"] else ""))]
-    out += [("unchanged", rows["unchanged"]), ("modified", f"{rows['modified']}  ({cells['changed']} cells)"), ("added", rows["added"]), ("deleted", rows["deleted"]), ("moved", f"{rows['moved']}{'  (forced off)' if matching['movesForcedOff'] else ''}")]
+    out = [("matching", "all columns" if matching["allKeys"] else "by key"),
+        ("columns", f"{columns['compared']} compared" + (f", {columns['added']} added and {columns['removed']} removed in the target" if columns["added"] or columns["removed"] else ""))]
+    out += [("unchanged", rows["unchanged"]), ("modified", f"{rows['modified']}  ({cells['changed']} cells)"), ("added", rows["added"]), ("deleted", rows["deleted"]),
+        ("moved", f"{rows['moved']}{'  (forced off)' if matching['movesForcedOff'] else ''}")]
     out.append(("suppressed", f"{cells['suppressed']} cells differ only in formatting"))
     if found["enabled"]:
-        out.append(("findings", f"{found['total']} cells in {found['rows']} rows ({found['requiredEmpty']} required empty, {found['tooLong']} too long, {found['notNumeric']} not numeric, {found['precision']} out of precision)"))
+        out.append(("findings",
+            f"{found['total']} cells in {found['rows']} rows ({found['requiredEmpty']} required empty, {found['tooLong']} too long, {found['notNumeric']} not numeric, {found['precision']} out of precision)"))
     if matching["pairedBySimilarity"]:
         out.append(("paired", f"{matching['pairedBySimilarity']} by similarity"))
     if matching["pairingTruncated"]:
@@ -82,7 +85,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None, out=N
             return 0
         emit = EmitOptions(a.changes_only, not a.no_values, a.cell_diff, a.max_cell_bytes, a.max_rows, not a.no_guard, ",", a.class_prefix)
         options = DiffOptions(
-            CompareOptions(trim=not a.no_trim, allow_added_columns=a.allow_added, allow_removed_columns=a.allow_removed), HeaderLayout(a.header), detect_moves=not a.no_moves,
+            CompareOptions(trim=not a.no_trim, allow_added_columns=a.allow_added, allow_removed_columns=a.allow_removed), HeaderLayout(a.header),
+            detect_moves=not a.no_moves,
             source_ordered=not a.unordered, validate=not a.no_validate, require_key=a.require_key, deleted=a.deleted, similarity_percent=a.similarity,
         )
         diff = compare(spark, Source.csv(a.source), Source.csv(a.target), options, Dialect(a.delimiter), limits=Limits(max_bytes=a.max_mb << 20))

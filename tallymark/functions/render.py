@@ -17,7 +17,9 @@ def plain_double(c: Column) -> Column:
     e = F.when(ten == "", F.lit(0)).otherwise(ten.try_cast("int"))
     digits = F.concat(whole, F.when(fraction == "0", "").otherwise(fraction))
     zeros = lambda n: F.repeat(F.lit("0"), F.greatest(F.lit(0), n))
-    large = F.when(F.length(digits) - 1 <= e, F.concat(digits, zeros(e - F.length(digits) + 1), F.when(e >= 0, F.lit("")))).otherwise(F.concat(F.left(digits, e + 1), F.lit("."), F.right(digits, F.length(digits) - e - 1)))
+    large = F.when(F.length(digits) - 1 <= e,
+        F.concat(digits, zeros(e - F.length(digits) + 1), F.when(e >= 0, F.lit("")))).otherwise(F.concat(F.left(digits, e + 1), F.lit("."),
+        F.right(digits, F.length(digits) - e - 1)))
     small = F.concat(F.lit("0."), zeros(-e - 1), digits)
     return F.when(shown.rlike(parts), F.concat(sign, F.when(e >= 0, large).otherwise(small))).otherwise(shown)
 

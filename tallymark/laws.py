@@ -146,10 +146,14 @@ def sources_agree(spark, sf_dir):
     rows.write.parquet(spot)
     packer = zlib.compressobj()
     made = {
-        "bytes": Source.bytes(text.encode()), "dataframe": Source.dataframe(rows, header), "deflate": Source.bytes(packer.compress(text.encode()) + packer.flush(), "deflate"),
-        "embedded": Source.embedded(spark.createDataFrame([(text,)], "value string"), "value"), "fast_csv": Source.fast_csv(file(body), header), "gzip": Source.bytes(gzip.compress(text.encode()), "gzip"),
-        "json_file": Source.json_file(file(objects), header), "json_rows": Source.json_rows(objects, header), "parquet": Source.parquet(spark, spot, header=header), "path": Source.csv(file(text)),
-        "reader": Source.reader(io.StringIO(text)), "rows": Source.rows(held, header), "stream": Source.stream(io.BytesIO(text.encode()), size_hint=len(text)), "string": Source.string(text),
+        "bytes": Source.bytes(text.encode()), "dataframe": Source.dataframe(rows, header),
+        "deflate": Source.bytes(packer.compress(text.encode()) + packer.flush(), "deflate"),
+        "embedded": Source.embedded(spark.createDataFrame([(text,)], "value string"), "value"), "fast_csv": Source.fast_csv(file(body), header),
+        "gzip": Source.bytes(gzip.compress(text.encode()), "gzip"),
+        "json_file": Source.json_file(file(objects), header), "json_rows": Source.json_rows(objects, header), "parquet": Source.parquet(spark, spot, header=header),
+        "path": Source.csv(file(text)),
+        "reader": Source.reader(io.StringIO(text)), "rows": Source.rows(held, header), "stream": Source.stream(io.BytesIO(text.encode()), size_hint=len(text)),
+        "string": Source.string(text),
         "utf_16": Source.reader(io.BytesIO(text.encode("utf-16")), "utf-16"), "with_header": Source.string(body).with_header(header),
     }
     out = None
@@ -169,9 +173,12 @@ def _status(attempt) -> str:
 
 
 ERRORS = [
-    ("bad gzip", "BAD_CONTENT"), ("column order", "COLUMN_ORDER"), ("date compare", "UNIMPLEMENTED"), ("duplicate key", "DUPLICATE_KEY"), ("empty target", "NO_HEADER"), ("equal delimiter and quote", "INVALID_ARG"), ("html page", "BAD_CONTENT"),
-    ("inflated too large", "TOO_LARGE"), ("json text", "BAD_CONTENT"), ("long header", "INVALID_ARG"), ("lost key column", "MISSING_KEY_COLUMN"), ("missing file", "IO_ERROR"), ("negative size hint", "INVALID_ARG"), ("no key", "MISSING_KEY_COLUMN"),
-    ("other names", "NO_HEADER"), ("ragged row", "RAGGED_ROW"), ("several files", "INVALID_ARG"), ("short source", "NO_HEADER"), ("size hint too large", "TOO_LARGE"), ("too large", "TOO_LARGE"), ("two widths", "COLUMN_ORDER"),
+    ("bad gzip", "BAD_CONTENT"), ("column order", "COLUMN_ORDER"), ("date compare", "UNIMPLEMENTED"), ("duplicate key", "DUPLICATE_KEY"), ("empty target", "NO_HEADER"),
+        ("equal delimiter and quote", "INVALID_ARG"), ("html page", "BAD_CONTENT"),
+    ("inflated too large", "TOO_LARGE"), ("json text", "BAD_CONTENT"), ("long header", "INVALID_ARG"), ("lost key column", "MISSING_KEY_COLUMN"),
+        ("missing file", "IO_ERROR"), ("negative size hint", "INVALID_ARG"), ("no key", "MISSING_KEY_COLUMN"),
+    ("other names", "NO_HEADER"), ("ragged row", "RAGGED_ROW"), ("several files", "INVALID_ARG"), ("short source", "NO_HEADER"), ("size hint too large", "TOO_LARGE"),
+        ("too large", "TOO_LARGE"), ("two widths", "COLUMN_ORDER"),
     ("unclosed quote", "UNTERMINATED_QUOTE"), ("unknown encoding", "INVALID_ARG"), ("usual", "OK"), ("wrong row", "RAGGED_ROW"),
 ]
 
@@ -192,20 +199,31 @@ def error_statuses(spark, sf_dir):
     parts = f"{shared_dir(spark)}/law-{uuid.uuid4().hex}"
     spark.createDataFrame([("a",), ("b",)], "value string").repartition(2).write.option("maxRecordsPerFile", 1).text(parts)
     got = {
-        "bad gzip": opened(Source.bytes(b"no gzip", "gzip")), "column order": usual("c_name,c_custkey\n" + body), "date compare": _status(lambda: CompareOptions(date_compare="loose")), "duplicate key": diff(source, Source.dataframe(rows.union(rows.where("c_custkey = '5'")), key, ["c_custkey"])),
-        "empty target": usual(""), "equal delimiter and quote": _status(lambda: Dialect(",", ",")), "html page": opened(Source.string("<!DOCTYPE html>")), "inflated too large": opened(Source.bytes(gzip.compress(b"a" * 10_000), "gzip"), max_bytes=1000),
-        "json text": opened(Source.string('{"a": 1}')), "long header": _status(lambda: HeaderLayout(rows=65)), "lost key column": usual("c_name,extra\n" + body, compare=lost), "missing file": opened(Source.csv(f"{shared_dir(spark)}/nothing-here.csv")),
-        "negative size hint": _status(lambda: Source.stream(io.BytesIO(), -1)), "no key": diff(Source.dataframe(rows, Header.names_only("c_custkey", "c_name"), ["c_custkey"]), source, require_key=True), "other names": usual("one,two\n" + body), "ragged row": opened(Source.string("a,b\nc")),
-        "several files": opened(Source.csv(parts)), "short source": _status(lambda: compare(spark, Source.string("a,b\n"), few)), "size hint too large": opened(Source.stream(io.BytesIO(b"a"), 2000), max_bytes=1000), "too large": opened(Source.string(body), max_bytes=10),
-        "two widths": usual("c_custkey,c_name,c_custkey\n1,2,3"), "unclosed quote": opened(Source.string('"a')), "unknown encoding": opened(Source.bytes(b"a", "brotli")), "usual": usual(head + body), "wrong row": opened(Source.rows([["1"]], key)),
+        "bad gzip": opened(Source.bytes(b"no gzip", "gzip")), "column order": usual("c_name,c_custkey\n" + body),
+            "date compare": _status(lambda: CompareOptions(date_compare="loose")),
+            "duplicate key": diff(source, Source.dataframe(rows.union(rows.where("c_custkey = '5'")), key, ["c_custkey"])),
+        "empty target": usual(""), "equal delimiter and quote": _status(lambda: Dialect(",", ",")), "html page": opened(Source.string("<!DOCTYPE html>")),
+            "inflated too large": opened(Source.bytes(gzip.compress(b"a" * 10_000), "gzip"), max_bytes=1000),
+        "json text": opened(Source.string('{"a": 1}')), "long header": _status(lambda: HeaderLayout(rows=65)),
+            "lost key column": usual("c_name,extra\n" + body, compare=lost), "missing file": opened(Source.csv(f"{shared_dir(spark)}/nothing-here.csv")),
+        "negative size hint": _status(lambda: Source.stream(io.BytesIO(), -1)),
+            "no key": diff(Source.dataframe(rows, Header.names_only("c_custkey", "c_name"), ["c_custkey"]), source, require_key=True),
+            "other names": usual("one,two\n" + body), "ragged row": opened(Source.string("a,b\nc")),
+        "several files": opened(Source.csv(parts)), "short source": _status(lambda: compare(spark, Source.string("a,b\n"), few)),
+            "size hint too large": opened(Source.stream(io.BytesIO(b"a"), 2000), max_bytes=1000), "too large": opened(Source.string(body), max_bytes=10),
+        "two widths": usual("c_custkey,c_name,c_custkey\n1,2,3"), "unclosed quote": opened(Source.string('"a')), "unknown encoding": opened(Source.bytes(b"a", "brotli")),
+            "usual": usual(head + body), "wrong row": opened(Source.rows([["1"]], key)),
     }
     return spark.createDataFrame(sorted(got.items()), "case string, status string")
 
 
 HEADERS = [
-    ("four rows", "key=0 required=1 names=a,b rows=4"), ("one row", "key= required= names=a,b rows=1"), ("two rows", "key=0 required= names=a,b rows=2"), ("three rows", "key=0 required=1 names=a,b rows=3"), ("no rows", "key= required= names=column_1,column_2 rows=0"),
-    ("names first", "key=0 required= names=a,b rows=2"), ("target at 1", "rows=1 source=0,1 target=0,1"), ("target at 4", "rows=4 source=0,1 target=0,1"), ("blanks around", "rows=1 source=0,1 target=0,1"), ("added", "rows=1 source=0,1 target=0,2"), ("removed", "rows=1 source=0 target=0"),
-    ("added not allowed", "COLUMN_ORDER"), ("places changed", "COLUMN_ORDER"), ("no names", "rows=0 source=0,1 target=0,1"), ("too deep", "NO_HEADER"), ("built", "key=0 required=1 names=a,b rows=4"), ("unknown key", "INVALID_ARG"),
+    ("four rows", "key=0 required=1 names=a,b rows=4"), ("one row", "key= required= names=a,b rows=1"), ("two rows", "key=0 required= names=a,b rows=2"),
+        ("three rows", "key=0 required=1 names=a,b rows=3"), ("no rows", "key= required= names=column_1,column_2 rows=0"),
+    ("names first", "key=0 required= names=a,b rows=2"), ("target at 1", "rows=1 source=0,1 target=0,1"), ("target at 4", "rows=4 source=0,1 target=0,1"),
+        ("blanks around", "rows=1 source=0,1 target=0,1"), ("added", "rows=1 source=0,1 target=0,2"), ("removed", "rows=1 source=0 target=0"),
+    ("added not allowed", "COLUMN_ORDER"), ("places changed", "COLUMN_ORDER"), ("no names", "rows=0 source=0,1 target=0,1"), ("too deep", "NO_HEADER"),
+        ("built", "key=0 required=1 names=a,b rows=4"), ("unknown key", "INVALID_ARG"),
 ]
 
 
@@ -224,10 +242,17 @@ def header_rules(spark, sf_dir):
     rows = [["KEY", ""], [" ", "required"], ["INTEGER", "VARCHAR(3)"], ["a", "b"], ["1", "x"]]
     source = resolve_source(rows, HeaderLayout())
     cases = {
-        "four rows": lambda: model(source), "one row": lambda: model(resolve_source([["a", "b"]], HeaderLayout(1))), "two rows": lambda: model(resolve_source([["key", ""], ["a", "b"]], HeaderLayout(2))), "three rows": lambda: model(resolve_source([["KEY", ""], ["", "REQUIRED"], ["a", "b"]], HeaderLayout(3))),
-        "no rows": lambda: model(resolve_source([["1", "x"]], HeaderLayout(0))), "names first": lambda: model(resolve_source([["a", "b"], ["KEY", ""]], HeaderLayout(2, key=2, name=1))), "target at 1": lambda: target([["a", "b"]], source), "target at 4": lambda: target(rows, source),
-        "blanks around": lambda: target([[" a", "b\t"]], source), "added": lambda: target([["a", "n", "b"]], source, "added"), "removed": lambda: target([["a"]], source, "removed"), "added not allowed": lambda: target([["a", "n", "b"]], source, "removed"), "places changed": lambda: target([["b", "a"]], source, "added", "removed"),
-        "no names": lambda: target([["1", "x"]], resolve_source([["1", "x"]], HeaderLayout(0))), "too deep": lambda: target([["-", "-"]] * 8 + [["a", "b"]], source), "built": lambda: model(Header.builder().column("a", "INTEGER").key().column("b", "VARCHAR(3)").required().build().model()),
+        "four rows": lambda: model(source), "one row": lambda: model(resolve_source([["a", "b"]], HeaderLayout(1))),
+            "two rows": lambda: model(resolve_source([["key", ""], ["a", "b"]], HeaderLayout(2))),
+            "three rows": lambda: model(resolve_source([["KEY", ""], ["", "REQUIRED"], ["a", "b"]], HeaderLayout(3))),
+        "no rows": lambda: model(resolve_source([["1", "x"]], HeaderLayout(0))),
+            "names first": lambda: model(resolve_source([["a", "b"], ["KEY", ""]], HeaderLayout(2, key=2, name=1))), "target at 1": lambda: target([["a", "b"]], source),
+            "target at 4": lambda: target(rows, source),
+        "blanks around": lambda: target([[" a", "b\t"]], source), "added": lambda: target([["a", "n", "b"]], source, "added"),
+            "removed": lambda: target([["a"]], source, "removed"), "added not allowed": lambda: target([["a", "n", "b"]], source, "removed"),
+            "places changed": lambda: target([["b", "a"]], source, "added", "removed"),
+        "no names": lambda: target([["1", "x"]], resolve_source([["1", "x"]], HeaderLayout(0))), "too deep": lambda: target([["-", "-"]] * 8 + [["a", "b"]], source),
+            "built": lambda: model(Header.builder().column("a", "INTEGER").key().column("b", "VARCHAR(3)").required().build().model()),
         "unknown key": lambda: Header.builder().column("a").keys("z"),
     }
 
@@ -241,7 +266,8 @@ def header_rules(spark, sf_dir):
 
 
 TYPES = [
-    ("VARCHAR(20)", "VARCHAR", 20, -1, True, False), ("char(3)", "CHAR", 3, -1, True, False), (" integer ", "INTEGER", -1, -1, False, True), ("INTEGER(4)", "INTEGER", 4, -1, False, True), ("DECIMAL(18,2)", "DECIMAL", 18, 2, False, True), ("NUMERIC(6)", "DECIMAL", 6, -1, False, True),
+    ("VARCHAR(20)", "VARCHAR", 20, -1, True, False), ("char(3)", "CHAR", 3, -1, True, False), (" integer ", "INTEGER", -1, -1, False, True),
+        ("INTEGER(4)", "INTEGER", 4, -1, False, True), ("DECIMAL(18,2)", "DECIMAL", 18, 2, False, True), ("NUMERIC(6)", "DECIMAL", 6, -1, False, True),
     ("DATE", "DATE", -1, -1, False, False), ("TIMESTAMP", "TIMESTAMP", -1, -1, False, False), ("BOOLEAN", "BOOLEAN", -1, -1, False, False),
 ]
 
@@ -265,7 +291,9 @@ def cli_exit_codes(spark, sf_dir):
     file = lambda text: _written(spark, spark.createDataFrame([(text,)], "value string"))
     head = "KEY,\n,\nINTEGER,\n" + "a,b\n"
     one, two, bad, none = file(head + "1,x"), file(head + "1,y"), file(head + '"1,x'), f"{shared_dir(spark)}/nothing-here.csv"
-    runs = {"same": ["diff", one, one], "different": ["diff", one, two, "--format", "csv"], "missing file": ["diff", one, none], "unclosed quote": ["diff", one, bad], "no such format": ["diff", one, two, "--format", "pdf"], "parse": ["parse", one], "ingest": ["ingest", one], "too large": ["diff", one, two, "--max-mb", "0"], "help": ["--help"]}
+    runs = {"same": ["diff", one, one], "different": ["diff", one, two, "--format", "csv"], "missing file": ["diff", one, none], "unclosed quote": ["diff", one, bad],
+        "no such format": ["diff", one, two, "--format", "pdf"], "parse": ["parse", one], "ingest": ["ingest", one], "too large": ["diff", one, two, "--max-mb", "0"],
+        "help": ["--help"]}
     with _silent():
         return spark.createDataFrame([(name, cli.main(args, spark, io.StringIO())) for name, args in runs.items()], "case string, code int")
 
@@ -319,7 +347,8 @@ def emit_max_rows(spark, sf_dir):
 def truncated_values(spark, sf_dir):
     """LIM2, NORM11: at most so many bytes, and no character in part."""
     odd = F.concat(F.repeat(F.lit("é"), F.lit(3)), F.when(F.col("c_custkey") % 2 == 0, "é").otherwise("xé"))
-    return table(spark, sf_dir, "customer").select("c_custkey", normalize.truncated(F.col("c_name"), 7).alias("cut"), normalize.truncated(F.col("c_name"), 1000).alias("whole"), normalize.truncated(odd, 7).alias("parted"))
+    return table(spark, sf_dir, "customer").select("c_custkey", normalize.truncated(F.col("c_name"), 7).alias("cut"),
+        normalize.truncated(F.col("c_name"), 1000).alias("whole"), normalize.truncated(odd, 7).alias("parted"))
 
 
 LOWER = "value"
@@ -337,7 +366,8 @@ CELL = "'<td class=\"px-cell' || CASE WHEN {c} THEN ' px-changed' ELSE '' END ||
 
 
 def _html_oracle(old: str, new: str) -> str:
-    cells = " || ".join([CELL.format(c="false", old="''", new=v) for v in ("t.p_partkey", "t.p_name", "t.p_brand", "t.p_type")] + [CELL.format(c="s.p_size <> t.p_size", old=old, new=new), CELL.format(c="false", old="''", new="t.p_retailprice")])
+    cells = " || ".join([CELL.format(c="false", old="''", new=v) for v in ("t.p_partkey", "t.p_name", "t.p_brand", "t.p_type")] + [CELL.format(c="s.p_size <> t.p_size",
+        old=old, new=new), CELL.format(c="false", old="''", new="t.p_retailprice")])
     return f"WITH {oracle_pair('part')} SELECT t.r AS target_row, '<tr class=\"px-row px-' || CASE WHEN s.p_size <> t.p_size THEN 'modified' ELSE 'unchanged' END || '\"><td class=\"px-num\">' || t.r || '</td>' || {cells} || '</tr>' AS value FROM s JOIN t USING (p_partkey)"
 
 
@@ -371,8 +401,10 @@ P7 = """(SELECT c_custkey, strlen(c_name) AS a, c_name || ' xab ' || c_mktsegmen
 def _segments_oracle(mode: str) -> str:
     cut, size = ("(a + 1)", 3) if mode == "word" else ("(a + 2)", 1)
     return " UNION ALL ".join([
-        f"SELECT c_custkey, 0 AS n, 'EQUAL' AS op, 0 AS start, ({cut})::INT AS len, source[1:{cut}] AS text FROM {P7}", f"SELECT c_custkey, 1, 'DELETE', ({cut})::INT, {size}, '{'xab' if mode == 'word' else 'a'}' FROM {P7}",
-        f"SELECT c_custkey, 2, 'INSERT', ({cut})::INT, {size}, '{'xcb' if mode == 'word' else 'c'}' FROM {P7}", f"SELECT c_custkey, 3, 'EQUAL', ({cut} + {size})::INT, (strlen(source) - {cut} - {size})::INT, source[{cut} + {size} + 1:] FROM {P7}",
+        f"SELECT c_custkey, 0 AS n, 'EQUAL' AS op, 0 AS start, ({cut})::INT AS len, source[1:{cut}] AS text FROM {P7}",
+            f"SELECT c_custkey, 1, 'DELETE', ({cut})::INT, {size}, '{'xab' if mode == 'word' else 'a'}' FROM {P7}",
+        f"SELECT c_custkey, 2, 'INSERT', ({cut})::INT, {size}, '{'xcb' if mode == 'word' else 'c'}' FROM {P7}",
+            f"SELECT c_custkey, 3, 'EQUAL', ({cut} + {size})::INT, (strlen(source) - {cut} - {size})::INT, source[{cut} + {size} + 1:] FROM {P7}",
     ])
 
 
@@ -410,7 +442,8 @@ def unordered_report(spark, sf_dir):
 def embedded_quotes(spark, sf_dir):
     """NORM5: a value that holds a quote is compared as it is."""
     v = F.when(F.col("event_id") % 2 == 0, '"12:00:01.500').otherwise('YES"')
-    return table(spark, sf_dir, "events").select("event_id", v.alias("v"), normalize.canonical_timestamp(v).alias("timestamp"), normalize.canonical_boolean(v).alias("boolean"), normalize.canonical_timestamp(v, True).alias("strict"))
+    return table(spark, sf_dir, "events").select("event_id", v.alias("v"), normalize.canonical_timestamp(v).alias("timestamp"),
+        normalize.canonical_boolean(v).alias("boolean"), normalize.canonical_timestamp(v, True).alias("strict"))
 
 
 @query(P6 + " SELECT k AS key, s1 AS source, t1 AS target FROM d WHERE c AND s1 LIKE '%1'")
@@ -452,7 +485,9 @@ def dragged_rows(spark, sf_dir):
 
 
 def _cell_rows() -> str:
-    cells = [("o_orderkey", "CASE WHEN sr IS NOT NULL THEN k END", "CASE WHEN tr IS NOT NULL THEN k END", "false", "false"), ("o_custkey", "s1", "t1", "false", "false"), ("o_orderstatus", "s2", "t2", "false", "p2"), ("o_totalprice", "s3", "t3", "c3", "p3"), ("o_orderdate", "s4", "t4", "false", "false"), ("o_orderpriority", "s5", "t5", "c5", "false")]
+    cells = [("o_orderkey", "CASE WHEN sr IS NOT NULL THEN k END", "CASE WHEN tr IS NOT NULL THEN k END", "false", "false"), ("o_custkey", "s1", "t1", "false", "false"),
+        ("o_orderstatus", "s2", "t2", "false", "p2"), ("o_totalprice", "s3", "t3", "c3", "p3"), ("o_orderdate", "s4", "t4", "false", "false"),
+        ("o_orderpriority", "s5", "t5", "c5", "false")]
     return " UNION ALL ".join(
         f"SELECT report_pos, kind, sr AS source_row, tr AS target_row, {i} AS \"column\", '{name}' AS name, CASE WHEN tr IS NULL OR {c} OR {p} THEN {s} END AS source, CASE WHEN tr IS NOT NULL THEN {t} END AS target, {c} AS changed, {p} AS suppressed FROM p" for i, (name, s, t, c, p) in enumerate(cells)
     )

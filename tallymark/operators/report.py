@@ -111,7 +111,8 @@ def finding_list(model: HeaderModel) -> Column:
         s = F.struct(F.lit(i).alias("column"), F.lit(model.label(i)).alias("name"), F.lit(kind).alias("kind"), limit.alias("limit"), size.alias("precision"), scale.alias("scale"))
         return F.when(F.col(f"f{i}").bitwiseAND(flag) != 0, s)
 
-    able = [(i, flag, kind) for i in range(model.width) for flag, kind in FINDINGS if (model.required[i] if flag == REQUIRED_EMPTY else model.types[i].text and model.types[i].size > 0 if flag == TOO_LONG else model.types[i].numeric)]
+    able = [(i, flag, kind) for i in range(model.width) for flag,
+        kind in FINDINGS if (model.required[i] if flag == REQUIRED_EMPTY else model.types[i].text and model.types[i].size > 0 if flag == TOO_LONG else model.types[i].numeric)]
     if not able:
         return F.array().cast("array<struct<column:int,name:string,kind:string,limit:int,precision:int,scale:int>>")
     return F.array_compact(F.array(*[one(*x) for x in able]))

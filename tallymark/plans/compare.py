@@ -113,7 +113,8 @@ class Diff:
         keys = F.array(*[F.coalesce(f"t{i}", f"s{i}") for i in self.model.key_columns]) if self.model.key_columns else F.lit(None).cast("array<string>")
         cells = [reporting.cells_of(self.model).alias("cells")] if include_values else []
         return rows.select(
-            "report_pos", F.lit(SCHEMA_VERSION).alias("schema_version"), "kind", "moved", F.col("move_distance").cast("int").alias("move_distance"), F.col("s_row").alias("source_row"), F.col("t_row").alias("target_row"),
+            "report_pos", F.lit(SCHEMA_VERSION).alias("schema_version"), "kind", "moved", F.col("move_distance").cast("int").alias("move_distance"),
+            F.col("s_row").alias("source_row"), F.col("t_row").alias("target_row"),
             "changed_cells", "suppressed_cells", "finding_cells", keys.alias("key"), *cells, reporting.finding_list(self.model).alias("findings"),
         )
 
@@ -146,7 +147,9 @@ class Diff:
     def findings(self) -> DataFrame:
         """source_row, target_row, key and the finding, a row for each."""
         keys = F.concat_ws("|", *[F.coalesce(f"t{i}", f"s{i}") for i in self.model.key_columns]) if self.model.key_columns else F.lit(None).cast("string")
-        return self.classified.where("finding_cells > 0").select("kind", F.col("s_row").alias("source_row"), F.col("t_row").alias("target_row"), keys.alias("key"), F.explode(reporting.finding_list(self.model)).alias("f")).select("kind", "source_row", "target_row", "key", "f.column", "f.name", F.col("f.kind").alias("finding"), "f.limit", "f.precision", "f.scale")
+        return self.classified.where("finding_cells > 0").select("kind", F.col("s_row").alias("source_row"), F.col("t_row").alias("target_row"), keys.alias("key"),
+            F.explode(reporting.finding_list(self.model)).alias("f")).select("kind", "source_row", "target_row", "key", "f.column", "f.name",
+            F.col("f.kind").alias("finding"), "f.limit", "f.precision", "f.scale")
 
     def segments(self, mode: str = "word", cap: int = 4096) -> DataFrame:
         """``cells()`` with the segments inside each changed cell."""
@@ -159,8 +162,10 @@ class Diff:
         total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
         kinds = [total((F.col("kind") == k).cast("int")).alias(k) for k in ("unchanged", "modified", "added", "deleted")]
         return self.classified.agg(
-            *kinds, total(F.col("moved").cast("int")).alias("moved"), F.count("*").alias("report"), total("changed_cells").alias("changed"), total("suppressed_cells").alias("suppressed"), total((F.col("finding_cells") > 0).cast("int")).alias("finding_rows"),
-            *[total(having(flag)).alias(name) for flag, name in reporting.FINDINGS], total(((F.col("via") == "likeness") & F.col("s_idx").isNotNull() & F.col("t_idx").isNotNull()).cast("int")).alias("paired"),
+            *kinds, total(F.col("moved").cast("int")).alias("moved"), F.count("*").alias("report"), total("changed_cells").alias("changed"),
+                total("suppressed_cells").alias("suppressed"), total((F.col("finding_cells") > 0).cast("int")).alias("finding_rows"),
+            *[total(having(flag)).alias(name) for flag, name in reporting.FINDINGS],
+            total(((F.col("via") == "likeness") & F.col("s_idx").isNotNull() & F.col("t_idx").isNotNull()).cast("int")).alias("paired"),
         )
 
     @cached_property
@@ -169,9 +174,12 @@ class Diff:
         return {
             "schemaVersion": SCHEMA_VERSION, "identical": not (c.modified or c.added or c.deleted or c.moved),
             "rows": {k: c[k] for k in ("unchanged", "modified", "added", "deleted", "moved", "report")}, "cells": {"changed": c.changed, "suppressed": c.suppressed},
-            "findings": {"total": c.requiredEmpty + c.tooLong + c.notNumeric + c.precision, "rows": c.finding_rows, **{k: c[k] for _, k in reporting.FINDINGS}, "enabled": self.options.validate},
-            "matching": {"allKeys": not self.model.key_columns, "pairedBySimilarity": c.paired, "pairingTruncated": self.truncated, "movesForcedOff": self.options.detect_moves and not self.options.source_ordered},
-            "columns": {"compared": self.model.width, "added": len(self.plan.added), "removed": len(self.plan.removed)}, "targetHeader": {"rows": self.target_rows, "namesOnly": self.target_rows == 1},
+            "findings": {"total": c.requiredEmpty + c.tooLong + c.notNumeric + c.precision, "rows": c.finding_rows, **{k: c[k] for _, k in reporting.FINDINGS},
+            "enabled": self.options.validate},
+            "matching": {"allKeys": not self.model.key_columns, "pairedBySimilarity": c.paired, "pairingTruncated": self.truncated,
+            "movesForcedOff": self.options.detect_moves and not self.options.source_ordered},
+            "columns": {"compared": self.model.width, "added": len(self.plan.added), "removed": len(self.plan.removed)},
+            "targetHeader": {"rows": self.target_rows, "namesOnly": self.target_rows == 1},
             "schemaFindings": self.schema_findings, "schemaFindingCount": self.schema_finding_count,
         }
 
@@ -198,7 +206,8 @@ class Diff:
         return present(self, layout, changes_only)
 
 
-def compare(spark: SparkSession, source: Source | DataFrame, target: Source | DataFrame, options: DiffOptions = DiffOptions(), source_dialect: Dialect = Dialect(), target_dialect: Dialect | None = None, limits: Limits = Limits()) -> Diff:
+def compare(spark: SparkSession, source: Source | DataFrame, target: Source | DataFrame, options: DiffOptions = DiffOptions(), source_dialect: Dialect = Dialect(),
+    target_dialect: Dialect | None = None, limits: Limits = Limits()) -> Diff:
     """Compare two sources; the source's header is the authority. Raises ReconcileError for what can't be compared: headers, broken input, duplicate keys."""
     source, target = (Source.dataframe(x) if isinstance(x, DataFrame) else x for x in (source, target))
     s = source.open(spark, source_dialect, limits)

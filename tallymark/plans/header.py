@@ -77,7 +77,8 @@ class Header:
             raise ReconcileError("INVALID_ARG", "a header needs a column")
         plain = all(not t and not k and not q for _, t, k, q in self.columns)
         rows = tuple(zip(*self.rows(), strict=True)) and tuple(tuple(r) for r in self.rows())
-        return HeaderModel(len(self.columns), tuple(self.names), tuple(c[2] for c in self.columns), tuple(c[3] for c in self.columns), tuple(parse_type(c[1]) for c in self.columns), len(rows), rows, HeaderLayout(rows=1 if plain else 4))
+        return HeaderModel(len(self.columns), tuple(self.names), tuple(c[2] for c in self.columns), tuple(c[3] for c in self.columns),
+            tuple(parse_type(c[1]) for c in self.columns), len(rows), rows, HeaderLayout(rows=1 if plain else 4))
 
     def rows(self) -> list[list[str]]:
         if all(not t and not k and not q for _, t, k, q in self.columns):
@@ -125,7 +126,8 @@ def resolve_source(first: list[list[str]], layout: HeaderLayout) -> HeaderModel:
     row = lambda n: first[n - 1] if n else [""] * width
     names = tuple(row(layout.name)) if layout.name else None
     return HeaderModel(
-        width, names, tuple(_marks(c, "KEY") for c in row(layout.key)), tuple(_marks(c, "REQUIRED") for c in row(layout.required)), tuple(parse_type(c) for c in row(layout.type)), layout.rows, tuple(map(tuple, first[: layout.rows])), layout
+        width, names, tuple(_marks(c, "KEY") for c in row(layout.key)), tuple(_marks(c, "REQUIRED") for c in row(layout.required)),
+            tuple(parse_type(c) for c in row(layout.type)), layout.rows, tuple(map(tuple, first[: layout.rows])), layout
     )
 
 
@@ -220,5 +222,6 @@ def metadata_disagreements(source: HeaderModel, target: list[list[str]], target_
     for part in ("key", "required", "type"):
         n = getattr(source.layout, part)
         if n and n <= len(target) and n < target_rows:
-            out += [{"kind": "metadataDisagreement", "row": part, "column": i, "name": source.label(i), "source": a, "target": b} for i, (a, b) in enumerate(zip(source.cells[n - 1], target[n - 1], strict=False)) if a != b]
+            out += [{"kind": "metadataDisagreement", "row": part, "column": i, "name": source.label(i), "source": a, "target": b} for i,
+                (a, b) in enumerate(zip(source.cells[n - 1], target[n - 1], strict=False)) if a != b]
     return out

@@ -35,7 +35,8 @@ def present(diff, layout: str = "unified", changes_only: bool = False) -> DataFr
         under = F.transform("cells", lambda c: cell(c, F.when(c["changed"], c["source"]).otherwise("")))
         lines = F.when(kind == "modified", F.array(row(0, None, kind, number, after), row(1, None, kind, F.col("source_row"), under))).otherwise(F.array(row(0, None, kind, number, after)))
     elif layout == "unified":
-        lines = F.when(kind == "modified", F.array(row(0, None, F.lit("deleted"), F.col("source_row"), before), row(1, None, F.lit("added"), F.col("target_row"), after))).otherwise(F.array(row(0, None, kind, number, after)))
+        lines = F.when(kind == "modified", F.array(row(0, None, F.lit("deleted"), F.col("source_row"), before),
+            row(1, None, F.lit("added"), F.col("target_row"), after))).otherwise(F.array(row(0, None, kind, number, after)))
     else:
         left = F.when(kind == "added", row(0, "source", gap, F.lit(None), empty)).otherwise(row(0, "source", kind, F.col("source_row"), before))
         right = F.when(kind == "deleted", row(1, "target", gap, F.lit(None), empty)).otherwise(row(1, "target", kind, F.col("target_row"), after))

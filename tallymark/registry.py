@@ -62,10 +62,13 @@ PAIRS = {
 }
 KEY, REQ = True, True
 HEADERS = {
-    "orders": Header.of(("o_orderkey", "VARCHAR(20)", KEY), ("o_custkey", "INTEGER"), ("o_orderstatus", "CHAR(1)"), ("o_totalprice", "DECIMAL(18,2)"), ("o_orderdate", "DATE"), ("o_orderpriority", "VARCHAR(20)", False, REQ)),
+    "orders": Header.of(("o_orderkey", "VARCHAR(20)", KEY), ("o_custkey", "INTEGER"), ("o_orderstatus", "CHAR(1)"), ("o_totalprice", "DECIMAL(18,2)"),
+        ("o_orderdate", "DATE"), ("o_orderpriority", "VARCHAR(20)", False, REQ)),
     "lineitem": Header.of(("l_returnflag", "CHAR(1)"), ("l_linestatus", "CHAR(1)"), ("qty", "INTEGER")),
-    "part": Header.of(("p_partkey", "INTEGER"), ("p_name", "VARCHAR(60)"), ("p_brand", "VARCHAR(20)"), ("p_type", "VARCHAR(40)"), ("p_size", "INTEGER"), ("p_retailprice", "DECIMAL(18,2)")),
-    "events": Header.of(("event_id", "INTEGER", KEY), ("ts", "TIMESTAMP"), ("user_id", "INTEGER"), ("event_type", "VARCHAR(20)"), ("value", "DECIMAL(12,2)"), ("props", "VARCHAR")),
+    "part": Header.of(("p_partkey", "INTEGER"), ("p_name", "VARCHAR(60)"), ("p_brand", "VARCHAR(20)"), ("p_type", "VARCHAR(40)"), ("p_size", "INTEGER"),
+    ("p_retailprice", "DECIMAL(18,2)")),
+    "events": Header.of(("event_id", "INTEGER", KEY), ("ts", "TIMESTAMP"), ("user_id", "INTEGER"), ("event_type", "VARCHAR(20)"), ("value", "DECIMAL(12,2)"),
+    ("props", "VARCHAR")),
     "conversations": Header.of(("conv_id", "INTEGER", KEY), ("turn", "INTEGER", KEY), ("role", "VARCHAR(20)"), ("text", "VARCHAR")),
     "customer": Header.of(("c_custkey", "INTEGER", KEY), ("c_name", "VARCHAR(40)"), ("c_nationkey", "INTEGER"), ("c_mktsegment", "VARCHAR(20)")),
 }
@@ -301,7 +304,9 @@ def _json_cell(name: str, s: str, t: str, changed: str, suppressed: str) -> str:
 
 
 K0 = "CASE WHEN sr IS NOT NULL THEN k END", "CASE WHEN tr IS NOT NULL THEN k END"
-JSON_CELLS = " || ',' || ".join([_json_cell("o_orderkey", *K0, "false", "false"), _json_cell("o_custkey", "s1", "t1", "false", "false"), _json_cell("o_orderstatus", "s2", "t2", "false", "p2"), _json_cell("o_totalprice", "s3", "t3", "c3", "p3"), _json_cell("o_orderdate", "s4", "t4", "false", "false"), _json_cell("o_orderpriority", "s5", "t5", "c5", "false")])
+JSON_CELLS = " || ',' || ".join([_json_cell("o_orderkey", *K0, "false", "false"), _json_cell("o_custkey", "s1", "t1", "false", "false"),
+    _json_cell("o_orderstatus", "s2", "t2", "false", "p2"), _json_cell("o_totalprice", "s3", "t3", "c3", "p3"), _json_cell("o_orderdate", "s4", "t4", "false", "false"),
+    _json_cell("o_orderpriority", "s5", "t5", "c5", "false")])
 
 
 @query(
@@ -346,7 +351,8 @@ P5 = f"WITH {oracle_pair('conversations')}, d AS (SELECT conv_id, turn, s.text A
 
 def _rebuilt(spark, sf_dir, mode: str) -> DataFrame:
     cells = diff_of(spark, sf_dir, "conversations", UNMOVED).segments(mode)
-    side = lambda ops: F.concat_ws("", F.transform(F.filter("segments", lambda g: g["op"].isin(*ops)), lambda g: slice_bytes(F.when(g["op"] == "INSERT", F.col("target")).otherwise(F.col("source")), g["start"], g["len"])))
+    side = lambda ops: F.concat_ws("", F.transform(F.filter("segments", lambda g: g["op"].isin(*ops)),
+        lambda g: slice_bytes(F.when(g["op"] == "INSERT", F.col("target")).otherwise(F.col("source")), g["start"], g["len"])))
     return cells.select("key", side(("EQUAL", "DELETE")).alias("source"), side(("EQUAL", "INSERT")).alias("target"))
 
 
@@ -406,7 +412,8 @@ def embedded_csv_rows(spark, sf_dir):
 @query("""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN strftime(ts, '%f') = '000000' THEN '' WHEN strftime(ts, '%f') LIKE '%000' THEN '.' || left(strftime(ts, '%f'), 3) ELSE '.' || strftime(ts, '%f') END AS ts,
  strftime(ts, '%Y-%m-%d') AS day, CASE WHEN event_id % 2 = 0 THEN 'TRUE' ELSE 'FALSE' END AS flag, value::DECIMAL(12,2)::VARCHAR AS value, '' AS missing, CASE event_id WHEN 0 THEN '0.0' ELSE (event_id * 10000000)::VARCHAR END AS big FROM events""")
 def sql_value_rendering(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("event_id", "ts", F.col("ts").cast("date").alias("day"), (F.col("event_id") % 2 == 0).alias("flag"), F.col("value").cast("decimal(12,2)").alias("value"), F.lit(None).cast("int").alias("missing"), (F.col("event_id") * 10000000).cast("double").alias("big"))
+    rows = table(spark, sf_dir, "events").select("event_id", "ts", F.col("ts").cast("date").alias("day"), (F.col("event_id") % 2 == 0).alias("flag"),
+        F.col("value").cast("decimal(12,2)").alias("value"), F.lit(None).cast("int").alias("missing"), (F.col("event_id") * 10000000).cast("double").alias("big"))
     return rows.select("event_id", *[render.rendered(F.col(f.name), f.dataType).alias(f.name) for f in rows.schema.fields[1:]])
 
 

@@ -62,7 +62,8 @@ def _clipped(c: Column, most: int) -> Column:
 def _jsonl(diff, rows: DataFrame, o: EmitOptions) -> Column:
     null = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
     yes = lambda c: F.when(c, "true").otherwise("false")
-    head = [F.lit('{"schemaVersion":1,"kind":"'), F.col("kind"), F.lit('","sourceRow":'), null("s_row"), F.lit(',"targetRow":'), null("t_row"), F.lit(',"moved":'), yes(F.col("moved")), F.lit(',"moveDistance":'), F.col("move_distance").cast("string")]
+    head = [F.lit('{"schemaVersion":1,"kind":"'), F.col("kind"), F.lit('","sourceRow":'), null("s_row"), F.lit(',"targetRow":'), null("t_row"), F.lit(',"moved":'),
+        yes(F.col("moved")), F.lit(',"moveDistance":'), F.col("move_distance").cast("string")]
     name = lambda i: _json_text(diff.model.label(i))
     if o.include_values:
         cells = []
@@ -70,7 +71,9 @@ def _jsonl(diff, rows: DataFrame, o: EmitOptions) -> Column:
             flag, s, t = F.col(f"f{i}"), F.col(f"s{i}"), F.col(f"t{i}")
             differs = F.col("t_idx").isNull() | (flag.bitwiseAND(report.CHANGED | report.SUPPRESSED) != 0)
             shown = lambda v, key: F.concat(F.lit(f',"{key}":"'), json_escaped(_clipped(v, o.max_cell_bytes)), F.lit('"'))
-            part = [F.lit(f'{{"name":"{name(i)}"'), F.when(differs & s.isNotNull(), shown(s, "source")).otherwise(""), F.when(t.isNotNull(), shown(t, "target")).otherwise(""), F.when(flag.bitwiseAND(report.CHANGED) != 0, ',"changed":true').otherwise(""), F.when(flag.bitwiseAND(report.SUPPRESSED) != 0, ',"suppressed":true').otherwise("")]
+            part = [F.lit(f'{{"name":"{name(i)}"'), F.when(differs & s.isNotNull(), shown(s, "source")).otherwise(""),
+                F.when(t.isNotNull(), shown(t, "target")).otherwise(""), F.when(flag.bitwiseAND(report.CHANGED) != 0, ',"changed":true').otherwise(""),
+                F.when(flag.bitwiseAND(report.SUPPRESSED) != 0, ',"suppressed":true').otherwise("")]
             used = [F.when(differs, s), t]
             if o.max_cell_bytes > 0:
                 part.append(F.when(F.greatest(*[F.coalesce(F.octet_length(u), F.lit(0)) for u in used]) > o.max_cell_bytes, ',"truncated":true').otherwise(""))
@@ -79,7 +82,9 @@ def _jsonl(diff, rows: DataFrame, o: EmitOptions) -> Column:
         head += [F.lit(',"cells":['), F.concat_ws(",", *cells), F.lit("]")]
 
     def finding(f):
-        extra = F.concat(F.when(f["kind"] == "tooLong", F.concat(F.lit(',"limit":'), f["limit"].cast("string"))).otherwise(""), F.when(f["kind"] == "precision", F.concat(F.lit(',"precision":'), f["precision"].cast("string"), F.lit(',"scale":'), f["scale"].cast("string"))).otherwise(""))
+        extra = F.concat(F.when(f["kind"] == "tooLong", F.concat(F.lit(',"limit":'), f["limit"].cast("string"))).otherwise(""),
+            F.when(f["kind"] == "precision", F.concat(F.lit(',"precision":'), f["precision"].cast("string"), F.lit(',"scale":'),
+            f["scale"].cast("string"))).otherwise(""))
         return F.concat(F.lit('{"column":'), f["column"].cast("string"), F.lit(',"name":"'), json_escaped(f["name"]), F.lit('","kind":"'), f["kind"], F.lit('"'), extra, F.lit("}"))
 
     found = F.transform(report.finding_list(diff.model), finding)
@@ -98,7 +103,8 @@ def _csv(diff, rows: DataFrame, o: EmitOptions) -> Column:
     number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
 
     def line(side: str, letter: str) -> Column:
-        meta = [F.lit("1"), F.col("kind"), F.lit(side), F.when(F.col("moved"), "true").otherwise("false"), F.col("move_distance").cast("string"), number("s_row"), number("t_row"), F.col("changed_cells").cast("string"), F.size(report.finding_list(diff.model)).cast("string")]
+        meta = [F.lit("1"), F.col("kind"), F.lit(side), F.when(F.col("moved"), "true").otherwise("false"), F.col("move_distance").cast("string"), number("s_row"),
+            number("t_row"), F.col("changed_cells").cast("string"), F.size(report.finding_list(diff.model)).cast("string")]
         values = [put(_clipped(F.coalesce(F.col(f"{letter}{i}"), F.lit("")), o.max_cell_bytes)) for i in range(diff.model.width)] if o.include_values else []
         return F.concat_ws(d, *meta, *values)
 
@@ -144,7 +150,8 @@ def _html(diff, rows: DataFrame, o: EmitOptions) -> Column:
     n = diff.model.width
     p = lambda *names: " ".join(f"{o.class_prefix}-{x}" for x in names)
     mark = lambda c, name: F.when(c, f" {p(name)}").otherwise("")
-    head = [F.lit(f'<tr class="{p("row")} {o.class_prefix}-'), F.col("kind"), mark(F.col("moved"), "moved"), mark(F.col("finding_cells") > 0, "finding"), F.lit(f'"><td class="{p("num")}">'), F.coalesce("t_row", "s_row").cast("string"), F.lit("</td>")]
+    head = [F.lit(f'<tr class="{p("row")} {o.class_prefix}-'), F.col("kind"), mark(F.col("moved"), "moved"), mark(F.col("finding_cells") > 0, "finding"),
+        F.lit(f'"><td class="{p("num")}">'), F.coalesce("t_row", "s_row").cast("string"), F.lit("</td>")]
     if not o.include_values:
         return F.concat(*head, F.lit("</tr>"))
     if o.cell_diff == "none":
@@ -169,7 +176,8 @@ def plain_cell(source: Column, target: Column, flag: Column, o: EmitOptions) ->
     shown = lambda v: F.regexp_replace(html_escaped(_clipped(v, o.max_cell_bytes)), f"{BROKEN}+", "\ufffd")
     both = F.concat(F.lit(f'<span class="{c("old")}">'), shown(source), F.lit(f'</span><span class="{c("new")}">'), shown(target), F.lit("</span>"))
     inside = F.when(has(report.CHANGED) & source.isNotNull() & target.isNotNull(), both).otherwise(shown(F.coalesce(target, source, F.lit(""))))
-    return F.concat(F.lit(f'<td class="{c("cell")}'), name(has(report.CHANGED), "changed"), name(has(report.SUPPRESSED), "suppressed"), name(has(report.FINDING), "finding"), F.lit('"'), found, F.lit(">"), inside, F.lit("</td>"))
+    return F.concat(F.lit(f'<td class="{c("cell")}'), name(has(report.CHANGED), "changed"), name(has(report.SUPPRESSED), "suppressed"),
+        name(has(report.FINDING), "finding"), F.lit('"'), found, F.lit(">"), inside, F.lit("</td>"))
 
 
 def head_and_foot(diff, format: str, o: EmitOptions) -> tuple[list[str], list[str]]:

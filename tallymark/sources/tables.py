@@ -124,7 +124,8 @@ class Source:
 
 
 def _declared(kind: str) -> str:
-    return {"string": "", "double": "DOUBLE", "float": "FLOAT", "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP"}.get(kind, kind.upper() if kind in ("int", "bigint", "smallint", "tinyint") or kind.startswith("decimal") else "")
+    return {"string": "", "double": "DOUBLE", "float": "FLOAT", "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP"}.get(kind,
+        kind.upper() if kind in ("int", "bigint", "smallint", "tinyint") or kind.startswith("decimal") else "")
 
 
 @dataclass
@@ -274,7 +275,8 @@ def try_parse_column(df: DataFrame, column: str, dialect: Dialect = Dialect(), l
 
 def _parsed(df: DataFrame, column: str, dialect: Dialect, limits: Limits, keep_errors: bool) -> DataFrame:
     others = [c for c in df.columns if c != column]
-    schema = df.select(*[F.col(f"`{c}`") for c in others], F.lit(None).cast("long").alias("rec"), F.lit(None).cast("array<string>").alias("cells"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("message")).schema
+    schema = df.select(*[F.col(f"`{c}`") for c in others], F.lit(None).cast("long").alias("rec"), F.lit(None).cast("array<string>").alias("cells"),
+        F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("message")).schema
 
     def run(batches):
         for b in batches:

@@ -12,7 +12,8 @@ from ..plans.compare import Diff, compare
 from ..sources.tables import Source
 
 
-def reconcile_stream(stream: DataFrame, snapshot: Callable[[], Source | DataFrame], target: Callable[[DataFrame], Source], on_diff: Callable[[Diff, int], None], checkpoint: str, options: DiffOptions = DiffOptions(), **trigger) -> StreamingQuery:
+def reconcile_stream(stream: DataFrame, snapshot: Callable[[], Source | DataFrame], target: Callable[[DataFrame], Source], on_diff: Callable[[Diff, int], None],
+    checkpoint: str, options: DiffOptions = DiffOptions(), **trigger) -> StreamingQuery:
     """Compare each micro-batch with the snapshot as it stands then. ``on_diff`` gets the Diff and the batch's number, which lets sinks skip a batch that was done already."""
 
     def run(batch: DataFrame, number: int) -> None:

@@ -32,7 +32,8 @@ def model_decimal(v):
 
 def test_canonical_decimal(spark):
     rnd = random.Random(2)
-    texts = ["", "+", ".", "-", "0", "-0", "-0.00", "+.5", "5.", "1e5", "1E-3", "1e", "1.2.3", " 1", "1\n", "0e9", "9" * 48, "9" * 49, "1e47", "1e48", "0." + "0" * 50 + "1", "." + "1" * 47, "." + "1" * 48, "1e99999999999", "-12.340e2", "١"]
+    texts = ["", "+", ".", "-", "0", "-0", "-0.00", "+.5", "5.", "1e5", "1E-3", "1e", "1.2.3", " 1", "1\n", "0e9", "9" * 48, "9" * 49, "1e47", "1e48",
+        "0." + "0" * 50 + "1", "." + "1" * 47, "." + "1" * 48, "1e99999999999", "-12.340e2", "١"]
     texts += ["".join(rnd.choice("0123456789..eE+-0000") for _ in range(rnd.randint(1, 14))) for _ in range(3000)]
     got = spark.createDataFrame([(t,) for t in texts], "v string").select("v", normalize.canonical_decimal(F.col("v")).alias("c")).collect()
     assert [(r.v, r.c) for r in got if r.c != model_decimal(r.v)] == []
@@ -45,12 +46,16 @@ def test_canonical_timestamp(spark, v, c):
 
 def test_strict_timestamp_boolean_truncation(spark):
     row = spark.range(1).select(
-        normalize.canonical_timestamp(F.lit("31.01.2000"), True), normalize.canonical_boolean(F.lit("yes")), normalize.canonical_boolean(F.lit("N")), normalize.canonical_boolean(F.lit("ß")), normalize.truncated(F.lit("aé€😀"), 4), normalize.truncated(F.lit("aé€😀"), 6), normalize.truncated(F.lit("aé€😀"), 9), normalize.truncated(F.lit("abc"), 9)
+        normalize.canonical_timestamp(F.lit("31.01.2000"), True), normalize.canonical_boolean(F.lit("yes")), normalize.canonical_boolean(F.lit("N")),
+            normalize.canonical_boolean(F.lit("ß")), normalize.truncated(F.lit("aé€😀"), 4), normalize.truncated(F.lit("aé€😀"), 6), normalize.truncated(F.lit("aé€😀"), 9),
+            normalize.truncated(F.lit("abc"), 9)
     ).first()
     assert list(row) == ["31.01.2000", "1", "0", "ß", "aé", "aé€", "aé€", "abc"]
 
 
-@pytest.mark.parametrize("text,kind", [("VARCHAR(20)", ("VARCHAR", 20, -1)), ("decimal ( 12 , 2 )", ("DECIMAL", 12, 2)), (" char(3)", ("CHAR", 3, -1)), ("WIDGET", ("UNKNOWN", -1, -1)), ("double  precision", ("DECIMAL", -1, -1)), ("VARCHARX(3)", ("UNKNOWN", 3, -1)), ("INT(", ("INTEGER", -1, -1)), (None, ("UNKNOWN", -1, -1))])
+@pytest.mark.parametrize("text,kind", [("VARCHAR(20)", ("VARCHAR", 20, -1)), ("decimal ( 12 , 2 )", ("DECIMAL", 12, 2)), (" char(3)", ("CHAR", 3, -1)),
+    ("WIDGET", ("UNKNOWN", -1, -1)), ("double  precision", ("DECIMAL", -1, -1)), ("VARCHARX(3)", ("UNKNOWN", 3, -1)), ("INT(", ("INTEGER", -1, -1)),
+    (None, ("UNKNOWN", -1, -1))])
 def test_types(text, kind):
     t = parse_type(text)
     assert (t.kind, t.size, t.scale) == kind
@@ -73,8 +78,10 @@ def parsed(text, **how):
 @pytest.mark.parametrize(
     "text,expected",
     [
-        ('a,"b,c"\n', [["a", "b,c"]]), ('"a\nb",c\r\nd,e\rf,g', [["a\nb", "c"], ["d", "e"], ["f", "g"]]), ('a"b,c\n', [['a"b', "c"]]), ('"a" \t,b\n', [["a", "b"]]), ("a,b\n\n\r\nc,d\n", [["a", "b"], ["c", "d"]]), ('""\nx\n', [[""], ["x"]]),
-        ("a,b,", [["a", "b", ""]]), ("﻿a\n", [["a"]]), (' "a",b\n', [[' "a"', "b"]]), ("a,b\nc,d,,\n", [["a", "b"], ["c", "d"]]), ("", []), ('"he said ""x"""\n', [['he said "x"']]), (",\n", [["", ""]]),
+        ('a,"b,c"\n', [["a", "b,c"]]), ('"a\nb",c\r\nd,e\rf,g', [["a\nb", "c"], ["d", "e"], ["f", "g"]]), ('a"b,c\n', [['a"b', "c"]]), ('"a" \t,b\n', [["a", "b"]]),
+            ("a,b\n\n\r\nc,d\n", [["a", "b"], ["c", "d"]]), ('""\nx\n', [[""], ["x"]]),
+        ("a,b,", [["a", "b", ""]]), ("﻿a\n", [["a"]]), (' "a",b\n', [[' "a"', "b"]]), ("a,b\nc,d,,\n", [["a", "b"], ["c", "d"]]), ("", []),
+        ('"he said ""x"""\n', [['he said "x"']]), (",\n", [["", ""]]),
     ],
 )
 def test_grammar(text, expected):
@@ -116,7 +123,9 @@ def test_json_rows():
 
 def test_segments_rebuild_and_are_short():
     rnd = random.Random(6)
-    pairs = [("the quick fox", "the slow fox"), ("naïve", "naive"), ("漢字仮名", "漢字名"), ("", "x"), ("abc", "abc"), ("a b c", "c b a")] + [("".join(rnd.choice("ab é漢") for _ in range(rnd.randint(0, 30))), "".join(rnd.choice("ab é漢") for _ in range(rnd.randint(0, 30)))) for _ in range(400)]
+    pairs = [("the quick fox", "the slow fox"), ("naïve", "naive"), ("漢字仮名", "漢字名"), ("", "x"), ("abc", "abc"),
+        ("a b c", "c b a")] + [("".join(rnd.choice("ab é漢") for _ in range(rnd.randint(0, 30))),
+        "".join(rnd.choice("ab é漢") for _ in range(rnd.randint(0, 30)))) for _ in range(400)]
     for s, t in pairs:
         a, b = s.encode(), t.encode()
         for mode in ("word", "character", "both"):
