@@ -102,13 +102,15 @@ def depths(calls: DataFrame) -> DataFrame:
         return refers.select("conv_id", "call_id", F.lit(0).alias("depth"), F.lit(None).cast(calls.schema["turn"].dataType).alias("at"))
     nodes = refers.select("conv_id", "call_id").union(refers.select("conv_id", F.col("needs").alias("call_id"))).distinct().join(known, ["conv_id", "call_id"])
     waits = refers.select("conv_id", "call_id").distinct().withColumn("waits", F.lit(True))
-    state = materialize(nodes.join(waits, ["conv_id", "call_id"], "left").select("conv_id", "call_id", "turn", F.when(F.col("waits").isNull(), F.lit(0)).alias("depth"), F.when(F.col("waits").isNull(), F.col("turn")).alias("at")), "depths")
+    state = materialize(nodes.join(waits, ["conv_id", "call_id"], "left").select("conv_id", "call_id", "turn", F.when(F.col("waits").isNull(), F.lit(0)).alias("depth"),
+        F.when(F.col("waits").isNull(), F.col("turn")).alias("at")), "depths")
     while True:
         had = state.select("conv_id", F.col("call_id").alias("needs"), F.col("depth").alias("d"), F.col("at").alias("a"))
         every = F.count("d") == F.count("*")
         ready = refers.join(had, ["conv_id", "needs"]).groupBy("conv_id", "call_id").agg(F.when(every, F.max("d") + 1).alias("new"), F.when(every, F.max("a")).alias("late"))
         fresh = F.col("depth").isNull() & F.col("new").isNotNull()
-        after = state.join(ready, ["conv_id", "call_id"], "left").select("conv_id", "call_id", "turn", F.coalesce("depth", "new").alias("depth"), F.when(fresh, F.greatest("turn", "late")).otherwise(F.col("at")).alias("at"), fresh.alias("fresh"))
+        after = state.join(ready, ["conv_id", "call_id"], "left").select("conv_id", "call_id", "turn", F.coalesce("depth", "new").alias("depth"),
+            F.when(fresh, F.greatest("turn", "late")).otherwise(F.col("at")).alias("at"), fresh.alias("fresh"))
         after = materialize(after, "depths")
         state = after.drop("fresh")
         if after.where("fresh").isEmpty():
@@ -131,8 +133,12 @@ def link_tool_calls(turns: DataFrame, schemas: dict[str, dict], typed: bool = Fa
     is_result = F.coalesce((F.col("role") == "tool") & F.col("p.tool_call_id").isNotNull(), F.lit(False))
     kind = F.when(several, "call").when(is_result, "result").otherwise("message")
     # an array of one null stands for "no calls", so explode keeps every turn
-    items = rows.withColumn("kind", kind).select("conv_id", "turn", "role", "text", "kind", "p", F.posexplode(F.when(several, F.col("p.tool_calls")).otherwise(F.array(F.lit(None).cast("struct<id:string,name:string,arguments:map<string,variant>>")))).alias("item", "one"))
-    items = items.select("conv_id", "turn", "item", "role", "kind", F.when(F.col("kind") == "call", F.col("one.id")).when(F.col("kind") == "result", F.col("p.tool_call_id")).alias("call_id"), F.col("one.name").alias("name"), F.col("one.arguments").alias("arguments"), F.when(F.col("kind") == "result", F.coalesce("p.content", F.lit(""))).otherwise(F.col("text")).alias("content"))
+    items = rows.withColumn("kind", kind).select("conv_id", "turn", "role", "text", "kind", "p",
+        F.posexplode(F.when(several,
+        F.col("p.tool_calls")).otherwise(F.array(F.lit(None).cast("struct<id:string,name:string,arguments:map<string,variant>>")))).alias("item", "one"))
+    items = items.select("conv_id", "turn", "item", "role", "kind",
+        F.when(F.col("kind") == "call", F.col("one.id")).when(F.col("kind") == "result", F.col("p.tool_call_id")).alias("call_id"), F.col("one.name").alias("name"),
+        F.col("one.arguments").alias("arguments"), F.when(F.col("kind") == "result", F.coalesce("p.content", F.lit(""))).otherwise(F.col("text")).alias("content"))
 
     able = F.col("conv_id").isNotNull() & F.col("turn").isNotNull() & F.col("call_id").isNotNull()
     first_call = items.where(able & (F.col("kind") == "call")).groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "item")).alias("c"))
@@ -151,5 +157,10 @@ def link_tool_calls(turns: DataFrame, schemas: dict[str, dict], typed: bool = Fa
     depth = F.when(F.col("kind") == "message", F.lit(0)).otherwise(F.coalesce("depth", F.lit(0)))
     at = F.when(linked | F.coalesce(own, F.lit(False)), F.coalesce(F.col("at"), F.col("c.turn"))).otherwise(F.col("turn"))
     order = F.struct(at.alias("at"), depth.alias("depth"), F.when(linked, F.col("c.item")).otherwise(F.col("item")).alias("item"), (F.col("kind") == "result").cast("int").alias("result"), F.col("turn").alias("turn"))
-    written = F.when(F.col("kind") == "call", canonical({"role": quoted(F.col("role")), "id": quoted(F.col("call_id")), "name": quoted(F.col("name")), "arguments": canonical_map(F.col("arguments"), typed)})).when(F.col("kind") == "result", canonical({"role": quoted(F.col("role")), "id": quoted(F.col("call_id")), "content": quoted(F.col("content"))})).otherwise(canonical({"role": F.when(F.col("role").isNotNull(), quoted(F.col("role"))), "content": quoted(F.col("content"))}))
+    written = F.when(F.col("kind") == "call",
+        canonical({"role": quoted(F.col("role")), "id": quoted(F.col("call_id")), "name": quoted(F.col("name")),
+        "arguments": canonical_map(F.col("arguments"), typed)})).when(F.col("kind") == "result",
+        canonical({"role": quoted(F.col("role")), "id": quoted(F.col("call_id")),
+        "content": quoted(F.col("content"))})).otherwise(canonical({"role": F.when(F.col("role").isNotNull(), quoted(F.col("role"))),
+        "content": quoted(F.col("content"))}))
     return out.select("conv_id", "turn", "item", "role", "kind", "call_id", linked.alias("linked"), valid.alias("valid"), depth.alias("depth"), order.alias("ord"), written.alias("json"))

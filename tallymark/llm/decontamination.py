@@ -171,7 +171,9 @@ def _matched(rows: DataFrame, part: list[tuple[str, bytes]], window: int, where:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(n, pa.int64()), pa.array(spans, SPANS), pa.array(found, pa.list_(pa.string()))], names=[*names, "n_words", "spans", "items"])
         release()
 
-    schema = StructType([*kept.fields, StructField("n_words", LongType()), StructField("spans", ArrayType(StructType([StructField("start", IntegerType()), StructField("stop", IntegerType())]))), StructField("items", ArrayType(StringType()))])
+    schema = StructType([*kept.fields, StructField("n_words", LongType()),
+        StructField("spans", ArrayType(StructType([StructField("start", IntegerType()), StructField("stop", IntegerType())]))),
+        StructField("items", ArrayType(StringType()))])
     return rows.mapInArrow(run, schema)
 
 

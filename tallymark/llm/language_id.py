@@ -104,7 +104,8 @@ class LanguageModel:
         family = np.array([FAMILY_OF.get(s.lower().split("-")[0], s) for s in labels])
         self.names = sorted(self.families)
         self.against_rest = [fit_svm(x, np.where(family == f, 1, -1)) for f in self.names] if len(self.names) > 1 else []
-        self.pairs = {(a, b): fit_svm(x[at], np.where(names[at] == a, 1, -1)) for codes in self.families.values() for i, a in enumerate(codes) for b in codes[i + 1 :] for at in [np.flatnonzero((names == a) | (names == b))]}
+        self.pairs = {(a, b): fit_svm(x[at], np.where(names[at] == a, 1, -1)) for codes in self.families.values() for i,
+            a in enumerate(codes) for b in codes[i + 1 :] for at in [np.flatnonzero((names == a) | (names == b))]}
 
     def predict(self, x: np.ndarray) -> list[tuple[str, float]]:
         """Language and score (product of the logistic of the deciding margins, so 0 to 1) of each row; ties go to the first by code point."""

@@ -97,7 +97,8 @@ class Shard:
         if self.block * self.bits % 8 == 0:  # whole blocks end at bytes: one unpacking for all
             got = unpack_block(raw, min((last + 1) * self.block, self.n_ids) - first * self.block, self.bits)
         else:
-            got = np.concatenate([unpack_block(self.raw[self.payload + int(self.offsets[b]) : self.payload + int(self.offsets[b + 1])], min(self.block, self.n_ids - b * self.block), self.bits) for b in range(first, last + 1)])
+            got = np.concatenate([unpack_block(self.raw[self.payload + int(self.offsets[b]) : self.payload + int(self.offsets[b + 1])],
+                min(self.block, self.n_ids - b * self.block), self.bits) for b in range(first, last + 1)])
         return got[start - first * self.block : stop - first * self.block]
 
     def document(self, i: int) -> np.ndarray:
@@ -210,7 +211,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int | None = 1, shard_
         def close():
             ids = np.frombuffer(b"".join(held), dtype="<u4")
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([first], pa.int64()), pa.array([len(doc_ids)], pa.int64()), pa.array([size], pa.int64()), pa.array([pack_shard(doc_ids, lengths, ids, bits)], pa.binary())],
+                [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([first], pa.int64()), pa.array([len(doc_ids)], pa.int64()),
+                    pa.array([size], pa.int64()), pa.array([pack_shard(doc_ids, lengths, ids, bits)], pa.binary())],
                 names=["part", "seq", "first", "n_docs", "n_ids", "shard"],
             )
 
@@ -248,7 +250,8 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 j = min(s.n_docs, i + step)
                 ids, lo = s.ids(int(s.bounds[i]), int(s.bounds[j])).astype("<u4"), s.bounds[i]
                 crc += [zlib.crc32(ids[a - lo : b - lo]) for a, b in zip(s.bounds[i:j], s.bounds[i + 1 : j + 1], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids, pa.int64()), pa.array(start + s.bounds[:-1], pa.int64()), pa.array(np.diff(s.bounds), pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids, pa.int64()), pa.array(start + s.bounds[:-1], pa.int64()), pa.array(np.diff(s.bounds), pa.int64()),
+                pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     placed = shards.select("part", "first", "shard").join(F.broadcast(base), "part")
     return map_batches(placed.select((F.col("base") + F.col("first")).alias("start"), "shard"), run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -22,7 +22,9 @@ RND = random.Random(8)
 WORDS = [f"w{i}" for i in range(50)]
 PASSAGE = " ".join(RND.choice(WORDS) for _ in range(60))
 COPY = " ".join(RND.choice(WORDS) for _ in range(90))
-TEXTS = [None, "", " \t\n", "one", COPY, COPY, COPY.replace("w7", "w8", 1), PASSAGE + " tail a b", "head " + PASSAGE, "a " * 300, "word " * 5000, "Ünïcödé ÉTÉ! <|endoftext|> x<|startoftext|>y ǰ J̌ İ", "x" * 3000, "The the, tHe."] + [" ".join(RND.choice(WORDS) for _ in range(RND.randint(1, 80))) for _ in range(30)]
+TEXTS = [None, "", " \t\n", "one", COPY, COPY, COPY.replace("w7", "w8", 1), PASSAGE + " tail a b", "head " + PASSAGE, "a " * 300, "word " * 5000,
+    "Ünïcödé ÉTÉ! <|endoftext|> x<|startoftext|>y ǰ J̌ İ", "x" * 3000,
+    "The the, tHe."] + [" ".join(RND.choice(WORDS) for _ in range(RND.randint(1, 80))) for _ in range(30)]
 
 
 @pytest.fixture(scope="module")
@@ -226,7 +228,8 @@ def test_class_lm(docs, messy, empty):
         assert of[b""] == 0 and list(of.values()).count(0) == 1 and 0 not in found.of[1:] and units.first_tail <= 21
         assert log == sorted(log) and len(set(log)) == len(log)  # every round raises the likelihood
         scores = brute_class_scores(rows, held, of, found.width, lambda w: int(found.of[units([w])[0][0]]), set(found.of[units.first_tail :].tolist()))  # noqa: B023
-        expected = sorted((str(d), held(d), len(ws), sum(c[w] > 0 for w in ws), round(sum(math.log10((c[w] + 0.1) / (total + 0.1 * (kinds + 1))) for w in ws), 6), round(s, 6)) for (d, ws), s in zip(rows, scores, strict=True))
+        expected = sorted((str(d), held(d), len(ws), sum(c[w] > 0 for w in ws), round(sum(math.log10((c[w] + 0.1) / (total + 0.1 * (kinds + 1))) for w in ws), 6),
+            round(s, 6)) for (d, ws), s in zip(rows, scores, strict=True))
         got = class_lm.score_texts(table, **sizes).collect()
         assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in got) == expected and all(r.train_tokens == total for r in got)
     assert class_lm.score_texts(empty).count() == 0
@@ -322,8 +325,10 @@ def test_decontamination_counts_items_without_id(spark):
 
 def test_chat_format(spark):
     rows = [
-        (1, 0, "user", "hi"), (1, 1, "assistant", '{"tool_calls":[{"id":"a","name":"f","arguments":{"x":1,"y":"$b"}},{"id":"b","name":"f","arguments":{"x":"zz"}}]}'), (1, 2, "tool", '{"tool_call_id":"b","content":"é\\n"}'), (1, 3, "tool", '{"tool_call_id":"a","content":"2"}'),
-        (1, 4, "tool", '{"tool_call_id":"a","content":"late"}'), (2, 1, "assistant", '{"tool_calls":[{"id":"p","name":"f","arguments":{"x":1,"y":"$q"}},{"id":"q","name":"f","arguments":{"x":1,"y":"$p"}},{"id":"r","name":"g","arguments":{}}]}'), (2, 0, "tool", '{"tool_call_id":"p","content":"early"}'),
+        (1, 0, "user", "hi"), (1, 1, "assistant", '{"tool_calls":[{"id":"a","name":"f","arguments":{"x":1,"y":"$b"}},{"id":"b","name":"f","arguments":{"x":"zz"}}]}'),
+            (1, 2, "tool", '{"tool_call_id":"b","content":"é\\n"}'), (1, 3, "tool", '{"tool_call_id":"a","content":"2"}'),
+        (1, 4, "tool", '{"tool_call_id":"a","content":"late"}'),
+            (2, 1, "assistant", '{"tool_calls":[{"id":"p","name":"f","arguments":{"x":1,"y":"$q"}},{"id":"q","name":"f","arguments":{"x":1,"y":"$p"}},{"id":"r","name":"g","arguments":{}}]}'), (2, 0, "tool", '{"tool_call_id":"p","content":"early"}'),
         (None, None, "user", None), (3, 0, "assistant", "{broken"), (3, 0, "assistant", "{broken"), (3, 1, None, ""),
     ]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("kind", F.lit("clash"))
@@ -351,12 +356,16 @@ def test_chat_format_types(spark):
 def test_chat_format_schemas(spark):
     schema = {
         "required": ["o"], "properties": {
-            "o": {"type": "object", "required": ["k"], "properties": {"k": {"type": "string", "enum": ["x", "y"]}, "n": {"type": "array", "items": {"type": "object", "properties": {"v": "integer"}}}}, "additionalProperties": False},
+            "o": {"type": "object", "required": ["k"],
+                "properties": {"k": {"type": "string", "enum": ["x", "y"]}, "n": {"type": "array", "items": {"type": "object", "properties": {"v": "integer"}}}},
+                "additionalProperties": False},
             "s": "string", "i": "integer",
         }}
     cases = [
-        ({"o": {"k": "x"}}, True), ({"o": {"k": "z"}}, False), ({"o": {}}, False), ({"o": {"k": None}}, False), ({"o": "x"}, False), ({"o": {"k": "y", "n": [{"v": 1}, {"v": 2}, {}]}}, True), ({"o": {"k": "y", "n": [{"v": "1"}]}}, False),
-        ({"o": {"k": "y", "n": {"v": 1}}}, False), ({"o": {"k": "x", "more": 1}}, False), ({}, False), ({"o": {"k": "x"}, "s": 1}, False), ({"o": {"k": "x"}, "i": "$b"}, True), ({"o": {"k": "x"}, "i": "$$b"}, False), ({"o": {"k": "x"}, "s": "$$b"}, True),
+        ({"o": {"k": "x"}}, True), ({"o": {"k": "z"}}, False), ({"o": {}}, False), ({"o": {"k": None}}, False), ({"o": "x"}, False),
+            ({"o": {"k": "y", "n": [{"v": 1}, {"v": 2}, {}]}}, True), ({"o": {"k": "y", "n": [{"v": "1"}]}}, False),
+        ({"o": {"k": "y", "n": {"v": 1}}}, False), ({"o": {"k": "x", "more": 1}}, False), ({}, False), ({"o": {"k": "x"}, "s": 1}, False),
+            ({"o": {"k": "x"}, "i": "$b"}, True), ({"o": {"k": "x"}, "i": "$$b"}, False), ({"o": {"k": "x"}, "s": "$$b"}, True),
         ({"o": {"k": "x"}, "s": "x" * 200_000}, True), ({"o": {"k": "x"}, "s": None}, True), ({"o": {"k": "x"}, "t": 1}, False),
     ]
     turns = spark.createDataFrame([(i, 0, "assistant", json.dumps({"tool_calls": [{"id": "a", "name": "f", "arguments": a}]})) for i, (a, _) in enumerate(cases)], "conv_id long, turn long, role string, text string")
@@ -378,7 +387,8 @@ def test_chat_format_long_chain_and_later_turns(spark):
 
 def test_language_id(spark, empty, messy):
     parts = {"en": ["the", "ing", "and", "wh"], "de": ["sch", "ung", "der", "ß"], "fr": ["eau", "que", "ér", "oi"], "es": ["ción", "que", "ez", "rr"]}
-    rows = [(i, None if i % 50 == 0 else " ".join("".join(RND.choice(parts[c]) for _ in range(3)) for _ in range(25)), c) for i, c in enumerate(RND.choice(list(parts)) for _ in range(400))] + [(1000, "123 !", "en"), (1001, "", None)]
+    rows = [(i, None if i % 50 == 0 else " ".join("".join(RND.choice(parts[c]) for _ in range(3)) for _ in range(25)), c) for i,
+        c in enumerate(RND.choice(list(parts)) for _ in range(400))] + [(1000, "123 !", "en"), (1001, "", None)]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash"))
     out = language_id.identify(table, language_id.train(table)).withColumn("h", language_id.held_out()).collect()
     assert {r.lang_pred for r in out if not r.text or r.doc_id == 1000} == {"und"} and all(0 <= r.score <= 1 for r in out)
@@ -502,7 +512,8 @@ def test_embeddings(spark):
     base = rng.standard_normal((60, 16))
     near = base[:25] + 0.12 * rng.standard_normal((25, 16))
     x = np.r_[base, near, base[:5] * 3, base[:1], base[:1]].astype(np.float32)
-    rows = [(i, [float(a) for a in v], 1) for i, v in enumerate(x)] + [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] + [1.0] * 15, 1), (903, [1.0, 2.0], 1), (904, [], 1), (905, [None] * 16, 1), (906, [float("inf")] * 16, 1)]
+    rows = [(i, [float(a) for a in v], 1) for i, v in enumerate(x)] + [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] + [1.0] * 15, 1), (903, [1.0, 2.0], 1),
+        (904, [], 1), (905, [None] * 16, 1), (906, [float("inf")] * 16, 1)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, id int")
     u = x.astype(np.float64)
     u /= np.linalg.norm(u, axis=1, keepdims=True)

@@ -51,7 +51,8 @@ def test_empty(spark, bench_dir):
 def test_odd_rows_and_clashing_columns(spark, bench_dir):
     """Nulls everywhere, an empty and a very long text, repeated rows and ids, and columns named as the stages name their own."""
     long = "thing and where " * 100_000
-    rows = [(1, "the thing where", "en", "a"), (1, "the thing where", "en", "a"), (1, "other words here now", None, None), (None, None, None, None), (2, "", "en", "b"), (3, long, "en", "b"), (None, "der hund und die katze", "de", "a"), (None, "der hund und die katze", "de", "a")]
+    rows = [(1, "the thing where", "en", "a"), (1, "the thing where", "en", "a"), (1, "other words here now", None, None), (None, None, None, None), (2, "", "en", "b"),
+        (3, long, "en", "b"), (None, "der hund und die katze", "de", "a"), (None, "der hund und die katze", "de", "a")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     clash = ["size", "n_words", "score", "lang_pred", "spans", "items", "n_hit", "contaminated", "rate", "target", "taken", "_key", "_copy", "key", "b", "bound", "whole", "component_id", "fp", "column_0_of_docs", "h"]
     for i, name in enumerate(clash):
