@@ -41,7 +41,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = with_key(rows, key="key")
     found = simhash.near_duplicates(rows, doc_id="key")
     keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("key"))
-    return rows.join(keep, "key", "left_semi").select(*back)
+    return rows.join(keep.hint("shuffle_hash"), "key", "left_semi").select(*back)  # texts are streamed past the keys, not sorted
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
