@@ -60,7 +60,8 @@ def tilts(groups: DataFrame, sources: DataFrame, cap: int = CAP) -> DataFrame:
             r = rate(cap)
             words = F.col("n") * F.col("size")
             sums = groups.join(state, "sid").groupBy("sid").agg(
-                *[F.first(c).alias(c) for c in (*keep[1:], "tilt")], F.sum(words * r).alias("f"), F.sum(words * F.col("size") / F.col("mean") * r * (F.lit(1.0) - r / F.lit(float(cap)))).alias("slope")
+                *[F.first(c).alias(c) for c in (*keep[1:], "tilt")], F.sum(words * r).alias("f"),
+                F.sum(words * F.col("size") / F.col("mean") * r * (F.lit(1.0) - r / F.lit(float(cap)))).alias("slope")
             )
             off = F.abs(F.col("f") - F.col("target")) / F.col("target")
             # a source that has arrived stays, so that rounding does not move it on
@@ -132,7 +133,8 @@ def extra_bounds(rows: DataFrame, groups: DataFrame) -> DataFrame:
     ranged = rows.join(some, same).select("source", "size", "h", "key", "e", F.floor(F.col("h") / F.lit(float(1 << 63)) * F.col("ranges")).alias("range"))
     counted = ranged.groupBy("source", "size", "range", "e").agg(F.count("*").alias("c"))
     upto = F.sum("c").over(Window.partitionBy("source", "size").orderBy("range"))
-    at = counted.withColumn("upto", upto).where("upto >= e and upto - c < e").select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("range").alias("r"), (F.col("e") - F.col("upto") + F.col("c")).alias("rank"))
+    at = counted.withColumn("upto", upto).where("upto >= e and upto - c < e").select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("range").alias("r"),
+        (F.col("e") - F.col("upto") + F.col("c")).alias("rank"))
     inside = ranged.join(at, same & (F.col("range") == F.col("r"))).select("source", "size", "h", "key", "rank")
     placed = inside.withColumn("k", F.row_number().over(Window.partitionBy("source", "size").orderBy("h", "key")))
     return placed.where("k = rank").select("source", "size", F.struct("h", "key").alias("bound"))
@@ -159,11 +161,13 @@ def decided(docs: DataFrame, share: float, weights: tuple[int, ...], cap: int, d
     whole = F.floor(F.col("copies") / F.col("n")).cast("long")
     named = materialize(named.select("source", "size", "n", "source_size", "target", "rate", whole.alias("b"), (F.col("copies") - whole * F.col("n")).alias("e")), "allotted")
     bounds = extra_bounds(rows, named).select(F.col("source").alias("s"), F.col("size").alias("z"), "bound")
-    plan = materialize(named.join(bounds, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")), "left").select(F.col("source").alias("s"), F.col("size").alias("z"), "source_size", "target", "rate", "b", "bound"), "plan")
+    plan = materialize(named.join(bounds, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")), "left").select(F.col("source").alias("s"),
+        F.col("size").alias("z"), "source_size", "target", "rate", "b", "bound"), "plan")
     found = rows.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")))
     copies = F.col("b") + F.coalesce((F.struct("h", "key") <= F.col("bound")).cast("long"), F.lit(0))
     found = found.select("key", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
-    return keyed.join(found, "key")
+    # the slim side is hashed, a small share of what its partition of documents takes, and texts are streamed past it, neither sorted nor held
+    return keyed.join(found.hint("shuffle_hash"), "key")
 
 
 def mix(docs: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
