@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -37,8 +38,8 @@ def duplicate_keys(side: DataFrame, names: list[str], number: str) -> DataFrame:
     return rows.groupBy(*names, "n", "first").agg(F.min("number").alias("second"))
 
 
-def by_key(source: DataFrame, target: DataFrame, model: HeaderModel, options: DiffOptions) -> DataFrame:
-    """Full outer join on the compared form of the key columns, written once, as all else starts from it.
+def by_key(source: DataFrame, target: DataFrame, model: HeaderModel, options: DiffOptions, finish: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Full outer join on the compared form of the key columns, ``finish``ed and written once, as all else starts from it.
 
     Rows of a key are counted where the join has brought them together, and those of a key that stands more than once on a side are not joined; if there are any, the first
     is reported."""
@@ -47,7 +48,8 @@ def by_key(source: DataFrame, target: DataFrame, model: HeaderModel, options: Di
     s, t = (keys_of(df, side, model, options).withColumn(f"_{side}n", F.count("*").over(one)) for df, side in ((source, "s"), (target, "t")))
     same = [s[k] == t[k] for k in keys]
     out = s.join(t, [*same, s["_sn"] == 1, t["_tn"] == 1], "full_outer")
-    out = stage(out.select(*[F.coalesce(s[k], t[k]).alias(k) for k in keys], *[c for df in (s, t) for c in df.columns if c not in keys], F.lit("key").alias("via")), "joined")
+    out = out.select(*[F.coalesce(s[k], t[k]).alias(k) for k in keys], *[c for df in (s, t) for c in df.columns if c not in keys], F.lit("key").alias("via"))
+    out = stage(finish(out), "joined")
     most = out.agg(F.max("_sn"), F.max("_tn")).first()
     for side, name, n in zip("st", ("source", "target"), most, strict=True):
         if (n or 0) > 1:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import cached_property
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,7 +74,7 @@ class Diff:
     @cached_property
     def classified(self) -> DataFrame:
         """A row for each report row, in no order: kind, moved, flags and values."""
-        rows = reporting.classified(self.joined, self.model, self.options)
+        rows = self.joined
         if not self.tracks_moves:
             return rows.withColumn("move_distance", F.lit(0).cast("long")).withColumn("moved", F.lit(False))
         rows = rows.join(self.moves.withColumn("moved", F.lit(True)), "t_idx", "left")
@@ -210,11 +212,13 @@ def compare(spark: SparkSession, source: Source | DataFrame, target: Source | Da
     target_dialect: Dialect | None = None, limits: Limits = Limits()) -> Diff:
     """Compare two sources; the source's header is the authority. Raises ReconcileError for what can't be compared: headers, broken input, duplicate keys."""
     source, target = (Source.dataframe(x) if isinstance(x, DataFrame) else x for x in (source, target))
-    s = source.open(spark, source_dialect, limits)
-    model = s.model or resolve_source(s.first, options.header)
-    if options.require_key and not model.key_columns:
-        raise ReconcileError("MISSING_KEY_COLUMN", "the source declares no key column")
-    t = target.open(spark, target_dialect or source_dialect, limits)
+    with ThreadPoolExecutor(2) as both:  # the two sides are read and numbered side by side; what is wrong with the source is told first
+        opened = [both.submit(inheritable_thread_target(spark)(side.open), spark, dialect, limits) for side, dialect in ((source, source_dialect), (target, target_dialect or source_dialect))]
+        s = opened[0].result()
+        model = s.model or resolve_source(s.first, options.header)
+        if options.require_key and not model.key_columns:
+            raise ReconcileError("MISSING_KEY_COLUMN", "the source declares no key column")
+        t = opened[1].result()
     policy = options.compare
     if not t.first and not t.width and model.rows:
         raise ReconcileError("NO_HEADER", "the target has no rows, so no header")
@@ -231,8 +235,11 @@ def compare(spark: SparkSession, source: Source | DataFrame, target: Source | Da
 
 
 def joined_rows(left: DataFrame, right: DataFrame, model: HeaderModel, options: DiffOptions) -> tuple[DataFrame, bool]:
-    """Source and target rows side by side, each row of either once; whether pairing by likeness gave up early."""
+    """Source and target rows side by side, each row of either once, with their kinds and flags, written once; whether pairing by likeness gave up early."""
+    finish = lambda rows: reporting.classified(rows, model, options)
     if model.key_columns:
-        return match.by_key(left, right, model, options), False
-    joined = stage(match.by_content(left, right, model, options), "joined")
-    return match.by_likeness(joined, model, options) if options.similarity else (joined, False)
+        return match.by_key(left, right, model, options, finish), False
+    joined, short = match.by_content(left, right, model, options), False
+    if options.similarity:
+        joined, short = match.by_likeness(stage(joined, "joined"), model, options)
+    return stage(finish(joined), "classified"), short

@@ -7,6 +7,7 @@ from dataclasses import asdict
 import pytest
 
 from tallymark import DiffOptions, ReconcileError, Source, compare
+from tallymark.operators import moves
 from tallymark.operators.moves import moved_rows, staying
 from tallymark.options import EmitOptions
 from tallymark.plans.header import Header
@@ -37,7 +38,9 @@ def test_runs_stay_or_go_as_their_rows_do():
         assert [k for k, n in zip(staying(values, sizes), sizes, strict=True) for _ in range(n)] == expected == staying(rows)
 
 
-def test_moved_rows(spark):
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_moved_rows(spark, few, monkeypatch):
+    monkeypatch.setattr(moves, "FEW", few)
     rnd = random.Random(2)
     for case in range(3):
         t = list(range(400))
