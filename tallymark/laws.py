@@ -63,6 +63,7 @@ def expected(cases, source: str = C.format(customer="customer")) -> str:
 
 def parsed(spark: SparkSession, sf_dir: str, cases, dialect: Dialect = Dialect(), limits: Limits = Limits()) -> DataFrame:
     rows = spark.sql("SELECT * FROM " + C, customer=table(spark, sf_dir, "customer"))
+    rows = rows.repartition(4 * spark.sparkContext.defaultParallelism)  # few bytes, so one task reads them all, but a text for each rule
     texts = rows.select("c_custkey", F.explode(F.array(*[F.struct(F.lit(rule).alias("rule"), F.expr(text).alias("text")) for rule, text, _, _ in cases])).alias("x"))
     out = try_parse_column(texts.select("c_custkey", "x.rule", "x.text"), "text", dialect, limits)
     return out.select("rule", "c_custkey", "rec", "status", F.when(F.col("cells").isNotNull(), F.concat_ws("|", "cells")).alias("value"))

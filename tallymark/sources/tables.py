@@ -280,21 +280,33 @@ def _parsed(df: DataFrame, column: str, dialect: Dialect, limits: Limits, keep_e
 
     def run(batches):
         for b in batches:
+            at, recs, cells, errors, size = [], [], [], [], 0
+
+            def put() -> pa.RecordBatch:
+                same = [b.column(j).take(pa.array(at, pa.int32())) for j in range(len(others))]
+                more = [pa.array(recs, pa.int64()), pa.array(cells, pa.list_(pa.string())), *[pa.array([e and getattr(e, n) for e in errors], pa.string()) for n in ("status", "message")]]
+                return pa.RecordBatch.from_arrays([*same, *more], names=[*others, "rec", "cells", "status", "message"])
+
             for i, text in enumerate(b.column(len(others)).to_pylist()):
-                records, failed = [], None
                 try:
-                    for r in strict_csv.parse(text.encode() if isinstance(text, str) else text or b"", dialect, limits):
-                        records.append([strict_csv.text_of(v) for v in r])
+                    for n, r in enumerate(strict_csv.parse(text.encode() if isinstance(text, str) else text or b"", dialect, limits), 1):
+                        at.append(i)
+                        recs.append(n)
+                        cells.append([strict_csv.text_of(v) for v in r])
+                        errors.append(None)
+                        size += sum(map(len, r))
+                        if len(at) >= strict_csv.BATCH or size >= strict_csv.BATCH_BYTES:
+                            yield put()
+                            at, recs, cells, errors, size = [], [], [], [], 0
                 except ReconcileError as e:
                     if not keep_errors:
                         raise
-                    failed = e
-                n, bad = len(records), int(failed is not None)
-                if n + bad:
-                    same = [pa.array([b.column(j)[i].as_py()] * (n + bad), b.column(j).type) for j in range(len(others))]
-                    more = [pa.array([*range(1, n + 1), *[None] * bad], pa.int64()), pa.array([*records, *[None] * bad], pa.list_(pa.string()))]
-                    more += [pa.array([None] * n + [v] * bad, pa.string()) for v in ((failed.status, failed.message) if failed else (None, None))]
-                    yield pa.RecordBatch.from_arrays([*same, *more], names=[*others, "rec", "cells", "status", "message"])
+                    at.append(i)
+                    recs.append(None)
+                    cells.append(None)
+                    errors.append(e)
+            if at:
+                yield put()
 
     return df.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{column}`")).mapInArrow(run, schema)
 
