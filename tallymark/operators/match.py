@@ -73,18 +73,18 @@ def by_content(source: DataFrame, target: DataFrame, model: HeaderModel, options
     return counted(source, "s").join(counted(target, "t"), [*names, "_nth"], "full_outer").drop(*names, "_nth").withColumn("via", F.lit("content"))
 
 
-def likeness_pairs(left: pd.DataFrame, width: int, k: int, percent: int, most_work: int) -> tuple[list[tuple[int, int]], bool]:
+def likeness_pairs(left: pd.DataFrame, width: int, k: int, percent: int, most_work: int | None) -> tuple[list[tuple[int, int]], bool]:
     """Greedy pairs (source, target) of unmatched rows, in target order, and whether the work ran out.
 
     ``left`` has side, idx, raw and norm (lists). A target's candidates share one of its first signature cells (those with any text), taken cell by cell
-    and in source order, up to k. The best share of equal cells wins, the earliest on a tie, if it reaches ``percent``.
+    and in source order, up to k. The best share of equal cells wins, the earliest on a tie, if it reaches ``percent``. Without ``most_work`` nothing is given up.
     """
     sources = left[left.side == "s"].sort_values("idx")
     targets = left[left.side == "t"].sort_values("idx")
     columns = SIGNATURE
-    while columns > 1 and len(sources) * columns > MOST_CELLS:
+    while most_work is not None and columns > 1 and len(sources) * columns > MOST_CELLS:
         columns -= 1
-    if len(sources) * columns > MOST_CELLS:
+    if most_work is not None and len(sources) * columns > MOST_CELLS:
         return [], True
     signature = lambda raw: [c for c in range(width) if raw[c] != ""][:columns]
     rows = dict(zip(sources.idx, (tuple(n) for n in sources.norm), strict=True))
@@ -95,7 +95,7 @@ def likeness_pairs(left: pd.DataFrame, width: int, k: int, percent: int, most_wo
     used: set = set()
     pairs, work = [], 0
     for idx, raw, norm in zip(targets.idx, targets.raw, targets.norm, strict=True):
-        if work > most_work:
+        if most_work is not None and work > most_work:
             return pairs, True
         candidates: dict = {}
         for c in signature(raw):
@@ -138,7 +138,7 @@ def by_likeness(joined: DataFrame, model: HeaderModel, options: DiffOptions) ->
     sizes = {r.s: r.n for r in alone.groupBy(F.col("t_idx").isNull().alias("s")).agg(F.count("*").alias("n")).collect()}
     if not sizes.get(True) or not sizes.get(False):
         return joined, False
-    if sizes[True] > MOST_CELLS:
+    if options.work is not None and sizes[True] > MOST_CELLS:
         return joined, True
     own = lambda side: [c for c in joined.columns if c.startswith(side)]
     s, t = alone.where("t_idx is null").select(*own("s")), alone.where("s_idx is null").select(*own("t"))

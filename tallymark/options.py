@@ -89,6 +89,8 @@ class DiffOptions:
     similarity_k: int | None = None
     similarity_percent: int | None = None
     max_pair_work: int | None = None
+    #: pairing by likeness ends only when every row has been looked at, whatever the work; ``max_pair_work`` is without effect then
+    pair_all: bool = False
 
     def __post_init__(self):
         if self.deleted not in ("anchored", "end"):
@@ -103,8 +105,8 @@ class DiffOptions:
         return 50 if self.similarity_percent is None else min(100, max(0, self.similarity_percent))
 
     @property
-    def work(self) -> int:
-        return self.max_pair_work or 4_000_000
+    def work(self) -> int | None:
+        return None if self.pair_all else self.max_pair_work or 4_000_000
 
 
 CLASS_PREFIX = re.compile(r"[A-Za-z][A-Za-z0-9_-]{0,31}\Z")

@@ -237,7 +237,8 @@ def all_keys_multiset(spark, sf_dir):
 
 @query(f"WITH {oracle_pair('part')} SELECT s.p_partkey AS source, t.p_partkey AS target, s.p_size AS source_size, t.p_size AS target_size FROM s JOIN t USING (p_partkey) WHERE s.p_size <> t.p_size")
 def similarity_pairs(spark, sf_dir):
-    found = diff_of(spark, sf_dir, "part", UNMOVED)
+    # all pairs, however many rows have changed, unless a limit is set
+    found = diff_of(spark, sf_dir, "part", replace(UNMOVED, pair_all=UNMOVED.max_pair_work is None))
     if found.truncated:  # the result has no place to say so
         raise RuntimeError("pairing by likeness gave up at its limits, so pairs would be missing")
     rows = found.classified.where("kind = 'modified'")

@@ -1,6 +1,10 @@
 """What keeps a query whole on large tables."""
 
-from tallymark import laws
+import pandas as pd
+
+from tallymark import laws, registry
+from tallymark.operators import match
+from tallymark.registry import table
 from tallymark.sources import strict_csv
 from tallymark.sources.tables import try_parse_column
 
@@ -21,3 +25,19 @@ def test_records_of_many_texts_stay_with_their_texts(spark):
         expected += [(i, 1, [str(i), "a"], None), (i, None, None, "RAGGED_ROW") if i % 3 == 0 else (i, 2, [str(i), "b"], None)]
     expected += [(most, n, ["x"], None) for n in range(1, 2 * most + 6)] + [(most, None, None, "UNTERMINATED_QUOTE")]
     assert [tuple(r) for r in rows] == expected
+
+
+def test_similarity_pairs_is_whole_beyond_the_limits_of_the_reference(spark, monkeypatch):
+    rows = lambda: sorted(tuple(r) for r in registry.similarity_pairs(spark, SMALL).collect())
+    expected = rows()
+    assert len(expected) == table(spark, SMALL, "part").where("p_partkey % 9 = 2").count() > 16
+    monkeypatch.setattr(match, "MOST_CELLS", 16)
+    assert rows() == expected
+
+
+def test_pairing_without_limits_looks_at_every_target():
+    n = 3000
+    rows = [(side, i, [str(i), f"a{i % 7}", side], [str(i), f"a{i % 7}", side]) for side in "st" for i in range(n)]
+    left = pd.DataFrame(rows, columns=["side", "idx", "raw", "norm"])
+    assert match.likeness_pairs(left, 3, 16, 50, 100)[1]
+    assert match.likeness_pairs(left, 3, 16, 50, None) == ([(i, i) for i in range(n)], False)
