@@ -21,7 +21,7 @@ from .options import CompareOptions, Dialect, DiffOptions, EmitOptions, HeaderLa
 from .operators.moves import moved_rows
 from .plans.compare import compare
 from .plans.header import Header, find_target_header, resolve_source
-from .plans.storage import shared_dir
+from .plans.storage import SharedFile, shared_dir
 from .registry import HEADERS as COLUMNS
 from .registry import P1, P4, P5, P6, POLICY, UNMOVED, diff_of, oracle_pair, query, sides, table
 from .sinks import emitters
@@ -517,10 +517,11 @@ META_LINE = "'1,' || kind || ',{side},false,0,' || coalesce(sr::VARCHAR, '') ||
 @query(P1 + f"""SELECT '{",".join(emitters.META)}' AS line UNION ALL SELECT {META_LINE.format(side="source")} FROM p WHERE kind IN ('modified', 'deleted') UNION ALL SELECT {META_LINE.format(side="target")} FROM p WHERE kind <> 'deleted'""")
 def streamed_report(spark, sf_dir):
     """EM14: a report written to a stream on the driver, a partition at a time."""
-    out = io.BytesIO()
-    size = emitters.emit_to(diff_of(spark, sf_dir, "orders", UNMOVED), out, "csv", EmitOptions(include_values=False))
-    lines = out.getvalue().decode().splitlines()
-    return spark.createDataFrame([(x,) for x in lines] if size == len(out.getvalue()) else [], "line string")
+    path = f"{shared_dir(spark)}/law-{uuid.uuid4().hex}"
+    with SharedFile(spark, path) as out:
+        size = emitters.emit_to(diff_of(spark, sf_dir, "orders", UNMOVED), out, "csv", EmitOptions(include_values=False))
+    lines = spark.read.text(path, lineSep="\n").select(F.col("value").alias("line"))
+    return lines if size == out.length() else lines.where(F.lit(False))
 
 
 @query("""SELECT sum(strlen(c_custkey::VARCHAR) + strlen(c_name) + 4)::BIGINT AS bytes, count(*)::BIGINT AS line_feeds, 2 * count(*)::BIGINT AS quotes, count(*)::BIGINT AS "rows", 2 * count(*)::BIGINT AS fields, 2::BIGINT AS columns, count(*)::BIGINT AS quoted, true AS same FROM customer""")

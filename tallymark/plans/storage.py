@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import io
 import tempfile
 import uuid
 
@@ -45,3 +46,28 @@ def stage(df: DataFrame, label: str) -> DataFrame:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class SharedFile(io.RawIOBase):
+    """A new file, in the shared folder say, as a binary stream that the driver writes; nothing of it is held."""
+
+    def __init__(self, spark, path: str):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self._files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._where, self._out = where, self._files.create(where)
+
+    def writable(self) -> bool:
+        return True
+
+    def write(self, data) -> int:
+        self._out.write(bytes(data))
+        return len(data)
+
+    def close(self) -> None:
+        if not self.closed:
+            self._out.close()
+        super().close()
+
+    def length(self) -> int:
+        """Bytes in the file; those just written count when it is closed."""
+        return self._files.getFileStatus(self._where).getLen()

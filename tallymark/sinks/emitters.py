@@ -6,6 +6,7 @@ import json
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ FORMATS = ("jsonl", "csv", "html", "summary")
 #: fixed values: the meta columns of a CSV report
 META = ("schemaVersion", "kind", "side", "moved", "moveDistance", "sourceRow", "targetRow", "changedCells", "findings")
 MOST_SEGMENTS = 128
+#: bytes that a report is passed on by
+PIECE = 1 << 20
 #: stand-ins for bytes that were not UTF-8
 BROKEN = f"[{chr(PRIVATE)}-{chr(PRIVATE + 255)}]"
 BROKEN_RE = re.compile(f"{BROKEN}+")
@@ -234,10 +237,20 @@ def text(diff, format: str, o: EmitOptions = EmitOptions()) -> str:
 
 
 def emit_to(diff, stream, format: str, o: EmitOptions = EmitOptions()) -> int:
-    """Write the report's bytes to a binary stream; returns how many. Bytes of the input that weren't UTF-8 come out of CSV as they went in."""
+    """Write the report's bytes to a binary stream; returns how many. Bytes of the input that weren't UTF-8 come out of CSV as they went in.
+
+    Lines are put together where they lie; the driver holds a partition's bytes at a time and passes them on in pieces."""
+
+    def run(batches):
+        for b in batches:
+            whole = "\n".join([*b.column(0).to_pylist(), ""])
+            raw = bytes_of(whole) if format == "csv" else whole.encode()
+            for at in range(0, len(raw), PIECE):
+                yield pa.RecordBatch.from_arrays([pa.array([raw[at : at + PIECE]], pa.binary())], names=["piece"])
+
     n = 0
-    for r in emit(diff, format, o).orderBy("part", "report_pos", "line").toLocalIterator():
-        n += stream.write((bytes_of(r.value) if format == "csv" else r.value.encode()) + b"\n")
+    for r in emit(diff, format, o).orderBy("part", "report_pos", "line").select("value").mapInArrow(run, "piece binary").toLocalIterator():
+        n += stream.write(r.piece)
     return n
 
 

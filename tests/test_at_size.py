@@ -1,12 +1,17 @@
 """What keeps a query whole on large tables."""
 
+import io
+
 import pandas as pd
+import pytest
 
-from tallymark import laws, registry
+from tallymark import compare, laws, registry
 from tallymark.operators import match
+from tallymark.options import DiffOptions, HeaderLayout
 from tallymark.registry import table
+from tallymark.sinks import emitters
 from tallymark.sources import strict_csv
-from tallymark.sources.tables import try_parse_column
+from tallymark.sources.tables import Source, try_parse_column
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -41,3 +46,26 @@ def test_pairing_without_limits_looks_at_every_target():
     left = pd.DataFrame(rows, columns=["side", "idx", "raw", "norm"])
     assert match.likeness_pairs(left, 3, 16, 50, 100)[1]
     assert match.likeness_pairs(left, 3, 16, 50, None) == ([(i, i) for i in range(n)], False)
+
+
+def test_a_streamed_report_is_read_from_a_file_and_not_from_the_driver(spark):
+    found = laws.streamed_report(spark, SMALL)
+    assert found.inputFiles() and found.count() > 1500
+
+
+@pytest.mark.parametrize("piece", [None, 7])
+def test_a_report_is_streamed_in_pieces_of_lines(spark, monkeypatch, piece):
+    if piece:
+        monkeypatch.setattr(emitters, "PIECE", piece)
+    one, two = ("".join(f"{i},\xe9{i % k}\n" for i in range(200)).encode("latin-1") for k in (5, 7))
+    found, pieces = compare(spark, Source.bytes(one), Source.bytes(two), DiffOptions(header=HeaderLayout(rows=0))), []
+
+    class Kept(io.RawIOBase):
+        def write(self, data):
+            pieces.append(bytes(data))
+            return len(data)
+
+    size = emitters.emit_to(found, Kept(), "csv")
+    text = found.emit_text("csv")
+    assert size == sum(map(len, pieces)) and b"".join(pieces) == strict_csv.bytes_of(text) and b"\xe9" in b"".join(pieces)
+    assert max(map(len, pieces)) <= piece if piece else len(pieces) < len(text.splitlines()) // 4
