@@ -21,8 +21,8 @@ FORMATS = ("jsonl", "csv", "html", "summary")
 #: fixed values: the meta columns of a CSV report
 META = ("schemaVersion", "kind", "side", "moved", "moveDistance", "sourceRow", "targetRow", "changedCells", "findings")
 MOST_SEGMENTS = 128
-#: bytes that a report is passed on by
-PIECE = 1 << 20
+#: bytes that a report is passed on by, and report rows of which the driver holds the lines at a time
+PIECE, HELD_ROWS = 1 << 20, 50_000
 #: stand-ins for bytes that were not UTF-8
 BROKEN = f"[{chr(PRIVATE)}-{chr(PRIVATE + 255)}]"
 BROKEN_RE = re.compile(f"{BROKEN}+")
@@ -239,7 +239,7 @@ def text(diff, format: str, o: EmitOptions = EmitOptions()) -> str:
 def emit_to(diff, stream, format: str, o: EmitOptions = EmitOptions()) -> int:
     """Write the report's bytes to a binary stream; returns how many. Bytes of the input that weren't UTF-8 come out of CSV as they went in.
 
-    Lines are put together where they lie; the driver holds a partition's bytes at a time and passes them on in pieces."""
+    Lines are put together where they lie; the driver holds one partition's bytes at a time, of about ``HELD_ROWS`` rows, and passes them on in pieces."""
 
     def run(batches):
         for b in batches:
@@ -248,8 +248,9 @@ def emit_to(diff, stream, format: str, o: EmitOptions = EmitOptions()) -> int:
             for at in range(0, len(raw), PIECE):
                 yield pa.RecordBatch.from_arrays([pa.array([raw[at : at + PIECE]], pa.binary())], names=["piece"])
 
-    n = 0
-    for r in emit(diff, format, o).orderBy("part", "report_pos", "line").select("value").mapInArrow(run, "piece binary").toLocalIterator():
+    n, order = 0, ["part", "report_pos", "line"]
+    ordered = emit(diff, format, o).repartitionByRange(1 + diff.joined.count() // HELD_ROWS, *order).sortWithinPartitions(*order)
+    for r in ordered.select("value").mapInArrow(run, "piece binary").toLocalIterator():
         n += stream.write(r.piece)
     return n
 

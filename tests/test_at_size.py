@@ -69,3 +69,18 @@ def test_a_report_is_streamed_in_pieces_of_lines(spark, monkeypatch, piece):
     text = found.emit_text("csv")
     assert size == sum(map(len, pieces)) and b"".join(pieces) == strict_csv.bytes_of(text) and b"\xe9" in b"".join(pieces)
     assert max(map(len, pieces)) <= piece if piece else len(pieces) < len(text.splitlines()) // 4
+
+
+def test_the_driver_holds_few_rows_of_a_streamed_report(spark, monkeypatch):
+    monkeypatch.setattr(emitters, "HELD_ROWS", 20)
+    body = "".join(f"{i},x\n" for i in range(1000))
+    found, pieces = compare(spark, Source.string(body), Source.string(body), DiffOptions(header=HeaderLayout(rows=0))), []
+
+    class Kept(io.RawIOBase):
+        def write(self, data):
+            pieces.append(bytes(data))
+            return len(data)
+
+    emitters.emit_to(found, Kept(), "csv")
+    assert b"".join(pieces).decode() == found.emit_text("csv")
+    assert len(pieces) >= 30 and max(p.count(b"\n") for p in pieces) <= 100
